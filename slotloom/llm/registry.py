@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from slotloom.llm import decontaminate, exact_dedup, pii, substring_dedup, token_files
+from slotloom.llm import decontaminate, exact_dedup, html_extract, mixing, near_dedup, pii, substring_dedup, token_files, toxicity, url_filter
 
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_pii": pii.op9_pii,
     "op10_token_files": token_files.op10_token_files,
 }
