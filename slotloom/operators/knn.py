@@ -38,6 +38,8 @@ def _nearest(queries, k: int, key: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = queries.value
+        if not len(ids):
+            return
         norms = (vectors * vectors).sum(1)
         best_d = np.full((len(ids), k), np.inf)
         best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
