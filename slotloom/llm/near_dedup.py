@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.llm.graph import components
+from slotloom.llm.keyfilter import likely, sent_filter
 from slotloom.llm.shared import partitions, planned_bytes, stored
 from slotloom.llm.words import NON_SPACE, U64, _splitmix, chunks, mix, scan, text_column, windows, word_hashes
 
@@ -339,28 +340,32 @@ def links(docs: DataFrame, classes: DataFrame, size: int, similarity: tuple[int,
     groups = components(star, "groups")
     members = groups.join(classes, groups.vertex == classes.node).select("node", F.col("label").alias("grp"), "rep_key", F.col("n").alias("size"), "sig")
     members = stored(members, "members")
+    # Few documents stand for classes in groups: a filter of fixed size keeps the other texts out of the shuffle.
+    texts = likely(docs.select(F.xxhash64("doc_id", "text").alias("text_key"), "text"), sent_filter(members.select("rep_key")))
+    known = members.select("node", "rep_key", "sig")
+    texts = stored(known.join(texts, known.rep_key == texts.text_key).select(F.col("node").alias("of"), "sig", "text"), "member-texts")
+    members = members.select("node", "grp", "size")
     blocks = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
     blocks = blocks.select(F.col("grp").alias("g"), F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     large = stored(blocks.where("blocks > 1"), "large")
     placed = members.join(large, members.grp == large.g, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.expr("pmod(xxhash64(node, 1), blocks)").cast("int")).drop("g")
-    parts = max(2 * partitions(spark), planned_bytes(members) // (8 << 20))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("text_key"), "text")
+    parts = max(2 * partitions(spark), planned_bytes(texts) // (4 << 20))
     run = _group_links(size, similarity)
 
     def met(rows: DataFrame) -> DataFrame:
-        """Links of rows (node, grp, rep_key, sig, block, role, label)."""
-        full = rows.join(texts, rows.rep_key == texts.text_key).select("node", "grp", "sig", "block", "role", "label", "text", F.expr(f"pmod(xxhash64(grp, block), {parts})").cast("int").alias("part"))
+        """Links of rows (node, grp, block, role, label)."""
+        full = rows.join(texts, rows.node == texts.of).select("node", "grp", "sig", "block", "role", "label", "text", F.expr(f"pmod(xxhash64(grp, block), {parts})").cast("int").alias("part"))
         return full.groupBy("part").applyInPandas(run, "a long, b long")
 
-    columns = ("node", "grp", "rep_key", "sig", "block", "role", "label")
-    own = placed.select("node", "grp", "rep_key", "sig", "block", F.lit(1).alias("role"), F.lit(0).cast("long").alias("label"))
+    columns = ("node", "grp", "block", "role", "label")
+    own = placed.select("node", "grp", "block", F.lit(1).alias("role"), F.lit(0).cast("long").alias("label"))
     if not large.take(1):
         return stored(met(own), "links")
     in_large = members.join(large, members.grp == large.g).drop("g")
     picks = in_large.groupBy("grp").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node")).alias(f"p{i}") for i in range(PIVOTS)])
     picks = picks.select(F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.node") for i in range(PIVOTS)]))).alias("pick"))
-    pivots = in_large.join(picks, in_large.node == picks.pick).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "grp", "rep_key", "sig", "block", F.lit(1).alias("role"), F.lit(0).cast("long").alias("label"))
+    pivots = in_large.join(picks, in_large.node == picks.pick).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "grp", "block", F.lit(1).alias("role"), F.lit(0).cast("long").alias("label"))
     first = stored(met(own.unionByName(pivots)), "links-first")
     # What isn't connected to the main component of its group meets all other blocks.
     labels = components(first, "blocks")

@@ -58,6 +58,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan (file sizes for scans); no job runs."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+    """The size of all that the plan scans, by Catalyst's statistics; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 60)
