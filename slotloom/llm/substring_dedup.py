@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import partitions, planned_bytes
+from slotloom.llm.keyfilter import among, likely, sent_filter
+from slotloom.llm.shared import partitions, planned_bytes, stored
 from slotloom.llm.words import NON_SPACE, U64, chunks, covered, mix, ragged, scan, text_column, windows, word_hashes
 
 N_WORDS = 35
@@ -212,12 +213,20 @@ def repeated_spans(docs: DataFrame, length: int = N_WORDS) -> DataFrame:
     return places.groupBy("part").applyInPandas(_merge(length), "key long, removed binary")
 
 
-def _kept(report: bool, text_at: int, columns: list[str]):
-    """Rows with their removed words, as a report or as rows with the kept text."""
+def _kept(report: bool, text_at: int, columns: list[str], outside=None):
+    """Rows with their removed words, as a report or as rows with the kept text.
+
+    The last column holds the removed intervals; with ``outside``, a broadcast filter, it
+    holds keys, and rows whose key is not in the filter have nothing to remove.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(batch.num_columns - 1).to_pylist()
+            if outside is not None:
+                batch = batch.filter(pa.array(~among(outside.value, np.asarray(batch.column(batch.num_columns - 1)))))
+                spans = [None] * batch.num_rows
+            else:
+                spans = batch.column(batch.num_columns - 1).to_pylist()
             n_words, n_removed, out = [], [], []
             old = batch.column(text_at)
             for lo, hi, data, offsets in chunks(text_column(old)):
@@ -252,20 +261,31 @@ def _kept(report: bool, text_at: int, columns: list[str]):
     return run
 
 
+def _with_spans(docs: DataFrame, spans: DataFrame, run, schema) -> DataFrame:
+    """Documents with removals join their intervals; the others, told by a filter of fixed size, never move.
+
+    ``run`` makes the row function from a filter or None.
+    """
+    spans = stored(spans, "spans").select(F.col("key").alias("__span_key"), F.col("removed").alias("__removed"))
+    bits = sent_filter(spans.select("__span_key"))
+    clean = docs.withColumn("__key", F.xxhash64("doc_id", "text")).mapInArrow(run(bits), schema)
+    keyed = likely(docs.select(F.xxhash64("doc_id", "text").alias("__key"), *docs.columns), bits)
+    joined = keyed.join(spans, F.col("__key") == F.col("__span_key"), "left").select(*docs.columns, "__removed")
+    return clean.unionByName(joined.mapInArrow(run(None), schema))
+
+
 def substring_report(docs: DataFrame, length: int = N_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     rows = docs.select("doc_id", "text")
-    spans = repeated_spans(rows, length)
-    joined = rows.withColumn("key", F.xxhash64("doc_id", "text")).join(spans, "key", "left").select("doc_id", "text", "removed")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(_kept(True, 1, []), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
+    return _with_spans(rows, repeated_spans(rows, length), lambda bits: _kept(True, 1, [], bits), schema)
 
 
 def remove_repeated_spans(docs: DataFrame, length: int = N_WORDS) -> DataFrame:
     """``docs`` with all its columns; texts with removed words are their kept words joined by one space."""
-    spans = repeated_spans(docs.select("doc_id", "text"), length).select(F.col("key").alias("__span_key"), F.col("removed").alias("__removed"))
-    joined = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(spans, F.col("__key") == F.col("__span_key"), "left").select(*docs.columns, "__removed")
-    return joined.mapInArrow(_kept(False, docs.columns.index("text"), docs.columns), docs.schema)
+    spans = repeated_spans(docs.select("doc_id", "text"), length)
+    return _with_spans(docs, spans, lambda bits: _kept(False, docs.columns.index("text"), docs.columns, bits), docs.schema)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
