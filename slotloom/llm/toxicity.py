@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotloom.llm.keyfilter import likely, sent_filter
 from slotloom.llm.shared import partitions, planned_bytes, stored
 from slotloom.llm.words import ALNUM, U64, chunks, mix, scan, text_column, word_hashes
 
@@ -168,7 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = stored(marked.withColumn("fold", _remainder(F.col("doc_id"))).where("fold <> 0"), "marked")
     rows = docs.select("doc_id", "text")
-    counts = continuation_counts(rows.join(marked.where("fold <> 1"), "doc_id").select("text", "toxic"))
+    learned = marked.where("fold <> 1").select(F.xxhash64("doc_id").alias("key"), F.col("doc_id").alias("marked_id"), "toxic")
+    texts = likely(rows.select(F.xxhash64("doc_id").alias("text_key"), "doc_id", "text"), sent_filter(learned.select("key")))
+    counts = continuation_counts(texts.join(learned, texts.doc_id == learned.marked_id).select("text", "toxic"))
     if (counts.sum(1) == 0).any():
         return ToxicityModel(None)
     models = [ToxicityModel(*log_ratios(counts, *d)) for d in DISCOUNTS]
