@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[object, str]] = []
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
         return str(set_dir.get()).rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
-    folder = tempfile.mkdtemp(prefix="slotloom-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-    return f"file://{folder}"
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = f"file://{tempfile.mkdtemp(prefix='slotloom-')}"
+    return _own[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
