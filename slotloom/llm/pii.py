@@ -101,6 +101,9 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
             score = min(1.0, _PRIOR[kind] + 0.3 * any(w in near for w in _CONTEXT[kind]))
             if score >= THRESHOLD:
                 spans.append((kind, a, b, score))
+    # A domestic number inside a base span is that span.
+    held = [(a, b) for k, a, b, _ in spans if k in BASE_KINDS]
+    spans = [s for s in spans if s[0] not in ("ssn", "localphone") or not any(a < s[2] and s[1] < b for a, b in held)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
