@@ -7,9 +7,9 @@ learn from a bounded sample of them (``SAMPLE_ROWS`` rows with the smallest hash
 of url) and judge the others.  The trained trees become nested ``CASE``
 expressions, so judging is one codegen'd projection without Python.
 
-Suffix statistics are smoothed block shares of the last one and two labels of
-hosts, over all labelled urls, in ``SUFFIX_CELLS`` hash cells: a table of fixed
-size.
+Suffix statistics are smoothed block shares of the last label of hosts, of their
+last two labels, and of these with the first path segment, over all labelled urls,
+in ``SUFFIX_CELLS`` hash cells each: a table of fixed size.
 
 Defined results: null urls and urls without ``://`` have an empty host and path
 and are allowed unless the trees say otherwise; with fewer than two classes among
@@ -31,7 +31,7 @@ SUFFIX_CELLS = 4096
 TREES, DEPTH = 10, 4
 MAX_RULE_EXPRESSIONS = 256
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "suffix1", "suffix2")
+FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "suffix1", "suffix2", "suffix3")
 
 
 def host_of(url: Column) -> Column:
@@ -75,8 +75,11 @@ def judged_by_rules(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataF
     return rows.join(best, ["host", "path"], "left").select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
 
 
-def _cell(host: Column, labels: int) -> Column:
-    return F.pmod(F.xxhash64(F.substring_index(host, ".", -labels), F.lit(labels)), F.lit(SUFFIX_CELLS)).cast("int")
+def _cell(labels: int) -> Column:
+    """Hash cell of a row's suffix: one label, two labels, or (3) two labels and the first path segment."""
+    suffix = F.substring_index("host", ".", -min(labels, 2))
+    parts = [suffix, F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(2)), F.lit(""))] if labels == 3 else [suffix]
+    return F.pmod(F.xxhash64(*parts, F.lit(labels)), F.lit(SUFFIX_CELLS)).cast("int")
 
 
 def lexical_features(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -90,22 +93,23 @@ def lexical_features(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
         share = (F.length(url) - F.length(F.replace(url, c))) / size
         return total - F.when(share > 0, share * F.log2(share)).otherwise(F.lit(0.0))
 
-    table = F.broadcast(suffixes.select(F.col("cell").alias("cell1"), F.col("block_share").alias("suffix1")).where("labels = 1"))
-    table2 = F.broadcast(suffixes.select(F.col("cell").alias("cell2"), F.col("block_share").alias("suffix2")).where("labels = 2"))
     rows = rows.withColumns({
         "url_length": F.length(url).cast("double"), "host_length": F.length("host").cast("double"), "path_length": F.length("path").cast("double"),
         "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")).cast("double"), "labels": F.size(F.split("host", r"\.")).cast("double"),
         "digit_ratio": F.length(F.regexp_replace(url, "[^0-9]", "")) / size, "entropy": F.aggregate(chars, F.lit(0.0), spread),
-        "parameters": F.when(url.contains("?"), times("&") + 1).otherwise(F.lit(0.0)), "hyphens": times("-"), "cell1": _cell(F.col("host"), 1), "cell2": _cell(F.col("host"), 2),
+        "parameters": F.when(url.contains("?"), times("&") + 1).otherwise(F.lit(0.0)), "hyphens": times("-"), **{f"cell{k}": _cell(k) for k in (1, 2, 3)},
     })
-    return rows.join(table, "cell1", "left").join(table2, "cell2", "left").withColumns({"suffix1": F.coalesce("suffix1", F.lit(0.5)), "suffix2": F.coalesce("suffix2", F.lit(0.5))})
+    for k in (1, 2, 3):
+        table = suffixes.where(F.col("labels") == k).select(F.col("cell").alias(f"cell{k}"), F.col("block_share").alias(f"suffix{k}"))
+        rows = rows.join(F.broadcast(table), f"cell{k}", "left").withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", F.lit(0.5)))
+    return rows
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(labels, cell, block_share) over all labelled urls; at most 2 * SUFFIX_CELLS rows."""
+    """(labels, cell, block_share) over all labelled urls; at most 3 * SUFFIX_CELLS rows."""
     blocked = (F.col("rule_verdict") == "block").cast("double")
-    each = [labelled.groupBy(_cell(F.col("host"), k).alias("cell")).agg(((F.sum(blocked) + 1) / (F.count(F.lit(1)) + 2)).alias("block_share")).select(F.lit(k).alias("labels"), "cell", "block_share") for k in (1, 2)]
-    return each[0].unionByName(each[1])
+    each = [labelled.groupBy(_cell(k).alias("cell")).agg(((F.sum(blocked) + 1) / (F.count(F.lit(1)) + 2)).alias("block_share")).select(F.lit(k).alias("labels"), "cell", "block_share") for k in (1, 2, 3)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def _expression(node, columns: Sequence[str]) -> Column:
