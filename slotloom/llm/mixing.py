@@ -33,7 +33,7 @@ from slotloom.llm.shared import stored
 
 #: Characters whose frequencies are the classifier's features.
 FEATURE_CHARS = ("a", "c", "d", "e", "h", "i", "n", "o", "q", "s", "t", "u", "w", "z", "é", "è", "ä", "ü", "ó", "ñ")
-MAX_ITERATIONS, TOLERANCE = 40, 1e-7
+MAX_ITERATIONS, TOLERANCE, STALL = 60, 1e-7, 1e-9
 VARIANCE_FLOOR = 1e-5
 #: Target shares of expected tokens by domain (language), as used by the query.
 TARGET_WEIGHTS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
@@ -60,37 +60,63 @@ def feature_array(text: Column) -> Column:
     return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))) / size for c in FEATURE_CHARS])
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def posterior_array(features: Column, tokens: Column, stats) -> Column:
     """Posteriors by Bayes' rule; rows without tokens have the prior."""
-    logs = []
-    for prior, mean, var in stats:
-        if prior <= 0:
-            logs.append(F.lit(-1e300))
-            continue
-        terms = [F.pow(features[k] - F.lit(m), 2) * F.lit(-0.5 / v) for k, (m, v) in enumerate(zip(mean, var))]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        logs.append(F.when(tokens > 0, total + F.lit(-0.5 * sum(math.log(v) for v in var))).otherwise(F.lit(0.0)) + F.lit(math.log(prior)))
-    joined = F.array(*logs)
-    shifted = F.transform(joined, lambda x: F.exp(F.greatest(x - F.array_max(joined), F.lit(-700.0))) * (x > F.lit(-1e299)).cast("double"))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, y: s + y))
 
+    def log_shares(x):
+        logs = []
+        for prior, mean, var in stats:
+            if prior <= 0:
+                logs.append(F.lit(-1e300))
+                continue
+            terms = [F.pow(x["f"][k] - F.lit(m), 2) * F.lit(-0.5 / v) for k, (m, v) in enumerate(zip(mean, var))]
+            total = terms[0]
+            for t in terms[1:]:
+                total = total + t
+            logs.append(F.when(x["n"] > 0, total + F.lit(-0.5 * sum(math.log(v) for v in var))).otherwise(F.lit(0.0)) + F.lit(math.log(prior)))
+        return F.array(*logs)
 
-def rate(posteriors: Column, history: list[list[float]]) -> Column:
-    """The document's rate after all iterations."""
+    def scaled(logs):
+        return _let(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.when(x > F.lit(-1e299), F.exp(F.greatest(x - top, F.lit(-700.0)))).otherwise(F.lit(0.0))))
+
+    def normalised(shares):
+        return _let(F.aggregate(shares, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(shares, lambda x: x / total))
+
+    return _let(F.struct(features.alias("f"), tokens.alias("n")), lambda x: _let(log_shares(x), lambda logs: _let(scaled(logs), normalised)))
+
+
+def _folded(posteriors: Column, history: list[list[float]], field: str) -> Column:
+    """``r`` or ``y`` after all iterations; an iteration is its residuals, then its momentum."""
     if not history:
         return F.lit(1.0)
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in history])
-    n = len(history[0])
+    n = len(history[0]) - 1
+
+    def fold(p):
+        def step(s, g):
+            dot = p[0] * g[0]
+            for k in range(1, n):
+                dot = dot + p[k] * g[k]
+            moved = F.greatest(F.lit(0.0), s["y"] - dot)
+            return _let(moved, lambda r: F.struct(r.alias("r"), (r + g[n] * (r - s["r"])).alias("y")))
+
+        return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step, lambda s: s[field])
+
+    return _let(posteriors, fold)
+
+
+def rate(posteriors: Column, history: list[list[float]]) -> Column:
+    """The document's rate after all iterations."""
+    return _folded(posteriors, history, "r")
 
-    def step(r, g):
-        dot = posteriors[0] * g[0]
-        for k in range(1, n):
-            dot = dot + posteriors[k] * g[k]
-        return F.greatest(F.lit(0.0), r - dot)
 
-    return F.aggregate(steps, F.lit(1.0), step)
+def momentum(k: int) -> float:
+    return k / (k + 3.0)
 
 
 def _classifier(featured: DataFrame, labelled: DataFrame, domains: list[str]):
@@ -127,13 +153,16 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
         budget = max((n / s for n, s in zip(now, share) if s > 0), default=0.0)
     targets = [s * budget for s in share]
     history: list[list[float]] = []
-    for _ in range(MAX_ITERATIONS):
-        step = [(n - x) / s for n, x, s in zip(now, targets, scale)]
-        if sum(abs(n - x) for n, x in zip(now, targets)) <= TOLERANCE * max(budget, 1):
+    at, before = now, math.inf
+    for k in range(MAX_ITERATIONS):
+        value = sum((n - x) ** 2 / s for n, x, s in zip(now, targets, scale))
+        if sum(abs(n - x) for n, x in zip(now, targets)) <= TOLERANCE * max(budget, 1) or 0 <= before - value <= STALL * value:
             break
-        history.append(step)
-        sums = members.select("tokens", "posteriors", rate(p, history).alias("rate")).agg(*[F.sum(F.col("rate") * t * p[d]).alias(f"t{d}") for d in range(size)]).first()
-        now = [float(sums[f"t{d}"] or 0) for d in range(size)]
+        before = value
+        history.append([(n - x) / s for n, x, s in zip(at, targets, scale)] + [momentum(k)])
+        moved = members.select("tokens", "posteriors", _folded(p, history, "r").alias("r"), _folded(p, history, "y").alias("y"))
+        sums = moved.agg(*[F.sum(F.col(v) * t * p[d]).alias(f"{v}{d}") for v in "ry" for d in range(size)]).first()
+        now, at = ([float(sums[f"{v}{d}"] or 0) for d in range(size)] for v in "ry")
     return Mixture(domains, stats, targets, history, now), members
 
 
@@ -162,7 +191,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budge
     rows = docs.withColumns({"__tokens": token_count(F.col("text")), "__features": feature_array(F.col("text"))})
     rows = rows.withColumn("__posteriors", posterior_array(F.col("__features"), F.col("__tokens"), mixture.stats))
     rows = rows.withColumn("__copies", copies(F.col("doc_id"), rate(F.col("__posteriors"), mixture.history), seed, at_least))
-    return rows.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def known_domains(docs: DataFrame, labels: DataFrame, column: str = "lang") -> DataFrame:
