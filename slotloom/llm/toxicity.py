@@ -18,8 +18,9 @@ the whole discount: measured on held-out rows, class counts of pairs only added
 noise (area under the curve at most 0.9994 with them, 0.9999 without).
 
 Words are 64-bit hashes folded into ``2 ** WORD_BITS`` cells, so what is sent to
-the executors has a fixed size, while the counting covers every labelled
-training row.  Rows with crc32(doc_id) mod 5 = 0 are never learned from; those
+the executors has a fixed size.  At most ``MAX_LABELLED`` labelled rows are learned
+from (an even sample by hash if there are more), so their labels are broadcast and no
+text is shuffled.  Rows with crc32(doc_id) mod 5 = 0 are never learned from; those
 with remainder 1 set the threshold, the others are counted.
 
 Defined results: null and word-less texts get the score of a text without any
@@ -39,7 +40,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.keyfilter import likely, sent_filter
 from slotloom.llm.shared import partitions, planned_bytes, stored
 from slotloom.llm.words import ALNUM, U64, chunks, mix, scan, text_column, word_hashes
 
@@ -48,6 +48,8 @@ DISCOUNT = 0.75
 #: (slack, spread)
 DISCOUNTS = ((3.0, 4.0), (2.0, 3.0), (1.5, 2.0), (2.0, 1.0))
 BINS = 10_000
+#: Labelled rows that are learned from at most (with those that set the threshold); their labels are broadcast.
+MAX_LABELLED = 1_000_000
 BLOCK_PAIRS = 2_000_000
 _START = U64(0x5851F42D4C957F2D)
 
@@ -59,10 +61,14 @@ def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashed, (hashed >> U64(64 - WORD_BITS)).astype(np.int64), doc
 
 
-def continuation_counts(labelled: DataFrame) -> np.ndarray:
-    """How many different words each word cell follows, per class: an array (2, cells) from (text, toxic)."""
-    spark = labelled.sparkSession
-    parts = max(2 * partitions(spark), planned_bytes(labelled) // (32 << 20))
+def continuation_counts(rows: DataFrame, labels_sent) -> np.ndarray:
+    """How many different words each word cell follows, per class: an array (2, cells).
+
+    ``rows``: (key, text); ``labels_sent``: broadcast LabelMap; only rows with a label of
+    the learned folds are read.
+    """
+    spark = rows.sparkSession
+    parts = max(2 * partitions(spark), planned_bytes(rows) // (32 << 20))
     low = U64((1 << WORD_BITS) - 1)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +83,10 @@ def continuation_counts(labelled: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "toxic", "pairs"])
 
         for batch in batches:
-            toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)).astype(int)
-            for lo, _, data, offsets in chunks(text_column(batch.column(0))):
+            toxic, fold = labels_sent.value.find(np.asarray(batch.column(0)))
+            learned = (toxic >= 0) & (fold > 1)
+            batch, toxic = batch.filter(pa.array(learned)), toxic[learned]
+            for lo, _, data, offsets in chunks(text_column(batch.column(1))):
                 hashed, cell, doc = _cells(data, offsets)
                 if not len(doc):
                     continue
@@ -113,7 +121,7 @@ def continuation_counts(labelled: DataFrame) -> np.ndarray:
         sums = np.bincount(cell - (block << 13), n, 1 << 13).astype(np.int64)
         return pd.DataFrame({"toxic": [int(group["toxic"].iloc[0])], "block": [block], "sums": [sums.tobytes()]})
 
-    counted = labelled.select("text", "toxic").mapInArrow(pairs, "part int, toxic int, pairs binary")
+    counted = rows.select("key", "text").mapInArrow(pairs, "part int, toxic int, pairs binary")
     counted = counted.groupBy("part").applyInPandas(count, "toxic int, block int, cells binary, counts binary")
     out = np.zeros((2, 1 << WORD_BITS), np.int64)
     for r in counted.groupBy("toxic", "block").applyInPandas(total, "toxic int, block int, sums binary").toLocalIterator():
@@ -163,30 +171,55 @@ def _remainder(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+class LabelMap:
+    """Label and fold of labelled rows by the hash of their doc_id, as sorted arrays."""
+
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, fold: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.toxic, self.fold = keys[order], toxic[order].astype(np.int8), fold[order].astype(np.int8)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(label or -1, fold or 0) of each key."""
+        if not len(self.keys):
+            return np.full(len(keys), -1), np.zeros(len(keys), int)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return np.where(known, self.toxic[at], -1).astype(int), np.where(known, self.fold[at], 0).astype(int)
+
+
+def label_map(labels: DataFrame, most: int = MAX_LABELLED) -> LabelMap:
+    """The labelled rows that may be learned from; beyond ``most`` an even sample by hash of doc_id, of about that size."""
+    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = marked.select("doc_id", F.xxhash64("doc_id").alias("key"), "toxic", _remainder(F.col("doc_id")).cast("int").alias("fold")).where("fold <> 0")
+    n = marked.count()
+    if n > most:
+        marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    rows = marked.select("key", "toxic", "fold").toArrow()
+    return LabelMap(*[np.asarray(rows[c].combine_chunks() if hasattr(rows[c], "combine_chunks") else rows[c]) for c in ("key", "toxic", "fold")])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Counts the training rows of ``docs`` (doc_id, text) and sets the threshold on those with remainder 1."""
     spark = docs.sparkSession
-    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = stored(marked.withColumn("fold", _remainder(F.col("doc_id"))).where("fold <> 0"), "marked")
-    rows = docs.select("doc_id", "text")
-    learned = marked.where("fold <> 1").select(F.xxhash64("doc_id").alias("key"), F.col("doc_id").alias("marked_id"), "toxic")
-    texts = likely(rows.select(F.xxhash64("doc_id").alias("text_key"), "doc_id", "text"), sent_filter(learned.select("key")))
-    counts = continuation_counts(texts.join(learned, texts.doc_id == learned.marked_id).select("text", "toxic"))
+    rows = docs.select(F.xxhash64("doc_id").alias("key"), "text")
+    marked = spark.sparkContext.broadcast(label_map(labels))
+    counts = continuation_counts(rows, marked)
     if (counts.sum(1) == 0).any():
         return ToxicityModel(None)
     models = [ToxicityModel(*log_ratios(counts, *d)) for d in DISCOUNTS]
     sent = spark.sparkContext.broadcast(models)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"r{i}" for i in range(len(models))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            toxic, fold = marked.value.find(np.asarray(batch.column(0)))
+            checks = (toxic >= 0) & (fold == 1)
+            batch, toxic = batch.filter(pa.array(checks)), toxic[checks]
             for lo, hi, data, offsets in chunks(text_column(batch.column(1))):
                 found = [pa.array(m.ratio(data, offsets)) for m in sent.value]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *found], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[lo:hi].astype(np.int32)), *found], ["toxic", *names])
 
-    checked = rows.where(_remainder(F.col("doc_id")) == 1).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} double" for n in names))
-    checked = stored(checked.join(marked.where("fold = 1"), "doc_id").select("toxic", *names), "checked")
+    checked = stored(rows.mapInArrow(run, "toxic int, " + ", ".join(f"{n} double" for n in names)), "checked")
     found = [_threshold(checked.select("toxic", F.col(n).alias("ratio")), m) for n, m in zip(names, models)]
     return min(found, key=lambda x: x[0])[1]
 
