@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slotloom.llm import html_extract, mixing, toxicity, url_filter
 from slotloom.llm.labelled_pages import labelled_pages
@@ -33,17 +34,23 @@ def test_rates_match_a_plain_solver(spark):
     t = rng.integers(1, 100, 40).astype(float)
     targets = np.array([t.sum() * 2, t.sum() * 0.01, t.sum() * 0.3])
     scale = np.array([(t * p[:, d] * p.sum(1)).sum() for d in range(3)])
-    history, r = [], np.ones(40)
-    for _ in range(300):
-        g = ((r * t) @ p - targets) / scale
-        history.append(g.tolist())
-        r = np.maximum(0, r - p @ g)
+    history, r, y = [], np.ones(40), np.ones(40)
+    for k in range(20_000):
+        g = ((y * t) @ p - targets) / scale
+        if k < 60:
+            history.append([*g.tolist(), mixing.momentum(k)])
+        new = np.maximum(0, y - p @ g)
+        r, y = new, new + mixing.momentum(k) * (new - r)
+        first = r if k == 59 else first if k > 59 else None
     rows = spark.createDataFrame([(row.tolist(),) for row in p], "posteriors array<double>")
     got = np.array([x[0] for x in rows.select(mixing.rate(rows.posteriors, history)).collect()])
-    assert np.allclose(np.sort(got), np.sort(r))
+    assert np.allclose(np.sort(got), np.sort(first))
     # Karush-Kuhn-Tucker: the gradient vanishes where the rate is positive and isn't negative elsewhere.
     gradient = p @ (((r * t) @ p - targets) / scale)
     assert (np.abs(gradient[r > 1e-6]) < 1e-2).all() and (gradient[r <= 1e-6] > -1e-2).all()
+    # 60 steps come close to the optimum.
+    value = lambda x: ((((x * t) @ p - targets) ** 2) / scale).sum()
+    assert value(first) < 0.001 * value(np.ones(40)) + 1.1 * value(r)
 
 
 def test_mixing_edges(spark, odd, crowded, odd_rows, no_documents):
@@ -99,14 +106,14 @@ def test_url_query(spark, sf_dir):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_trees_learn_held_out_urls(spark, sf_dir):
+def test_trees_learn_held_out_urls(spark):
     """Urls with a rule whose page_id is odd are learned, the even ones are judged by the trees alone."""
-    rows = url_filter.judged_by_rules(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.RULES).where("rule is not null")
+    rows = url_filter.judged_by_rules(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), url_filter.RULES).where("rule is not null")
     learned = rows.where("page_id % 2 = 1")
     suffixes = url_filter.suffix_statistics(learned)
     margin = url_filter.trained_trees(learned, suffixes)
     judged = url_filter.lexical_features(rows.where("page_id % 2 = 0"), suffixes).select((margin > 0).alias("block"), (rows.rule_verdict == "block").alias("true")).collect()
-    assert np.mean([r.block == r.true for r in judged]) >= 0.8
+    assert np.mean([r.block == r.true for r in judged]) >= 0.95
 
 
 def test_url_edges(spark):
@@ -147,8 +154,9 @@ def test_toxicity_held_out(spark):
 
 def test_continuation_counts_match_brute_force(spark):
     docs, labels, _ = toxic_tables(spark, 60)
-    marked = docs.join(labels, "doc_id").select("text", "toxic")
-    counts = toxicity.continuation_counts(marked)
+    known = toxicity.label_map(labels)
+    marked = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 > 1)
+    counts = toxicity.continuation_counts(docs.select(F.xxhash64("doc_id").alias("key"), "text"), spark.sparkContext.broadcast(known))
     pairs = {(r.toxic, a, b) for r in marked.collect() for a, b in zip(["<s>", *r.text.split()], r.text.split())}
     assert counts.sum() == len(pairs) and counts[1].sum() == sum(p[0] == 1 for p in pairs)
 

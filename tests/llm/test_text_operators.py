@@ -250,6 +250,8 @@ def test_spans():
     assert not any(v in ("300.1.1.1", "4111111111111112") or v.startswith("GB83") for _, v in got)
     assert pii.find(None) == pii.find("") == pii.find("no data") == []
     assert pii.find("😀 x@y.zz") == [("email", 2, 8, 0.9)]
+    assert [k for k, *_ in pii.find("call +1 (743) 555-3824 now")] == ["phone"]
+    assert [k for k, *_ in pii.find("call (743) 555-3824 now")] == ["localphone"]
     far = "account 123-45-6789 " + "x" * 60
     assert pii.find(far) == []
 
