@@ -53,18 +53,21 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
 
 
-def feature_array(text: Column) -> Column:
-    """Relative frequencies of the feature characters."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    size = F.greatest(F.length(low), F.lit(1)).cast("double")
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))) / size for c in FEATURE_CHARS])
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
 
 
+def feature_array(text: Column) -> Column:
+    """Relative frequencies of the feature characters; the text is lower-cased once."""
+
+    def shares(x):
+        return F.array(*[(x["n"] - F.length(F.replace(x["low"], F.lit(c)))) / F.greatest(x["n"], F.lit(1)).cast("double") for c in FEATURE_CHARS])
+
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return _let(low, lambda t: _let(F.struct(t.alias("low"), F.length(t).alias("n")), shares))
+
+
 def posterior_array(features: Column, tokens: Column, stats) -> Column:
     """Posteriors by Bayes' rule; rows without tokens have the prior."""
 
