@@ -17,10 +17,12 @@ length-normalised log-likelihoods under both classes.  Word pairs themselves get
 the whole discount: measured on held-out rows, class counts of pairs only added
 noise (area under the curve at most 0.9994 with them, 0.9999 without).
 
-Words are 64-bit hashes folded into ``2 ** WORD_BITS`` cells, so what is sent to
-the executors has a fixed size.  At most ``MAX_LABELLED`` labelled rows are learned
-from (an even sample by hash if there are more), so their labels are broadcast and no
-text is shuffled.  Rows with crc32(doc_id) mod 5 = 0 are never learned from; those
+Every labelled row is learned from.  Labels are broadcast in blocks of about
+``BLOCK_LABELS`` rows, and the documents are read once per block, so no text is
+shuffled; pairs of all blocks are counted together.  Counts are held per word (a
+hash of ``WORD_BITS`` bits) however many there are; only words that are peculiar to a
+class reach the driver and the scoring, as all others have the ratio of a word
+without evidence.  Rows with crc32(doc_id) mod 5 = 0 are never learned from; those
 with remainder 1 set the threshold, the others are counted.
 
 Defined results: null and word-less texts get the score of a text without any
@@ -43,111 +45,144 @@ from pyspark.sql import functions as F
 from slotloom.llm.shared import partitions, planned_bytes, stored
 from slotloom.llm.words import ALNUM, U64, chunks, mix, scan, text_column, word_hashes
 
-WORD_BITS = 19
+WORD_BITS = 32
 DISCOUNT = 0.75
 #: (slack, spread)
 DISCOUNTS = ((3.0, 4.0), (2.0, 3.0), (1.5, 2.0), (2.0, 1.0))
 BINS = 10_000
-#: Labelled rows that are learned from at most (with those that set the threshold); their labels are broadcast.
-MAX_LABELLED = 1_000_000
+#: Labels of a broadcast, about 10 bytes each.
+BLOCK_LABELS = 4_000_000
+COUNT_BLOCKS = 64
 BLOCK_PAIRS = 2_000_000
 _START = U64(0x5851F42D4C957F2D)
 
 
-def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, cell, document) of each word."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, key of WORD_BITS bits, document) of each word."""
     starts, ends, doc = scan(data, offsets, ALNUM)
     hashed = word_hashes(data, starts, ends, True)
-    return hashed, (hashed >> U64(64 - WORD_BITS)).astype(np.int64), doc
+    return hashed, (hashed >> U64(64 - WORD_BITS)).astype(np.uint32), doc
 
 
-def continuation_counts(rows: DataFrame, labels_sent) -> np.ndarray:
-    """How many different words each word cell follows, per class: an array (2, cells).
+def word_counts(rows: DataFrame, labels_sent: list) -> DataFrame:
+    """How many different words each word follows, per class: (words, ordinary, toxic as arrays' bytes, n_ordinary, n_toxic).
 
-    ``rows``: (key, text); ``labels_sent``: broadcast LabelMap; only rows with a label of
+    ``rows``: (key, text); ``labels_sent``: broadcast LabelMaps; only rows with a label of
     the learned folds are read.
     """
     spark = rows.sparkSession
     parts = max(2 * partitions(spark), planned_bytes(rows) // (32 << 20))
     low = U64((1 << WORD_BITS) - 1)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {0: [], 1: []}
-
-        def flush(toxic: int):
-            distinct = np.unique(np.concatenate(held[toxic]))
-            held[toxic].clear()
-            of = (((distinct >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
-            edges = np.searchsorted(of, np.arange(parts + 1))
-            rows = [(p, toxic, distinct[edges[p] : edges[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(edges)).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "toxic", "pairs"])
-
-        for batch in batches:
-            toxic, fold = labels_sent.value.find(np.asarray(batch.column(0)))
-            learned = (toxic >= 0) & (fold > 1)
-            batch, toxic = batch.filter(pa.array(learned)), toxic[learned]
-            for lo, _, data, offsets in chunks(text_column(batch.column(1))):
-                hashed, cell, doc = _cells(data, offsets)
-                if not len(doc):
-                    continue
-                before = np.empty_like(hashed)
-                before[0], before[1:] = _START, hashed[:-1]
-                before[np.flatnonzero(np.diff(doc, prepend=-1))] = _START
-                # The pair's hash, with the word's cell in its low bits.
-                pair = (mix(hashed * U64(3) + before) & ~low) | cell.astype(U64)
+    def pairs_of(sent):
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {0: [], 1: []}
+
+            def flush(toxic: int):
+                distinct = np.unique(np.concatenate(held[toxic]))
+                held[toxic].clear()
+                of = (((distinct >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+                edges = np.searchsorted(of, np.arange(parts + 1))
+                rows = [(p, toxic, distinct[edges[p] : edges[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(edges)).tolist()]
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "toxic", "pairs"])
+
+            for batch in batches:
+                toxic, fold = sent.value.find(np.asarray(batch.column(0)))
+                learned = (toxic >= 0) & (fold > 1)
+                batch, toxic = batch.filter(pa.array(learned)), toxic[learned]
+                for lo, _, data, offsets in chunks(text_column(batch.column(1))):
+                    hashed, word, doc = _words(data, offsets)
+                    if not len(doc):
+                        continue
+                    before = np.empty_like(hashed)
+                    before[0], before[1:] = _START, hashed[:-1]
+                    before[np.flatnonzero(np.diff(doc, prepend=-1))] = _START
+                    # The pair's hash, with the word's key in its low bits.
+                    pair = (mix(hashed * U64(3) + before) & ~low) | word.astype(U64)
+                    for k in (0, 1):
+                        held[k].append(pair[toxic[lo + doc] == k])
                 for k in (0, 1):
-                    held[k].append(pair[toxic[lo + doc] == k])
+                    if sum(map(len, held[k])) >= BLOCK_PAIRS:
+                        yield flush(k)
             for k in (0, 1):
-                if sum(map(len, held[k])) >= BLOCK_PAIRS:
+                if sum(map(len, held[k])):
                     yield flush(k)
-        for k in (0, 1):
-            if sum(map(len, held[k])):
-                yield flush(k)
+
+        return pairs
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for toxic, g in group.groupby("toxic"):
             distinct = np.unique(np.frombuffer(b"".join(g["pairs"]), U64))
-            cell, n = np.unique((distinct & low).astype(np.int32), return_counts=True)
-            for b in np.unique(cell >> 13).tolist():
-                at = slice(*np.searchsorted(cell, (b << 13, (b + 1) << 13)))
-                rows.append((int(toxic), b, cell[at].tobytes(), n[at].astype(np.int32).tobytes()))
-        return pd.DataFrame(rows, columns=["toxic", "block", "cells", "counts"])
+            word, n = np.unique((distinct & low).astype(np.uint32), return_counts=True)
+            of = (word.astype(np.int64) * COUNT_BLOCKS) >> WORD_BITS
+            edges = np.searchsorted(of, np.arange(COUNT_BLOCKS + 1))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                at = slice(edges[b], edges[b + 1])
+                rows.append((int(toxic), b, word[at].tobytes(), n[at].astype(np.int32).tobytes()))
+        return pd.DataFrame(rows, columns=["toxic", "block", "words", "counts"])
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
-        cell = np.frombuffer(b"".join(group["cells"]), np.int32).astype(np.int64)
-        n = np.frombuffer(b"".join(group["counts"]), np.int32)
-        block = int(group["block"].iloc[0])
-        sums = np.bincount(cell - (block << 13), n, 1 << 13).astype(np.int64)
-        return pd.DataFrame({"toxic": [int(group["toxic"].iloc[0])], "block": [block], "sums": [sums.tobytes()]})
-
-    counted = rows.select("key", "text").mapInArrow(pairs, "part int, toxic int, pairs binary")
-    counted = counted.groupBy("part").applyInPandas(count, "toxic int, block int, cells binary, counts binary")
-    out = np.zeros((2, 1 << WORD_BITS), np.int64)
-    for r in counted.groupBy("toxic", "block").applyInPandas(total, "toxic int, block int, sums binary").toLocalIterator():
-        out[r.toxic, r.block << 13 : (r.block + 1) << 13] = np.frombuffer(r.sums, np.int64)
-    return out
-
-
-def log_ratios(counts: np.ndarray, slack: float, spread: float) -> tuple[np.ndarray, float]:
-    """log P(w | toxic) - log P(w | ordinary) of each cell, and of a word without evidence."""
-    shared = counts.sum(0).astype(float)
-    total = shared.sum()
-    seen = (shared > 0).sum()
-    p_shared = (np.maximum(shared - DISCOUNT, 0) + DISCOUNT * seen / shared.size) / total
-    logs, spares = [], []
-    for own in counts.astype(float):
-        n = own.sum()
-        expected = shared * (n / total)
-        kept = np.maximum(own - DISCOUNT - slack * expected - spread * np.sqrt(expected), 0)
-        spare = 1 - kept.sum() / n
-        spares.append(spare)
-        logs.append(np.log(kept / n + spare * p_shared))
-    return (logs[1] - logs[0]).astype(np.float32), float(np.log(spares[1] / spares[0]))
+        of, n = np.frombuffer(b"".join(group["words"]), np.uint32), np.frombuffer(b"".join(group["counts"]), np.int32)
+        toxic = np.repeat(group["toxic"].to_numpy(), [len(w) // 4 for w in group["words"]])
+        words, at = np.unique(of, return_inverse=True)
+        sums = [np.bincount(at[toxic == k], n[toxic == k], len(words)).astype(np.int64) for k in (0, 1)]
+        return pd.DataFrame({"words": [words.tobytes()], "ordinary": [sums[0].tobytes()], "toxic": [sums[1].tobytes()], "n_ordinary": [int(sums[0].sum())], "n_toxic": [int(sums[1].sum())]})
+
+    counted = None
+    for sent in labels_sent:
+        found = rows.select("key", "text").mapInArrow(pairs_of(sent), "part int, toxic int, pairs binary")
+        counted = found if counted is None else counted.unionByName(found)
+    counted = counted.groupBy("part").applyInPandas(count, "toxic int, block int, words binary, counts binary")
+    return counted.groupBy("block").applyInPandas(total, "words binary, ordinary binary, toxic binary, n_ordinary long, n_toxic long")
+
+
+def _gathered(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(words in order, their counts (2, words)) of a table of word_counts."""
+    found = counted.select("words", "ordinary", "toxic").collect()
+    words = np.frombuffer(b"".join(r.words for r in found), np.uint32)
+    counts = np.stack([np.frombuffer(b"".join(r[k] for r in found), np.int64) for k in ("ordinary", "toxic")])
+    order = np.argsort(words)
+    return words[order], counts[:, order]
+
+
+def continuation_counts(rows: DataFrame, *labels_sent) -> np.ndarray:
+    """How many different words each word follows, per class: an array (2, words)."""
+    return _gathered(word_counts(rows, list(labels_sent)))[1]
+
+
+def kept_counts(counts: np.ndarray, n: np.ndarray, slack: float, spread: float) -> np.ndarray:
+    """What the discount leaves of the counts; ``n``: all pairs of each class."""
+    expected = counts.sum(0) * (n / n.sum())[:, None]
+    return np.maximum(counts - DISCOUNT - slack * expected - spread * np.sqrt(expected), 0)
+
+
+def peculiar(counted: DataFrame, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words in order, counts) of the words of which some discount leaves something."""
+
+    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in groups:
+            for r in group.itertuples():
+                counts = np.stack([np.frombuffer(r.ordinary, np.int64), np.frombuffer(r.toxic, np.int64)])
+                some = np.any([kept_counts(counts, n, *d).any(0) for d in DISCOUNTS], axis=0)
+                yield pd.DataFrame({"words": [np.frombuffer(r.words, np.uint32)[some].tobytes()], "ordinary": [counts[0, some].tobytes()], "toxic": [counts[1, some].tobytes()]})
+
+    return _gathered(counted.select("words", "ordinary", "toxic").mapInPandas(run, "words binary, ordinary binary, toxic binary"))
+
+
+def log_ratios(words: np.ndarray, counts: np.ndarray, n: np.ndarray, slack: float, spread: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(words, log P(w | toxic) - log P(w | ordinary) of each, that of all other words)."""
+    kept = kept_counts(counts, n, slack, spread)
+    some = kept.any(0)
+    kept, p_shared = kept[:, some], counts[:, some].sum(0) / n.sum()
+    spares = 1 - kept.sum(1) / n
+    logs = np.log(kept / n[:, None] + spares[:, None] * p_shared)
+    return words[some], (logs[1] - logs[0]).astype(np.float32), float(np.log(spares[1] / spares[0]))
 
 
 class ToxicityModel(NamedTuple):
-    ratios: np.ndarray | None
+    words: np.ndarray | None
+    ratios: np.ndarray | None = None
     neutral: float = 0.0
     threshold: float = 0.0
     scale: float = 1.0
@@ -157,9 +192,13 @@ class ToxicityModel(NamedTuple):
         n = len(offsets) - 1
         if self.ratios is None:
             return np.zeros(n)
-        _, cell, doc = _cells(data, offsets)
+        _, word, doc = _words(data, offsets)
         words = np.bincount(doc, minlength=n)
-        return np.where(words > 0, np.bincount(doc, self.ratios[cell], n) / np.maximum(words, 1), self.neutral)
+        ratios = np.full(len(word), self.neutral)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+            ratios = np.where(self.words[at] == word, self.ratios[at], self.neutral)
+        return np.where(words > 0, np.bincount(doc, ratios, n) / np.maximum(words, 1), self.neutral)
 
     def score(self, ratio: np.ndarray) -> np.ndarray:
         if self.ratios is None:
@@ -187,39 +226,58 @@ class LabelMap:
         return np.where(known, self.toxic[at], -1).astype(int), np.where(known, self.fold[at], 0).astype(int)
 
 
-def label_map(labels: DataFrame, most: int = MAX_LABELLED) -> LabelMap:
-    """The labelled rows that may be learned from; beyond ``most`` an even sample by hash of doc_id, of about that size."""
+def _learnable(labels: DataFrame) -> DataFrame:
+    """doc_id, key, toxic and fold of the labelled rows that may be learned from."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = marked.select("doc_id", F.xxhash64("doc_id").alias("key"), "toxic", _remainder(F.col("doc_id")).cast("int").alias("fold")).where("fold <> 0")
-    n = marked.count()
-    if n > most:
-        marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return marked.select("doc_id", F.xxhash64("doc_id").alias("key"), "toxic", _remainder(F.col("doc_id")).cast("int").alias("fold")).where("fold <> 0")
+
+
+def label_map(labels: DataFrame, block: int = 0, blocks: int = 1) -> LabelMap:
+    """The labelled rows that may be learned from; of ``blocks`` parts by hash of doc_id one."""
+    marked = _learnable(labels)
+    if blocks > 1:
+        marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(blocks)) == block)
     rows = marked.select("key", "toxic", "fold").toArrow()
     return LabelMap(*[np.asarray(rows[c].combine_chunks() if hasattr(rows[c], "combine_chunks") else rows[c]) for c in ("key", "toxic", "fold")])
 
 
+def sent_labels(labels: DataFrame) -> list:
+    """All labelled rows that may be learned from, as broadcast LabelMaps of about BLOCK_LABELS rows."""
+    blocks = max(1, -(-_learnable(labels).count() // BLOCK_LABELS))
+    return [labels.sparkSession.sparkContext.broadcast(label_map(labels, b, blocks)) for b in range(blocks)]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Counts the training rows of ``docs`` (doc_id, text) and sets the threshold on those with remainder 1."""
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64("doc_id").alias("key"), "text")
-    marked = spark.sparkContext.broadcast(label_map(labels))
-    counts = continuation_counts(rows, marked)
-    if (counts.sum(1) == 0).any():
+    marked = sent_labels(labels)
+    counted = stored(word_counts(rows, marked), "word-counts")
+    n = np.array(counted.agg(F.coalesce(F.sum("n_ordinary"), F.lit(0)), F.coalesce(F.sum("n_toxic"), F.lit(0))).first(), np.int64)
+    if (n == 0).any():
         return ToxicityModel(None)
-    models = [ToxicityModel(*log_ratios(counts, *d)) for d in DISCOUNTS]
+    words, counts = peculiar(counted, n)
+    models = [ToxicityModel(*log_ratios(words, counts, n, *d)) for d in DISCOUNTS]
     sent = spark.sparkContext.broadcast(models)
     names = [f"r{i}" for i in range(len(models))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, fold = marked.value.find(np.asarray(batch.column(0)))
-            checks = (toxic >= 0) & (fold == 1)
-            batch, toxic = batch.filter(pa.array(checks)), toxic[checks]
-            for lo, hi, data, offsets in chunks(text_column(batch.column(1))):
-                found = [pa.array(m.ratio(data, offsets)) for m in sent.value]
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[lo:hi].astype(np.int32)), *found], ["toxic", *names])
-
-    checked = stored(rows.mapInArrow(run, "toxic int, " + ", ".join(f"{n} double" for n in names)), "checked")
+    def checks_of(known):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                toxic, fold = known.value.find(np.asarray(batch.column(0)))
+                checks = (toxic >= 0) & (fold == 1)
+                batch, toxic = batch.filter(pa.array(checks)), toxic[checks]
+                for lo, hi, data, offsets in chunks(text_column(batch.column(1))):
+                    found = [pa.array(m.ratio(data, offsets)) for m in sent.value]
+                    yield pa.RecordBatch.from_arrays([pa.array(toxic[lo:hi].astype(np.int32)), *found], ["toxic", *names])
+
+        return run
+
+    checked = None
+    for known in marked:
+        found = rows.mapInArrow(checks_of(known), "toxic int, " + ", ".join(f"{r} double" for r in names))
+        checked = found if checked is None else checked.unionByName(found)
+    checked = stored(checked, "checked")
     found = [_threshold(checked.select("toxic", F.col(n).alias("ratio")), m) for n, m in zip(names, models)]
     return min(found, key=lambda x: x[0])[1]
 
@@ -228,7 +286,7 @@ def _threshold(checked: DataFrame, model: ToxicityModel) -> tuple[float, Toxicit
     """(errors, the model with threshold and scale) from (toxic, ratio); a histogram of BINS bins is all the driver sees."""
     spread = checked.agg(F.min("ratio").alias("lo"), F.max("ratio").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("toxic").alias("a"), F.max("toxic").alias("b")).first()
     if not spread.n or spread.a == spread.b:
-        high = float(model.ratios.max())
+        high = float(model.ratios.max(initial=model.neutral))
         return 0.0, model._replace(threshold=model.neutral + 0.05 * (high - model.neutral), scale=max(1e-6, 0.01 * (high - model.neutral)))
     lo, width = spread.lo, max(1e-9, (spread.hi - spread.lo) / BINS)
     bins = checked.groupBy(F.least(F.floor((F.col("ratio") - lo) / width), F.lit(BINS - 1)).cast("int").alias("bin"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()

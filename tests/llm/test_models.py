@@ -161,6 +161,23 @@ def test_continuation_counts_match_brute_force(spark):
     assert counts.sum() == len(pairs) and counts[1].sum() == sum(p[0] == 1 for p in pairs)
 
 
+def test_every_label_is_counted_per_word(spark, monkeypatch):
+    docs, labels, _ = toxic_tables(spark, 60)
+    rows = docs.select(F.xxhash64("doc_id").alias("key"), "text")
+    whole = toxicity.toxicity_scores(docs, labels).orderBy("doc_id").collect()
+    monkeypatch.setattr(toxicity, "BLOCK_LABELS", 10)
+    sent = toxicity.sent_labels(labels)
+    assert len(sent) > 2
+    marked = docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 > 1).collect()
+    pairs = {(r.toxic, a, b) for r in marked for a, b in zip(["<s>", *r.text.split()], r.text.split())}
+    assert toxicity.continuation_counts(rows, *sent).sum() == len(pairs)
+    assert toxicity.toxicity_scores(docs, labels).orderBy("doc_id").collect() == whole
+    # More words than cells of any fixed size would keep apart.
+    many = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200)), int(i % 7 == 0)) for i in range(60)], "doc_id long, text string, toxic int")
+    counts = toxicity.continuation_counts(many.select(F.xxhash64("doc_id").alias("key"), "text"), *toxicity.sent_labels(many))
+    assert counts.shape[1] == counts.sum() == 200 * many.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 > 1).count()
+
+
 def test_toxicity_edges(spark, odd, crowded, odd_rows, no_documents):
     labels = spark.createDataFrame([(10, 1, 1), (11, 0, 1), (12, None, 1), (None, 1, 1), (10, 0, 0)], "doc_id long, toxic int, quality int")
     rows = toxicity.toxicity_scores(crowded, labels).collect()
