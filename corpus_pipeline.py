@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents.
 
 1. toxicity: documents that the class-conditional models call toxic go.
-2. near_duplicates: one document of each group of near copies stays.
+2. near_duplicates: one document of each group of near copies (five-word shingles,
+   similarity 0.8) stays.
 3. decontamination: documents contaminated with benchmark passages go.
 4. mixing: rows are repeated so that expected domain tokens reach their target shares;
    the token budget is the least at which no domain shrinks, and every document stays
@@ -24,7 +25,7 @@ def toxicity(spark, docs, sf_dir: str):
 
 
 def near_duplicates(spark, docs, sf_dir: str):
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, size=5, similarity=(80, 100))
 
 
 def decontamination(spark, docs, sf_dir: str):

@@ -4,9 +4,9 @@
    ``COORDINATES`` minima.  Documents with equal sets form a class; all later
    steps see one row per class.
 2. Classes are posted under each (coordinate, value) pair.  Values are ordered by
-   how many classes hold them.  Two classes that agree on ``MATCHES`` of
-   ``COORDINATES`` coordinates share one of the ``COORDINATES - MATCHES + 1``
-   rarest values of each (the prefix), so classes with fewer than ``MATCHES``
+   how many classes hold them.  Two classes that agree on ``matches`` of
+   ``COORDINATES`` coordinates share one of the ``COORDINATES - matches + 1``
+   rarest values of each (the prefix), so classes with fewer than ``matches``
    shared values drop out (skip) and only prefixes are joined.
 3. Classes that share a prefix value, directly or over others, form a group.
    Inside a group agreeing coordinates are counted for pairs, pairs below the
@@ -17,8 +17,9 @@
    A task gives a spanning forest, never all pairs.
 4. The components of these links are the result.
 
-A pair with Jaccard similarity 0.85 agrees on fewer than 42 of 64 coordinates
-with a probability of about 2e-5; more similar pairs with much less.  Hot values
+``matches`` follows from the similarity: a pair that is just similar enough agrees on
+fewer coordinates with a probability of at most ``MISSED`` (42 of 64 for 0.85, 37 for
+0.80); more similar pairs with much less.  Hot values
 (held by more than 1/``HOT_SHARE`` of the classes, at most
 ``COORDINATES * HOT_SHARE`` of them) are the only ones that are broadcast; their
 postings are never brought together in a task.
@@ -33,6 +34,7 @@ extra columns are ignored or passed through.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +51,7 @@ from slotloom.llm.words import NON_SPACE, U64, _splitmix, chunks, mix, scan, tex
 SHINGLE_WORDS = 3
 SIMILARITY = (85, 100)
 COORDINATES = 64
-MATCHES = 42
+MISSED = 3e-5
 HOT_SHARE, HOT_LEAST = 4000, 500
 BLOCK_CLASSES, BLOCK_SHINGLES, PIVOTS = 700, 1_500_000, 6
 
@@ -57,6 +59,16 @@ _FACTORS = np.array([_splitmix(7000 + j) | 1 for j in range(COORDINATES)], U64)
 _TERMS = np.array([_splitmix(9000 + j) for j in range(COORDINATES)], U64)
 
 
+def matches(similarity: tuple[int, int]) -> int:
+    """The most coordinates that may be asked for, so that a pair at ``similarity`` is missed with ``MISSED`` at most."""
+    p, missed = similarity[0] / similarity[1], 0.0
+    for k in range(COORDINATES):
+        missed += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if missed > MISSED:
+            return max(k, 1)
+    return COORDINATES
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each document, one after the other; edges of the documents)."""
     starts, ends, doc = scan(data, offsets, NON_SPACE)
@@ -155,8 +167,8 @@ def _hot_values(classes: DataFrame, parts: int) -> dict[int, int]:
     return {r.hash: r.n for r in counted.groupBy("part").applyInPandas(total, "hash long, n long").collect()}
 
 
-def prefix_postings(classes: DataFrame) -> DataFrame:
-    """(hash, node): the rarest values, as many as the prefix needs, of classes with enough shared values."""
+def prefix_postings(classes: DataFrame, least: int) -> DataFrame:
+    """(hash, node): the rarest values, as many as the prefix for ``least`` matches needs, of classes with enough shared values."""
     spark = classes.sparkSession
     parts = max(2 * partitions(spark), planned_bytes(classes) // (4 << 20))
     hot = spark.sparkContext.broadcast(_hot_values(classes, parts))
@@ -205,7 +217,7 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
         shared = np.diff(np.append(first, len(nodes)))
         rank = np.arange(len(nodes)) - np.repeat(first, shared)
         # The values that nobody shares are the rarest and use up the prefix first.
-        keep = rank < np.repeat(shared - MATCHES + 1, shared)
+        keep = rank < np.repeat(shared - least + 1, shared)
         return pd.DataFrame({"hash": hashes[keep].view(np.int64), "node": nodes[keep]})
 
     packed = "part int, hashes binary, nodes binary, counts binary"
@@ -265,7 +277,7 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
 
 def confirm(sets: list[np.ndarray], sig: np.ndarray, forest: _Forest, left: np.ndarray, right: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> None:
     """Links similar pairs of left x right in the forest, unless they are connected already."""
-    top, of = similarity
+    (top, of), least = similarity, matches(similarity)
     n = np.array([len(s) for s in sets])
     short = sig.astype(np.uint32)
     found = []
@@ -275,7 +287,7 @@ def confirm(sets: list[np.ndarray], sig: np.ndarray, forest: _Forest, left: np.n
         a, b = short[rows], short[right]
         for j in range(sig.shape[1]):
             same += a[:, j, None] == b[None, :, j]
-        ok = (same >= MATCHES) & (rows[:, None] != right[None, :]) & (of * np.minimum(n[rows][:, None], n[right][None, :]) >= top * np.maximum(n[rows][:, None], n[right][None, :]))
+        ok = (same >= least) & (rows[:, None] != right[None, :]) & (of * np.minimum(n[rows][:, None], n[right][None, :]) >= top * np.maximum(n[rows][:, None], n[right][None, :]))
         i, j = np.nonzero(ok)
         found.append(np.stack([rows[i], right[j], same[i, j]], 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
@@ -334,7 +346,7 @@ def _group_links(size: int, similarity: tuple[int, int]):
 def links(docs: DataFrame, classes: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): confirmed links between classes (node, rep_key, n, sig) that span all their components."""
     spark = classes.sparkSession
-    posts = stored(prefix_postings(classes), "posts")
+    posts = stored(prefix_postings(classes, matches(similarity)), "posts")
     least = posts.groupBy("hash").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("h"), "b")
     star = posts.join(stored(least, "least"), F.col("hash") == F.col("h")).select(F.col("node").alias("a"), "b")
     groups = components(star, "groups")

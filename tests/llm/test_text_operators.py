@@ -149,6 +149,22 @@ def test_near_edges(crowded, odd_rows, no_documents):
     assert ids.count(20) == 1 and not set(ids) & {21, 22, 23, 24, 25, 30, 32} and 4 in ids and 6 not in ids
 
 
+def test_pipeline_stage_takes_five_words(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    changed = [f"c{i}" if i in (20, 60, 100, 140, 180) else f"v{i}" for i in range(200)]
+    texts = [base, [*base, *(f"more{i}" for i in range(45))], [f"v{i}" for i in range(200)], changed]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    # 0.813 on five words (0.815 on three), and 0.774 on five words (0.859 on three).
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
+
+
+@pytest.mark.parametrize(("similarity", "want"), [((85, 100), 42), ((80, 100), 37)])
+def test_matches_follow_similarity(similarity, want):
+    assert near_dedup.matches(similarity) == want
+
+
 def test_intersections_by_products():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, 80)).astype(np.uint64) for _ in range(9)]
