@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotloom.llm.shared import stored
 from slotloom.llm.words import ALNUM, LOWER, buffers, chunks, covered, scan, text_column, windows, word_hashes
 
 N_WORDS = 13
@@ -108,6 +109,7 @@ def _digest(items: set) -> tuple[int, str]:
     return len(items), hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
+BLOCK_HITS = "key long, n_words long, at array<long>, names array<string>, nameless long"
 REPORT = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
 
 
@@ -137,7 +139,7 @@ def _report(docs: DataFrame, known, passed: list[str], min_share: int):
 
 
 def _block_hits(known):
-    """Scan with one of several blocks: per row the hit words as runs, and the items."""
+    """Scan with one of several blocks: per row with hits its words, the hit ones, and the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows_set = known.value
@@ -148,9 +150,9 @@ def _block_hits(known):
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for i in found:
                     at = np.flatnonzero(hit[first[i] : first[i + 1]])
-                    out.append((batch.column(0)[lo + i].as_py(), at.tolist(), [str(x) for x in found[i] if x is not None], sum(x is None for x in found[i])))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "at", "names", "nameless"])
+                    out.append((batch.column(0)[lo + i].as_py(), int(first[i + 1] - first[i]), at.tolist(), [str(x) for x in found[i] if x is not None], sum(x is None for x in found[i])))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "n_words", "at", "names", "nameless"])
 
     return run
 
@@ -168,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_s
     if len(sent) == 1:
         return rows.mapInArrow(_report(rows, sent[0], ["doc_id"], min_share), f"doc_id {kind}, {REPORT}")
     keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    parts = [keyed.mapInArrow(_block_hits(b), "key long, at array<long>, names array<string>, nameless long") for b in sent]
+    parts = [keyed.mapInArrow(_block_hits(b), BLOCK_HITS) for b in sent]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -186,17 +188,77 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_s
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_share: int = 20, spans: bool = False) -> DataFrame:
+def _merged_hits(texts: DataFrame, sent: list) -> DataFrame:
+    """(key, n_words, at) of texts (key, text) with hit words: the hits of all blocks together, one row per key."""
+    union = None
+    for i, known in enumerate(sent):
+        found = texts.mapInArrow(_block_hits(known), BLOCK_HITS).select("key", F.lit(i).alias("block"), "n_words", "at")
+        union = found if union is None else union.unionByName(found)
+    # Equal texts have equal hits, so copies combine before the shuffle.
+    union = union.groupBy("key", "block").agg(F.first("n_words").alias("n_words"), F.first("at").alias("at"))
+    return union.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_share: int = 20, spans: bool = False, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` without contaminated documents, or with ``spans`` all documents without their hit words.
 
     Rows keep all their columns.  With ``spans`` a cleaned text is its remaining
     text, each removed span with the bytes up to the next word; null stays null.
+    Beyond one block of windows the hits of all blocks are merged per text first.
     """
     spark = docs.sparkSession
-    blocks = window_blocks(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), n)
-    for known in [spark.sparkContext.broadcast(b) for b in blocks]:
-        docs = docs.mapInArrow(_cleaned(known, docs.columns.index("text"), min_share, spans), docs.schema)
-    return docs
+    blocks = window_blocks(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), n, max_windows)
+    sent = [spark.sparkContext.broadcast(b) for b in blocks]
+    text_at = docs.columns.index("text")
+    if len(sent) == 1:
+        return docs.mapInArrow(_cleaned(sent[0], text_at, min_share, spans), docs.schema)
+    key = F.xxhash64("text")
+    merged = stored(_merged_hits(docs.select(key.alias("key"), "text"), sent), "hits").withColumnRenamed("key", "__hit_key")
+    keyed = docs.withColumn("__key", key)
+    if not spans:
+        bad = merged.where(F.size("at") * min_share >= F.col("n_words")).select("__hit_key")
+        return keyed.join(bad, F.col("__key") == F.col("__hit_key"), "left_anti").drop("__key")
+    found = keyed.join(merged.select("__hit_key", F.col("at").alias("__at")), F.col("__key") == F.col("__hit_key"), "left")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], "__at").mapInArrow(_cut(text_at), docs.schema)
+
+
+def _without(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, doc: np.ndarray, hit: np.ndarray) -> list[str]:
+    """The texts of a chunk without their hit words."""
+    steps = np.zeros(len(data) + 1, np.int32)
+    limit = np.append(starts[1:], len(data))
+    limit = np.minimum(limit, offsets[doc + 1])
+    np.add.at(steps, starts[hit], 1)
+    np.add.at(steps, limit[hit], -1)
+    stay = np.cumsum(steps[:-1]) == 0
+    kept = np.concatenate([[0], np.cumsum(stay)])
+    raw = data[stay].tobytes()
+    return [raw[kept[a] : kept[b]].decode() for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _with_texts(batch: pa.RecordBatch, text_at: int, new: list[str]) -> pa.RecordBatch:
+    """The batch with new texts; null stays null."""
+    column = batch.column(text_at)
+    text = pa.array([None if old is None else t for old, t in zip(column.to_pylist(), new)], column.type)
+    return pa.RecordBatch.from_arrays([text if i == text_at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+
+def _cut(text_at: int):
+    """Cuts the words whose places are in the last column, and drops that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, new = batch.column(batch.num_columns - 1).to_pylist(), []
+            for lo, hi, data, offsets in chunks(text_column(batch.column(text_at))):
+                starts, _, doc = scan(data, offsets, ALNUM)
+                first = np.searchsorted(doc, np.arange(hi - lo + 1))
+                hit = np.zeros(len(starts), bool)
+                for i in range(hi - lo):
+                    hit[first[i] + np.array(places[lo + i] or [], np.int64)] = True
+                new += _without(data, offsets, starts, doc, hit)
+            batch = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            yield _with_texts(batch, text_at, new)
+
+    return run
 
 
 def _cleaned(known, text_at: int, min_share: int, spans: bool):
@@ -208,24 +270,12 @@ def _cleaned(known, text_at: int, min_share: int, spans: bool):
             for lo, hi, data, offsets in chunks(text_column(column)):
                 starts, _, doc, hit, found = hits(data, offsets, windows_set)
                 if spans:
-                    if hit.any():
-                        steps = np.zeros(len(data) + 1, np.int32)
-                        limit = np.append(starts[1:], len(data))
-                        limit = np.minimum(limit, offsets[doc + 1])
-                        np.add.at(steps, starts[hit], 1)
-                        np.add.at(steps, limit[hit], -1)
-                        stay = np.cumsum(steps[:-1]) == 0
-                        kept = np.concatenate([[0], np.cumsum(stay)])
-                        raw = data[stay].tobytes()
-                        new += [raw[kept[a] : kept[b]].decode() for a, b in zip(offsets[:-1], offsets[1:])]
-                    else:
-                        new += column.slice(lo, hi - lo).to_pylist()
+                    new += _without(data, offsets, starts, doc, hit) if hit.any() else column.slice(lo, hi - lo).to_pylist()
                 elif found:
                     n_words, n_hit = np.bincount(doc, minlength=hi - lo), np.bincount(doc[hit], minlength=hi - lo)
                     keep[lo:hi] = ~((n_hit > 0) & (min_share * n_hit >= n_words))
             if spans:
-                text = pa.array([None if old is None else t for old, t in zip(column.to_pylist(), new)], column.type)
-                batch = pa.RecordBatch.from_arrays([text if i == text_at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+                batch = _with_texts(batch, text_at, new)
             yield batch.filter(pa.array(keep))
 
     return run

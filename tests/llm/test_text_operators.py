@@ -255,6 +255,22 @@ def test_decontaminated(spark, crowded, odd_rows, benchmark_rows, no_documents):
     assert not [r for r in decontaminate.contamination(crowded, items.limit(0)).collect() if r.n_hit]
 
 
+def test_decontaminated_by_blocks(spark, crowded, odd_rows, benchmark_rows):
+    items = spark.createDataFrame(benchmark_rows, "item_id long, text string")
+    for spans in (False, True):
+        whole, blocks = (rows(decontaminate.decontaminate(crowded, items, spans=spans, max_windows=m), "doc_id", "text", "score") for m in (4_000_000, 3))
+        assert blocks == whole
+    # 3 + 3 of 100 words by two blocks: neither is a share of 1 / 20 alone.
+    text = " ".join(["a b c", *(f"w{i}" for i in range(94)), "d e f"])
+    doc = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    two = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "item_id long, text string")
+    assert decontaminate.decontaminate(doc, two, max_windows=1).count() == 0
+    # Overlapping items go whole, and what only cutting brings together stays.
+    cut = spark.createDataFrame([(1, "p q r s t"), (2, "x p q r y")], "doc_id long, text string")
+    three = spark.createDataFrame([(1, "p q r"), (2, "r s"), (3, "x y")], "item_id long, text string")
+    assert {r.doc_id: r.text.split() for r in decontaminate.decontaminate(cut, three, spans=True, max_windows=1).collect()} == {1: ["t"], 2: ["x", "y"]}
+
+
 # -- personal data ----------------------------------------------------------------------------------------------------
 
 PLAIN = "Write to a.b@c-d.example.org, or 10.0.255.1 and 300.1.1.1; card 4111 1111 1111 1111 not 4111111111111112, call +1 (743) 555-3824. IBAN GB82 WEST 1234 5698 7654 32 but GB83WEST12345698765432. ssn 123-45-6789; 123-45-6789 alone"
