@@ -50,11 +50,14 @@ def _nearest(queries, k: int, key: str):
                 rows = _matrix(part.column(1))
                 row_ids, labels = np.asarray(part.column(0)), np.asarray(part.column(2))
                 approx = norms[:, None] - 2 * vectors @ rows.T + (rows * rows).sum(1)[None, :]
-                # More than k by the fast formula, then exact distances for those.
-                take = min(len(rows), k + 8)
-                near = np.argpartition(approx, take - 1, axis=1)[:, :take] if take < len(rows) else np.broadcast_to(np.arange(len(rows)), (len(ids), len(rows)))
+                approx[ids[:, None] == row_ids[None, :]] = np.inf
+                # Every row that may be among the k nearest: up to the k-th fast distance and its rounding. Exact distance and id decide.
+                bound = np.full(len(ids), np.inf)
+                if k < len(rows):
+                    margin = 8 * np.finfo(float).eps * (rows.shape[1] + 8) * (np.sqrt(norms) + np.sqrt((rows * rows).sum(1).max())) ** 2
+                    bound = np.partition(approx, k - 1, axis=1)[:, k - 1] + margin
                 for q in range(len(ids)):
-                    c = near[q]
+                    c = np.flatnonzero(approx[q] <= bound[q])
                     d = np.sqrt(((rows[c] - vectors[q]) ** 2).sum(1))
                     d = np.where(row_ids[c] == ids[q], np.inf, d)
                     all_d, all_i, all_l = np.append(best_d[q], d), np.append(best_i[q], row_ids[c]), np.append(best_l[q], labels[c])

@@ -66,6 +66,17 @@ def test_nearest_handles_nulls_and_blocks(spark, sf_dir, monkeypatch):
     assert knn.nearest(queries.limit(0), rows).count() == 0
 
 
+def test_nearest_ties_go_by_id(spark):
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(600, 8))
+    vectors[rng.permutation(600)[:200]] = 0.25
+    vectors[0] = 0.3
+    rows = spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = [r.item_id for r in knn.nearest(rows.where("vec_id = 0"), rows).orderBy("rn").collect()]
+    equal = [i for i in range(1, 600) if (vectors[i] == 0.25).all()]
+    assert got == equal[:10]
+
+
 def test_index_recall(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     queries = rows.where("vec_id % 100 = 0")
