@@ -6,34 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.functions.vectors import distance
+from slotloom.operators.labels import dense_ids
 
-MARGIN, PER_LABEL = 2.0, 64
+MARGIN = 2.0
 
 
-def mined(rows: DataFrame, seed: int = 0, per_label: int = PER_LABEL) -> DataFrame:
+def mined(rows: DataFrame, seed: int = 0) -> DataFrame:
     """(anchor, positive, negative) ids: for each row another row of its label and a row of another label.
 
-    Each label offers at most ``per_label`` rows, those with the smallest seeded hash, so
-    a label of any size is one short list of candidates; an anchor picks by its own hash.
-    A label with one row has no triplet.
+    Rows have dense places in the order of their labels, so a label is a range of places.  An
+    anchor's hash draws a place in its label's range besides its own, and one outside of the
+    range; equality joins fetch the rows at these places.  A label with one row has no
+    triplet, and null labels are left out.
     """
-    pick = F.xxhash64("vec_id", F.lit(seed))
-    # Salted twice: a hot label's rows are ranked in 64 pieces first.
-    piece = Window.partitionBy("label", "__salt").orderBy("__h", "vec_id")
-    whole = Window.partitionBy("label").orderBy("__h", "vec_id")
-    offered = rows.select("vec_id", "label", pick.alias("__h"), F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.lit(64)).alias("__salt"))
-    offered = offered.withColumn("__r", F.row_number().over(piece)).where(F.col("__r") <= per_label)
-    offered = offered.withColumn("__r", F.row_number().over(whole)).where(F.col("__r") <= per_label)
-    lists = offered.groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("own"))
-    # Labels in a ring: the next label's list gives the negatives.  One row per label.
-    ring = lists.orderBy("label").select("label", "own").collect()
-    spark = rows.sparkSession
-    table = [(r.label, r.own, ring[(i + 1) % len(ring)].own if len(ring) > 1 else []) for i, r in enumerate(ring)]
-    offers = spark.createDataFrame(table, f"label {rows.schema['label'].dataType.simpleString()}, own array<long>, other array<long>")
-    joined = rows.select("vec_id", "label").join(offers, "label")
-    others = F.filter("own", lambda x: x != F.col("vec_id"))
-    at = lambda items, k: F.try_element_at(items, (F.pmod(F.xxhash64("vec_id", F.lit(seed + k)), F.greatest(F.size(items), F.lit(1))) + 1).cast("int"))
-    return joined.select(F.col("vec_id").alias("anchor"), at(others, 2).alias("positive"), at(F.col("other"), 3).alias("negative")).where("positive is not null and negative is not null")
+    labelled = rows.where("label is not null").select("vec_id", "label", F.struct("label", "vec_id").alias("__order"))
+    placed = dense_ids(labelled, "__order", "__place").select("vec_id", "label", "__place")
+    ranges = placed.groupBy("label").agg(F.min("__place").alias("__start"), F.count(F.lit(1)).alias("__n"))
+    n = placed.count()
+    draw = lambda k, size: F.pmod(F.xxhash64("vec_id", F.lit(seed + k)), size)
+    own, other = draw(2, F.col("__n") - 1), draw(3, F.lit(n) - F.col("__n"))
+    drawn = placed.join(ranges, "label").where((F.col("__n") > 1) & (F.col("__n") < n)).select(
+        F.col("vec_id").alias("anchor"),
+        (F.col("__start") + own + (F.col("__start") + own >= F.col("__place")).cast("long")).alias("__own"),
+        F.when(other < F.col("__start"), other).otherwise(other + F.col("__n")).alias("__other"),
+    )
+    for name, at in (("positive", "__own"), ("negative", "__other")):
+        drawn = drawn.join(placed.select(F.col("__place").alias(at), F.col("vec_id").alias(name)), at)
+    return drawn.select("anchor", "positive", "negative")
 
 
 def neighbours_as_triplets(rows: DataFrame) -> DataFrame:

@@ -157,6 +157,15 @@ def test_mined_triplets(spark, sf_dir):
     assert all(label[t.anchor] == label[t.positive] != label[t.negative] and t.anchor != t.positive for t in found)
 
 
+def test_mined_triplets_draw_from_all_rows(spark):
+    label = {i: 0 if i < 1200 else 1 + i % 3 for i in range(2400)}
+    found = triplets.mined(spark.createDataFrame(list(label.items()), "vec_id long, label int")).collect()
+    assert len(found) == 2400 and all(label[t.anchor] == label[t.positive] != label[t.negative] and t.anchor != t.positive for t in found)
+    assert len({t.positive for t in found if label[t.anchor] == 0}) > 600
+    assert len({t.negative for t in found if label[t.anchor] == 0}) > 600
+    assert len({(label[t.anchor], label[t.negative]) for t in found}) == 12
+
+
 def test_pca_distances(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     full = reduce.reduced(rows, reduce.fit_pca(rows, 64)).orderBy("vec_id").limit(2).collect()
