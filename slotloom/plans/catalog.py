@@ -608,7 +608,7 @@ def stream_window_count(spark, sf_dir):
 def w2v(spark, sf_dir):
     """Word vectors of the documents' tokens, as (word, vector)."""
     sentences = table(spark, sf_dir, "documents").select(text.tokens(F.col("text")).alias("sentence"))
-    return features.train_word_vectors(sentences, size=16, epochs=1).getVectors()
+    return features.train_word_vectors(sentences).getVectors()
 
 
 @query("pca")

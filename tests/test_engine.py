@@ -166,6 +166,15 @@ def test_mined_triplets_draw_from_all_rows(spark):
     assert len({(label[t.anchor], label[t.negative]) for t in found}) == 12
 
 
+def test_word_vectors_take_the_defaults(spark, sf_dir, monkeypatch):
+    from slotloom.plans import catalog
+
+    asked = []
+    train = features.train_word_vectors
+    monkeypatch.setattr(features, "train_word_vectors", lambda *a, **k: asked.append(k) or train(*a, **k))
+    assert len(catalog.QUERIES["w2v"](spark, sf_dir).first().vector) == features.VECTOR_SIZE and asked == [{}]
+
+
 def test_pca_distances(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     full = reduce.reduced(rows, reduce.fit_pca(rows, 64)).orderBy("vec_id").limit(2).collect()
