@@ -7,13 +7,16 @@ merging sorted remainders and adding counts.  Filters travel in quotient
 ranges; a copy that fills a third of all rows is one remainder per partition.
 Fingerprints with a count above one route their documents to byte
 verification: they are grouped by fingerprint and SHA-256, and the smallest and
-the largest normalised text of a group must be the same bytes, else it raises.
+the largest normalised text of a group must be the same bytes; a group with
+different texts is grouped by the texts themselves.
 
 Defined results: a null text counts as an empty one; equal means identical
 after lower-casing A-Z; of equal rows the largest doc_id stays (null doc_ids
 never win against others; among rows with the same largest doc_id each has
-``kept`` true, as it is the same document); an empty table gives no rows; extra
-columns are ignored, whatever their names.
+``kept`` true, as it is the same document); ``drop_exact_duplicates`` keeps exactly
+one row of each group, null and repeated doc_ids included; equal doc_ids with
+different texts are different documents; an empty table gives no rows; extra
+columns are ignored or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import partitions, stored
-from slotloom.llm.words import LOWER, buffers, text_column
+from slotloom.llm.keyfilter import likely, outside, sent_filter
+from slotloom.llm.shared import partitions, planned_bytes, quoted, stored, unused
+from slotloom.llm.words import LOWER, buffers, text_column, tidy
 
-QUOTIENT_BITS = 16
+QUOTIENT_BITS = 20
+#: Stored fingerprints of which one part is merged.
+PART_BYTES = 32 << 20
 
 
 class CountingQuotientFilter:
@@ -103,14 +109,16 @@ def _normalised(batch: pa.RecordBatch) -> Iterator[memoryview]:
         yield lower[a:b]
 
 
-def _digests(with_text: bool):
+def _digests(with_text: bool, digest_bytes: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = list(_normalised(batch))
             shas = [hashlib.sha256(t).digest() for t in texts]
-            fp = np.frombuffer(b"".join(s[:8] for s in shas), np.int64)
-            columns = [batch.column(0), pa.array(fp), pa.array(shas, pa.binary())]
-            names = ["doc_id", "fp", "sha"]
+            short = [s[:digest_bytes] for s in shas]
+            fp = np.frombuffer(b"".join(s[:8].ljust(8, b"\0") for s in short), np.int64)
+            columns = [batch.column(0), pa.array(fp), pa.array(short, pa.binary()), pa.array(shas, pa.binary())]
+            names = ["doc_id", "fp", "sha", "full"]
             if with_text:
                 columns.append(pa.array([bytes(t) for t in texts], pa.binary()))
                 names.append("norm")
@@ -121,9 +129,9 @@ def _digests(with_text: bool):
 
 def repeated_fingerprints(prints: DataFrame) -> DataFrame:
     """(fp, n) of the fingerprints that occur more than once, from merged filters."""
-    parts = max(2 * partitions(prints.sparkSession), 64)
-    parts = min(parts, 1 << QUOTIENT_BITS)
+    parts = min(max(2 * partitions(prints.sparkSession), 64, planned_bytes(prints) // PART_BYTES), 1 << QUOTIENT_BITS)
 
+    @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -150,30 +158,48 @@ def repeated_fingerprints(prints: DataFrame) -> DataFrame:
     return filters.groupBy("part").applyInPandas(merge, "fp long, n long")
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text)."""
+def exact_duplicates(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text).
+
+    ``digest_bytes``: how much of a digest tells texts apart before their bytes do.
+    """
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = stored(rows.mapInArrow(_digests(False), f"doc_id {kind}, fp long, sha binary"), "prints")
+    schema = f"doc_id {kind}, fp long, sha binary, full binary"
+    prints = stored(rows.mapInArrow(_digests(False, digest_bytes), schema), "prints")
     repeated = stored(repeated_fingerprints(prints), "repeated")
     # Byte verification: only rows with a repeated fingerprint, combined before the shuffle.
-    suspects = rows.mapInArrow(_digests(True), f"doc_id {kind}, fp long, sha binary, norm binary").join(repeated.select("fp"), "fp")
-    groups = stored(
-        suspects.groupBy("fp", "sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), (F.min("norm") == F.max("norm")).alias("verified")),
-        "groups",
-    )
-    if groups.where(~F.col("verified")).take(1):
-        raise ArithmeticError("two different texts share a SHA-256 digest")
-    joined = prints.join(groups.select(F.col("sha").alias("g_sha"), "keep_id", "group_size"), F.col("sha") == F.col("g_sha"), "left")
-    size = F.coalesce("group_size", F.lit(1).cast("long"))
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    suspects = rows.mapInArrow(_digests(True, digest_bytes), f"{schema}, norm binary").join(repeated.select("fp"), "fp")
+    found = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    groups = stored(suspects.groupBy("fp", "sha").agg(*found, (F.min("norm") == F.max("norm")).alias("verified")), "groups")
+    joined = prints.join(groups.select(F.col("sha").alias("g_sha"), "keep_id", "group_size", "verified"), F.col("sha") == F.col("g_sha"), "left")
+    sure = _judged(joined.where(F.coalesce("verified", F.lit(True))), F.col("group_size").isNull())
+    mixed = groups.where(~F.col("verified")).select(F.col("sha").alias("g_sha"))
+    if not mixed.take(1):
+        return sure
+    apart = stored(suspects.join(mixed, F.col("sha") == F.col("g_sha"), "left_semi"), "apart")
+    texts = apart.groupBy(F.col("norm").alias("g_norm")).agg(*found)
+    return sure.unionByName(_judged(apart.join(texts, F.col("norm") == F.col("g_norm")), F.lit(False)))
+
+
+def _judged(rows: DataFrame, alone) -> DataFrame:
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("full")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies: of equal texts the rows with the largest doc_id stay."""
-    gone = exact_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without the copies: one row of each group of equal texts stays, with the largest doc_id and all its columns.
+
+    Rows whose fingerprint occurs once never move; the others are grouped by their normalised bytes.
+    """
+    norm, key, row = unused(docs.columns, "norm", "fp", "row")
+    normalised = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    repeated = stored(repeated_fingerprints(stored(docs.select(F.xxhash64(normalised).alias("fp")), "prints")), "repeated")
+    bits = sent_filter(repeated.select("fp"))
+    keyed = docs.select(F.xxhash64(normalised).alias(key), *quoted(docs.columns))
+    order = F.struct(F.col("doc_id").isNotNull(), "doc_id")
+    one = likely(keyed, bits).groupBy(normalised.alias(norm)).agg(F.max_by(F.struct(*quoted(docs.columns)), order).alias(row))
+    return outside(keyed, bits).drop(key).unionByName(one.select(f"{row}.*"))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,11 +6,16 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[object, str]] = []
 _own: dict[str, str] = {}
+_sent: list[weakref.ref] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +52,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def send(spark: SparkSession, value):
+    """A broadcast that ``recall`` takes back from the executors."""
+    out = spark.sparkContext.broadcast(value)
+    _sent.append(weakref.ref(out))
+    return out
+
+
+def recall() -> None:
+    """Takes all broadcasts of ``send`` back from the executors; what is used again is sent again."""
+    for found in _sent:
+        if (broadcast := found()) is not None:
+            with contextlib.suppress(Exception):  # its session may have ended
+                broadcast.unpersist()
+    _sent.clear()
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores put before it until none of ``columns`` has it (case doesn't count)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(columns: Iterable[str]) -> list:
+    """The columns by name, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def _clean() -> None:
     for spark, path in _made:
         with contextlib.suppress(Exception):
@@ -59,6 +96,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of int columns (Murmur3 with seed 42)."""
+    u = np.uint32
+    turn = lambda v, n: (v << u(n)) | (v >> u(32 - n))
+    h = turn(u(42) ^ (turn(x.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593)), 13) * u(5) + u(0xE6546B64)
+    h ^= u(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> u(shift))) * u(factor)
+    return (h ^ (h >> u(16))).astype(np.int32)
+
+
+def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """Different ints, at least ``parts``, that a shuffle by hash deals evenly to its partitions."""
+    n = partitions(spark)
+    each = -(-parts // n)
+    found, count, start = [[] for _ in range(n)], 0, 0
+    while count < n * each:
+        x = np.arange(start, start + 4 * n * each, dtype=np.int32)
+        order = np.argsort(to := np.mod(_spark_hash(x).astype(np.int64), n), kind="stable")
+        edges = np.searchsorted(to[order], np.arange(n + 1))
+        for p in range(n):
+            if len(found[p]) < each:
+                more = x[order[edges[p] : edges[p + 1]]][: each - len(found[p])].tolist()
+                found[p] += more
+                count += len(more)
+        start += len(x)
+    return np.array([k for row in zip(*found) for k in row], np.int32)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The size of all that the plan scans, by Catalyst's statistics; no job runs."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

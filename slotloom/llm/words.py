@@ -9,13 +9,17 @@ empty ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: Bytes that are hashed at a time: what is held besides the text is a few times this, however long it is.
+SEGMENT_BYTES = 1 << 17
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -53,7 +57,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_splitmix(101)), _Powers(_splitmix(202))
+_BYTE_POWERS, _WORD_POWERS, _OTHER_POWERS = _Powers(_splitmix(101)), _Powers(_splitmix(202)), _Powers(_splitmix(303))
 _BYTES = np.array([_splitmix(1000 + b) for b in range(256)], U64)
 _FOLDED = np.array([_splitmix(1000 + (b + 32 if 65 <= b <= 90 else b)) for b in range(256)], U64)
 #: A-Z to a-z, all other bytes unchanged.
@@ -118,21 +122,27 @@ def scan(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (``fold``: after lower-casing A-Z)."""
-    if len(starts) == 0:
-        return np.zeros(0, U64)
-    up, down = _BYTE_POWERS.get(len(data))
-    sums = np.cumsum((_FOLDED if fold else _BYTES)[data] * up, dtype=U64)
-    before = np.where(starts > 0, sums[np.maximum(starts - 1, 0)], U64(0))
-    return mix((sums[ends - 1] - before) * down[starts] + (ends - starts).astype(U64))
-
-
-def windows(hashes: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rabin-Karp hashes of all windows of ``length`` words of one document: (first word, hash)."""
+    """A 64-bit hash of each word's bytes (``fold``: after lower-casing A-Z), by segments of whole words."""
+    out, table, at = np.empty(len(starts), U64), _FOLDED if fold else _BYTES, 0
+    while at < len(starts):
+        first = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, first + SEGMENT_BYTES, "right")))
+        last = int(ends[to - 1])
+        up, down = _BYTE_POWERS.get(last - first)
+        sums = np.zeros(last - first + 1, U64)
+        np.cumsum(table[data[first:last]] * up, dtype=U64, out=sums[1:])
+        a, b = starts[at:to] - first, ends[at:to] - first
+        out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64))
+        at = to
+    return out
+
+
+def windows(hashes: np.ndarray, doc: np.ndarray, length: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Rabin-Karp hashes of all windows of ``length`` words of one document: (first word, hash); ``other`` gives independent ones."""
     m = len(hashes)
     if m < length:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    up, down = _WORD_POWERS.get(m)
+    up, down = (_OTHER_POWERS if other else _WORD_POWERS).get(m)
     sums = np.zeros(m + 1, U64)
     np.cumsum(hashes * up, dtype=U64, out=sums[1:])
     at = np.flatnonzero(doc[: m - length + 1] == doc[length - 1 :])
@@ -156,5 +166,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def column_or_empty(rows: list, kind: pa.DataType) -> pa.Array:
-    return pa.array(rows, kind)
+def give_back() -> None:
+    """Returns this process's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives its worker's free memory back at the end of each task: workers live on, and the next task may need other memory."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
