@@ -4,64 +4,66 @@ The normalised windows of the benchmark items (13 words, or a whole shorter
 item) form a sorted array of 64-bit Rabin-Karp hashes.  Documents are scanned
 once: the rolling hash of every window is looked up, hits are verified word for
 word, and the covered words are marked.  The benchmark is a stated set, but its
-size is checked all the same: it is cut into blocks of ``max_windows`` windows,
-and beyond one block the documents are scanned block by block and the hits of a
-document are merged.
+size is checked all the same: a broadcast holds at most ``MAX_WINDOWS`` windows
+and ``BLOCK_BYTES`` bytes.  Beyond that the documents are scanned block by
+block, with one block at a time in the driver and the workers, and the hit words
+of all blocks are merged before a document is judged or cut.
 
 Defined results: null and word-less texts have no words, no hits and are clean;
 null item texts are ignored; null item_ids are left out of the item lists;
 repeated items and documents are each judged alike; an empty benchmark or
-document table is fine; extra columns pass through untouched.
+document table is fine; extra columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import stored
-from slotloom.llm.words import ALNUM, LOWER, buffers, chunks, covered, scan, text_column, windows, word_hashes
+from slotloom.llm.shared import quoted, send, stored, unused
+from slotloom.llm.words import ALNUM, LOWER, buffers, chunks, covered, scan, text_column, tidy, windows, word_hashes
 
 N_WORDS = 13
-MAX_WINDOWS = 4_000_000
+#: The bounds of a block; building one takes about ``WINDOW_BYTES`` for a window besides its words.
+MAX_WINDOWS, BLOCK_BYTES, WINDOW_BYTES = 400_000, 192 << 20, 400
 
 
-class WindowSet:
-    """Windows of benchmark items: per length the sorted hashes, each with its words and items."""
-
-    def __init__(self):
-        self.words: dict[int, dict[int, bytes]] = defaultdict(dict)
-        self.items: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
-
-    def add(self, item_id, hashed: int, length: int, words: bytes) -> None:
-        self.words[length][hashed] = words
-        self.items[length][hashed].add(item_id)
-
-    def sealed(self) -> WindowSet:
-        self.hashes = {k: np.array(sorted(v), np.uint64) for k, v in self.words.items()}
-        self.items = {k: dict(v) for k, v in self.items.items()}
-        self.words = dict(self.words)
-        return self
+class _Windows(NamedTuple):
+    """Windows of one length: sorted hashes, their words, and the items that have them, as runs."""
 
-    def __getstate__(self):
-        return (self.words, self.items, self.hashes)
+    hashes: np.ndarray
+    words: bytes
+    word_edges: np.ndarray
+    items: np.ndarray
+    item_edges: np.ndarray
 
-    def __setstate__(self, state):
-        self.words, self.items, self.hashes = state
 
-
-def window_blocks(items: Iterator[tuple[object, str]], n: int = N_WORDS, max_windows: int = MAX_WINDOWS) -> list[WindowSet]:
-    """The items' windows, in blocks of about ``max_windows``."""
-    blocks, held, count = [], WindowSet(), 0
+class WindowSet:
+    """Windows of benchmark items, by length."""
+
+    def __init__(self, held: dict[int, dict[int, tuple[bytes, set]]], item_ids: list):
+        self.item_ids, self.of = item_ids, {}
+        for length, found in held.items():
+            hashes = sorted(found)
+            words, items = [found[h][0] for h in hashes], [sorted(found[h][1]) for h in hashes]
+            edges = lambda xs: np.cumsum([0, *map(len, xs)])
+            self.of[length] = _Windows(np.array(hashes, np.uint64), b"".join(words), edges(words), np.array([i for x in items for i in x], np.int32), edges(items))
+
+
+def window_blocks(items: Iterable[tuple[object, str]], n: int = N_WORDS, max_windows: int = MAX_WINDOWS) -> Iterator[WindowSet]:
+    """The items' windows in blocks, one after the other; at least one block, of no windows if there are none."""
+    held: dict[int, dict[int, tuple[bytes, set]]] = defaultdict(dict)
+    places: dict[object, int] = {}
+    count = size = made = 0
     for item_id, text in items:
-        column = pa.array([text or ""])
-        data, offsets = buffers(column)
+        data, offsets = buffers(pa.array([text or ""]))
         starts, ends, doc = scan(data, offsets, ALNUM)
         if not len(starts):
             continue
@@ -70,12 +72,17 @@ def window_blocks(items: Iterator[tuple[object, str]], n: int = N_WORDS, max_win
         words = [low[a:b] for a, b in zip(starts, ends)]
         at, hashed = windows(word_hashes(data, starts, ends, True), doc, length)
         for i, h in zip(at.tolist(), hashed.tolist()):
-            held.add(item_id, h, length, b" ".join(words[i : i + length]))
-        count += len(at)
-        if count >= max_windows:
-            blocks.append(held.sealed())
-            held, count = WindowSet(), 0
-    return [*blocks, held.sealed()] if count or not blocks else blocks
+            if count >= max_windows or size >= BLOCK_BYTES:
+                yield WindowSet(held, list(places))
+                held, places, count, size, made = defaultdict(dict), {}, 0, 0, made + 1
+            of = held[length]
+            if h not in of:
+                of[h] = (b" ".join(words[i : i + length]), set())
+                size += WINDOW_BYTES + len(of[h][0])
+                count += 1
+            of[h][1].add(places.setdefault(item_id, len(places)))
+    if count or not made:
+        yield WindowSet(held, list(places))
 
 
 def hits(data: np.ndarray, offsets: np.ndarray, known: WindowSet):
@@ -87,139 +94,152 @@ def hits(data: np.ndarray, offsets: np.ndarray, known: WindowSet):
     if m:
         hashed = word_hashes(data, starts, ends, True)
         low = None
-        for length, sorted_hashes in known.hashes.items():
+        for length, of in known.of.items():
             at, h = windows(hashed, doc, length)
-            if not len(at) or not len(sorted_hashes):
+            if not len(at) or not len(of.hashes):
                 continue
-            place = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
+            place = np.minimum(np.searchsorted(of.hashes, h), len(of.hashes) - 1)
             sure = []
-            for k in np.flatnonzero(sorted_hashes[place] == h).tolist():
-                i, key = int(at[k]), int(h[k])
+            for k in np.flatnonzero(of.hashes[place] == h).tolist():
+                i, p = int(at[k]), int(place[k])
                 low = data.tobytes().translate(LOWER) if low is None else low
-                if b" ".join([low[starts[j] : ends[j]] for j in range(i, i + length)]) == known.words[length][key]:
+                if b" ".join([low[starts[j] : ends[j]] for j in range(i, i + length)]) == of.words[of.word_edges[p] : of.word_edges[p + 1]]:
                     sure.append(i)
-                    found[int(doc[i])] |= known.items[length][key]
+                    found[int(doc[i])].update(known.item_ids[x] for x in of.items[of.item_edges[p] : of.item_edges[p + 1]].tolist())
             if sure:
                 hit |= covered(np.array(sure), length, m)
     return starts, ends, doc, hit, found
 
 
-def _digest(items: set) -> tuple[int, str]:
-    names = sorted(str(x) for x in items if x is not None)
-    return len(items), hashlib.sha256(",".join(names).encode()).hexdigest()
+def _names(items: set) -> list[str]:
+    return sorted(str(x) for x in items if x is not None)
 
 
-BLOCK_HITS = "key long, n_words long, at array<long>, names array<string>, nameless long"
+_NO_ITEMS = hashlib.sha256(b"").hexdigest()
+BLOCK_HITS = "key string, at array<long>, names array<string>, nameless long"
 REPORT = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
 
 
-def _report(docs: DataFrame, known, passed: list[str], min_share: int):
+def _report(known, passed: list[str], min_share: int):
     """Scan with one block; the columns ``passed`` and the report of each row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows_set = known.value
         for batch in batches:
-            text = text_column(batch.column(batch.num_columns - 1))
-            rows = []
-            for lo, hi, data, offsets in chunks(text):
-                _, _, doc, hit, found = hits(data, offsets, windows_set)
-                n_words = np.bincount(doc, minlength=hi - lo)
-                n_hit = np.bincount(doc[hit], minlength=hi - lo)
-                for i in range(hi - lo):
-                    n_items, sha = _digest(found.get(i, set()))
-                    names = sorted(str(x) for x in found.get(i, ()) if x is not None)
-                    w, x = int(n_words[i]), int(n_hit[i])
-                    rows.append((w, x, n_items, names, sha, x > 0 and min_share * x >= w))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_())
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            names = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *columns], [*passed, *names])
+            n = batch.num_rows
+            n_words, n_hit, n_items, names, shas = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [()] * n, [_NO_ITEMS] * n
+            for lo, hi, data, offsets in chunks(text_column(batch.column(batch.num_columns - 1))):
+                _, _, doc, hit, found = hits(data, offsets, known.value)
+                n_words[lo:hi] = np.bincount(doc, minlength=hi - lo)
+                n_hit[lo:hi] = np.bincount(doc[hit], minlength=hi - lo)
+                for i, items in found.items():
+                    names[lo + i], n_items[lo + i] = _names(items), len(items)
+                    shas[lo + i] = hashlib.sha256(",".join(names[lo + i]).encode()).hexdigest()
+            columns = [pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(names, pa.list_(pa.string())), pa.array(shas, pa.string()), pa.array((n_hit > 0) & (min_share * n_hit >= n_words))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *columns], [*passed, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
 
     return run
 
 
 def _block_hits(known):
-    """Scan with one of several blocks: per row with hits its words, the hit ones, and the items."""
+    """Scan with one of several blocks: of each row (key, text) with hits the places of hit words, and the items."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows_set = known.value
         for batch in batches:
             out = []
             for lo, hi, data, offsets in chunks(text_column(batch.column(1))):
-                _, _, doc, hit, found = hits(data, offsets, windows_set)
+                _, _, doc, hit, found = hits(data, offsets, known.value)
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for i in found:
+                for i, items in found.items():
                     at = np.flatnonzero(hit[first[i] : first[i + 1]])
-                    out.append((batch.column(0)[lo + i].as_py(), int(first[i + 1] - first[i]), at.tolist(), [str(x) for x in found[i] if x is not None], sum(x is None for x in found[i])))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "n_words", "at", "names", "nameless"])
+                    out.append((batch.column(0)[lo + i].as_py(), at.tolist(), _names(items), int(None in items)))
+            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "at", "names", "nameless"])
 
     return run
 
 
+def _digest(text):
+    """What stands for a text where hits of several blocks meet."""
+    return F.sha2(text, 256)
+
+
+def _items(benchmark: DataFrame) -> Iterator[tuple[object, str]]:
+    return ((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator())
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int):
+    """(the only block, None), or (None, the hits of all blocks by the digest of the text: key, at, items, nameless)."""
+    blocks = window_blocks(_items(benchmark), n, max_windows)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return block, None
+    texts, union = docs.where("text is not null").select(_digest(F.col("text")).alias("key"), "text"), None
+    while block is not None:
+        sent = send(docs.sparkSession, block)
+        # Copies of a text have the same hits, so they combine before the shuffle.
+        found = texts.mapInArrow(_block_hits(sent), BLOCK_HITS).groupBy("key").agg(F.first("at").alias("at"), F.first("names").alias("names"), F.first("nameless").alias("nameless"))
+        found = stored(found, "block-hits")
+        sent.destroy()
+        union = found if union is None else union.unionByName(found)
+        block, following = following, next(blocks, None)
+    merged = union.groupBy("key").agg(
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("items"), F.max("nameless").alias("nameless")
+    )
+    return None, stored(merged, "hits")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_share: int = 20, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id and the report of each document: words, hit words, items with occurring windows.
 
     ``contaminated``: some word is hit, and ``min_share`` * hit words >= words.
     """
-    spark = docs.sparkSession
-    blocks = window_blocks(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), n, max_windows)
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if len(sent) == 1:
-        return rows.mapInArrow(_report(rows, sent[0], ["doc_id"], min_share), f"doc_id {kind}, {REPORT}")
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    parts = [keyed.mapInArrow(_block_hits(b), BLOCK_HITS) for b in sent]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    union = union.groupBy("key").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("items"),
-        F.max("nameless").alias("nameless"),
-    )
-    none = spark.sparkContext.broadcast(WindowSet().sealed())
-    counted = rows.withColumn("key", F.xxhash64("doc_id", "text")).select("doc_id", "key", "text").mapInArrow(_report(rows, none, ["doc_id", "key"], min_share), f"doc_id {kind}, key long, {REPORT}")
-    n_hit, names = F.coalesce(union.n_hit, F.lit(0).cast("long")), F.coalesce(union["items"], F.array().cast("array<string>"))
-    return counted.join(union, "key", "left").select(
+    block, merged = _scanned(rows, benchmark, n, max_windows)
+    if merged is None:
+        return rows.mapInArrow(_report(send(docs.sparkSession, block), ["doc_id"], min_share), f"doc_id {kind}, {REPORT}")
+    none = send(docs.sparkSession, WindowSet({}, []))
+    keyed = rows.select("doc_id", _digest(F.col("text")).alias("own"), "text")
+    counted = keyed.mapInArrow(_report(none, ["doc_id", "own"], min_share), f"doc_id {kind}, own string, {REPORT}").select("doc_id", "own", "n_words")
+    n_hit, names = F.when(F.col("at").isNull(), F.lit(0)).otherwise(F.size("at")).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return counted.join(merged, F.col("own") == F.col("key"), "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), (F.size(names) + F.coalesce("nameless", F.lit(0))).cast("long").alias("n_items"), names.alias("items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * min_share >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def _merged_hits(texts: DataFrame, sent: list) -> DataFrame:
-    """(key, n_words, at) of texts (key, text) with hit words: the hits of all blocks together, one row per key."""
-    union = None
-    for i, known in enumerate(sent):
-        found = texts.mapInArrow(_block_hits(known), BLOCK_HITS).select("key", F.lit(i).alias("block"), "n_words", "at")
-        union = found if union is None else union.unionByName(found)
-    # Equal texts have equal hits, so copies combine before the shuffle.
-    union = union.groupBy("key", "block").agg(F.first("n_words").alias("n_words"), F.first("at").alias("at"))
-    return union.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_share: int = 20, spans: bool = False, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` without contaminated documents, or with ``spans`` all documents without their hit words.
 
     Rows keep all their columns.  With ``spans`` a cleaned text is its remaining
     text, each removed span with the bytes up to the next word; null stays null.
-    Beyond one block of windows the hits of all blocks are merged per text first.
     """
-    spark = docs.sparkSession
-    blocks = window_blocks(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), n, max_windows)
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]
     text_at = docs.columns.index("text")
-    if len(sent) == 1:
-        return docs.mapInArrow(_cleaned(sent[0], text_at, min_share, spans), docs.schema)
-    key = F.xxhash64("text")
-    merged = stored(_merged_hits(docs.select(key.alias("key"), "text"), sent), "hits").withColumnRenamed("key", "__hit_key")
-    keyed = docs.withColumn("__key", key)
-    if not spans:
-        bad = merged.where(F.size("at") * min_share >= F.col("n_words")).select("__hit_key")
-        return keyed.join(bad, F.col("__key") == F.col("__hit_key"), "left_anti").drop("__key")
-    found = keyed.join(merged.select("__hit_key", F.col("at").alias("__at")), F.col("__key") == F.col("__hit_key"), "left")
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], "__at").mapInArrow(_cut(text_at), docs.schema)
+    block, merged = _scanned(docs.select("text"), benchmark, n, max_windows)
+    if merged is None:
+        return docs.mapInArrow(_cleaned(send(docs.sparkSession, block), text_at, min_share, spans), docs.schema)
+    key, own, at = unused(docs.columns, "key", "own", "at")
+    keyed = docs.select(*quoted(docs.columns), _digest(F.col("text")).alias(own))
+    found = keyed.join(merged.select(F.col("key").alias(key), F.col("at").alias(at)), F.col(own) == F.col(key), "left").select(*quoted(docs.columns), at)
+    return found.mapInArrow(_cut(text_at) if spans else _kept(text_at, min_share), docs.schema)
+
+
+def _kept(text_at: int, min_share: int):
+    """Drops the rows that the places of hit words in the last column call contaminated."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_hit = np.array([len(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()], np.int64)
+            n_words = np.zeros(batch.num_rows, np.int64)
+            for lo, hi, data, offsets in chunks(text_column(batch.column(text_at))):
+                n_words[lo:hi] = np.bincount(scan(data, offsets, ALNUM)[2], minlength=hi - lo)
+            batch = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            yield batch.filter(pa.array(~((n_hit > 0) & (min_share * n_hit >= n_words))))
+
+    return run
 
 
 def _without(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, doc: np.ndarray, hit: np.ndarray) -> list[str]:
@@ -245,6 +265,7 @@ def _with_texts(batch: pa.RecordBatch, text_at: int, new: list[str]) -> pa.Recor
 def _cut(text_at: int):
     """Cuts the words whose places are in the last column, and drops that."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places, new = batch.column(batch.num_columns - 1).to_pylist(), []
@@ -262,6 +283,7 @@ def _cut(text_at: int):
 
 
 def _cleaned(known, text_at: int, min_share: int, spans: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows_set = known.value
         for batch in batches:
