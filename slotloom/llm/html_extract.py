@@ -6,11 +6,13 @@ words, the own tag, and the text's shape; the field has a state for article text
 and one for everything else.  Its weights are the maximum of the regularised
 conditional likelihood of labelled pages (``labelled_pages``), and Viterbi decodes
 the best labelling of a whole page.  Scripts, styles, comments in the markup and the
-head are no text in the first place.
+head are no text in the first place; neither is what stands inside of ``_SKIPPED``
+elements.
 
 Defined results: null and empty html give an empty text; unclosed and crossing tags
-are closed as browsers do for blocks and paragraphs; character references are
-decoded; white space inside a block becomes one space; blocks are joined by one line
+are closed as browsers do for blocks and paragraphs; an element of ``_SKIPPED`` that is
+not closed, or closes itself, is a tag without an inside; names that only begin like
+one are other elements; character references are decoded; white space inside a block becomes one space; blocks are joined by one line
 feed; repeated pages are extracted alike; extra columns are ignored.
 """
 
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from slotloom.llm.labelled_pages import labelled_pages
+from slotloom.llm.shared import send
+from slotloom.llm.words import tidy
 
 TRAINING_PAGES, EPOCHS, RIDGE = 250, 120, 0.02
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|iframe|svg|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -39,6 +43,8 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: Elements whose inside isn't text of the page, if they are closed.
+_SKIPPED = frozenset("textarea title noscript template iframe svg math select object".split())
 #: Elements that have no inside.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that start and end a leaf block.
@@ -51,6 +57,21 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "td": ({"td", "th"}, {"tr", "ta
 _CLOSES_P = _BLOCKS - {"label", "button", "body", "html", "option", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
+def _insides(tokens: list[re.Match]) -> dict[int, int]:
+    """The closing token of each opening token of a skipped element that has one."""
+    opened: dict[str, list[int]] = {}
+    closed: dict[int, int] = {}
+    for i, m in enumerate(tokens):
+        tag = (m[3] or m[6] or "").lower()
+        if tag in _SKIPPED:
+            if m[2] or m[5]:
+                if opened.get(tag):
+                    closed[opened[tag].pop()] = i
+            elif not (m[4] or m[7] or "").endswith("/"):
+                opened.setdefault(tag, []).append(i)
+    return closed
+
+
 def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
     """(ancestors as (tag, names) from the root, text, characters inside links) of each non-empty leaf block."""
     stack: list[tuple[str, str]] = []
@@ -74,8 +95,12 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
         links -= sum(t == "a" for t, _ in stack[index:])
         del stack[index:]
 
-    at = 0
-    for m in _TOKEN.finditer(html):
+    at = upto = 0
+    tokens = list(_TOKEN.finditer(html))
+    skipped = _insides(tokens)
+    for i, m in enumerate(tokens):
+        if i < upto:
+            continue
         if m.start() > at:
             text = html[at : m.start()]
             parts.append(text)
@@ -83,16 +108,22 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
         at = m.end()
         tag = m[3] or m[6]
         if not tag:
-            if m[1] and m[1].lower() in ("textarea", "select", "iframe", "object"):
+            continue
+        if i in skipped:
+            upto = skipped[i] + 1
+            at = tokens[skipped[i]].end()
+            if tag.lower() not in ("title", "template", "svg", "math"):
                 parts.append(" ")
             continue
         tag, ends = tag.lower(), m[2] or m[5]
+        if tag in _SKIPPED:
+            continue
         if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    close(k)
                     break
-                if tag not in _BLOCKS and stack[i][0] in _BLOCKS:
+                if tag not in _BLOCKS and stack[k][0] in _BLOCKS:
                     break
             continue
         if tag in _VOID:
@@ -102,19 +133,19 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
                 parts.append(" " if tag == "br" else "")
             continue
         if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "p":
+                    close(k)
                     break
-                if stack[i][0] in _BLOCKS:
+                if stack[k][0] in _BLOCKS:
                     break
         if tag in _CLOSES:
             own, scope = _CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in own:
-                    close(i)
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in own:
+                    close(k)
                     break
-                if stack[i][0] in scope:
+                if stack[k][0] in scope:
                     break
         if tag in _BLOCKS:
             flush()
@@ -245,8 +276,9 @@ def trained(count: int = TRAINING_PAGES, seed: int = 0) -> ExtractionModel:
 
 def extracted(pages: DataFrame, model: ExtractionModel | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    sent = pages.sparkSession.sparkContext.broadcast(model or trained())
+    sent = send(pages.sparkSession, model or trained())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
