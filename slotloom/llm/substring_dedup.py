@@ -4,15 +4,18 @@
    Windows that repeat inside a block are removed there and then, and only one
    witness of theirs travels on, so a window that a third of all documents share
    is one entry per block.  Other windows travel with their document and
-   position, packed by hash range (8 bytes of hash, about 2 of place).
+   position, packed by hash range (9 bytes of hash, about 2 of place).
 2. Per hash range, equal hashes from different blocks are repeats; their places
    travel to their document's group.
 3. Per document the repeated windows merge into maximal removal intervals, which
    join the documents.
 
 A document is addressed by a 64-bit hash of its doc_id and text, so null or
-repeated doc_ids are harmless.  Windows are compared by 64-bit hashes: n windows
-meet by chance with probability n^2 / 2^65 (3e-4 for 1e8 windows).
+repeated doc_ids are harmless (n documents meet by chance with n^2 / 2^65).  Windows
+are compared by two independent Rabin-Karp hashes, 64 bits of one and of the other 8
+bits and the number of the hash range, of which there are more the more windows there
+are: n windows in r ranges meet by chance with n^2 / (r * 2^73), that is 2e-6 for 30 GB
+of text and 4e-3 for 100 TB.
 
 Defined results: null texts and texts without words have no words and keep the
 empty text; texts shorter than a window are kept whole; of repeated rows every
@@ -31,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.llm.keyfilter import among, likely, sent_filter
-from slotloom.llm.shared import partitions, planned_bytes, stored
-from slotloom.llm.words import NON_SPACE, U64, chunks, covered, mix, ragged, scan, text_column, windows, word_hashes
+from slotloom.llm.shared import even_keys, partitions, planned_bytes, quoted, stored, unused
+from slotloom.llm.words import NON_SPACE, U64, chunks, covered, mix, ragged, scan, text_column, tidy, windows, word_hashes
 
 N_WORDS = 35
 BLOCK_WINDOWS = 1_500_000
@@ -50,26 +53,27 @@ def _wide(low: bytes, high: bytes) -> np.ndarray:
     return steps
 
 
-def _pack(part, hashes, keys, first, place):
+def _pack(part, hashes, tails, keys, first, place):
     """A row of places: ``first`` marks where a document's run starts, places rise inside a run."""
     steps = np.diff(place, prepend=0)
     steps[first] = place[first]
     low, high = _small(steps)
     runs, more = _small(np.diff(np.append(first, len(place))))
-    return part, hashes.tobytes(), keys.tobytes(), runs, more, low, high
+    return part, hashes.tobytes(), tails.tobytes(), keys.tobytes(), runs, more, low, high
 
 
-PACKED = "part int, hashes binary, keys binary, runs binary, more binary, low binary, high binary"
-_PACKED_KINDS = (pa.int32(), *[pa.binary()] * 6)
+PACKED = "part int, hashes binary, tails binary, keys binary, runs binary, more binary, low binary, high binary"
+PLACES = [c.split()[0] for c in PACKED.split(", ") if c.split()[0] not in ("hashes", "tails")]
+_PACKED_KINDS = (pa.int32(), *[pa.binary()] * 7)
 
 
-def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, keys of each entry, places) of a packed row."""
+def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of each entry, places) of a packed row."""
     runs, steps = _wide(row.runs, row.more), _wide(row.low, row.high)
     first = np.cumsum(runs) - runs
     total = np.cumsum(steps)
     base = total[first] - steps[first] if len(first) else total[:0]
-    return np.frombuffer(row.hashes, U64), np.repeat(np.frombuffer(row.keys, np.int64), runs), total - np.repeat(base, runs)
+    return np.repeat(np.frombuffer(row.keys, np.int64), runs), total - np.repeat(base, runs)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -91,42 +95,68 @@ def _starts(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _place_rows(keys: np.ndarray, place: np.ndarray, parts: int, shift: int) -> Iterator[tuple]:
-    """Packed rows of repeated windows for the groups of their documents (numbers from ``shift`` on)."""
-    of = (mix(keys.view(U64)) % U64(parts)).astype(np.int64)
-    for p, at in _split(of, parts):
+def _place_rows(keys: np.ndarray, place: np.ndarray, groups: np.ndarray) -> Iterator[tuple]:
+    """Packed rows of repeated windows for the groups of their documents."""
+    of = (mix(keys.view(U64)) % U64(len(groups))).astype(np.int64)
+    for p, at in _split(of, len(groups)):
         k, x = keys[at], place[at]
         first = _starts(k, x)
-        yield _pack(shift + p, np.zeros(0, U64), k[first], first, x)
-
-
-def _hash_windows(length: int, parts: int):
+        yield _pack(int(groups[p]), np.zeros(0, U64), np.zeros(0, np.uint8), k[first], first, x)
+
+
+def _repeats(hashes: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which windows occur more than once, which are the first of their kind, an order that brings equal ones together)."""
+    order = np.argsort(hashes, kind="stable")
+    s, t = hashes[order], tails[order]
+    if ((s[1:] == s[:-1]) & (t[1:] != t[:-1])).any():
+        order = np.lexsort((tails, hashes))
+        s, t = hashes[order], tails[order]
+    same = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
+    repeated, first = np.zeros(len(s), bool), np.ones(len(s), bool)
+    repeated[1:] |= same
+    repeated[:-1] |= same
+    first[1:] = ~same
+    again, heads = np.zeros(len(s), bool), np.zeros(len(s), bool)
+    again[order], heads[order] = repeated, first
+    return again, heads, order
+
+
+def _known(hashes: np.ndarray, tails: np.ndarray, seen_hashes: np.ndarray, seen_tails: np.ndarray) -> np.ndarray:
+    """Which windows are among the seen ones."""
+    order = np.argsort(seen_hashes, kind="stable")
+    s, t = seen_hashes[order], seen_tails[order]
+    at = np.minimum(np.searchsorted(s, hashes), len(s) - 1)
+    same = s[at] == hashes
+    out = same & (t[at] == tails)
+    for i in np.flatnonzero(same & ~out):  # the other hash differs: look at all with this one
+        a, b = np.searchsorted(s, hashes[i], "left"), np.searchsorted(s, hashes[i], "right")
+        out[i] = (t[a:b] == tails[i]).any()
+    return out
+
+
+def _hash_windows(length: int, ranges: np.ndarray, groups: np.ndarray):
+    parts = len(ranges)
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            hashes, keys, place = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.argsort(hashes, kind="stable")
-            s = hashes[order]
-            same = s[1:] == s[:-1]
-            repeated, witness = np.zeros(len(s), bool), np.ones(len(s), bool)
-            repeated[1:] |= same
-            repeated[:-1] |= same
-            witness[1:] = ~same
-            again, sent = np.zeros(len(s), bool), np.zeros(len(s), bool)
-            again[order], sent[order] = repeated, witness
-            rows = list(_place_rows(keys[again], place[again], parts, parts))
+            hashes, other, keys, place = (np.concatenate([h[i] for h in held]) for i in range(4))
+            tails, part = (other & U64(255)).astype(np.uint8), (((other >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int32)
+            again, sent, _ = _repeats(hashes, tails)
+            rows = list(_place_rows(keys[again], place[again], groups))
             # What repeats here needs no place any more, only its hash, once.
             for sure in (False, True):
                 single = np.flatnonzero(sent & (again == sure))
-                for p, at in _split((((hashes[single] >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64), parts):
-                    at = single[at]
+                for p, at in _split(part[single], parts):
+                    at, p = single[at], int(ranges[p])
                     if sure:
-                        rows.append((p, hashes[at].tobytes(), *[b""] * 5))
+                        rows.append((p, hashes[at].tobytes(), tails[at].tobytes(), *[b""] * 5))
                     else:
                         first = _starts(keys[at], place[at])
-                        rows.append(_pack(p, hashes[at], keys[at][first], first, place[at]))
+                        rows.append(_pack(p, hashes[at], tails[at], keys[at][first], first, place[at]))
             held.clear()
             return _rows(rows)
 
@@ -134,9 +164,10 @@ def _hash_windows(length: int, parts: int):
             row_keys = np.asarray(batch.column(0))
             for lo, _, data, offsets in chunks(text_column(batch.column(1))):
                 starts, ends, doc = scan(data, offsets, NON_SPACE)
-                at, hashed = windows(word_hashes(data, starts, ends, False), doc, length)
+                words = word_hashes(data, starts, ends, False)
+                at, hashed = windows(words, doc, length)
                 if len(at):
-                    held.append((hashed, row_keys[lo + doc[at]], at - np.searchsorted(doc, doc[at])))
+                    held.append((hashed, windows(words, doc, length, other=True)[1], row_keys[lo + doc[at]], at - np.searchsorted(doc, doc[at])))
                     count += len(at)
                 if count >= BLOCK_WINDOWS:
                     yield flush()
@@ -147,35 +178,29 @@ def _hash_windows(length: int, parts: int):
     return run
 
 
-def _count(parts: int):
-    """Of a hash range, the places of hashes that occur more than once; packed places of a document group merge."""
+def _count(groups: np.ndarray):
+    """Of a hash range, the places of hashes that occur more than once; packed places of a document group pass."""
+    of_documents = np.sort(groups)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if group["part"].iloc[0] >= parts:
-            return group[["part", "keys", "runs", "more", "low", "high"]]
-        hashes, keys, place, known = [], [], [], []
+        part = group["part"].iloc[0]
+        if of_documents[min(np.searchsorted(of_documents, part), len(of_documents) - 1)] == part:
+            return group[PLACES]
+        found, seen = [], []
         for row in group.itertuples():
-            if not row.runs:
-                known.append(np.frombuffer(row.hashes, U64))
-                continue
-            h, k, x = _unpack(row)
-            hashes.append(h), keys.append(k), place.append(x)
-        if not hashes:
-            return pd.DataFrame(columns=["part", "keys", "runs", "more", "low", "high"])
-        h, k, x = (np.concatenate(v) for v in (hashes, keys, place))
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        repeated = np.zeros(len(s), bool)
-        repeated[1:] |= same
-        repeated[:-1] |= same
-        again = np.zeros(len(s), bool)
-        again[order] = repeated
-        if known:
-            known = np.unique(np.concatenate(known))
-            again |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-        rows = list(_place_rows(k[again], x[again], parts, parts))
-        return pd.DataFrame([(r[0], *r[2:]) for r in rows], columns=["part", "keys", "runs", "more", "low", "high"])
+            pair = np.frombuffer(row.hashes, U64), np.frombuffer(row.tails, np.uint8)
+            if row.runs:
+                found.append((*pair, *_unpack(row)))
+            else:
+                seen.append(pair)
+        if not found:
+            return pd.DataFrame(columns=PLACES)
+        h, t, k, x = (np.concatenate([f[i] for f in found]) for i in range(4))
+        again, _, _ = _repeats(h, t)
+        if seen:
+            again |= _known(h, t, *(np.concatenate([f[i] for f in seen]) for i in range(2)))
+        rows = list(_place_rows(k[again], x[again], groups))
+        return pd.DataFrame([(r[0], *r[3:]) for r in rows], columns=PLACES)
 
     return run
 
@@ -185,8 +210,8 @@ def _merge(length: int):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys, place = [], []
-        for row in group.assign(hashes=b"").itertuples():
-            _, k, x = _unpack(row)
+        for row in group.itertuples():
+            k, x = _unpack(row)
             keys.append(k), place.append(x)
         k, x = np.concatenate(keys), np.concatenate(place)
         order = np.lexsort((x, k))
@@ -207,9 +232,11 @@ def repeated_spans(docs: DataFrame, length: int = N_WORDS) -> DataFrame:
     """(key, removed): per document with repeated windows its intervals [start, end) of words as int64 pairs."""
     spark = docs.sparkSession
     parts = max(2 * partitions(spark), planned_bytes(docs) // BUCKET_BYTES)
+    keys = even_keys(spark, 2 * int(parts))
+    ranges, groups = keys[: len(keys) // 2], keys[len(keys) // 2 :]
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    hashed = keyed.mapInArrow(_hash_windows(length, parts), PACKED)
-    places = hashed.groupBy("part").applyInPandas(_count(parts), "part int, keys binary, runs binary, more binary, low binary, high binary")
+    hashed = keyed.mapInArrow(_hash_windows(length, ranges, groups), PACKED)
+    places = hashed.groupBy("part").applyInPandas(_count(groups), "part int, keys binary, runs binary, more binary, low binary, high binary")
     return places.groupBy("part").applyInPandas(_merge(length), "key long, removed binary")
 
 
@@ -220,6 +247,7 @@ def _kept(report: bool, text_at: int, columns: list[str], outside=None):
     holds keys, and rows whose key is not in the filter have nothing to remove.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if outside is not None:
@@ -266,11 +294,12 @@ def _with_spans(docs: DataFrame, spans: DataFrame, run, schema) -> DataFrame:
 
     ``run`` makes the row function from a filter or None.
     """
-    spans = stored(spans, "spans").select(F.col("key").alias("__span_key"), F.col("removed").alias("__removed"))
-    bits = sent_filter(spans.select("__span_key"))
-    clean = docs.withColumn("__key", F.xxhash64("doc_id", "text")).mapInArrow(run(bits), schema)
-    keyed = likely(docs.select(F.xxhash64("doc_id", "text").alias("__key"), *docs.columns), bits)
-    joined = keyed.join(spans, F.col("__key") == F.col("__span_key"), "left").select(*docs.columns, "__removed")
+    key, own, removed = unused(docs.columns, "key", "own", "removed")
+    spans = stored(spans, "spans").select(F.col("key").alias(key), F.col("removed").alias(removed))
+    bits = sent_filter(spans.select(key))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias(own), *quoted(docs.columns))
+    clean = keyed.select(*quoted(docs.columns), own).mapInArrow(run(bits), schema)
+    joined = likely(keyed, bits).join(spans, F.col(own) == F.col(key), "left").select(*quoted(docs.columns), removed)
     return clean.unionByName(joined.mapInArrow(run(None), schema))
 
 

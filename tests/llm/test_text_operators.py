@@ -98,10 +98,10 @@ def test_substring_edges(crowded, odd, odd_rows, no_documents):
 def test_packed_places_round_trip():
     keys, place = np.array([5, 5, 5, 9, 9], np.int64), np.array([0, 300, 700_000, 4, 5])
     first = substring_dedup._starts(keys, place)
-    row = substring_dedup._pack(1, np.arange(5, dtype=np.uint64), keys[first], first, place)
-    named = type("Row", (), dict(zip(("part", "hashes", "keys", "runs", "more", "low", "high"), row)))
-    h, k, x = substring_dedup._unpack(named)
-    assert (k == keys).all() and (x == place).all() and len(h) == 5
+    row = substring_dedup._pack(1, np.arange(5, dtype=np.uint64), np.arange(5, dtype=np.uint8), keys[first], first, place)
+    named = type("Row", (), dict(zip(("part", "hashes", "tails", "keys", "runs", "more", "low", "high"), row)))
+    k, x = substring_dedup._unpack(named)
+    assert (k == keys).all() and (x == place).all() and len(np.frombuffer(named.hashes, np.uint64)) == len(named.tails) == 5
 
 
 # -- near duplicates --------------------------------------------------------------------------------------------------
