@@ -1,28 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Texts of both label classes are counted as Kneser-Ney counts them: a word's weight
-is the number of different words that it follows (its continuation count), so
-copies and repeated lines don't inflate it.  Each class has its own discounted
-continuation distribution, interpolated with one backoff that both classes
-share:
-
-    P(w | class) = kept(w, class) / N(class) + spare(class) * P_shared(w)
-
-The discount is 0.75 plus what the shared counts make one expect in the class (a
-slack times, and a spread in standard deviations), so rare expressions and those
-which both classes use alike come from the shared counts only, and a class keeps
-what is peculiar to it.  Slack and spread are those of ``DISCOUNTS`` with the fewest
-errors on the rows that set the threshold.  A document's score compares its
-length-normalised log-likelihoods under both classes.  Word pairs themselves get
-the whole discount: measured on held-out rows, class counts of pairs only added
-noise (area under the curve at most 0.9994 with them, 0.9999 without).
+Both label classes have an interpolated model of word pairs
+
+    P(w | u, class) = kept(u, w, class) / N(u, class) + spare(u, class) * P(w | class)
+    P(w | class)    = kept(w, class) / N(class)       + spare(class)    * P_shared(w)
+
+and one backoff P_shared that both classes share.  Counts are continuation counts,
+as Kneser-Ney takes them: a word's is the number of different words before it, a
+pair's the number of different words before the pair, so copies and repeated lines
+don't inflate them; N are their sums, and spare is what the discount takes.  A
+document's score compares its length-normalised log-likelihoods under both classes.
+
+The discount is ``DISCOUNT`` (for pairs ``PAIR_DISCOUNT``: what follows up to two words
+only is a rare expression) plus what the counts of both classes together make one expect
+in the class (a slack times, and a spread in standard deviations).  So rare expressions and
+those which both classes use alike come from the shared counts, and a class keeps what is
+peculiar to it.  With a constant discount the noise of rare words drowns the rest (README
+has the figures).  Slack and spread are those of ``DISCOUNTS`` with the fewest errors on the
+rows that set the threshold.
 
 Every labelled row is learned from.  Labels are broadcast in blocks of about
 ``BLOCK_LABELS`` rows, and the documents are read once per block, so no text is
-shuffled; pairs of all blocks are counted together.  Counts are held per word (a
-hash of ``WORD_BITS`` bits) however many there are; only words that are peculiar to a
-class reach the driver and the scoring, as all others have the ratio of a word
-without evidence.  Rows with crc32(doc_id) mod 5 = 0 are never learned from; those
+shuffled; words of all blocks are counted together.  Counts are held per word and pair (by
+hashes of ``WORD_BITS`` bits a word) however many there are; only words and pairs that are
+peculiar to a class reach the driver and the scoring, as all others have the ratio of their
+backoff.  Rows with crc32(doc_id) mod 5 = 0 are never learned from; those
 with remainder 1 set the threshold, the others are counted.
 
 Defined results: null and word-less texts get the score of a text without any
@@ -42,19 +44,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import partitions, planned_bytes, stored
-from slotloom.llm.words import ALNUM, U64, chunks, mix, scan, text_column, word_hashes
+from slotloom.llm.shared import even_keys, partitions, planned_bytes, send, stored
+from slotloom.llm.words import ALNUM, U64, chunks, mix, scan, text_column, tidy, word_hashes
 
 WORD_BITS = 32
-DISCOUNT = 0.75
+DISCOUNT, PAIR_DISCOUNT = 0.75, 2.75
 #: (slack, spread)
 DISCOUNTS = ((3.0, 4.0), (2.0, 3.0), (1.5, 2.0), (2.0, 1.0))
 BINS = 10_000
 #: Labels of a broadcast, about 10 bytes each.
 BLOCK_LABELS = 4_000_000
 COUNT_BLOCKS = 64
-BLOCK_PAIRS = 2_000_000
+BLOCK_WORDS = 1_000_000
 _START = U64(0x5851F42D4C957F2D)
+_LOW = U64((1 << WORD_BITS) - 1)
+#: A counted pair: its words' keys, its counts in both classes, and those of its first word.
+PAIR = np.dtype([("first", "<u4"), ("word", "<u4"), ("n", "<i8", 2), ("of", "<i8", 2)])
+TRIPLE = np.dtype([("pair", "<u8"), ("before", "<u4")])
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,63 +70,125 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashed, (hashed >> U64(64 - WORD_BITS)).astype(np.uint32), doc
 
 
-def word_counts(rows: DataFrame, labels_sent: list) -> DataFrame:
-    """How many different words each word follows, per class: (words, ordinary, toxic as arrays' bytes, n_ordinary, n_toxic).
+def _before(hashed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The word before each; a mark at the start of a document."""
+    out = np.empty_like(hashed)
+    out[:1], out[1:] = _START, hashed[:-1]
+    out[np.flatnonzero(np.diff(doc, prepend=-1))] = _START
+    return out
+
+
+def _key(hashed: np.ndarray) -> np.ndarray:
+    return hashed >> U64(64 - WORD_BITS)
+
+
+def _distinct(triples: np.ndarray) -> np.ndarray:
+    order = np.lexsort((triples["before"], triples["pair"]))
+    triples = triples[order]
+    new = np.ones(len(triples), bool)
+    new[1:] = triples[1:] != triples[:-1]
+    return triples[new]
+
+
+def counted_words(rows: DataFrame, labels_sent: list) -> DataFrame:
+    """Continuation counts of words (``block`` from 0 on) and peculiar pairs (``block`` -1), by class and range.
 
     ``rows``: (key, text); ``labels_sent``: broadcast LabelMaps; only rows with a label of
     the learned folds are read.
     """
     spark = rows.sparkSession
-    parts = max(2 * partitions(spark), planned_bytes(rows) // (32 << 20))
-    low = U64((1 << WORD_BITS) - 1)
-
-    def pairs_of(sent):
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n_parts = max(2 * partitions(spark), planned_bytes(rows) // (32 << 20))
+    keys = even_keys(spark, 2 * int(n_parts))
+    parts = len(keys) // 2
+    of_pairs = np.sort(keys[parts:])
+
+    def split(found: np.ndarray, by: np.ndarray, numbers: np.ndarray, toxic: int) -> list[tuple]:
+        """Rows of what is sorted by its 32-bit number ``by``, for ranges of it."""
+        edges = np.searchsorted((by * U64(parts)) >> U64(32), np.arange(parts + 1))
+        return [(int(numbers[p]), toxic, found[edges[p] : edges[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(edges)).tolist()]
+
+    def words_of(sent):
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list] = {0: [], 1: []}
 
             def flush(toxic: int):
-                distinct = np.unique(np.concatenate(held[toxic]))
+                hashed, before, second = (np.concatenate([h[i] for h in held[toxic]]) for i in range(3))
                 held[toxic].clear()
-                of = (((distinct >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
-                edges = np.searchsorted(of, np.arange(parts + 1))
-                rows = [(p, toxic, distinct[edges[p] : edges[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(edges)).tolist()]
-                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "toxic", "pairs"])
+                # A pair is its hash with the word's key in the low bits; ranges go by what is above, so words of a range are mixed.
+                pairs = np.unique((mix(hashed * U64(3) + before) & ~_LOW) | _key(hashed))
+                triples = np.empty(len(hashed), TRIPLE)
+                triples["pair"], triples["before"] = (_key(before) << U64(32)) | _key(hashed), _key(second)
+                triples = _distinct(triples)
+                rows = split(pairs, pairs >> U64(32), keys[:parts], toxic) + split(triples, triples["pair"] >> U64(32), keys[parts:], toxic)
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "toxic", "found"])
 
             for batch in batches:
                 toxic, fold = sent.value.find(np.asarray(batch.column(0)))
                 learned = (toxic >= 0) & (fold > 1)
                 batch, toxic = batch.filter(pa.array(learned)), toxic[learned]
                 for lo, _, data, offsets in chunks(text_column(batch.column(1))):
-                    hashed, word, doc = _words(data, offsets)
+                    hashed, _, doc = _words(data, offsets)
                     if not len(doc):
                         continue
-                    before = np.empty_like(hashed)
-                    before[0], before[1:] = _START, hashed[:-1]
-                    before[np.flatnonzero(np.diff(doc, prepend=-1))] = _START
-                    # The pair's hash, with the word's key in its low bits.
-                    pair = (mix(hashed * U64(3) + before) & ~low) | word.astype(U64)
+                    before = _before(hashed, doc)
+                    second = _before(before, doc)
                     for k in (0, 1):
-                        held[k].append(pair[toxic[lo + doc] == k])
+                        at = toxic[lo + doc] == k
+                        held[k].append((hashed[at], before[at], second[at]))
                 for k in (0, 1):
-                    if sum(map(len, held[k])) >= BLOCK_PAIRS:
+                    if sum(len(h[0]) for h in held[k]) >= BLOCK_WORDS:
                         yield flush(k)
             for k in (0, 1):
-                if sum(map(len, held[k])):
+                if sum(len(h[0]) for h in held[k]):
                     yield flush(k)
 
-        return pairs
+        return run
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for toxic, g in group.groupby("toxic"):
-            distinct = np.unique(np.frombuffer(b"".join(g["pairs"]), U64))
-            word, n = np.unique((distinct & low).astype(np.uint32), return_counts=True)
-            of = (word.astype(np.int64) * COUNT_BLOCKS) >> WORD_BITS
-            edges = np.searchsorted(of, np.arange(COUNT_BLOCKS + 1))
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                at = slice(edges[b], edges[b + 1])
-                rows.append((int(toxic), b, word[at].tobytes(), n[at].astype(np.int32).tobytes()))
-        return pd.DataFrame(rows, columns=["toxic", "block", "words", "counts"])
+        part, rows = group["part"].iloc[0], []
+        by_class = [b"".join(group["found"][group["toxic"] == k]) for k in (0, 1)]
+        if of_pairs[min(np.searchsorted(of_pairs, part), len(of_pairs) - 1)] == part:
+            rows.append((-1, 0, _peculiar_pairs([_distinct(np.frombuffer(b, TRIPLE)) for b in by_class]).tobytes(), b""))
+        else:
+            for toxic, raw in enumerate(by_class):
+                word, n = np.unique((np.unique(np.frombuffer(raw, U64)) & _LOW).astype(np.uint32), return_counts=True)
+                edges = np.searchsorted((word.astype(np.int64) * COUNT_BLOCKS) >> WORD_BITS, np.arange(COUNT_BLOCKS + 1))
+                for b in np.flatnonzero(np.diff(edges)).tolist():
+                    at = slice(edges[b], edges[b + 1])
+                    rows.append((b, toxic, word[at].tobytes(), n[at].astype(np.int32).tobytes()))
+        return pd.DataFrame(rows, columns=["block", "toxic", "words", "counts"])
+
+    counted = None
+    for sent in labels_sent:
+        found = rows.select("key", "text").mapInArrow(words_of(sent), "part int, toxic int, found binary")
+        counted = found if counted is None else counted.unionByName(found)
+    return counted.groupBy("part").applyInPandas(count, "block int, toxic int, words binary, counts binary")
+
+
+def _peculiar_pairs(triples: list[np.ndarray]) -> np.ndarray:
+    """Of a range of first words, the pairs of which some discount leaves something, from both classes' distinct triples."""
+    of = [np.unique(t["pair"], return_counts=True) for t in triples]
+    pairs = np.unique(np.concatenate([p for p, _ in of]))
+    out = np.zeros(len(pairs), PAIR)
+    for k, (p, n) in enumerate(of):
+        out["n"][np.searchsorted(pairs, p), k] = n
+    out["first"], out["word"] = (pairs >> U64(32)).astype(np.uint32), (pairs & _LOW).astype(np.uint32)
+    if len(out):
+        starts = np.flatnonzero(np.append(True, out["first"][1:] != out["first"][:-1]))
+        out["of"] = np.repeat(np.add.reduceat(out["n"], starts), np.diff(np.append(starts, len(out))), axis=0)
+    return out[np.any([kept_pairs(out, *d).any(0) for d in DISCOUNTS], axis=0)]
+
+
+def kept_pairs(pairs: np.ndarray, slack: float, spread: float) -> np.ndarray:
+    """What the discount leaves of the pairs' counts: (2, pairs)."""
+    n, of = pairs["n"].T.astype(float), pairs["of"].T.astype(float)
+    expected = n.sum(0) * of / np.maximum(of.sum(0), 1)
+    return np.maximum(n - PAIR_DISCOUNT - slack * expected - spread * np.sqrt(expected), 0)
+
+
+def word_counts(counted: DataFrame) -> DataFrame:
+    """Counts of words by ranges of them: (words, ordinary, toxic as arrays' bytes, n_ordinary, n_toxic)."""
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         of, n = np.frombuffer(b"".join(group["words"]), np.uint32), np.frombuffer(b"".join(group["counts"]), np.int32)
@@ -129,12 +197,7 @@ def word_counts(rows: DataFrame, labels_sent: list) -> DataFrame:
         sums = [np.bincount(at[toxic == k], n[toxic == k], len(words)).astype(np.int64) for k in (0, 1)]
         return pd.DataFrame({"words": [words.tobytes()], "ordinary": [sums[0].tobytes()], "toxic": [sums[1].tobytes()], "n_ordinary": [int(sums[0].sum())], "n_toxic": [int(sums[1].sum())]})
 
-    counted = None
-    for sent in labels_sent:
-        found = rows.select("key", "text").mapInArrow(pairs_of(sent), "part int, toxic int, pairs binary")
-        counted = found if counted is None else counted.unionByName(found)
-    counted = counted.groupBy("part").applyInPandas(count, "toxic int, block int, words binary, counts binary")
-    return counted.groupBy("block").applyInPandas(total, "words binary, ordinary binary, toxic binary, n_ordinary long, n_toxic long")
+    return counted.where("block >= 0").groupBy("block").applyInPandas(total, "words binary, ordinary binary, toxic binary, n_ordinary long, n_toxic long")
 
 
 def _gathered(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +211,7 @@ def _gathered(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def continuation_counts(rows: DataFrame, *labels_sent) -> np.ndarray:
     """How many different words each word follows, per class: an array (2, words)."""
-    return _gathered(word_counts(rows, list(labels_sent)))[1]
+    return _gathered(word_counts(counted_words(rows, list(labels_sent))))[1]
 
 
 def kept_counts(counts: np.ndarray, n: np.ndarray, slack: float, spread: float) -> np.ndarray:
@@ -157,33 +220,56 @@ def kept_counts(counts: np.ndarray, n: np.ndarray, slack: float, spread: float)
     return np.maximum(counts - DISCOUNT - slack * expected - spread * np.sqrt(expected), 0)
 
 
-def peculiar(counted: DataFrame, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words in order, counts) of the words of which some discount leaves something."""
+def peculiar(counted: DataFrame, n: np.ndarray, also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words in order, counts) of the words of which some discount leaves something, and of the words ``also``."""
+    wanted = np.unique(also)
 
     def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups:
             for r in group.itertuples():
-                counts = np.stack([np.frombuffer(r.ordinary, np.int64), np.frombuffer(r.toxic, np.int64)])
-                some = np.any([kept_counts(counts, n, *d).any(0) for d in DISCOUNTS], axis=0)
-                yield pd.DataFrame({"words": [np.frombuffer(r.words, np.uint32)[some].tobytes()], "ordinary": [counts[0, some].tobytes()], "toxic": [counts[1, some].tobytes()]})
+                words, counts = np.frombuffer(r.words, np.uint32), np.stack([np.frombuffer(r.ordinary, np.int64), np.frombuffer(r.toxic, np.int64)])
+                some = np.any([kept_counts(counts, n, *d).any(0) for d in DISCOUNTS], axis=0) | np.isin(words, wanted)
+                yield pd.DataFrame({"words": [words[some].tobytes()], "ordinary": [counts[0, some].tobytes()], "toxic": [counts[1, some].tobytes()]})
 
     return _gathered(counted.select("words", "ordinary", "toxic").mapInPandas(run, "words binary, ordinary binary, toxic binary"))
 
 
-def log_ratios(words: np.ndarray, counts: np.ndarray, n: np.ndarray, slack: float, spread: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(words, log P(w | toxic) - log P(w | ordinary) of each, that of all other words)."""
-    kept = kept_counts(counts, n, slack, spread)
-    some = kept.any(0)
-    kept, p_shared = kept[:, some], counts[:, some].sum(0) / n.sum()
+def log_ratios(words: np.ndarray, counts: np.ndarray, n: np.ndarray, pairs: np.ndarray, slack: float, spread: float) -> dict:
+    """Logarithms of P(toxic) / P(ordinary): of words, of pairs, of the backoff after a first word, and of any other word."""
+    kept, p_shared = kept_counts(counts, n, slack, spread), counts.sum(0) / n.sum()
     spares = 1 - kept.sum(1) / n
-    logs = np.log(kept / n[:, None] + spares[:, None] * p_shared)
-    return words[some], (logs[1] - logs[0]).astype(np.float32), float(np.log(spares[1] / spares[0]))
+    p_word = kept / n[:, None] + spares[:, None] * p_shared
+    some = kept.any(0)
+    logs = np.log(p_word[:, some])
+    left = kept_pairs(pairs, slack, spread)
+    pairs, left = pairs[left.any(0)], left[:, left.any(0)]
+    share = left / np.maximum(pairs["of"].T, 1)
+    firsts, which = np.unique(pairs["first"], return_inverse=True)
+    spare = np.maximum(1 - np.stack([np.bincount(which, x, len(firsts)) for x in share]), 1e-12)
+    both = share + spare[:, which] * p_word[:, np.searchsorted(words, pairs["word"])]
+    named = (pairs["first"].astype(U64) << U64(32)) | pairs["word"].astype(U64)
+    order = np.argsort(named)
+    return {
+        "words": words[some], "ratios": (logs[1] - logs[0]).astype(np.float32), "neutral": float(np.log(spares[1] / spares[0])),
+        "pairs": named[order], "pair_ratios": np.log(both[1] / both[0])[order].astype(np.float32), "firsts": firsts, "first_ratios": np.log(spare[1] / spare[0]).astype(np.float32),
+    }
+
+
+def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwise) -> np.ndarray:
+    if not len(known):
+        return np.broadcast_to(otherwise, len(keys))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], otherwise)
 
 
 class ToxicityModel(NamedTuple):
     words: np.ndarray | None
     ratios: np.ndarray | None = None
     neutral: float = 0.0
+    pairs: np.ndarray | None = None
+    pair_ratios: np.ndarray | None = None
+    firsts: np.ndarray | None = None
+    first_ratios: np.ndarray | None = None
     threshold: float = 0.0
     scale: float = 1.0
 
@@ -192,12 +278,13 @@ class ToxicityModel(NamedTuple):
         n = len(offsets) - 1
         if self.ratios is None:
             return np.zeros(n)
-        _, word, doc = _words(data, offsets)
+        hashed, word, doc = _words(data, offsets)
+        ratios = _looked_up(word, self.words, self.ratios, self.neutral)
+        if len(self.pairs):
+            first = _key(_before(hashed, doc))
+            backoff = ratios + _looked_up(first.astype(np.uint32), self.firsts, self.first_ratios, np.float32(0))
+            ratios = _looked_up((first << U64(32)) | word.astype(U64), self.pairs, self.pair_ratios, backoff)
         words = np.bincount(doc, minlength=n)
-        ratios = np.full(len(word), self.neutral)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-            ratios = np.where(self.words[at] == word, self.ratios[at], self.neutral)
         return np.where(words > 0, np.bincount(doc, ratios, n) / np.maximum(words, 1), self.neutral)
 
     def score(self, ratio: np.ndarray) -> np.ndarray:
@@ -244,7 +331,7 @@ def label_map(labels: DataFrame, block: int = 0, blocks: int = 1) -> LabelMap:
 def sent_labels(labels: DataFrame) -> list:
     """All labelled rows that may be learned from, as broadcast LabelMaps of about BLOCK_LABELS rows."""
     blocks = max(1, -(-_learnable(labels).count() // BLOCK_LABELS))
-    return [labels.sparkSession.sparkContext.broadcast(label_map(labels, b, blocks)) for b in range(blocks)]
+    return [send(labels.sparkSession, label_map(labels, b, blocks)) for b in range(blocks)]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -252,16 +339,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64("doc_id").alias("key"), "text")
     marked = sent_labels(labels)
-    counted = stored(word_counts(rows, marked), "word-counts")
+    found = stored(counted_words(rows, marked), "counted")
+    counted = stored(word_counts(found), "word-counts")
     n = np.array(counted.agg(F.coalesce(F.sum("n_ordinary"), F.lit(0)), F.coalesce(F.sum("n_toxic"), F.lit(0))).first(), np.int64)
     if (n == 0).any():
         return ToxicityModel(None)
-    words, counts = peculiar(counted, n)
-    models = [ToxicityModel(*log_ratios(words, counts, n, *d)) for d in DISCOUNTS]
-    sent = spark.sparkContext.broadcast(models)
+    pairs = np.frombuffer(b"".join(r.words for r in found.where("block < 0").select("words").collect()), PAIR)
+    words, counts = peculiar(counted, n, pairs["word"])
+    models = [ToxicityModel(**log_ratios(words, counts, n, pairs, *d)) for d in DISCOUNTS]
+    sent = send(spark, models)
     names = [f"r{i}" for i in range(len(models))]
 
     def checks_of(known):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 toxic, fold = known.value.find(np.asarray(batch.column(0)))
@@ -278,6 +368,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         found = rows.mapInArrow(checks_of(known), "toxic int, " + ", ".join(f"{r} double" for r in names))
         checked = found if checked is None else checked.unionByName(found)
     checked = stored(checked, "checked")
+    for known in marked:
+        known.destroy()
+    sent.destroy()
     found = [_threshold(checked.select("toxic", F.col(n).alias("ratio")), m) for n, m in zip(names, models)]
     return min(found, key=lambda x: x[0])[1]
 
@@ -305,6 +398,7 @@ def _threshold(checked: DataFrame, model: ToxicityModel) -> tuple[float, Toxicit
 
 
 def _scored(model, text_at: int, names: list[str], keep_clean: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.value.score(model.value.ratio(data, offsets)) for _, _, data, offsets in chunks(text_column(batch.column(text_at)))]
@@ -319,7 +413,7 @@ def _scored(model, text_at: int, names: list[str], keep_clean: bool):
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = send(docs.sparkSession, fit(docs, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.coalesce(_remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))
     names = ["doc_id", "held_out", "score", "predicted"]
@@ -328,7 +422,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that are predicted to be toxic, all columns kept."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = send(docs.sparkSession, fit(docs, labels))
     return docs.mapInArrow(_scored(model, docs.columns.index("text"), [], True), docs.schema)
 
 

@@ -178,6 +178,118 @@ def test_every_label_is_counted_per_word(spark, monkeypatch):
     assert counts.shape[1] == counts.sum() == 200 * many.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 > 1).count()
 
 
+class PlainModels:
+    """Both classes' interpolated models from dictionaries, as the module's docstring states them."""
+
+    def __init__(self, rows, slack, spread):
+        from collections import defaultdict
+
+        words, pairs, self.slack, self.spread = (set(), set()), (set(), set()), slack, spread
+        for text, toxic in rows:
+            seen = ["", "", *self.split(text)]
+            for second, first, word in zip(seen, seen[1:], seen[2:]):
+                words[toxic].add((first, word))
+                pairs[toxic].add((second, first, word))
+        self.word, self.pair, self.of = ([defaultdict(int) for _ in range(2)] for _ in range(3))
+        for k in (0, 1):
+            for _, w in words[k]:
+                self.word[k][w] += 1
+            for _, u, w in pairs[k]:
+                self.pair[k][u, w] += 1
+                self.of[k][u] += 1
+        self.n = [len(x) for x in words]
+        self.spare = [1 - sum(self.kept_word(w, k) for w in self.word[k]) / self.n[k] for k in (0, 1)]
+        self.kept_after = [defaultdict(float), defaultdict(float)]
+        for k in (0, 1):
+            for u, w in self.pair[k]:
+                self.kept_after[k][u] += self.kept_pair(u, w, k)
+
+    @staticmethod
+    def split(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+
+    def left(self, count, discount, expected):
+        return max(count - discount - self.slack * expected - self.spread * expected**0.5, 0)
+
+    def kept_word(self, w, k):
+        return self.left(self.word[k][w], toxicity.DISCOUNT, (self.word[0][w] + self.word[1][w]) * self.n[k] / sum(self.n))
+
+    def kept_pair(self, u, w, k):
+        both = self.of[0][u] + self.of[1][u]
+        return self.left(self.pair[k][u, w], toxicity.PAIR_DISCOUNT, (self.pair[0][u, w] + self.pair[1][u, w]) * self.of[k][u] / both) if both else 0
+
+    def log_p(self, u, w, k):
+        shared = (self.word[0][w] + self.word[1][w]) / sum(self.n)
+        if not shared:  # in no model: the backoff's share alone counts
+            return np.log(self.spare[k]) + (np.log(1 - self.kept_after[k][u] / self.of[k][u]) if self.of[k][u] else 0)
+        p = self.kept_word(w, k) / self.n[k] + self.spare[k] * shared
+        if self.of[k][u]:
+            p = self.kept_pair(u, w, k) / self.of[k][u] + (1 - self.kept_after[k][u] / self.of[k][u]) * p
+        return np.log(p)
+
+    def ratio(self, text):
+        words = self.split(text)
+        steps = [self.log_p(u, w, 1) - self.log_p(u, w, 0) for u, w in zip(["", *words], words)]
+        return np.mean(steps) if steps else np.log(self.spare[1] / self.spare[0])
+
+
+def paired_tables(spark):
+    """Two words that are toxic only one after the other, in documents of their own words."""
+    docs, labels, true = toxic_tables(spark, 700)
+    own = lambda start, end: F.concat(F.lit(f" {start}"), F.col("doc_id").cast("string"), F.lit(f" {end} "))
+    text = F.when(F.col("doc_id") % 14 == 0, F.concat(own("p", "get lost"), "text")).otherwise(F.concat(own("p", "get it"), "text", own("q", "was lost")))
+    return docs.withColumn("text", text), labels, true
+
+
+def test_scores_match_brute_force(spark):
+    docs, labels, _ = paired_tables(spark)
+    rows, toxic = docs.collect(), {r.doc_id: r.toxic for r in labels.collect()}
+    fold = lambda r: zlib.crc32(str(r.doc_id).encode()) % 5
+    learned = [(r.text, toxic[r.doc_id]) for r in rows if r.doc_id in toxic and fold(r) > 1]
+    model = toxicity.fit(docs, labels)
+    assert len(model.pairs) and len(model.words)
+    found = [(d, PlainModels(learned, *d)) for d in toxicity.DISCOUNTS]
+    ratios = {d: np.array([m.ratio(r.text) for r in rows]) for d, m in found}
+    import pyarrow as pa
+
+    from slotloom.llm.words import buffers
+
+    got = model.ratio(*buffers(pa.array([r.text for r in rows])))
+    chosen = [d for d, x in ratios.items() if np.allclose(x, got, atol=1e-6)]
+    assert chosen
+    # No other threshold and no other discount makes fewer errors on the rows that set it.
+    checks = [i for i, r in enumerate(rows) if fold(r) == 1 and r.doc_id in toxic]
+    y = np.array([toxic[rows[i].doc_id] for i in checks])
+    errors = lambda x, at: int(((x >= at) != y).sum())
+    least = min(errors(x[checks], at) for x in ratios.values() for at in [*x[checks], np.inf])
+    assert errors(got[checks], model.threshold) <= least + 1
+    scores = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for r, x in zip(rows, ratios[chosen[0]]):
+        want = 1 / (1 + np.exp(-np.clip((x - model.threshold) / model.scale, -500, 500)))
+        assert np.isclose(scores[r.doc_id].score, want, atol=1e-4) and scores[r.doc_id].predicted == int(scores[r.doc_id].score >= 0.5)
+
+
+def test_toxicity_query_on_held_out_documents(spark, sf_dir):
+    import os
+
+    folder = f"{os.path.dirname(sf_dir.rstrip('/'))}/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    held = toxicity.op3_toxicity(spark, folder).where("held_out").join(labels, "doc_id").toPandas()
+    rank = held["score"].rank()
+    n = held["toxic"].sum()
+    area = (rank[held["toxic"] == 1].sum() - n * (n + 1) / 2) / (n * (len(held) - n))
+    assert area >= 0.8 and ((held["predicted"] == 1) & (held["toxic"] == 0)).sum() == 0
+
+
+def test_one_class_or_none_scores_nothing(spark):
+    docs, labels, _ = toxic_tables(spark, 60)
+    assert {(r.score, r.predicted) for r in toxicity.toxicity_scores(docs, labels.withColumn("toxic", F.lit(1))).collect()} == {(0.0, 0)}
+    # Only one class among the rows that set the threshold.
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    lonely = labels.where((fold != 1) | (F.col("toxic") == 0))
+    assert all(0 <= r.score <= 1 for r in toxicity.toxicity_scores(docs, lonely).collect())
+
+
 def test_toxicity_edges(spark, odd, crowded, odd_rows, no_documents):
     labels = spark.createDataFrame([(10, 1, 1), (11, 0, 1), (12, None, 1), (None, 1, 1), (10, 0, 0)], "doc_id long, toxic int, quality int")
     rows = toxicity.toxicity_scores(crowded, labels).collect()
@@ -256,7 +368,7 @@ def test_pipeline(spark, sf_dir):
     clean = stored(corpus_pipeline.toxicity(spark, docs, sf_dir), "t1")
     assert ids(clean) == ids(toxicity.toxicity_scores(docs, labels).where("predicted = 0")) and clean.columns == docs.columns
     apart = stored(corpus_pipeline.near_duplicates(spark, clean, sf_dir), "t2")
-    assert ids(apart) == ids(near_duplicates(clean).where("kept")) and apart.columns == docs.columns
+    assert ids(apart) == ids(near_duplicates(clean, 5, (80, 100)).where("kept")) and apart.columns == docs.columns
     fair = stored(corpus_pipeline.decontamination(spark, apart, sf_dir), "t3")
     assert ids(fair) == ids(contamination(apart, benchmark).where("not contaminated"))
     mixed = stored(corpus_pipeline.mixing(spark, fair, sf_dir), "t4")
