@@ -5,26 +5,30 @@ ids are written in ascending doc_id order with the least number of bits that the
 vocabulary needs.  A shard file is
 
     magic ``SLTB``, uint32 version, uint32 bits, uint32 ids per block,
-    uint64 documents, uint64 ids, uint64 blocks,
-    int64 doc_ids, uint8 doc_id present, uint64 id offsets (documents + 1),
+    uint64 documents, uint64 ids, uint64 blocks, uint64 bytes of doc_ids,
+    doc_ids as an Arrow stream of one column, uint64 id offsets (documents + 1),
     uint64 block offsets (bytes from the payload's start, blocks + 1), payload
 
 Blocks start at whole bytes, so any range of ids is read by unpacking only its
 blocks with numpy.  Shards are written under a name of the attempt and renamed,
-so a task that runs again on another executor leaves one whole file.
+so a task that runs again on another executor leaves one whole file; a failed attempt
+removes what it wrote.
 
 The tokenizer splits texts at places that depend on neighbouring characters only
 (before a single space, around a single line feed, between a letter and ASCII
 punctuation), so the pieces between such places are encoded once per distinct piece and the ids
-are gathered; the ids equal those of the whole text (tested).
+are gathered; the ids equal those of the whole text (tested).  Pieces are found by a hash and
+compared byte for byte; where two share a hash, or a token crosses a cut, the chunk's texts are
+encoded whole.
 
 Defined results: null and empty texts are the end id alone; null doc_ids come
-first; equal doc_ids are ordered by their text; an empty table writes nothing;
-extra columns are ignored.
+first; equal doc_ids are ordered by their text; doc_ids of any ordered type go; an
+empty table writes nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 import zlib
@@ -37,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.llm.shared import fresh_path, partitions, planned_bytes
-from slotloom.llm.words import U64, chunks, ragged, text_column, word_hashes
+from slotloom.llm.words import U64, chunks, ragged, text_column, tidy, word_hashes
 
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 32 << 20
-CACHED_PIECES = 2_000_000
-ENCODE_BYTES = 4 << 20
-_MAGIC, _VERSION = b"SLTB", 1
+#: What known pieces may take in a worker, and the text that is encoded at a time.
+CACHE_BYTES, ENCODE_BYTES = 24 << 20, 1 << 19
+#: Ranges of equal doc_ids may be cut between texts that differ in so many characters.
+ORDER_CHARS = 32
+_MAGIC, _VERSION, _HEAD = b"SLTB", 2, 48
 
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 _PUNCT = np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
@@ -102,8 +108,8 @@ class ShardWriter:
         self.payload = self.fs.open_output_stream(f"{self.part}.payload")
         self.offsets = [0]
 
-    def add(self, doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> None:
-        self.doc_ids += doc_ids
+    def add(self, doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_ids)
         self.lengths.append(lengths.astype(np.uint64))
         self.held.append(ids)
         self.n_held += len(ids)
@@ -125,11 +131,15 @@ class ShardWriter:
         self.payload.close()
         lengths = np.concatenate(self.lengths) if self.lengths else np.zeros(0, np.uint64)
         starts = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lengths, dtype=np.uint64)])
+        named = pa.BufferOutputStream()
+        with pa.ipc.new_stream(named, pa.schema([("doc_id", self.doc_ids[0].type)])) as stream:
+            for part in self.doc_ids:
+                stream.write_batch(pa.record_batch([part], ["doc_id"]))
+        named = named.getvalue()
         with self.fs.open_output_stream(self.part) as out:
             out.write(_MAGIC + np.array([_VERSION, self.bits, BLOCK_IDS], "<u4").tobytes())
-            out.write(np.array([len(self.doc_ids), starts[-1], len(self.offsets) - 1], "<u8").tobytes())
-            out.write(np.array([0 if d is None else d for d in self.doc_ids], "<i8").tobytes())
-            out.write(np.array([d is not None for d in self.doc_ids], np.uint8).tobytes())
+            out.write(np.array([len(lengths), starts[-1], len(self.offsets) - 1, named.size], "<u8").tobytes())
+            out.write(named)
             out.write(starts.astype("<u8").tobytes() + np.array(self.offsets, "<u8").tobytes())
             with self.fs.open_input_stream(f"{self.part}.payload") as payload:
                 while raw := payload.read(8 << 20):
@@ -138,6 +148,14 @@ class ShardWriter:
         self.fs.move(self.part, self.path)
         return int(starts[-1])
 
+    def abandon(self) -> None:
+        """Removes what a failed attempt has written."""
+        with contextlib.suppress(OSError, ValueError):
+            self.payload.close()
+        for path in (self.part, f"{self.part}.payload"):
+            with contextlib.suppress(OSError):
+                self.fs.delete_file(path)
+
 
 class ShardReader:
     """Random access to a shard: only the blocks of the asked ids are read."""
@@ -145,17 +163,15 @@ class ShardReader:
     def __init__(self, url: str):
         self.fs, self.path = _filesystem(url)
         self.file = self.fs.open_input_file(self.path)
-        head = self.file.read(40)
-        if head[:4] != _MAGIC:
-            raise ValueError(f"{url} is not a token shard")
+        head = self.file.read(_HEAD)
+        if head[:4] != _MAGIC or int(np.frombuffer(head, "<u4", 1, 4)[0]) != _VERSION:
+            raise ValueError(f"{url} is not a token shard of version {_VERSION}")
         self.bits, self.block = (int(x) for x in np.frombuffer(head, "<u4", 2, 8))
-        self.n_docs, self.n_ids, n_blocks = (int(x) for x in np.frombuffer(head, "<u8", 3, 16))
-        ids = np.frombuffer(self.file.read(8 * self.n_docs), "<i8")
-        present = np.frombuffer(self.file.read(self.n_docs), np.uint8)
-        self.doc_ids = [int(d) if p else None for d, p in zip(ids, present)]
+        self.n_docs, self.n_ids, n_blocks, named = (int(x) for x in np.frombuffer(head, "<u8", 4, 16))
+        self.doc_ids = pa.ipc.open_stream(self.file.read(named)).read_all()["doc_id"].combine_chunks()
         self.starts = np.frombuffer(self.file.read(8 * (self.n_docs + 1)), "<u8").astype(np.int64)
         self.offsets = np.frombuffer(self.file.read(8 * (n_blocks + 1)), "<u8").astype(np.int64)
-        self.base = 40 + 9 * self.n_docs + 8 * (self.n_docs + 1) + 8 * (n_blocks + 1)
+        self.base = _HEAD + named + 8 * (self.n_docs + 1) + 8 * (n_blocks + 1)
 
     def ids(self, start: int, end: int) -> np.ndarray:
         if end <= start:
@@ -190,11 +206,15 @@ class PieceEncoder:
             self.width[i] = len(token)
         for i, t in self.tokenizer.get_added_tokens_decoder().items():
             self.width[i] = len(t.content.encode())
-        self._forget()
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.ids, self.raw = np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        #: Of each known piece its first id and byte, and how many it has of both.
+        self.at, self.n, self.raw_at, self.raw_n = (np.zeros(0, np.int32) for _ in range(4))
 
-    def _forget(self) -> None:
-        self.hashes, self.at, self.n = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+    def _held(self) -> int:
+        return 24 * len(self.hashes) + 4 * len(self.ids) + len(self.raw)
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of pieces: document starts, single spaces between solid characters, letter to punctuation."""
@@ -223,19 +243,32 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(docs, np.int64)
         ends = np.append(starts[1:], len(data))
         distinct, first, which = np.unique(word_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
+        lengths = ends - starts
+        alike = lengths[first]
+        # Pieces tile the chunk, so the first pieces of their hashes must give the chunk again.
+        same = (alike[which] == lengths).all() and (data[ragged(starts[first][which], lengths)] == data[starts[0] :]).all()
+        if self._held() > CACHE_BYTES:
+            self.forget()
         place = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
         new = np.ones(len(distinct), bool) if not len(self.hashes) else self.hashes[place] != distinct
-        if new.any():
-            if len(self.hashes) + int(new.sum()) > CACHED_PIECES:
-                self._forget()
-                new[:] = True
-            self._learn(data, starts[first[new]], ends[first[new]], distinct[new])
-            place = np.searchsorted(self.hashes, distinct)
+        if same and not new.all():
+            old, p = first[~new], place[~new]
+            same = (self.raw_n[p] == lengths[old]).all() and (self.raw[ragged(self.raw_at[p].astype(np.int64), lengths[old])] == data[ragged(starts[old], lengths[old])]).all()
+        if not same or (new.any() and not self._learn(data, starts[first[new]], ends[first[new]], distinct[new])):
+            return self._whole(data, offsets)
+        place = np.searchsorted(self.hashes, distinct)
         at, n = self.at[place][which].astype(np.int64), self.n[place][which]
         doc = np.searchsorted(offsets, starts, "right") - 1
         return self.ids[ragged(at, n)], np.bincount(doc, n, docs).astype(np.int64)
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` without pieces."""
+        raw = data.tobytes()
+        found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])], add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, np.uint32) for e in found]), np.array([len(e.ids) for e in found], np.int64)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> bool:
+        """Encodes new pieces; false, with nothing learned, if a token crosses two of them."""
         # Pieces that start with a space and a solid character may follow each other in one text: the splits
         # between them stay.  Others are encoded alone.
         lengths = ends - starts
@@ -258,15 +291,18 @@ class PieceEncoder:
                 counts[a] = len(ids)
             else:
                 upto = np.cumsum(self.width[ids])
-                last = np.searchsorted(upto, np.cumsum(lengths[a:b]))
-                if upto[-1] != lengths[a:b].sum() or (upto[last] != np.cumsum(lengths[a:b])).any():
-                    raise ArithmeticError("a token crosses two pieces")
+                bounds = np.cumsum(lengths[a:b])
+                last = np.minimum(np.searchsorted(upto, bounds), len(upto) - 1)
+                if upto[-1] != bounds[-1] or (upto[last] != bounds).any():
+                    return False
                 counts[a:b] = np.diff(last + 1, prepend=0)
-        at = (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)
-        all_hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(all_hashes, kind="stable")
-        self.hashes, self.at, self.n = all_hashes[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, counts])[order]
-        self.ids = np.concatenate(flat)
+        at, raw_at = len(self.ids) + np.cumsum(counts) - counts, len(self.raw) + np.cumsum(lengths) - lengths
+        known = np.concatenate([self.hashes, hashes])
+        order = np.argsort(known, kind="stable")
+        self.hashes = known[order]
+        self.at, self.n, self.raw_at, self.raw_n = (np.concatenate([old, more.astype(np.int32)])[order] for old, more in ((self.at, at), (self.n, counts), (self.raw_at, raw_at), (self.raw_n, lengths)))
+        self.ids, self.raw = np.concatenate(flat), np.concatenate([self.raw, data[ragged(starts, lengths)]])
+        return True
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -280,19 +316,25 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def _write(folder: str, tokenizer_path: str, end_id: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, writer, shard = encoder(tokenizer_path), None, TaskContext.get().partitionId()
         url, docs = f"{folder}/shard-{shard:08d}.sltb", 0
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in chunks(text_column(batch.column(1)), ENCODE_BYTES):
-                ids, n = enc.encode(data, offsets)
-                ends = np.cumsum(n)
-                writer = writer or ShardWriter(url, bits_for(enc.vocabulary))
-                writer.add(doc_ids[lo:hi], n + 1, np.insert(ids, ends, np.uint32(end_id)))
-                docs += hi - lo
+        try:
+            for batch in batches:
+                for lo, hi, data, offsets in chunks(text_column(batch.column(1)), ENCODE_BYTES):
+                    ids, n = enc.encode(data, offsets)
+                    writer = writer or ShardWriter(url, bits_for(enc.vocabulary))
+                    writer.add(pa.concat_arrays([batch.column(0).slice(lo, hi - lo)]), n + 1, np.insert(ids, np.cumsum(n), np.uint32(end_id)))
+                    docs += hi - lo
+            n_ids = writer.close() if writer else 0
+        except BaseException:
+            if writer:
+                writer.abandon()
+            raise
+        finally:
+            enc.forget()
         if writer:
-            n_ids = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([url]), pa.array([docs], pa.int64()), pa.array([n_ids], pa.int64())], ["shard", "url", "n_docs", "n_ids"])
 
     return run
@@ -306,7 +348,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     spark = docs.sparkSession
     shards = max(partitions(spark), planned_bytes(docs) // SHARD_BYTES)
     rows = docs.select("doc_id", "text")
-    rows = rows.repartitionByRange(int(shards), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id, or of none, may be cut by their texts, in the same order.
+    rows = rows.repartitionByRange(int(shards), F.col("doc_id"), F.substring("text", 1, ORDER_CHARS)).sortWithinPartitions("doc_id", "text")
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
     manifest = rows.mapInArrow(_write(folder, tokenizer_path, end_id), "shard int, url string, n_docs long, n_ids long").collect()
@@ -317,9 +360,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     return spark.createDataFrame(out, "shard int, url string, n_docs long, n_ids long, start long")
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the shard files."""
+def read_token_files(manifest: DataFrame, kind: str = "bigint") -> DataFrame:
+    """doc_id (of type ``kind``), start, n_tokens, ids_crc32 of each document, from the shard files."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for url, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -330,13 +374,13 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     ids = reader.ids(base, int(reader.starts[end])).astype("<u4")
                     edges = reader.starts[at : end + 1] - base
                     crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
-                    columns = [pa.array(reader.doc_ids[at:end], pa.int64()), pa.array(edges[:-1] + base + start), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
+                    columns = [reader.doc_ids.slice(at, end - at), pa.array(edges[:-1] + base + start), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
                     at = end
 
     spark = manifest.sparkSession
     spread = manifest.select("url", "start").repartition(max(1, min(manifest.count(), 4 * partitions(spark))))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -347,4 +391,4 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_token_files(write_token_files(docs, fresh_path(spark, "tokens"), tokenizer_file()))
+    return read_token_files(write_token_files(docs, fresh_path(spark, "tokens"), tokenizer_file()), docs.schema["doc_id"].dataType.simpleString())
