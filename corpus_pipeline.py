@@ -7,7 +7,10 @@
 4. mixing: rows are repeated so that expected domain tokens reach their target shares;
    the token budget is the least at which no domain shrinks, and every document stays
    at least once.
-5. tokens: the ids of what is left, as bit-packed files, read back.
+5. tokens: the ids of what is left, as bit-packed files, read back.  The files stay in the
+   folder that ``run`` or ``tokens`` is given; without one they go when the driver ends.
+
+Each stage first takes the broadcasts of earlier ones back from the executors.
 """
 
 from __future__ import annotations
@@ -15,30 +18,36 @@ from __future__ import annotations
 from slotloom.llm.decontaminate import decontaminate
 from slotloom.llm.mixing import TARGET_WEIGHTS, known_domains, mixed
 from slotloom.llm.near_dedup import drop_near_duplicates
-from slotloom.llm.shared import fresh_path, stored
+from slotloom.llm.shared import fresh_path, recall, stored
 from slotloom.llm.token_files import read_token_files, tokenizer_file, write_token_files
 from slotloom.llm.toxicity import drop_toxic
 
 
 def toxicity(spark, docs, sf_dir: str):
+    recall()
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark, docs, sf_dir: str):
+    recall()
     return drop_near_duplicates(docs, size=5, similarity=(80, 100))
 
 
 def decontamination(spark, docs, sf_dir: str):
+    recall()
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark, docs, sf_dir: str):
+    recall()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixed(docs, known_domains(docs, labels), TARGET_WEIGHTS, at_least=1)
 
 
-def tokens(spark, docs, sf_dir: str):
-    return read_token_files(write_token_files(docs, fresh_path(spark, "pipeline-tokens"), tokenizer_file()))
+def tokens(spark, docs, sf_dir: str, folder: str | None = None):
+    recall()
+    manifest = write_token_files(docs, folder or fresh_path(spark, "pipeline-tokens"), tokenizer_file())
+    return read_token_files(manifest, docs.schema["doc_id"].dataType.simpleString())
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
@@ -47,8 +56,9 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decont
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark, sf_dir: str, folder: str | None = None):
+    """The rows of the last stage; ``folder`` keeps the token files."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return tokens(spark, docs, sf_dir, folder)
