@@ -9,7 +9,10 @@ expressions, so judging is one codegen'd projection without Python.
 
 Suffix statistics are smoothed block shares of the last label of hosts, of their
 last two labels, and of these with the first path segment, over all labelled urls,
-in ``SUFFIX_CELLS`` hash cells each: a table of fixed size.
+in ``SUFFIX_CELLS`` hash cells each: a table of fixed size.  A share leans on that of the
+shorter suffix, so an unseen suffix has its.  They are counted in
+``FOLDS`` folds of urls, and a sample row gets the shares of the other folds, so a tree
+never sees a row's own label (nor that of equal urls) in its features.
 
 Defined results: null urls and urls without ``://`` have an empty host and path
 and are allowed unless the trees say otherwise; with fewer than two classes among
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 from slotloom.llm.shared import stored
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS, SAMPLE_PARTS = 20_000, 4
 SUFFIX_CELLS = 4096
+FOLDS = 5
 TREES, DEPTH = 10, 4
 MAX_RULE_EXPRESSIONS = 256
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -82,8 +86,8 @@ def _cell(labels: int) -> Column:
     return F.pmod(F.xxhash64(*parts, F.lit(labels)), F.lit(SUFFIX_CELLS)).cast("int")
 
 
-def lexical_features(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """``rows`` (url, host, path) with the columns FEATURES."""
+def lexical_features(rows: DataFrame, suffixes: DataFrame, own_fold: bool = False) -> DataFrame:
+    """``rows`` (url, host, path) with the columns FEATURES; with ``own_fold`` suffix shares come from the folds that the url isn't in."""
     url = F.coalesce(F.col("url"), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1)).cast("double")
     times = lambda c: (F.length(url) - F.length(F.replace(url, F.lit(c)))).cast("double")
@@ -99,16 +103,31 @@ def lexical_features(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
         "digit_ratio": F.length(F.regexp_replace(url, "[^0-9]", "")) / size, "entropy": F.aggregate(chars, F.lit(0.0), spread),
         "parameters": F.when(url.contains("?"), times("&") + 1).otherwise(F.lit(0.0)), "hyphens": times("-"), **{f"cell{k}": _cell(k) for k in (1, 2, 3)},
     })
+    shorter = F.lit(0.5)
     for k in (1, 2, 3):
-        table = suffixes.where(F.col("labels") == k).select(F.col("cell").alias(f"cell{k}"), F.col("block_share").alias(f"suffix{k}"))
-        rows = rows.join(F.broadcast(table), f"cell{k}", "left").withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", F.lit(0.5)))
+        table = suffixes.where(F.col("labels") == k)
+        if own_fold:
+            blocked, n = F.col("blocked") - F.element_at("by_fold", _fold() + 1)["blocked"], F.col("n") - F.element_at("by_fold", _fold() + 1)["n"]
+        else:
+            blocked, n = F.col("blocked"), F.col("n")
+        table = table.select(F.col("cell").alias(f"cell{k}"), "blocked", "n", "by_fold")
+        rows = rows.join(F.broadcast(table), f"cell{k}", "left").withColumn(f"suffix{k}", (F.coalesce(blocked, F.lit(0.0)) + 2 * shorter) / (F.coalesce(n, F.lit(0.0)) + 2)).drop("blocked", "n", "by_fold")
+        shorter = F.col(f"suffix{k}")
     return rows
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(5)), F.lit(FOLDS)).cast("int")
+
+
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(labels, cell, block_share) over all labelled urls; at most 3 * SUFFIX_CELLS rows."""
+    """(labels, cell, blocked, n, by_fold) over all labelled urls; at most 3 * SUFFIX_CELLS rows, each with FOLDS pairs."""
     blocked = (F.col("rule_verdict") == "block").cast("double")
-    each = [labelled.groupBy(_cell(k).alias("cell")).agg(((F.sum(blocked) + 1) / (F.count(F.lit(1)) + 2)).alias("block_share")).select(F.lit(k).alias("labels"), "cell", "block_share") for k in (1, 2, 3)]
+    each = []
+    for k in (1, 2, 3):
+        of_fold = [F.struct(F.sum(F.when(_fold() == f, blocked).otherwise(0.0)).alias("blocked"), F.sum((_fold() == f).cast("double")).alias("n")) for f in range(FOLDS)]
+        found = labelled.groupBy(_cell(k).alias("cell")).agg(F.sum(blocked).alias("blocked"), F.count(F.lit(1)).cast("double").alias("n"), F.array(*of_fold).alias("by_fold"))
+        each.append(found.select(F.lit(k).alias("labels"), "cell", "blocked", "n", "by_fold"))
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
@@ -127,11 +146,12 @@ def trained_trees(labelled: DataFrame, suffixes: DataFrame) -> Column | None:
     from pyspark.ml.feature import VectorAssembler
 
     sample = labelled.orderBy(F.xxhash64("url"), "page_id").limit(SAMPLE_ROWS)
-    sample = stored(lexical_features(sample, suffixes).select(*FEATURES, (F.col("rule_verdict") == "block").cast("double").alias("label")), "sample")
+    sample = stored(lexical_features(sample, suffixes, own_fold=True).coalesce(SAMPLE_PARTS).select(*FEATURES, (F.col("rule_verdict") == "block").cast("double").alias("label")), "sample")
     if sample.select("label").distinct().count() < 2:
         return None
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("features", "label").cache()
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label").fit(data)
+    data.unpersist()
     margin = F.lit(0.0)
     for weight, tree in zip(model.treeWeights, model.trees):
         margin = margin + F.lit(float(weight)) * _expression(tree._java_obj.rootNode(), FEATURES)
