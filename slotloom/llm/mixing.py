@@ -14,22 +14,28 @@ each iteration is one aggregate of D sums over a small table, and the rate of a
 document is a fold over the residuals of all iterations; nothing is shuffled or
 checkpointed between them.
 
+``Mixture.gap`` is the share of the target tokens that the rates miss; it isn't 0 where the
+memberships can't meet the targets, or if the iterations end first (``converged`` is false
+then, and a warning says so).  The domains of the registered query are languages: a source
+can't be told from a text, a language can, and posteriors need what a text shows.
+
 Defined results: null or empty texts have no tokens, the prior as posterior, and a
 rate like any other; unknown or null domains in labelled rows are ignored; a domain
 without labelled rows gets no membership; domains with no weight aim at zero tokens;
 an empty table gives no rows; without labelled rows all rates are 1; columns of the
-input pass through in ``mixed``.
+input pass through in ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import stored
+from slotloom.llm.shared import quoted, stored, unused
 
 #: Characters whose frequencies are the classifier's features.
 FEATURE_CHARS = ("a", "c", "d", "e", "h", "i", "n", "o", "q", "s", "t", "u", "w", "z", "é", "è", "ä", "ü", "ó", "ñ")
@@ -47,6 +53,11 @@ class Mixture(NamedTuple):
     targets: list[float]
     history: list[list[float]]
     expected: list[float]
+    converged: bool = True
+
+    @property
+    def gap(self) -> float:
+        return sum(abs(n - x) for n, x in zip(self.expected, self.targets)) / (sum(self.targets) or 1.0)
 
 
 def token_count(text: Column) -> Column:
@@ -156,17 +167,21 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
         budget = max((n / s for n, s in zip(now, share) if s > 0), default=0.0)
     targets = [s * budget for s in share]
     history: list[list[float]] = []
-    at, before = now, math.inf
-    for k in range(MAX_ITERATIONS):
+    at, before, converged = now, math.inf, False
+    for k in range(MAX_ITERATIONS + 1):
         value = sum((n - x) ** 2 / s for n, x, s in zip(now, targets, scale))
-        if sum(abs(n - x) for n, x in zip(now, targets)) <= TOLERANCE * max(budget, 1) or 0 <= before - value <= STALL * value:
+        converged = sum(abs(n - x) for n, x in zip(now, targets)) <= TOLERANCE * max(budget, 1) or 0 <= before - value <= STALL * value
+        if converged or k == MAX_ITERATIONS:
             break
         before = value
         history.append([(n - x) / s for n, x, s in zip(at, targets, scale)] + [momentum(k)])
         moved = members.select("tokens", "posteriors", _folded(p, history, "r").alias("r"), _folded(p, history, "y").alias("y"))
         sums = moved.agg(*[F.sum(F.col(v) * t * p[d]).alias(f"{v}{d}") for v in "ry" for d in range(size)]).first()
         now, at = ([float(sums[f"{v}{d}"] or 0) for d in range(size)] for v in "ry")
-    return Mixture(domains, stats, targets, history, now), members
+    mixture = Mixture(domains, stats, targets, history, now, converged)
+    if not converged:
+        warnings.warn(f"mixing stopped after {MAX_ITERATIONS} iterations, {mixture.gap:.2g} of the target tokens away", stacklevel=2)
+    return mixture, members
 
 
 def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None) -> DataFrame:
@@ -191,10 +206,11 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budge
     mixture, _ = fit(docs, labelled, weights, budget)
     if not mixture.history:
         return docs
-    rows = docs.withColumns({"__tokens": token_count(F.col("text")), "__features": feature_array(F.col("text"))})
-    rows = rows.withColumn("__posteriors", posterior_array(F.col("__features"), F.col("__tokens"), mixture.stats))
-    rows = rows.withColumn("__copies", copies(F.col("doc_id"), rate(F.col("__posteriors"), mixture.history), seed, at_least))
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    tokens, features, posteriors, times, copy = unused(docs.columns, "tokens", "features", "posteriors", "copies", "copy")
+    rows = docs.withColumns({tokens: token_count(F.col("text")), features: feature_array(F.col("text"))})
+    rows = rows.withColumn(posteriors, posterior_array(F.col(features), F.col(tokens), mixture.stats))
+    rows = rows.withColumn(times, copies(F.col("doc_id"), rate(F.col(posteriors), mixture.history), seed, at_least))
+    return rows.select(*quoted(docs.columns), F.explode(F.array_repeat(F.lit(1), F.col(times))).alias(copy)).drop(copy)
 
 
 def known_domains(docs: DataFrame, labels: DataFrame, column: str = "lang") -> DataFrame:

@@ -41,9 +41,12 @@ def no_documents(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+CLASHING = ("key", "hash", "part", "fp", "removed", "node", "score", "tokens", "features", "digest", "norm", "row", "own", "at", "copies", "copy", "posteriors", "__key", "__kept_key", "__removed", "__tokens", "__features", "__posteriors", "__copies", "__copy", "__hit_key", "kept", "Sha", "a.b", "c`d")
+
+
 @pytest.fixture(scope="session")
 def crowded(odd):
     """Extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    return odd.withColumns({c: F.lit(None).cast("string") for c in ("key", "hash", "part", "fp", "removed", "node", "score", "tokens", "features", "digest")})
+    return odd.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
