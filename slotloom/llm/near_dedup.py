@@ -12,9 +12,10 @@
    Inside a group agreeing coordinates are counted for pairs, pairs below the
    match threshold go, and the rest are confirmed on full shingle sets, best
    agreement first; a pair that is already connected is skipped (merging).
-   Large groups are cut into blocks: each block meets itself and a few pivots,
-   and then only classes outside of the group's main component meet all blocks.
-   A task gives a spanning forest, never all pairs.
+   Large groups are cut into blocks: each block meets itself and a few pivots.
+   Then classes outside of the group's main component meet all of it, in blocks of
+   signatures first; only those with an agreeing partner in a block meet it with their
+   texts.  A task gives a spanning forest, never all pairs.
 4. The components of these links are the result.
 
 ``matches`` follows from the similarity: a pair that is just similar enough agrees on
@@ -22,13 +23,16 @@ fewer coordinates with a probability of at most ``MISSED`` (42 of 64 for 0.85, 3
 0.80); more similar pairs with much less.  Hot values
 (held by more than 1/``HOT_SHARE`` of the classes, at most
 ``COORDINATES * HOT_SHARE`` of them) are the only ones that are broadcast; their
-postings are never brought together in a task.
+postings are counted by blocks and never brought together in a task.  The order of
+values only has to be the same everywhere, so a count of a hot value leaves out the
+blocks in which it occurs once.
 
 Defined results: null texts and texts without words have an empty set and are
 linked with nothing; a text with fewer words than a shingle is one shingle;
 repeated rows are copies of each other and of equal doc_ids all rows share
-``kept``; a null doc_id never is the smallest; an empty table gives no rows;
-extra columns are ignored or passed through.
+``kept``; ``drop_near_duplicates`` keeps one row of each component; a null doc_id never is
+the smallest; an empty table gives no rows; extra columns are ignored or pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -45,15 +49,17 @@ from pyspark.sql import functions as F
 
 from slotloom.llm.graph import components
 from slotloom.llm.keyfilter import likely, sent_filter
-from slotloom.llm.shared import partitions, planned_bytes, stored
-from slotloom.llm.words import NON_SPACE, U64, _splitmix, chunks, mix, scan, text_column, windows, word_hashes
+from slotloom.llm.shared import even_keys, partitions, planned_bytes, quoted, send, stored, unused
+from slotloom.llm.words import NON_SPACE, U64, _splitmix, chunks, mix, scan, text_column, tidy, windows, word_hashes
 
 SHINGLE_WORDS = 3
 SIMILARITY = (85, 100)
 COORDINATES = 64
 MISSED = 3e-5
 HOT_SHARE, HOT_LEAST = 4000, 500
-BLOCK_CLASSES, BLOCK_SHINGLES, PIVOTS = 700, 1_500_000, 6
+BLOCK_CLASSES, BLOCK_SHINGLES, PIVOTS = 200, 1_500_000, 6
+#: Signatures that meet in a block when loose classes meet their group.
+CROSS_CLASSES = 2000
 
 _FACTORS = np.array([_splitmix(7000 + j) | 1 for j in range(COORDINATES)], U64)
 _TERMS = np.array([_splitmix(9000 + j) for j in range(COORDINATES)], U64)
@@ -103,6 +109,7 @@ def signatures(shingles: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _sign(size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, sig = [], [], []
@@ -148,10 +155,12 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 def _hot_values(classes: DataFrame, parts: int) -> dict[int, int]:
     """Values held by many classes, with their counts; there are at most COORDINATES * HOT_SHARE."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
             hashes, counts = np.unique(_posts(batch)[1], return_counts=True)
-            rows = [(p, hashes[at].tobytes(), counts[at].astype(np.int32).tobytes()) for p, at in _by_part(_part_of(hashes, parts), parts)]
+            hashes, counts = hashes[counts > 1], counts[counts > 1]
+            rows = [(int(keys[p]), hashes[at].tobytes(), counts[at].astype(np.int32).tobytes()) for p, at in _by_part(_part_of(hashes, parts), parts)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "counts"])
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
@@ -162,6 +171,8 @@ def _hot_values(classes: DataFrame, parts: int) -> dict[int, int]:
         many = counts > least
         return pd.DataFrame({"hash": hashes[many].view(np.int64), "n": counts[many]})
 
+    keys = even_keys(classes.sparkSession, parts)
+    parts = len(keys)
     least = max(HOT_LEAST, classes.count() // HOT_SHARE)
     counted = classes.select("node", "sig").mapInArrow(count, "part int, hashes binary, counts binary")
     return {r.hash: r.n for r in counted.groupBy("part").applyInPandas(total, "hash long, n long").collect()}
@@ -171,8 +182,13 @@ def prefix_postings(classes: DataFrame, least: int) -> DataFrame:
     """(hash, node): the rarest values, as many as the prefix for ``least`` matches needs, of classes with enough shared values."""
     spark = classes.sparkSession
     parts = max(2 * partitions(spark), planned_bytes(classes) // (4 << 20))
-    hot = spark.sparkContext.broadcast(_hot_values(classes, parts))
+    keys = even_keys(spark, 2 * int(parts))
+    parts = len(keys) // 2
+    # The postings of a range of values have the first half of the keys, those of a group of nodes the second.
+    of_nodes = np.sort(keys[parts:])
+    hot = send(spark, _hot_values(classes, parts))
 
+    @tidy
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_hashes = np.array(sorted(np.array(list(hot.value), np.int64).view(U64).tolist()), U64)
         hot_counts = np.array([hot.value[h] for h in hot_hashes.view(np.int64).tolist()], np.int64)
@@ -186,16 +202,17 @@ def prefix_postings(classes: DataFrame, least: int) -> DataFrame:
             rows = []
             cold = np.flatnonzero(~is_hot)
             for p, at in _by_part(_part_of(hashes[cold], parts), parts):
-                rows.append((p, hashes[cold[at]].tobytes(), nodes[cold[at]].tobytes(), b""))
+                rows.append((int(keys[p]), hashes[cold[at]].tobytes(), nodes[cold[at]].tobytes(), b""))
             warm = np.flatnonzero(is_hot)
             for p, at in _by_part((mix(nodes[warm].view(U64)) % U64(parts)).astype(np.int64), parts):
                 at = warm[at]
-                rows.append((parts + p, hashes[at].tobytes(), nodes[at].tobytes(), hot_counts[place[at]].tobytes()))
+                rows.append((int(keys[parts + p]), hashes[at].tobytes(), nodes[at].tobytes(), hot_counts[place[at]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), *[pa.binary()] * 3))], ["part", "hashes", "nodes", "counts"])
 
     def share(group: pd.DataFrame) -> pd.DataFrame:
         """Of a range of values those that several classes hold, for their nodes' parts."""
-        if group["part"].iloc[0] >= parts:
+        part = group["part"].iloc[0]
+        if of_nodes[min(np.searchsorted(of_nodes, part), len(of_nodes) - 1)] == part:
             return group
         hashes = np.frombuffer(b"".join(group["hashes"]), U64)
         nodes = np.frombuffer(b"".join(group["nodes"]), np.int64)
@@ -204,7 +221,7 @@ def prefix_postings(classes: DataFrame, least: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         counts = np.repeat(np.diff(np.append(first, len(hashes))), np.diff(np.append(first, len(hashes)))).astype(np.int64)
         many = np.flatnonzero(counts > 1)
-        rows = [(parts + p, hashes[many[at]].tobytes(), nodes[many[at]].tobytes(), counts[many[at]].tobytes()) for p, at in _by_part((mix(nodes[many].view(U64)) % U64(parts)).astype(np.int64), parts)]
+        rows = [(int(keys[parts + p]), hashes[many[at]].tobytes(), nodes[many[at]].tobytes(), counts[many[at]].tobytes()) for p, at in _by_part((mix(nodes[many].view(U64)) % U64(parts)).astype(np.int64), parts)]
         return pd.DataFrame(rows, columns=["part", "hashes", "nodes", "counts"])
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
@@ -343,6 +360,32 @@ def _group_links(size: int, similarity: tuple[int, int]):
     return run
 
 
+def _agreeing(similarity: tuple[int, int]):
+    """Of the blocks of a part, by signatures alone: rows that agree enough with a row of another label, of which one has ``role`` 1."""
+    (top, of), least = similarity, matches(similarity)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (grp, block), g in part.groupby(["grp", "block"], sort=False):
+            sig = np.frombuffer(b"".join(g["sig"]), U64).reshape(-1, COORDINATES).astype(np.uint32)
+            n, label, role = g["size"].to_numpy(), g["label"].to_numpy(), g["role"].to_numpy()
+            some, meets = np.zeros(len(g), bool), np.flatnonzero(role == 1)
+            for at in range(0, len(meets), 128):
+                rows = meets[at : at + 128]
+                same = np.zeros((len(rows), len(g)), np.uint8)
+                for j in range(COORDINATES):
+                    same += sig[rows, j, None] == sig[None, :, j]
+                ok = (same >= least) & (label[rows, None] != label[None, :]) & (of * np.minimum(n[rows, None], n[None, :]) >= top * np.maximum(n[rows, None], n[None, :]))
+                some[rows] |= ok.any(1)
+                some |= ok.any(0)
+            found = g[some]
+            if len(found):
+                out.append(pd.DataFrame({"node": found["node"], "grp": grp, "block": block, "role": found["role"], "label": found["label"]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["node", "grp", "block", "role", "label"])
+
+    return run
+
+
 def links(docs: DataFrame, classes: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): confirmed links between classes (node, rep_key, n, sig) that span all their components."""
     spark = classes.sparkSession
@@ -350,24 +393,28 @@ def links(docs: DataFrame, classes: DataFrame, size: int, similarity: tuple[int,
     least = posts.groupBy("hash").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("h"), "b")
     star = posts.join(stored(least, "least"), F.col("hash") == F.col("h")).select(F.col("node").alias("a"), "b")
     groups = components(star, "groups")
-    members = groups.join(classes, groups.vertex == classes.node).select("node", F.col("label").alias("grp"), "rep_key", F.col("n").alias("size"), "sig")
-    members = stored(members, "members")
-    # Few documents stand for classes in groups: a filter of fixed size keeps the other texts out of the shuffle.
-    texts = likely(docs.select(F.xxhash64("doc_id", "text").alias("text_key"), "text"), sent_filter(members.select("rep_key")))
+    # Few classes are in groups: filters keep the other signatures and texts out of the shuffles.
+    grouped = likely(classes.select("node", "rep_key", F.col("n").alias("size"), "sig"), sent_filter(groups.select("vertex")))
+    members = stored(groups.join(grouped, groups.vertex == grouped.node).select("node", F.col("label").alias("grp"), "rep_key", "size", "sig"), "members")
+    # Repeated rows combine before the shuffle.
+    texts = likely(docs.select(F.xxhash64("doc_id", "text").alias("text_key"), "text"), sent_filter(members.select("rep_key"))).groupBy("text_key").agg(F.first("text").alias("text"))
     known = members.select("node", "rep_key", "sig")
     texts = stored(known.join(texts, known.rep_key == texts.text_key).select(F.col("node").alias("of"), "sig", "text"), "member-texts")
-    members = members.select("node", "grp", "size")
     blocks = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
-    blocks = blocks.select(F.col("grp").alias("g"), F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    large = stored(blocks.where("blocks > 1"), "large")
+    large = blocks.select(F.col("grp").alias("g"), F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.ceil(F.greatest(F.col("m") / CROSS_CLASSES, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("crossed"))
+    large = stored(large.where("blocks > 1"), "large")
+    signed = members.select("node", "grp", "size", "sig")
+    members = members.select("node", "grp")
     placed = members.join(large, members.grp == large.g, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.expr("pmod(xxhash64(node, 1), blocks)").cast("int")).drop("g")
-    parts = max(2 * partitions(spark), planned_bytes(texts) // (4 << 20))
+    parts = even_keys(spark, int(max(4 * partitions(spark), planned_bytes(texts) // (2 << 20))))
+    listed = F.split(F.lit(",".join(map(str, parts))), ",").cast("array<int>")
+    part = F.get(listed, F.expr(f"pmod(xxhash64(grp, block), {len(parts)})").cast("int")).alias("part")
     run = _group_links(size, similarity)
 
     def met(rows: DataFrame) -> DataFrame:
         """Links of rows (node, grp, block, role, label)."""
-        full = rows.join(texts, rows.node == texts.of).select("node", "grp", "sig", "block", "role", "label", "text", F.expr(f"pmod(xxhash64(grp, block), {parts})").cast("int").alias("part"))
+        full = rows.join(texts, rows.node == texts.of).select("node", "grp", "sig", "block", "role", "label", "text", part)
         return full.groupBy("part").applyInPandas(run, "a long, b long")
 
     columns = ("node", "grp", "block", "role", "label")
@@ -379,24 +426,25 @@ def links(docs: DataFrame, classes: DataFrame, size: int, similarity: tuple[int,
     picks = picks.select(F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.node") for i in range(PIVOTS)]))).alias("pick"))
     pivots = in_large.join(picks, in_large.node == picks.pick).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "grp", "block", F.lit(1).alias("role"), F.lit(0).cast("long").alias("label"))
     first = stored(met(own.unionByName(pivots)), "links-first")
-    # What isn't connected to the main component of its group meets all other blocks.
+    # What isn't connected to the main component of its group meets all of the group, by signatures.
     labels = components(first, "blocks")
-    labelled = in_large.join(labels, in_large.node == labels.vertex, "left").withColumn("label", F.coalesce("label", "node")).drop("vertex")
-    labelled = stored(labelled.withColumn("block", F.expr("pmod(xxhash64(node, 1), blocks)").cast("int")), "labelled")
+    labelled = in_large.join(labels, in_large.node == labels.vertex, "left").withColumn("label", F.coalesce("label", "node")).drop("vertex", "blocks")
+    labelled = stored(labelled.withColumn("block", F.expr("pmod(xxhash64(node, 1), crossed)").cast("int")), "labelled")
     main = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", "label")).alias("top"))
     main = stored(main.select(F.col("grp").alias("g"), F.col("top.label").alias("main")), "main")
     rest = labelled.join(main, labelled.grp == main.g).where("label <> main")
     loose = stored(rest.drop("g", "main"), "loose")
     if not loose.take(1):
         return first
-    loose_blocks = stored(loose.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("rb")).select(F.col("grp").alias("g"), "rb"), "loose-blocks")
+    loose_blocks = stored(loose.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / CROSS_CLASSES).cast("int").alias("rb")).select(F.col("grp").alias("g"), "rb"), "loose-blocks")
     # A task is a block of the group with a block of the loose classes: block number * loose blocks + loose block.
     theirs = loose.join(loose_blocks, loose.grp == loose_blocks.g).withColumn("r", F.expr("pmod(xxhash64(node, 2), rb)").cast("int"))
-    theirs = theirs.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", (F.col("o") * F.col("rb") + F.col("r")).cast("int")).withColumn("role", F.lit(1)).select(*columns)
+    theirs = theirs.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("crossed") - 1))).withColumn("block", (F.col("o") * F.col("rb") + F.col("r")).cast("int")).withColumn("role", F.lit(1)).select(*columns)
     ours = labelled.join(loose_blocks, labelled.grp == loose_blocks.g).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)))
     ours = ours.withColumn("block", (F.col("block") * F.col("rb") + F.col("r")).cast("int")).withColumn("role", F.lit(0)).select(*columns)
-    second = met(theirs.unionByName(ours))
-    return stored(first.unionByName(second), "links")
+    both = theirs.unionByName(ours).join(signed.select(F.col("node").alias("of"), "size", "sig"), F.col("node") == F.col("of")).select(*columns, "size", "sig", part)
+    agreeing = stored(both.groupBy("part").applyInPandas(_agreeing(similarity), "node long, grp long, block int, role int, label long"), "agreeing")
+    return stored(first.unionByName(met(agreeing)), "links")
 
 
 # -- the operator -----------------------------------------------------------------------------------------------------
@@ -427,10 +475,33 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tupl
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept."""
-    kept = _labelled(docs, size, similarity).where("kept").select(F.col("key").alias("__kept_key")).distinct()
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(kept, F.col("__key") == F.col("__kept_key"), "left_semi").drop("__key")
+    """``docs`` with one row of each component, all columns kept.
+
+    A component's document stands for it: rows with the doc_id of that document and another text of
+    the component stay too, but of rows with the same doc_id and text one stays.
+    """
+    own, key, row = unused(docs.columns, "own", "key", "row")
+    found = _labelled(docs, size, similarity).where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
+    kept = stored(found, "kept")
+    keyed = docs.select(*quoted(docs.columns), F.xxhash64("doc_id", "text").alias(own))
+    single = keyed.join(kept.where("n = 1 or n_shingles = 0").select(F.col("key").alias(key)), F.col(own) == F.col(key), "left_semi").drop(own)
+    again = keyed.join(kept.where("n > 1 and n_shingles > 0").select(F.col("key").alias(key)), F.col(own) == F.col(key), "left_semi")
+    return single.unionByName(again.groupBy(own).agg(F.first(F.struct(*quoted(docs.columns))).alias(row)).select(f"{row}.*"))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+m AS (SELECT x, min(y) AS least FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) AS component_id, w.doc_id <= coalesce(m.least, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.x = w.doc_id
+"""

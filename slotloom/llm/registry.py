@@ -21,5 +21,6 @@ QUERIES = {
 SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
+    "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }

@@ -130,6 +130,7 @@ def brute_components(odd_rows):
 @pytest.mark.parametrize("block", [700, 2])
 def test_near(odd, odd_rows, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(near_dedup, "CROSS_CLASSES", block)
     monkeypatch.setattr(near_dedup, "PIVOTS", 1)
     got = rows(near_dedup.near_duplicates(odd), "doc_id", "n_shingles", "component_id", "kept")
     assert got == brute_components(odd_rows)
