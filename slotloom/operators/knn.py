@@ -5,13 +5,16 @@ at most ``BLOCK_QUERIES`` queries is sent to the executors, every partition of t
 rows gives each query its k nearest, and the k best of those are kept.  Only k rows
 per partition and query are shuffled.
 
-The index is an inverted file: centroids are fitted on a bounded sample, every row is
-assigned to its nearest centroid, and queries meet the rows of their nearest cells by an
-equality join.
+The index is an inverted file: centroids, about the square root of the rows in number,
+are fitted on a bounded sample, every row is assigned to its nearest centroid, and any
+number of queries meet the rows of their nearest cells in blocks of bounded size, each of
+which gives the k nearest of its rows only.  How many cells are probed follows from the
+recall measured on a sample of queries.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotloom.functions.vectors import distance
-
 K, BLOCK_QUERIES = 10, 4096
 EPSILON = 1e-10
-SAMPLE_ROWS, CELLS = 20_000, 64
+SAMPLE_ROWS, LEAST_CELLS, ROWS_PER_CELL = 50_000, 16, 8
+#: Vector components of the rows, and of the queries, that meet in one block.
+BLOCK_VALUES = 4_000_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -33,6 +36,39 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+class _Best:
+    """The k nearest rows of each query so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.norms = (vectors * vectors).sum(1)
+        empty = np.zeros(0, np.int64)
+        self.q, self.d, self.item, self.label = empty, np.zeros(0), empty, empty
+
+    def add(self, row_ids: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> None:
+        approx = self.norms[:, None] - 2 * self.vectors @ rows.T + (rows * rows).sum(1)[None, :]
+        approx[self.ids[:, None] == row_ids[None, :]] = np.inf
+        # Every row that may be among the k nearest: up to the k-th fast distance and its rounding. Exact distance and id decide.
+        bound = np.full(len(self.ids), np.inf)
+        if self.k < len(rows):
+            margin = 8 * np.finfo(float).eps * (rows.shape[1] + 8) * (np.sqrt(self.norms) + np.sqrt((rows * rows).sum(1).max())) ** 2
+            bound = np.partition(approx, self.k - 1, axis=1)[:, self.k - 1] + margin
+        q, c = np.nonzero((approx <= bound[:, None]) & (approx < np.inf))
+        for at in range(0, len(q), 65_536):
+            x, y = q[at : at + 65_536], c[at : at + 65_536]
+            d = np.sqrt(((rows[y] - self.vectors[x]) ** 2).sum(1))
+            self._merge(x, d, row_ids[y], labels[y])
+
+    def _merge(self, q, d, item, label) -> None:
+        q, d, item, label = (np.concatenate([a, b]) for a, b in ((self.q, q), (self.d, d), (self.item, item), (self.label, label)))
+        order = np.lexsort((item, d, q))
+        q = q[order]
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else q
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = order[rank < self.k]
+        self.q, self.d, self.item, self.label = q[rank < self.k], d[keep], item[keep], label[keep]
+
+
 def _nearest(queries, k: int, key: str):
     """Per partition the k nearest rows of each query, with exact distances."""
 
@@ -40,31 +76,12 @@ def _nearest(queries, k: int, key: str):
         ids, vectors = queries.value
         if not len(ids):
             return
-        norms = (vectors * vectors).sum(1)
-        best_d = np.full((len(ids), k), np.inf)
-        best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
-        best_l = np.zeros((len(ids), k), np.int64)
+        best = _Best(ids, vectors, k)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                rows = _matrix(part.column(1))
-                row_ids, labels = np.asarray(part.column(0)), np.asarray(part.column(2))
-                approx = norms[:, None] - 2 * vectors @ rows.T + (rows * rows).sum(1)[None, :]
-                approx[ids[:, None] == row_ids[None, :]] = np.inf
-                # Every row that may be among the k nearest: up to the k-th fast distance and its rounding. Exact distance and id decide.
-                bound = np.full(len(ids), np.inf)
-                if k < len(rows):
-                    margin = 8 * np.finfo(float).eps * (rows.shape[1] + 8) * (np.sqrt(norms) + np.sqrt((rows * rows).sum(1).max())) ** 2
-                    bound = np.partition(approx, k - 1, axis=1)[:, k - 1] + margin
-                for q in range(len(ids)):
-                    c = np.flatnonzero(approx[q] <= bound[q])
-                    d = np.sqrt(((rows[c] - vectors[q]) ** 2).sum(1))
-                    d = np.where(row_ids[c] == ids[q], np.inf, d)
-                    all_d, all_i, all_l = np.append(best_d[q], d), np.append(best_i[q], row_ids[c]), np.append(best_l[q], labels[c])
-                    order = np.lexsort((all_i, all_d))[:k]
-                    best_d[q], best_i[q], best_l[q] = all_d[order], all_i[order], all_l[order]
-        q, j = np.nonzero(np.isfinite(best_d))
-        columns = [pa.array(ids[q]), pa.array(best_i[q, j]), pa.array(best_l[q, j].astype(np.int32)), pa.array(best_d[q, j])]
+                best.add(np.asarray(part.column(0)), _matrix(part.column(1)), np.asarray(part.column(2)))
+        columns = [pa.array(ids[best.q]), pa.array(best.item), pa.array(best.label.astype(np.int32)), pa.array(best.d)]
         yield pa.RecordBatch.from_arrays(columns, [key, "item_id", "label", "dist"])
 
     return run
@@ -114,42 +131,109 @@ def clusters(labelled: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return dense_ids(labelled.join(vocabulary, "label", "left_semi"), "vec_id", "item_id")
 
 
+def cells_for(n: int) -> int:
+    """About the square root of the rows, at most what the sample can place."""
+    return max(LEAST_CELLS, min(math.isqrt(max(n, 1)), SAMPLE_ROWS // ROWS_PER_CELL))
+
+
 class InvertedFile:
-    """Centroids and the rows by their cells."""
+    """Centroids and the rows (vec_id, embedding, label) by their cells."""
 
     def __init__(self, centroids: np.ndarray, rows: DataFrame):
         self.centroids, self.rows = centroids, rows
 
     @classmethod
-    def build(cls, rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE_ROWS, seed: int = 0) -> InvertedFile:
+    def build(cls, rows: DataFrame, cells: int | None = None, sample: int = SAMPLE_ROWS, seed: int = 0) -> InvertedFile:
         """Fits centroids on the ``sample`` rows with the smallest hash of vec_id; indexes every row."""
-        rows = rows.where("embedding is not null")
+        rows = rows.where("embedding is not null").select("vec_id", "embedding", F.col("label").cast("int").alias("label"))
         picked = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("embedding").collect()
         x = np.array([r.embedding for r in picked], np.float64)
+        if not len(x):
+            return cls(np.zeros((0, 0)), rows.withColumn("cell", F.lit(0)))
         rng = np.random.default_rng(seed)
-        c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+        c = x[rng.choice(len(x), min(cells or cells_for(rows.count()), len(x)), replace=False)]
         for _ in range(12):
-            of = ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
-            for j in range(len(c)):
-                if (of == j).any():
-                    c[j] = x[of == j].mean(0)
+            of = _closest(x, c)
+            n = np.bincount(of, minlength=len(c))
+            sums = np.zeros_like(c)
+            np.add.at(sums, of, x)
+            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
         return cls(c, rows.withColumn("cell", cls._cells(rows, c, 1)[0]))
 
     @staticmethod
-    def _cells(rows: DataFrame, centroids: np.ndarray, n: int):
+    def _cells(rows: DataFrame, centroids: np.ndarray, n: int, column: str = "embedding"):
         sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
         @F.pandas_udf("array<int>")
         def nearest_cells(v: pd.Series) -> pd.Series:
             x = np.array(v.tolist(), np.float64)
             d = (sent.value**2).sum(1)[None, :] - 2 * x @ sent.value.T
-            return pd.Series(list(np.argsort(d, axis=1)[:, :n].astype(np.int32)))
+            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)))
 
-        return nearest_cells("embedding")
+        return nearest_cells(column)
 
-    def search(self, queries: DataFrame, k: int = K, probes: int = CELLS // 2) -> DataFrame:
-        """(query_id, item_id, label, dist, rn) among the rows of each query's ``probes`` nearest cells."""
-        asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(self._cells(queries, self.centroids, probes)).alias("cell"))
-        met = asked.join(self.rows.select("vec_id", "embedding", F.col("label").cast("int").alias("label"), "cell"), "cell").where("query_id <> vec_id")
-        found = met.select("query_id", F.col("vec_id").alias("item_id"), "label", distance(F.col("query"), F.col("embedding")).alias("dist"))
+    def save(self, path: str) -> None:
+        """Centroids and indexed rows as two Parquet tables; the rows of a cell lie together."""
+        spark = self.rows.sparkSession
+        listed = [(i, row.tolist()) for i, row in enumerate(self.centroids)]
+        spark.createDataFrame(listed, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        self.rows.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/rows")
+
+    @classmethod
+    def load(cls, spark, path: str) -> InvertedFile:
+        found = sorted((r.cell, r.centroid) for r in spark.read.parquet(f"{path}/centroids").collect())
+        return cls(np.array([c for _, c in found], np.float64).reshape(len(found), -1), spark.read.parquet(f"{path}/rows"))
+
+    def probes_for(self, queries: DataFrame, k: int = K, recall: float = 0.95, sample: int = 200) -> int:
+        """The least number of cells that hold ``recall`` of the true neighbours of the ``sample`` queries with the smallest hash."""
+        asked = queries.where("embedding is not null").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample).select("vec_id", "embedding")
+        asked = asked.sparkSession.createDataFrame(asked.collect(), asked.schema)
+        true = nearest(asked, self.rows, k).select("query_id", F.col("item_id"))
+        of = true.join(self.rows.select(F.col("vec_id").alias("item_id"), "cell"), "item_id").groupBy("query_id", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        vectors = {r.vec_id: np.array(r.embedding, np.float64) for r in asked.collect()}
+        at = np.zeros(len(self.centroids))
+        for r in of:
+            d = ((self.centroids - vectors[r.query_id]) ** 2).sum(1)
+            at[int((d < d[r.cell]).sum())] += r.n
+        if not at.sum():
+            return len(self.centroids)
+        return int(np.searchsorted(np.cumsum(at), recall * at.sum() - 1e-9)) + 1
+
+    def search(self, queries: DataFrame, k: int = K, probes: int | None = None) -> DataFrame:
+        """(query_id, item_id, label, dist, rn) among the rows of each query's ``probes`` nearest cells (by ``probes_for`` if not given)."""
+        schema = "query_id long, item_id long, label int, dist double"
+        spark = queries.sparkSession
+        queries = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+        if not len(self.centroids):
+            return spark.createDataFrame([], f"{schema}, rn int")
+        probes = probes or self.probes_for(queries.withColumnsRenamed({"query_id": "vec_id", "query": "embedding"}), k)
+        asked = queries.select("query_id", "query", F.explode(self._cells(queries, self.centroids, min(probes, len(self.centroids)), "query")).alias("cell"))
+        size = max(1, BLOCK_VALUES // max(1, self.centroids.shape[1]))
+        chunked = lambda df: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+        # One row per cell on either side, so hot cells and hot queries are cut into blocks of a bounded size.
+        cells = F.broadcast(chunked(self.rows).withColumnRenamed("n", "of_rows").join(chunked(asked).withColumnRenamed("n", "of_queries"), "cell"))
+        part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = self.rows.join(cells, "cell").select("cell", part("vec_id", "of_rows").alias("r"), every("of_queries").alias("q"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
+        asked = asked.join(cells, "cell").select("cell", every("of_rows").alias("r"), part("query_id", "of_queries").alias("q"), "query_id", "query")
+
+        def meet(theirs: pd.DataFrame, ours: pd.DataFrame) -> pd.DataFrame:
+            if not len(theirs) or not len(ours):
+                return pd.DataFrame({"query_id": [], "item_id": [], "label": [], "dist": []}).astype({"query_id": "int64", "item_id": "int64", "label": "int32"})
+            parts, vectors, labels = [], np.array(ours["vector"].tolist(), np.float64), ours["label"].fillna(-1).to_numpy().astype(np.int64)
+            for at in range(0, len(theirs), 512):
+                some = theirs.iloc[at : at + 512]
+                best = _Best(some["query_id"].to_numpy(), np.array(some["query"].tolist(), np.float64), k)
+                for lo in range(0, len(vectors), 4096):
+                    best.add(ours["item_id"].to_numpy()[lo : lo + 4096], vectors[lo : lo + 4096], labels[lo : lo + 4096])
+                parts.append(pd.DataFrame({"query_id": best.ids[best.q], "item_id": best.item, "label": best.label.astype(np.int32), "dist": best.d}))
+            return pd.concat(parts)
+
+        found = asked.groupBy("cell", "r", "q").cogroup(rows.groupBy("cell", "r", "q")).applyInPandas(meet, schema)
         return found.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))).where(F.col("rn") <= k)
+
+
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest of c for each row of x, in slices."""
+    norms = (c * c).sum(1)[None, :]
+    return np.concatenate([(norms - 2 * x[at : at + 4096] @ c.T).argmin(1) for at in range(0, len(x), 4096)])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotloom.sources.tables import written
+
 # Types that training and evaluation set aside as ubiquitous.
 UBIQUITOUS_TRAINING = ("str", "int", "list", "bool", "float")
 UBIQUITOUS_EVALUATION = ("str", "int", "list", "bool", "float", "typing.Text", "typing.List", "typing.List[typing.Any]", "typing.list")
@@ -19,8 +21,9 @@ def dense_ids(df: DataFrame, order: str, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()).persist()
     mask = (1 << 33) - 1
+    # The numbered rows are written once: ranges that are drawn twice might differ.
+    numbered = written(df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "dense-ids")
     counts = sorted((r.part, r.n) for r in numbered.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
     before, rows = 0, []
     for part, count in counts:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.functions.vectors import distance
@@ -36,12 +36,18 @@ def mined(rows: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def neighbours_as_triplets(rows: DataFrame) -> DataFrame:
-    """Deterministic triplets: the next row of the label (by vec_id), and the first row of the next label."""
-    own = Window.partitionBy("label").orderBy("vec_id")
-    following = rows.select(F.col("vec_id").alias("anchor"), "label", F.lead("vec_id").over(own).alias("positive"))
-    heads = rows.groupBy("label").agg(F.min("vec_id").alias("head"))
-    ring = heads.select(F.col("label").alias("l"), F.coalesce(F.lead("head").over(Window.orderBy("label")), F.first("head").over(Window.orderBy("label"))).alias("negative"))
-    return following.join(F.broadcast(ring), F.col("label") == F.col("l")).where("positive is not null").select("anchor", "positive", "negative")
+    """Deterministic triplets: the next row of the label (by vec_id), and the first row of the next label.
+
+    Rows have dense places by label and vec_id, labels by their own order, so what is next is an
+    equality join, and no task needs all rows of a label.
+    """
+    placed = dense_ids(rows.where("label is not null").select("vec_id", "label", F.struct("label", "vec_id").alias("__order")), "__order", "__place").select("vec_id", "label", "__place")
+    following = placed.select(F.col("vec_id").alias("positive"), F.col("label").alias("__label"), (F.col("__place") - 1).alias("__before"))
+    pairs = placed.join(following, (F.col("__place") == F.col("__before")) & (F.col("label") == F.col("__label"))).select(F.col("vec_id").alias("anchor"), "label", "positive")
+    heads = dense_ids(placed.groupBy("label").agg(F.min("vec_id").alias("negative")), "label", "__turn")
+    n = heads.count()
+    ring = heads.select("negative", F.pmod(F.col("__turn") - 1, F.lit(max(n, 1))).alias("__turn")).join(heads.select("label", "__turn"), "__turn").select("label", "negative")
+    return pairs.join(ring, "label").select("anchor", "positive", "negative")
 
 
 def margin_losses(triplets: DataFrame, rows: DataFrame, margin: float = MARGIN) -> DataFrame:

@@ -72,7 +72,7 @@ def vote_top1(spark, sf_dir):
 def knn_ann(spark, sf_dir):
     """Approximate neighbours by the inverted file; its recall is measured in the tests."""
     rows = table(spark, sf_dir, "embeddings")
-    found = knn.InvertedFile.build(rows).search(rows.where("vec_id % 100 = 0"), probes=48)
+    found = knn.InvertedFile.build(rows).search(rows.where("vec_id % 100 = 0"))
     return found.select("query_id", "item_id", "label", F.round("dist", 6).alias("dist"), F.col("rn").cast("long"))
 
 
@@ -230,14 +230,14 @@ def filter_returns(spark, sf_dir):
 # -- datapoints -------------------------------------------------------------------------------------------------------
 
 _FUNCTIONS = """(SELECT conv_id, list(CASE WHEN turn = 0 THEN 'self' ELSE role || turn END ORDER BY turn) AS names, list(CASE turn % 4 WHEN 0 THEN 'Any' WHEN 1 THEN '"int"' WHEN 2 THEN 'List[str]' ELSE '' END ORDER BY turn) AS kinds,
-    list(substr(text, 1, 20) ORDER BY turn) AS descrs FROM conversations GROUP BY conv_id)"""
+    list(text ORDER BY turn) AS descrs FROM conversations GROUP BY conv_id)"""
 
 
 def _functions(spark, sf_dir: str) -> DataFrame:
     """Conversations as functions: turns are arguments.  A conversation is as long as it is, so lists are bounded by its turns."""
     kind = F.when(F.col("turn") % 4 == 0, "Any").when(F.col("turn") % 4 == 1, '"int"').when(F.col("turn") % 4 == 2, "List[str]").otherwise("")
     name = F.when(F.col("turn") == 0, "self").otherwise(F.concat("role", F.col("turn").cast("string")))
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("name"), kind.alias("kind"), F.expr("substr(text, 1, 20)").alias("descr"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("name"), kind.alias("kind"), F.col("text").alias("descr"))
     lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "name", "kind", "descr"))).alias("a"))
     each = lambda f: F.transform("a", lambda x: x[f])
     return lists.select(
@@ -509,21 +509,20 @@ def tc_light(spark, sf_dir):
     return typecheck.light(_outputs(spark))
 
 
-_VERDICTS = "(SELECT p_partkey, p_type AS prediction, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN '' ELSE p_brand END AS truth, p_size % 2 = 0 AS is_tc FROM part WHERE p_partkey % 3 < 2)"
+_VERDICTS = "(SELECT p_partkey, p_type AS prediction, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN '' ELSE p_brand END AS truth, p_size % 2 = 0 AS is_tc FROM part)"
 _KIND = "CASE WHEN prediction = truth THEN 'p_equal_gt' WHEN truth = '' THEN 'p_wo_gt' ELSE 'p_not_equal_gt' END"
 
 
-def _verdicts(spark, sf_dir: str, all_kinds: bool) -> DataFrame:
+def _verdicts(spark, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     truth = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).when(F.col("p_partkey") % 3 == 1, F.lit("")).otherwise(F.col("p_brand"))
     rows = part.select("p_partkey", F.col("p_type").alias("prediction"), truth.alias("truth"), (F.col("p_size") % 2 == 0).alias("is_tc"))
-    rows = rows if all_kinds else rows.where("p_partkey % 3 < 2")
     return rows.withColumn("kind", typecheck.prediction_kind(F.col("prediction"), F.col("truth")))
 
 
-@query("verdict_classify", f"SELECT p_partkey, {_KIND} AS kind, is_tc FROM {_VERDICTS.replace(' WHERE p_partkey % 3 < 2', '')}")
+@query("verdict_classify", f"SELECT p_partkey, {_KIND} AS kind, is_tc FROM {_VERDICTS}")
 def verdict_classify(spark, sf_dir):
-    return _verdicts(spark, sf_dir, True).select("p_partkey", "kind", "is_tc")
+    return _verdicts(spark, sf_dir).select("p_partkey", "kind", "is_tc")
 
 
 @query(
@@ -532,7 +531,7 @@ def verdict_classify(spark, sf_dir):
     SELECT k.kind, coalesce(passed, 0) AS passed, coalesce(total, 0) AS total, round(passed::DOUBLE / nullif(total, 0), 6) AS ratio FROM (VALUES ('p_equal_gt'), ('p_not_equal_gt'), ('p_wo_gt')) k(kind) LEFT JOIN c USING (kind)""",
 )
 def tc_ratios(spark, sf_dir):
-    return typecheck.ratios(_verdicts(spark, sf_dir, False)).withColumn("ratio", F.round("ratio", 6))
+    return typecheck.ratios(_verdicts(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
 
 # -- service tables ---------------------------------------------------------------------------------------------------
