@@ -12,8 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HINT_UNKNOWN = 1023
-SLOTS = "file string, scope string, kind string, name string, annotation string, occurrences array<string>, line int, error string"
+SLOTS = "file string, scope string, level string, kind string, name string, annotation string, occurrences array<string>, line int, error string"
 
 
 def _names(node: ast.AST) -> str:
@@ -37,7 +36,7 @@ class _Visitor:
                         found.append(" ".join(used))
         return found
 
-    def variables(self, body: list, scope: str) -> None:
+    def variables(self, body: list, scope: str, level: str) -> None:
         seen = set()
         for node in body:
             for inner in [node] if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else ast.walk(node):
@@ -51,17 +50,17 @@ class _Visitor:
                 for t in targets:
                     if t.id not in seen:
                         seen.add(t.id)
-                        self.out.append((scope, "Variable", t.id, annotation, self.occurrences(body, t.id), t.lineno))
+                        self.out.append((scope, level, "Variable", t.id, annotation, self.occurrences(body, t.id), t.lineno))
 
     def function(self, node, scope: str, in_class: bool) -> None:
         here = f"{scope}.{node.name}" if scope else node.name
         for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs):
             if not (in_class and a.arg == "self"):
-                self.out.append((here, "Parameter", a.arg, _names(a.annotation), self.occurrences(node.body, a.arg), a.lineno))
+                self.out.append((here, "function", "Parameter", a.arg, _names(a.annotation), self.occurrences(node.body, a.arg), a.lineno))
         results = [_names(n.value) for n in ast.walk(node) if isinstance(n, ast.Return) and n.value is not None]
         if results:
-            self.out.append((here, "Return", node.name, _names(node.returns), [f"return {r}" for r in results], node.lineno))
-        self.variables(node.body, here)
+            self.out.append((here, "function", "Return", node.name, _names(node.returns), [f"return {r}" for r in results], node.lineno))
+        self.variables(node.body, here, "function")
         self.nested(node.body, here, False)
 
     def nested(self, body: list, scope: str, in_class: bool) -> None:
@@ -70,14 +69,14 @@ class _Visitor:
                 self.function(node, scope, in_class)
             elif isinstance(node, ast.ClassDef):
                 here = f"{scope}.{node.name}" if scope else node.name
-                self.variables(node.body, here)
+                self.variables(node.body, here, "class")
                 self.nested(node.body, here, True)
 
 
 def slots_of(source: str) -> list[tuple]:
     visitor = _Visitor()
     body = ast.parse(source).body
-    visitor.variables(body, "")
+    visitor.variables(body, "", "module")
     visitor.nested(body, "", False)
     return visitor.out
 
@@ -93,19 +92,60 @@ def extracted(sources: DataFrame) -> DataFrame:
                 try:
                     out += [(file, *slot, None) for slot in slots_of(text or "")]
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    out.append((file, None, None, None, None, None, None, type(e).__name__))
+                    out.append((file, *[None] * (len(columns) - 2), type(e).__name__))
             yield pd.DataFrame(out, columns=columns)
 
     return sources.select("file", "text").mapInPandas(run, SLOTS)
 
 
+class _Untyped(ast.NodeTransformer):
+    """Removes annotations; a bare declaration becomes ``pass`` where nothing else is left."""
+
+    def visit_arg(self, node: ast.arg) -> ast.arg:
+        node.annotation = None
+        return node
+
+    def visit_FunctionDef(self, node):
+        node.returns = None
+        self.generic_visit(node)
+        node.body = node.body or [ast.Pass()]
+        return node
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def visit_ClassDef(self, node):
+        self.generic_visit(node)
+        node.body = node.body or [ast.Pass()]
+        return node
+
+    def visit_AnnAssign(self, node):
+        if node.value is None:
+            return None
+        return ast.copy_location(ast.Assign(targets=[node.target], value=self.visit(node.value)), node)
+
+
+def without_annotations(source: str) -> str:
+    return ast.unparse(ast.fix_missing_locations(_Untyped().visit(ast.parse(source))))
+
+
+def untyped(sources: DataFrame) -> DataFrame:
+    """(file, text) without type annotations; texts that don't parse stay as they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                try:
+                    out.append(without_annotations(text or ""))
+                except (SyntaxError, ValueError, RecursionError):
+                    out.append(text)
+            yield pd.DataFrame({"file": batch["file"], "text": out})
+
+    return sources.select("file", "text").mapInPandas(run, "file string, text string")
+
+
 def coverage(slots: DataFrame) -> DataFrame:
     """Per file the annotated and unannotated slots, and the annotated share rounded to 2 digits."""
     known = (F.col("annotation") != "").cast("int")
     counted = slots.where("error is null").groupBy("file").agg(F.sum(known).alias("declared"), F.sum(1 - known).alias("unknown"))
     return counted.withColumn("coverage", F.round(F.try_divide(F.col("declared").cast("double"), F.col("declared") + F.col("unknown")), 2))
-
-
-def write_back(predictions: DataFrame) -> DataFrame:
-    """Predictions (file, scope, kind, name, predictions) as one map of names per file, scope and kind."""
-    return predictions.groupBy("file", "scope", "kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "predictions")))).alias("predictions"))

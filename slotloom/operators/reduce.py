@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -27,3 +29,19 @@ def similar(queries: DataFrame, rows: DataFrame, threshold: float, bucket: float
     model = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(vector(rows))
     joined = model.approxSimilarityJoin(vector(queries), vector(rows), threshold, distCol="dist")
     return joined.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("item_id"), "dist").where("query_id <> item_id")
+
+
+def projection_of(model) -> np.ndarray:
+    """The components of a fitted model as a matrix (dimensions, k): all that has to be saved."""
+    return model.pc.toArray()
+
+
+def projected(rows: DataFrame, projection: np.ndarray) -> DataFrame:
+    """``rows`` with their embedding times the matrix, as the fitted model gives it."""
+    sent = rows.sparkSession.sparkContext.broadcast(projection)
+
+    @F.pandas_udf("array<double>")
+    def times(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.array(v.tolist(), np.float64).reshape(len(v), -1) @ sent.value)) if len(v) else pd.Series([], dtype=object)
+
+    return rows.withColumn("embedding", times("embedding"))

@@ -132,7 +132,7 @@ def annotated(source: str, slots: dict[str, str]) -> str:
 
 
 def greedy_verdicts(candidates: DataFrame, command: tuple[str, ...] = COMMAND["mypy"], checker: str = "mypy", restore: bool = True) -> DataFrame:
-    """file, slot, prediction, kind, is_tc: tries every prediction of every slot of a file in order.
+    """file, slot, prediction, kind, is_tc, place (the order of the trials): tries every prediction of every slot of a file in order.
 
     Input: file, text, slot, truth, predictions (array of types).  A failed trial puts the
     ground truth back (``restore``), or else leaves the slot as it was tried; a later
@@ -151,12 +151,34 @@ def greedy_verdicts(candidates: DataFrame, command: tuple[str, ...] = COMMAND["m
                 except SyntaxError:
                     ok = False
                 kind = "p_equal_gt" if p == row.truth else "p_wo_gt" if row.truth == "" else "p_not_equal_gt"
-                out.append((row.file, row.slot, p, kind, ok))
+                out.append((row.file, row.slot, p, kind, ok, len(out)))
                 best = p if ok else best
                 if not ok and restore:
                     state[row.slot] = row.truth
             if restore:
                 state[row.slot] = best
-        return pd.DataFrame(out, columns=["file", "slot", "prediction", "kind", "is_tc"])
+        return pd.DataFrame(out, columns=["file", "slot", "prediction", "kind", "is_tc", "place"])
 
-    return candidates.groupBy("file").applyInPandas(run, "file string, slot string, prediction string, kind string, is_tc boolean")
+    return candidates.groupBy("file").applyInPandas(run, "file string, slot string, prediction string, kind string, is_tc boolean, place int")
+
+
+def typed_sources(sources: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(file, text): the sources (file, text) with the first prediction of each slot that passed; files without any stay as they are.
+
+    ``verdicts``: (file, slot, prediction, is_tc, place), as ``greedy_verdicts`` gives them.
+    """
+    passed = verdicts.where("is_tc").groupBy("file", "slot").agg(F.min_by("prediction", "place").alias("prediction"))
+    chosen = passed.groupBy(F.col("file").alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "prediction"))).alias("slots"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [t if s is None else annotated(t, dict(s)) for t, s in zip(batch["text"], batch["slots"])]
+            yield pd.DataFrame({"file": batch["file"], "text": texts})
+
+    return sources.join(chosen, F.col("file") == F.col("f"), "left").select("file", "text", "slots").mapInPandas(run, "file string, text string")
+
+
+def without_failing(predictions: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Predictions (file, slot, type, ..) without those that failed their check."""
+    failed = verdicts.where("not is_tc").select("file", "slot", F.col("prediction").alias("type")).distinct()
+    return predictions.join(failed, ["file", "slot", "type"], "left_anti")

@@ -1,4 +1,4 @@
-"""The batch build as jobs: extract, preprocess, vectorize, predict, eval, reduce.
+"""The batch build as jobs: extract, preprocess, vectorize, learn, predict, eval, reduce, bundle, infer, check.
 
 Each job reads what the one before it wrote and replaces its own output, so a job can run
 again.  ``python -m slotloom.plans.jobs PHASE --o FOLDER [--c CORPUS]``.
@@ -10,15 +10,15 @@ import argparse
 import json
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.functions import text, types, vectors
-from slotloom.operators import datapoints, encoder, evaluate, extract, features, filters, knn, labels, reduce
+from slotloom.functions import text, types
+from slotloom.operators import datapoints, encoder, evaluate, extract, features, filters, infer, knn, labels, reduce, training, typecheck
+from slotloom.plans import bundle
 from slotloom.sources import corpus
 
-#: Defaults of training and inference; a JSON file with the same keys overrides them.
+# Defaults of training and inference; a JSON file with the same keys overrides them.
 PARAMETERS = {"epochs": 25, "lr": 0.002, "dropout": 0.25, "batch_size": 2536, "margin": 2.0, "hidden_size": 512, "layers": 1, "output_size": 1536, "k": 10, "top_n_hints": 1024, "dimensions": 256, "vector_size": 100, "w2v_epochs": 20}
 
 
@@ -26,15 +26,29 @@ def parameters(path: str | None = None) -> dict:
     return PARAMETERS | (json.loads(Path(path).read_text()) if path else {})
 
 
-def extract_job(spark: SparkSession, corpus_dir: str, out: str) -> DataFrame:
-    """Slots of all sources of a corpus, one row each."""
-    slots = extract.extracted(corpus.source_files(spark, corpus_dir).select("file", "text"))
-    slots.write.mode("overwrite").parquet(f"{out}/slots")
+def extract_job(spark: SparkSession, corpus_dir: str, out: str, limit: int | None = None, duplicates: str | None = None) -> DataFrame:
+    """Slots of all sources of a corpus, one row each, and what each source imports.
+
+    ``limit``: so many repositories, in the order of their names; ``duplicates``: a text file of files that are left out.
+    """
+    sources = corpus.source_files(spark, corpus_dir)
+    if duplicates:
+        sources = corpus.without_duplicates(sources, spark.read.text(duplicates).withColumnRenamed("value", "file"))
+    if limit is not None:
+        sources = sources.join(F.broadcast(corpus.repositories(sources).orderBy("author", "repo").limit(limit)), ["author", "repo"], "left_semi")
+    sources.write.mode("overwrite").parquet(f"{out}/sources")
+    sources = spark.read.parquet(f"{out}/sources").select("file", "text")
+    extract.extracted(sources).write.mode("overwrite").parquet(f"{out}/slots")
+    infer.imported(sources).write.mode("overwrite").parquet(f"{out}/imports")
     return spark.read.parquet(f"{out}/slots")
 
 
-def preprocess_job(spark: SparkSession, out: str, seed: int = 0, params: dict = PARAMETERS) -> DataFrame:
-    """Typed slots as datapoints: normalised labels, codes, hints and splits, partitioned by task and split."""
+def preprocess_job(spark: SparkSession, out: str, seed: int = 0, params: dict = PARAMETERS, random_hints: bool = False) -> DataFrame:
+    """Typed slots as datapoints: normalised labels, codes, hints and splits, partitioned by task and split.
+
+    With ``random_hints`` a row's hint comes from what its file imports, each match kept by a seeded coin,
+    else from its type.
+    """
     slots = spark.read.parquet(f"{out}/slots").where("error is null and annotation <> ''")
     rows = slots.withColumn("type", types.reduce_depth(types.normalised(F.col("annotation")))).where("type is not null")
     rows = rows.where(~F.col("type").isin("", *filters.NO_ARGUMENT))
@@ -44,8 +58,13 @@ def preprocess_job(spark: SparkSession, out: str, seed: int = 0, params: dict =
     codes = labels.encoded(rows.select("type"))
     codes.write.mode("overwrite").parquet(f"{out}/codes")
     codes = spark.read.parquet(f"{out}/codes")
-    hints = labels.hint_codes(rows, labels.top_types(rows.select("type"), params["top_n_hints"]))
-    coded = labels.with_codes(rows, "type", codes, "label").join(hints, "type")
+    ranked = labels.top_types(rows.select("type"), params["top_n_hints"])
+    coded = labels.with_codes(rows, "type", codes, "label")
+    if random_hints:
+        visible = spark.read.parquet(f"{out}/imports").select(F.col("file").alias("imported_by"), F.array_join("imports", " ").alias("aval_types"))
+        coded = labels.random_hint_codes(coded.join(visible, F.col("file") == F.col("imported_by"), "left").withColumn("aval_types", F.coalesce("aval_types", F.lit(""))), ranked, seed=seed)
+    else:
+        coded = coded.join(labels.hint_codes(rows, ranked), "type")
     siblings = rows.where("kind = 'Parameter'").groupBy("file", F.col("scope").alias("s")).agg(F.array_sort(F.collect_set("name")).alias("arguments"))
     coded = coded.join(siblings.withColumnRenamed("file", "f"), (F.col("file") == F.col("f")) & (F.col("scope") == F.col("s")), "left").drop("f", "s")
     final = datapoints.with_split(coded, seed).select(F.col("kind").alias("task"), "split", "file", "scope", "name", "function", "arguments", "occurrences", "type", "label", "hint")
@@ -53,51 +72,68 @@ def preprocess_job(spark: SparkSession, out: str, seed: int = 0, params: dict =
     return spark.read.parquet(f"{out}/datapoints")
 
 
+def sentences(points: DataFrame) -> DataFrame:
+    """The token lists that the word model learns from: the six sentence columns of the training split."""
+    train = points.where("split = 'train'")
+    plain = lambda c: text.split_identifier(F.col(c))
+    joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
+    params = train.where("task = 'Parameter'").select(joined("occurrences").alias("arg_occur"), plain("function").alias("func_name"))
+    returns = train.where("task = 'Return'").select(joined("occurrences").alias("return_expr_str"), text.split_identifier(joined("arguments")).alias("arg_names_str"))
+    variables = train.where("task = 'Variable'").select(plain("name").alias("var_name"), joined("occurrences").alias("var_occur"))
+    return features.token_stream(params, returns, variables)
+
+
 def vectorize_job(spark: SparkSession, out: str, params: dict = PARAMETERS, parity: bool = False) -> DataFrame:
-    """Matrices of word vectors for identifiers (31 places) and code tokens (21 places)."""
+    """Matrices of word vectors for identifiers (31 places) and code tokens (21 places), by one word model."""
     points = spark.read.parquet(f"{out}/datapoints").withColumn("id", F.xxhash64("task", "file", "scope", "name"))
-    words = lambda c: text.tokens(text.split_identifier(c))
-    others = F.flatten(F.transform(F.coalesce("arguments", F.array()), lambda a: F.split(text.split_identifier(a), " ")))
-    identifiers = vectors.identifier_layout(F.col("task"), words(F.col("name")), words(F.col("function")), others, parity)
-    usage = F.flatten(F.transform("occurrences", lambda o: F.split(o, r"\s+")))
-    placed = points.select("id", "task", "split", "label", "hint", identifiers.alias("identifiers"), vectors.token_layout(F.col("task"), usage).alias("tokens"))
-    placed.write.mode("overwrite").parquet(f"{out}/places")
-    placed = spark.read.parquet(f"{out}/places")
-    size = params["vector_size"]
-    for column in ("identifiers", "tokens"):
-        sentences = placed.where("split = 'train'").select(F.filter(column, lambda w: w != "").alias("sentence")).where(F.size("sentence") > 0)
-        model = features.train_word_vectors(sentences, size, min(features.MIN_COUNT, 5), params["w2v_epochs"])
-        found = model.getVectors().select("word", _as_floats("vector").alias("vector"))
-        found.write.mode("overwrite").parquet(f"{out}/words_{column}")
-    matrices = placed.select("id", "task", "split", "label", "hint")
-    for column, length in (("identifiers", 31), ("tokens", 21)):
-        found = spark.read.parquet(f"{out}/words_{column}")
-        joined = features.vectorised(placed.select("id", F.array_join(F.transform(column, lambda w: F.when(w == "", "_").otherwise(w)), " ").alias("sequence")), found, length, size)
-        matrices = matrices.join(joined.withColumnRenamed("matrix", column), "id")
+    model = features.train_word_vectors(sentences(points), params["vector_size"], params.get("min_count", features.MIN_COUNT), params["w2v_epochs"])
+    model.write().overwrite().save(f"{out}/word_model")
+    model.getVectors().select("word", _as_floats("vector").alias("vector")).write.mode("overwrite").parquet(f"{out}/words")
+    infer.placed(points, parity).select("id", "task", "split", "label", "hint", "identifiers", "tokens").write.mode("overwrite").parquet(f"{out}/places")
+    matrices = infer.matrices(spark.read.parquet(f"{out}/places"), spark.read.parquet(f"{out}/words"), params["vector_size"])
     matrices.write.mode("overwrite").partitionBy("split").parquet(f"{out}/features")
     return spark.read.parquet(f"{out}/features")
 
 
+def learn_job(spark: SparkSession, out: str, params: dict = PARAMETERS, variant: str = "complete", validation: bool = False, seed: int = 0, workers: int = training.WORKERS) -> tuple[encoder.Encoder, list[dict]]:
+    """Trains the encoder on triplets of the training split; labels need their support in each split for itself."""
+    rows = spark.read.parquet(f"{out}/features")
+    part = lambda split: labels.supported(rows.where(F.col("split") == split), "label")
+    model = encoder.Encoder.random(params["vector_size"], params["hidden_size"], params["top_n_hints"], params["output_size"], variant, seed)
+    model, history = training.train(model, part("train"), params, part("valid") if validation else None, params["top_n_hints"], seed, workers)
+    bundle.save_blob(spark, f"{out}/encoder", bundle.encoder_bytes(model))
+    spark.createDataFrame([(h["epoch"], h["loss"], h.get("validation")) for h in history], "epoch int, loss double, validation double").coalesce(1).write.mode("overwrite").parquet(f"{out}/history")
+    return model, history
+
+
 def _as_floats(column: str):
     from pyspark.ml.functions import vector_to_array
 
     return vector_to_array(column, "float32")
 
 
+def clusters(spark: SparkSession, out: str, vocabulary_limit: int | None = None) -> DataFrame:
+    """The embedded rows (vec_id, embedding, label) of the training and validation splits whose label is in the vocabulary."""
+    table = spark.read.parquet(f"{out}/embedded").where("split <> 'test'")
+    counts = labels.frequencies(table.select(F.col("label").cast("string").alias("type")))
+    kept = counts.orderBy(F.desc("n"), "type").limit(vocabulary_limit) if vocabulary_limit else labels.without_last(counts)
+    return table.join(kept.select(F.col("type").cast("long").alias("label")), "label", "left_semi").select("vec_id", "embedding", "label")
+
+
 def predict_job(spark: SparkSession, out: str, model: encoder.Encoder, params: dict = PARAMETERS, vocabulary_limit: int | None = None, dimensions: int | None = None) -> DataFrame:
     """Type clusters of the train and valid splits, and ranked predictions for the test split."""
     rows = spark.read.parquet(f"{out}/features")
     embedded = encoder.embedded(rows, model, params["top_n_hints"])
     table = embedded.join(rows.select("id", "task", "split", "label"), "id").withColumnRenamed("id", "vec_id")
     if dimensions:
-        pca = reduce.fit_pca(table.where("split <> 'test'"), dimensions)
-        table = reduce.reduced(table, pca)
+        projection = reduce.projection_of(reduce.fit_pca(table.where("split <> 'test'"), dimensions))
+        table = reduce.projected(table, projection)
     table.write.mode("overwrite").partitionBy("split").parquet(f"{out}/embedded")
     table = spark.read.parquet(f"{out}/embedded")
-    counts = labels.frequencies(table.where("split <> 'test'").select(F.col("label").cast("string").alias("type")))
-    kept = counts.orderBy(F.desc("n"), "type").limit(vocabulary_limit) if vocabulary_limit else labels.without_last(counts)
-    clusters = table.where("split <> 'test'").join(kept.select(F.col("type").cast("long").alias("label")), "label", "left_semi")
-    votes = knn.vote(knn.nearest(table.where("split = 'test'"), clusters.select("vec_id", "embedding", "label"), params["k"]))
+    index = knn.InvertedFile.build(clusters(spark, out, vocabulary_limit))
+    index.save(f"{out}/index")
+    found = knn.InvertedFile.load(spark, f"{out}/index").search(table.where("split = 'test'"), params["k"])
+    votes = knn.vote(found)
     codes = spark.read.parquet(f"{out}/codes").select(F.col("code").cast("int").alias("label"), "type")
     named = votes.join(codes, "label").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "type", "score"))), lambda x: F.struct(x["type"].alias("type"), x["score"].alias("score"))).alias("predictions"))
     truth = table.where("split = 'test'").select("vec_id", "task", F.col("label").cast("int").alias("label")).join(codes, "label")
@@ -114,39 +150,86 @@ def eval_job(spark: SparkSession, out: str, top_n: int = evaluate.TOP_N) -> Data
     return evaluate.report(evaluate.judged(predictions, labels.common_types(labels.supported(train, "type")), top_n))
 
 
+def reduce_job(spark: SparkSession, out: str, dimensions: int = PARAMETERS["dimensions"], vocabulary_limit: int | None = None) -> DataFrame:
+    """Principal components of all cluster vectors, saved, and the index of the reduced clusters."""
+    rows = clusters(spark, out, vocabulary_limit)
+    projection = reduce.projection_of(reduce.fit_pca(rows, dimensions))
+    bundle.save_matrix(spark, f"{out}/projection", projection)
+    knn.InvertedFile.build(reduce.projected(rows, projection)).save(f"{out}/reduced_index")
+    return spark.read.parquet(f"{out}/reduced_index/rows")
+
+
+def bundle_job(spark: SparkSession, out: str, path: str, params: dict = PARAMETERS, reduced: bool = False) -> bundle.Bundle:
+    """What inference needs, in one folder."""
+    index = knn.InvertedFile.load(spark, f"{out}/reduced_index" if reduced else f"{out}/index")
+    projection = bundle.read_matrix(spark, f"{out}/projection") if reduced else None
+    made = bundle.Bundle(bundle.encoder_from(bundle.read_blob(spark, f"{out}/encoder")), spark.read.parquet(f"{out}/words"), spark.read.parquet(f"{out}/codes"), index, projection, params["k"], params["top_n_hints"], params["vector_size"])
+    bundle.save(made, path)
+    return bundle.load(spark, path)
+
+
+def infer_job(spark: SparkSession, sources: DataFrame, path: str, out: str, filter_types: bool = True) -> DataFrame:
+    """Ranked predictions of all slots of (file, text), as a table and as a document per file."""
+    infer.predicted(sources, bundle.load(spark, path), filter_types).write.mode("overwrite").parquet(f"{out}/inferred")
+    found = spark.read.parquet(f"{out}/inferred")
+    infer.module_documents(found).write.mode("overwrite").json(f"{out}/documents")
+    return found
+
+
+def check_job(spark: SparkSession, sources: DataFrame, out: str, command: tuple[str, ...] = typecheck.COMMAND["mypy"]) -> DataFrame:
+    """Type-checks the saved predictions of ``infer_job`` in their sources: ratios per kind; verdicts and typed sources are saved."""
+    found = spark.read.parquet(f"{out}/inferred").where("error is null and size(predictions) > 0")
+    truth = extract.extracted(sources).where("error is null").select(F.col("file").alias("f"), F.col("scope").alias("s"), F.col("kind").alias("k"), F.col("name").alias("n"), F.col("annotation").alias("truth"))
+    joined = found.join(truth, (F.col("file") == F.col("f")) & (F.col("scope") == F.col("s")) & (F.col("kind") == F.col("k")) & (F.col("name") == F.col("n")))
+    slot = F.concat_ws(".", F.when(F.col("scope") != "", F.col("scope")), F.when(F.col("kind") == "Return", F.lit("return")).otherwise(F.col("name")))
+    rows = joined.select("file", slot.alias("slot"), "truth", F.transform("predictions", lambda p: p["type"]).alias("predictions"))
+    rows = rows.join(extract.untyped(sources), "file")
+    typecheck.greedy_verdicts(rows, command).write.mode("overwrite").parquet(f"{out}/verdicts")
+    verdicts = spark.read.parquet(f"{out}/verdicts")
+    typecheck.typed_sources(extract.untyped(sources), verdicts).write.mode("overwrite").parquet(f"{out}/typed")
+    return typecheck.ratios(verdicts)
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("phase", choices=["extract", "preprocess", "vectorize", "predict", "eval"])
+    parser.add_argument("phase", choices=["extract", "preprocess", "vectorize", "learn", "predict", "eval", "reduce", "bundle", "infer", "check"])
     parser.add_argument("--o", required=True, help="output folder")
-    parser.add_argument("--c", help="corpus folder (extract)")
+    parser.add_argument("--c", help="corpus folder (extract, infer, check)")
     parser.add_argument("--p", help="JSON file with parameters")
-    parser.add_argument("--m", help="npz file with encoder weights (predict); a seeded random encoder without it")
-    parser.add_argument("--l", type=int, help="vocabulary limit (predict)")
-    parser.add_argument("--d", type=int, help="reduced dimensions (predict)")
+    parser.add_argument("--b", help="bundle folder (bundle, infer)")
+    parser.add_argument("--m", help="npz file with encoder weights (predict); without it those that learn saved")
+    parser.add_argument("--l", type=int, help="vocabulary limit (predict, reduce) or number of repositories (extract)")
+    parser.add_argument("--dup", help="text file of files to leave out (extract)")
+    parser.add_argument("--rvth", action="store_true", help="random visible types (preprocess)")
+    parser.add_argument("--dt", choices=sorted(encoder.VARIANTS), default="complete", help="model variant (learn)")
+    parser.add_argument("--v", action="store_true", help="validation loss (learn)")
+    parser.add_argument("--d", type=int, help="reduced dimensions (predict, reduce)")
+    parser.add_argument("--r", action="store_true", help="reduced clusters (bundle)")
     parser.add_argument("--tp", type=int, default=evaluate.TOP_N, help="top-n of the metrics (eval)")
     a = parser.parse_args()
     spark, params = SparkSession.builder.appName(f"slotloom-{a.phase}").getOrCreate(), parameters(a.p)
-    if a.phase == "extract":
-        extract_job(spark, a.c, a.o)
-    elif a.phase == "preprocess":
-        preprocess_job(spark, a.o, params=params)
-    elif a.phase == "vectorize":
-        vectorize_job(spark, a.o, params)
-    elif a.phase == "predict":
-        model = load_encoder(a.m) if a.m else encoder.Encoder.random(params["vector_size"], params["hidden_size"], params["top_n_hints"], params["output_size"])
-        predict_job(spark, a.o, model, params, a.l, a.d)
-    else:
-        eval_job(spark, a.o, a.tp).show(truncate=False)
+    sources = corpus.source_files(spark, a.c).select("file", "text") if a.phase in ("infer", "check") else None
+    phases = {
+        "extract": lambda: extract_job(spark, a.c, a.o, a.l, a.dup),
+        "preprocess": lambda: preprocess_job(spark, a.o, params=params, random_hints=a.rvth),
+        "vectorize": lambda: vectorize_job(spark, a.o, params),
+        "learn": lambda: learn_job(spark, a.o, params, a.dt, a.v),
+        "predict": lambda: predict_job(spark, a.o, load_encoder(a.m) if a.m else bundle.encoder_from(bundle.read_blob(spark, f"{a.o}/encoder")), params, a.l, a.d),
+        "eval": lambda: eval_job(spark, a.o, a.tp).show(truncate=False),
+        "reduce": lambda: reduce_job(spark, a.o, a.d or params["dimensions"], a.l),
+        "bundle": lambda: bundle_job(spark, a.o, a.b, params, a.r),
+        "infer": lambda: infer_job(spark, sources, a.b, a.o),
+        "check": lambda: check_job(spark, sources, a.o).show(truncate=False),
+    }
+    phases[a.phase]()
 
 
 def save_encoder(model: encoder.Encoder, path: str) -> None:
-    np.savez(path, variant=model.variant, weight=model.weight, bias=model.bias, **{f"id_{k}": v for k, v in model.identifiers.items()}, **{f"tok_{k}": v for k, v in model.tokens.items()})
+    Path(path).write_bytes(bundle.encoder_bytes(model))
 
 
 def load_encoder(path: str) -> encoder.Encoder:
-    z = np.load(path)
-    part = lambda p: {k.removeprefix(p): z[k] for k in z.files if k.startswith(p)}
-    return encoder.Encoder(part("id_"), part("tok_"), z["weight"], z["bias"], str(z["variant"]))
+    return bundle.encoder_from(Path(path).read_bytes())
 
 
 if __name__ == "__main__":
