@@ -409,7 +409,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, similarity: tuple[int,
     placed = placed.withColumn("block", F.expr("pmod(xxhash64(node, 1), blocks)").cast("int")).drop("g")
     parts = even_keys(spark, int(max(4 * partitions(spark), planned_bytes(texts) // (2 << 20))))
     listed = F.split(F.lit(",".join(map(str, parts))), ",").cast("array<int>")
-    part = F.get(listed, F.expr(f"pmod(xxhash64(grp, block), {len(parts)})").cast("int")).alias("part")
+    # The blocks of a group follow each other, so they are tasks of their own.
+    part = F.get(listed, F.expr(f"pmod(pmod(xxhash64(grp), {len(parts)}) + block, {len(parts)})").cast("int")).alias("part")
     run = _group_links(size, similarity)
 
     def met(rows: DataFrame) -> DataFrame:
