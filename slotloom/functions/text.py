@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +34,6 @@ def return_expression(e: Column, in_class: bool = False) -> Column:
     return F.regexp_replace(plain, r"self\.?", "") if in_class else plain
 
 
-def list_repr(items: Column) -> Column:
-    """The items as a Python list literal of single-quoted strings, as earlier tools stored them."""
-    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
-
-
 def tokens(sequence: Column) -> Column:
     """Split at white space; empty and null sequences have no tokens."""
     return F.filter(F.split(F.coalesce(sequence, F.lit("")), r"\s+"), lambda x: x != "")
@@ -52,3 +49,21 @@ def without_varargs(params: Column, in_class: bool = False) -> Column:
     """A parameter map without ``args`` and ``kwargs``, and in classes without ``self``."""
     skipped = ["args", "kwargs"] + ["self"] * in_class
     return F.map_filter(params, lambda k, v: ~k.isin(*skipped))
+
+
+# Endings of English words and what stands for them, the first that fits.
+ENDINGS = (("sses$", "ss"), ("(ch|sh|x|z)es$", "$1"), ("([^aeiou])ies$", "$1y"), ("([^su])s$", "$1"))
+
+
+def lemma(word: Column) -> Column:
+    """A plural's singular by its ending; words of up to three letters stay."""
+    fitted = F.when(word.rlike(ENDINGS[0][0]), F.regexp_replace(word, *map(F.lit, ENDINGS[0])))
+    for pattern, to in ENDINGS[1:]:
+        fitted = fitted.when(word.rlike(pattern), F.regexp_replace(word, F.lit(pattern), F.lit(to)))
+    return F.when(F.length(word) > 3, F.coalesce(fitted.otherwise(word), word)).otherwise(word)
+
+
+def sentence(c: Column, stop_words: Sequence[str]) -> Column:
+    """The words of a text or identifier, split and lower-cased, without stop words and digits, as lemmas, joined by spaces."""
+    words = F.filter(tokens(split_identifier(c)), lambda w: ~w.isin(*stop_words) & ~w.rlike("^[0-9]+$"))
+    return F.array_join(F.transform(words, lemma), " ")

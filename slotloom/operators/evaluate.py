@@ -5,6 +5,8 @@ Input rows: original_type, task, predictions (array of struct(type, score), best
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,28 @@ def report(rows: DataFrame) -> DataFrame:
     columns += [_share(of("rr", (t,)) + of("prr", (t,)), one((t,)) + of("attempt", (t,))).alias(f"mrr_param_{t}") for t in ("common", "rare")]
     total = rows.rollup("task").agg(F.grouping("task").alias("__all"), *columns)
     return total.withColumn("task", F.when(F.col("__all") == 1, F.lit("Combined")).otherwise(F.col("task"))).drop("__all")
+
+
+def code_metrics(rows: DataFrame, ubiquitous: Sequence[int], common: DataFrame, top_n: int = TOP_N) -> DataFrame:
+    """One row: n and the exact matches in percent, in all and by tier, of (label, predicted as an array of codes).
+
+    ``common`` has a column label; empty tiers give null.
+    """
+    flagged = common.select("label").distinct().withColumn("__common", F.lit(True))
+    hit = F.array_contains(F.slice("predicted", 1, top_n), F.col("label")).cast("int")
+    tier_of = F.when(F.col("label").isin(*ubiquitous), F.lit("ubiquitous")).when(F.coalesce("__common", F.lit(False)), F.lit("common")).otherwise(F.lit("rare"))
+    judged_rows = rows.join(F.broadcast(flagged), "label", "left").select(hit.alias("hit"), tier_of.alias("tier"))
+    each = [_share(F.sum(F.when(F.col("tier") == t, F.col("hit"))), F.sum((F.col("tier") == t).cast("int"))).alias(f"exact_{t}") for t in ("ubiquitous", "common", "rare")]
+    return judged_rows.agg(F.count(F.lit(1)).alias("n"), _share(F.sum("hit"), F.count(F.lit(1))).alias("exact_all"), *each)
+
+
+def parametric_code_matches(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (id, label, predicted as an array of codes) with ``match``: the outer name of the label's type is that of some prediction.
+
+    ``names``: (code, type).  Predictions aren't cut to a top n here.
+    """
+    true = names.select(F.col("code").alias("label"), F.col("type").alias("__true"))
+    listed = rows.select("id", F.explode("predicted").alias("code")).join(names, "code").groupBy("id").agg(F.collect_list("type").alias("__types"))
+    known = rows.join(true, "label", "left").join(listed, "id", "left")
+    rank = parametric_rank(F.coalesce("__types", F.array().cast("array<string>")), F.col("__true"))
+    return known.withColumn("match", F.coalesce(is_parametric(F.col("__true")) & (rank > 0), F.lit(False))).drop("__true", "__types")

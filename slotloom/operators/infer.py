@@ -6,6 +6,8 @@ doesn't parse a row with its error.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,15 @@ def words_of(c: Column) -> Column:
     return text.tokens(text.split_identifier(c))
 
 
-def placed(points: DataFrame, parity: bool = False) -> DataFrame:
-    """Adds the 31 identifier places and the 21 token places of each datapoint (task, name, function, arguments, occurrences)."""
+def placed(points: DataFrame, parity: bool = False, stop_words: Sequence[str] = ()) -> DataFrame:
+    """Adds the 31 identifier places and the 21 token places of each datapoint (task, name, function, arguments, occurrences).
+
+    With ``stop_words`` occurrences are read as sentences: split, without those words, as lemmas.
+    """
     others = F.flatten(F.transform(F.coalesce("arguments", F.array()), lambda a: F.split(text.split_identifier(a), " ")))
     identifiers = vectors.identifier_layout(F.col("task"), words_of(F.col("name")), words_of(F.col("function")), others, parity)
-    usage = F.flatten(F.transform("occurrences", lambda o: F.split(o, r"\s+")))
+    read = (lambda o: F.split(text.sentence(o, stop_words), " ")) if stop_words else (lambda o: F.split(o, r"\s+"))
+    usage = F.flatten(F.transform("occurrences", read))
     return points.withColumns({"identifiers": identifiers, "tokens": vectors.token_layout(F.col("task"), usage)})
 
 
@@ -44,8 +50,36 @@ def matrices(rows: DataFrame, words: DataFrame, size: int) -> DataFrame:
     return out
 
 
+def slots_of_documents(modules: DataFrame) -> DataFrame:
+    """Slots, as ``extract.extracted`` gives them, of module documents (file, module): at module, class, function and method level.
+
+    Parameters named args and kwargs are left out, and in classes self.
+    """
+    base = modules.select("file", "module.*")
+    functions = base.select("file", F.explode("funcs").alias("f"), F.lit(False).alias("in_class"))
+    classes = base.select("file", F.explode("classes").alias("c"))
+    functions = functions.unionByName(classes.select("file", F.explode("c.funcs").alias("f"), F.lit(True).alias("in_class")))
+    params = F.when(F.col("in_class"), text.without_varargs(F.col("f.params"), True)).otherwise(text.without_varargs(F.col("f.params")))
+    used = lambda occur: F.transform(F.coalesce(F.try_element_at(occur, F.col("name")), F.array()), lambda o: F.array_join(o, " "))
+
+    def rows(df, scope, level, kind, types_of, occur):
+        return df.select("file", scope.alias("scope"), F.lit(level).alias("level"), F.lit(kind).alias("kind"), F.explode(types_of).alias("name", "annotation"), occur.alias("occur")).select("file", "scope", "level", "kind", "name", "annotation", used(F.col("occur")).alias("occurrences"))
+
+    parts = [
+        rows(base, F.lit(""), "module", "Variable", F.col("variables"), F.col("mod_var_occur")),
+        rows(classes, F.col("c.q_name"), "class", "Variable", F.col("c.variables"), F.col("c.cls_var_occur")),
+        rows(functions, F.col("f.q_name"), "function", "Variable", F.col("f.variables"), F.col("f.fn_var_occur")),
+        rows(functions, F.col("f.q_name"), "function", "Parameter", params, F.col("f.params_occur")),
+        functions.where("size(f.ret_exprs) > 0").select("file", F.col("f.q_name").alias("scope"), F.lit("function").alias("level"), F.lit("Return").alias("kind"), F.col("f.name").alias("name"), F.coalesce("f.ret_type", F.lit("")).alias("annotation"), F.col("f.ret_exprs").alias("occurrences")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumns({"line": F.lit(None).cast("int"), "error": F.lit(None).cast("string")})
+
+
 def datapoints(slots: DataFrame, hint: int) -> DataFrame:
-    """Slots of ``extract.extracted`` as datapoints; the hint is the same for all, as nothing is known of visible types."""
+    """Slots as datapoints; the hint is the same for all, as nothing is known of visible types."""
     arguments = slots.where("kind = 'Parameter'").groupBy(F.col("file").alias("f"), F.col("scope").alias("s")).agg(F.array_sort(F.collect_set("name")).alias("arguments"))
     rows = slots.where("error is null").join(arguments, (F.col("file") == F.col("f")) & (F.col("scope") == F.col("s")), "left").drop("f", "s")
     function = F.element_at(F.split("scope", r"\."), -1)
@@ -66,15 +100,15 @@ def ranked(points: DataFrame, neighbours: DataFrame, codes: DataFrame) -> DataFr
     return named.groupBy(F.col("query_id").alias("id")).agg(listed.alias("predictions"))
 
 
-def predicted(sources: DataFrame, bundle, filter_types: bool = True) -> DataFrame:
+def predicted(sources: DataFrame, bundle, filter_types: bool = True, slots: DataFrame | None = None) -> DataFrame:
     """(file, scope, level, kind, name, line, predictions, error) of every slot of (file, text).
 
-    ``bundle``: a trained Bundle.  With ``filter_types`` predictions that are neither built in
+    ``bundle``: a trained Bundle; ``slots``: those of the sources, where they are known already.  With ``filter_types`` predictions that are neither built in
     nor imported go; a slot keeps its row when none is left.
     """
     from slotloom.sources.tables import written
 
-    slots = written(extract.extracted(sources), "slots")
+    slots = written(extract.extracted(sources) if slots is None else slots, "slots")
     points = datapoints(slots, bundle.n_hints - 1)
     rows = matrices(placed(points).select("id", "hint", "identifiers", "tokens"), bundle.words, bundle.vector_size)
     embedded = encoder.embedded(rows, bundle.encoder, bundle.n_hints).withColumnRenamed("id", "vec_id")

@@ -23,7 +23,9 @@ def mined(rows: DataFrame, seed: int = 0) -> DataFrame:
     placed = dense_ids(labelled, "__order", "__place").select("vec_id", "label", "__place")
     ranges = placed.groupBy("label").agg(F.min("__place").alias("__start"), F.count(F.lit(1)).alias("__n"))
     n = placed.count()
-    draw = lambda k, size: F.pmod(F.xxhash64("vec_id", F.lit(seed + k)), size)
+    # 60 bits of a hash that other engines have too.
+    number = lambda k: F.conv(F.substring(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(f"#{seed + k}"))), 1, 15), 16, 10).cast("long")
+    draw = lambda k, size: number(k) % size
     own, other = draw(2, F.col("__n") - 1), draw(3, F.lit(n) - F.col("__n"))
     drawn = placed.join(ranges, "label").where((F.col("__n") > 1) & (F.col("__n") < n)).select(
         F.col("vec_id").alias("anchor"),

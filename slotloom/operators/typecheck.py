@@ -34,7 +34,7 @@ TIMEOUT_S = 20
 
 
 def parsed(outputs: DataFrame, checker: str = "mypy") -> DataFrame:
-    """file, status, n_errors, n_files, n_ignored, breakdown from (file, retcode, lines).
+    """file, status, n_errors, n_files, n_ignored, n_warnings, breakdown from (file, retcode, lines).
 
     status: ok, or unparsable (no lines, or a last line of another form).
     """
@@ -52,7 +52,8 @@ def parsed(outputs: DataFrame, checker: str = "mypy") -> DataFrame:
     return rows.select(
         "file", F.when(F.col("__fine") | F.col("__failed"), F.lit("ok")).otherwise(F.lit("unparsable")).alias("status"), n.alias("n_errors"),
         F.when(F.col("__fine"), number(1)).when(F.col("__failed"), number(2)).alias("n_files"),
-        F.when(F.col("__fine"), F.lit(0)).when(F.col("__failed"), number(1) - n).alias("n_ignored"), F.when(F.col("__failed"), counts).alias("breakdown"),
+        F.when(F.col("__fine"), F.lit(0)).when(F.col("__failed"), number(1) - n).alias("n_ignored"),
+        F.size(F.filter("lines", lambda line: line.contains(": warning: "))).alias("n_warnings"), F.when(F.col("__failed"), counts).alias("breakdown"),
     )
 
 

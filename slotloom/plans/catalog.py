@@ -6,13 +6,12 @@ equivalent for DuckDB where SQL can express it.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.functions import text, types, vectors
-from slotloom.operators import datapoints, encoder, evaluate, extract, features, filters, knn, labels, reduce, triplets, typecheck
+from slotloom.operators import datapoints, encoder, evaluate, extract, features, filters, infer, knn, labels, reduce, triplets, typecheck
+from slotloom.sources import corpus, tables
 from slotloom.streaming import service
 
 QUERIES: dict = {}
@@ -161,11 +160,18 @@ _STRINGS = (
     "Literal[3]", "Callable[..., Any]", "Callable[[Any], Any]", "Callable[[int], str]", "Iterator[Any]", "IteratorA", "OrderedDictA, Any]", "CounterA", "MatchA", "Match[str]", "List[List[List[int]]]", "Optional[Dict[str, List[int]]]",
     "Dict[str, Dict[str, Any]]", "List[Callable[..., Any]]", "Union[int, List[Tuple[int, str]]]", "List[int", "",
 )
-_VALUES = "(VALUES " + ", ".join("('" + s.replace("'", "''") + "')" for s in _STRINGS) + ") v(raw)"
+_LISTED = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in _STRINGS) + "]"
+_RAW = f"""(SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN a WHEN 1 THEN 'typing.List[' || a || ']' WHEN 2 THEN 'Union[' || a || ', ' || b || ']' ELSE 't.Dict[str, ' || b || ']' END AS raw
+    FROM (SELECT o_orderkey, ({_LISTED})[(o_orderkey % {len(_STRINGS)}) + 1] AS a, ({_LISTED})[(o_custkey % {len(_STRINGS)}) + 1] AS b FROM orders))"""
 
 
-def _strings(spark) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in _STRINGS], "raw string")
+def _annotations(spark, sf_dir: str) -> DataFrame:
+    """An annotation for each order: one of _STRINGS, alone or inside of another."""
+    listed = F.array(*[F.lit(x) for x in _STRINGS])
+    a, b = (F.get(listed, (F.col(c) % len(_STRINGS)).cast("int")) for c in ("o_orderkey", "o_custkey"))
+    kind = F.col("o_orderkey") % 4
+    raw = F.when(kind == 0, a).when(kind == 1, F.concat(F.lit("typing.List["), a, F.lit("]"))).when(kind == 2, F.concat(F.lit("Union["), a, F.lit(", "), b, F.lit("]"))).otherwise(F.concat(F.lit("t.Dict[str, "), b, F.lit("]")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw"))
 
 
 def _duck(expression: str, rules) -> str:
@@ -179,29 +185,38 @@ _PLAIN = _duck("raw", [(types.PREFIXES, "")])
 _UNQUOTED = _duck(_PLAIN, [("^'(.+)'$", "$1")])
 
 
-@query("strip_prefix", f"SELECT raw, {_PLAIN} AS type FROM {_VALUES}")
+@query("strip_prefix", f"SELECT id, {_PLAIN} AS type FROM {_RAW}")
 def strip_prefix(spark, sf_dir):
-    return _strings(spark).select("raw", types.strip_prefixes(F.col("raw")).alias("type"))
+    return _annotations(spark, sf_dir).select("id", types.strip_prefixes(F.col("raw")).alias("type"))
 
 
-@query("unquote", f"SELECT raw, {_duck('raw', [(chr(94) + chr(39) + '(.+)' + chr(39) + '$', '$1')])} AS type FROM {_VALUES}")
+@query("unquote", f"SELECT id, {_duck('raw', [(chr(94) + chr(39) + '(.+)' + chr(39) + '$', '$1')])} AS type FROM {_RAW}")
 def unquote(spark, sf_dir):
-    return _strings(spark).select("raw", types.unquote(F.col("raw")).alias("type"))
+    return _annotations(spark, sf_dir).select("id", types.unquote(F.col("raw")).alias("type"))
 
 
-@query("alias_chain", f"SELECT raw, {_duck(_UNQUOTED, types.ALIASES)} AS type FROM {_VALUES}")
+@query("alias_chain", f"SELECT id, {_duck(_UNQUOTED, types.ALIASES)} AS type FROM {_RAW}")
 def alias_chain(spark, sf_dir):
-    return _strings(spark).select("raw", types.normalised(F.col("raw")).alias("type"))
+    return _annotations(spark, sf_dir).select("id", types.normalised(F.col("raw")).alias("type"))
 
 
-@query("parametric", f"SELECT raw, regexp_matches(raw, '{types.PARAMETRIC}') AS is_parametric, regexp_extract(raw, '{types.PARAMETRIC}', 1) AS outer_name FROM {_VALUES}")
+@query("parametric", f"SELECT id, regexp_matches(raw, '{types.PARAMETRIC}') AS is_parametric, regexp_extract(raw, '{types.PARAMETRIC}', 1) AS outer_name FROM {_RAW}")
 def parametric(spark, sf_dir):
-    return _strings(spark).select("raw", types.is_parametric(F.col("raw")).alias("is_parametric"), types.outer_name(F.col("raw")).alias("outer_name"))
+    return _annotations(spark, sf_dir).select("id", types.is_parametric(F.col("raw")).alias("is_parametric"), types.outer_name(F.col("raw")).alias("outer_name"))
 
 
-@query("depth2")
+@query(
+    "depth2",
+    f"""WITH RECURSIVE t AS (SELECT id, raw FROM {_RAW}), d AS (SELECT DISTINCT raw FROM t WHERE regexp_matches(raw, '^.+\\[.+\\]')),
+    s AS (SELECT raw, 1 AS i, 0 AS depth, '' AS reduced, true AS fine FROM d
+      UNION ALL SELECT raw, i + 1, depth + CASE raw[i] WHEN '[' THEN 1 WHEN ']' THEN -1 ELSE 0 END,
+        CASE WHEN raw[i] = '[' AND depth = 2 THEN regexp_replace(reduced, '[^\\[\\], ][^\\[\\],]*$', '') || 'Any' WHEN depth > 2 THEN reduced ELSE reduced || raw[i] END, fine AND NOT (raw[i] = ']' AND depth = 0)
+      FROM s WHERE i <= length(raw)),
+    r AS (SELECT raw, CASE WHEN depth = 0 AND fine THEN reduced END AS type FROM s WHERE i > length(raw))
+    SELECT id, CASE WHEN r.raw IS NULL THEN t.raw ELSE r.type END AS type FROM t LEFT JOIN r ON r.raw = t.raw""",
+)
 def depth2(spark, sf_dir):
-    return _strings(spark).select("raw", types.reduce_depth(F.col("raw")).alias("type"))
+    return _annotations(spark, sf_dir).select("id", types.reduce_depth(F.col("raw")).alias("type"))
 
 
 @query("filter_functions", "SELECT p_partkey, p_name, lower(p_type) AS name FROM part WHERE lower(p_type) NOT IN ('promo', 'small')")
@@ -288,9 +303,11 @@ def split_by_file(spark, sf_dir):
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files"))
 
 
-@query("split_disjoint", f"WITH s AS (SELECT p_name AS file, {_SPLIT.format('p_name')} AS split FROM part) SELECT file, count(DISTINCT split) AS n_splits FROM s GROUP BY file HAVING count(DISTINCT split) > 1")
+@query("split_disjoint", f"WITH s AS (SELECT p_brand AS file, {_SPLIT.format('p_name')} AS split FROM part) SELECT file, count(DISTINCT split) AS n_splits FROM s GROUP BY file HAVING count(DISTINCT split) > 1")
 def split_disjoint(spark, sf_dir):
-    return datapoints.shared_files(datapoints.with_split(table(spark, sf_dir, "part").select(F.col("p_name").alias("file"))))
+    """Brands as files whose rows were split by their names: the files that the check has to find."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), datapoints.split_of(F.col("p_name")).alias("split"))
+    return datapoints.shared_files(rows)
 
 
 @query(
@@ -455,7 +472,17 @@ def mean_margin_loss(spark, sf_dir):
     return found.select("n", F.round("loss", 6).alias("loss"))
 
 
-@query("triplet_mining")
+def _drawn(number: int, size: str) -> str:
+    return f"(('0x' || substr(md5(vec_id || '#{number}'), 1, 15))::BIGINT % {size})"
+
+
+@query(
+    "triplet_mining",
+    f"""WITH p AS (SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id) - 1 AS place, count(*) OVER () AS total FROM embeddings), g AS (SELECT label, min(place) AS first_place, count(*) AS n FROM p GROUP BY label),
+    d AS (SELECT vec_id AS anchor, place, first_place, n, {_drawn(3, '(n - 1)')} AS own, {_drawn(4, '(total - n)')} AS other FROM p JOIN g USING (label) WHERE n > 1 AND n < total),
+    x AS (SELECT anchor, first_place + own + (first_place + own >= place)::INTEGER AS own, CASE WHEN other < first_place THEN other ELSE other + n END AS other FROM d)
+    SELECT anchor, a.vec_id AS positive, b.vec_id AS negative FROM x JOIN p a ON a.place = own JOIN p b ON b.place = other""",
+)
 def triplet_mining(spark, sf_dir):
     return triplets.mined(table(spark, sf_dir, "embeddings"), seed=1)
 
@@ -479,18 +506,27 @@ def import_filter(spark, sf_dir):
     return rows.select("p_partkey", F.explode(kept).alias("p")).select("p_partkey", F.col("p.type").alias("type"))
 
 
-_OUTPUTS = (
-    ("a.py", 0, ["Success: no issues found in 1 source file"]),
-    ("b.py", 1, ["b.py:1: error: x  [arg-type]", "b.py:2: error: y  [call-arg]", "b.py:3: error: z  [arg-type]", "Found 3 errors in 1 file (checked 1 source file)"]),
-    ("c.py", 1, ["c.py:1: error: q  [name-defined]", "Found 1 error in 1 file (checked 2 source files)"]),
-    ("d.py", 2, ["usage"]), ("e.py", 0, ["nothing"]), ("f.py", 1, []), ("g.py", 1, ["g.py:9: error: m  [misc]", "Found 1 error in 1 file (checked 1 source file)"]),
-)
-_OUTPUT_SQL = "(VALUES " + ", ".join(f"('{f}', {c}, {lines}::VARCHAR[])" for f, c, lines in _OUTPUTS) + ") o(file, retcode, lines)"
+# Endings of a checker's lines, some that count and some that don't.
+_ENDINGS = ("[arg-type]", "[call-arg]", "[name-defined]", "[misc]", "[return-value]", "note")
 _CODES = "[" + ", ".join(f"'{c}'" for c in typecheck.INCLUDED_CODES["mypy"]) + "]"
-
-
-def _outputs(spark) -> DataFrame:
-    return spark.createDataFrame(list(_OUTPUTS), "file string, retcode int, lines array<string>")
+_ENDING_LIST = "[" + ", ".join(f"'{c}'" for c in _ENDINGS) + "]"
+_OUTPUT_SQL = f"""(SELECT file, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS retcode,
+    CASE k WHEN 0 THEN ['Success: no issues found in ' || n || ' source file'] WHEN 3 THEN ['usage'] WHEN 4 THEN ['nothing'] WHEN 5 THEN []::VARCHAR[]
+      ELSE list_transform(range(0, n), lambda i: file || ':' || i || ': error: x  ' || ({_ENDING_LIST})[((n + i) % {len(_ENDINGS)}) + 1]) || ['Found ' || n || ' errors in 1 file (checked ' || (n + k) || ' source file)'] END AS lines
+    FROM (SELECT 'm' || p_partkey || '.py' AS file, p_partkey % 7 AS k, p_size % 5 + 1 AS n FROM part))"""
+
+
+def _outputs(spark, sf_dir: str) -> DataFrame:
+    """What a checker might say of a file for each part: success, errors, or nothing that can be read."""
+    n, k = (F.col("p_size") % 5 + 1).cast("int"), F.col("p_partkey") % 7
+    file = F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    ending = F.array(*[F.lit(e) for e in _ENDINGS])
+    errors = F.transform(F.sequence(F.lit(0), n - 1), lambda i: text(file, ":", i, ": error: x  ", F.get(ending, (n + i) % len(_ENDINGS))))
+    found = F.concat(errors, F.array(text("Found ", n, " errors in 1 file (checked ", n + k, " source file)")))
+    lines = F.when(k == 0, F.array(text("Success: no issues found in ", n, " source file"))).when(k == 3, F.array(F.lit("usage"))).when(k == 4, F.array(F.lit("nothing"))).when(k == 5, F.array().cast("array<string>")).otherwise(found)
+    retcode = F.when(k.isin(0, 4), 0).when(k == 3, 2).otherwise(1)
+    return table(spark, sf_dir, "part").select(file.alias("file"), retcode.alias("retcode"), lines.alias("lines"))
 
 
 _PARSED = f"""WITH o AS (SELECT *, lines[-1] AS last, list_filter(flatten(list_transform(lines, lambda l: list_filter({_CODES}, lambda c: ends_with(l, c)))), lambda x: true) AS found, list_filter(string_split(lines[-1], ' '), lambda w: regexp_full_match(w, '[0-9]+')) AS nums FROM {_OUTPUT_SQL}),
@@ -501,12 +537,12 @@ r AS (SELECT file, CASE WHEN fine OR failed THEN 'ok' ELSE 'unparsable' END AS s
 
 @query("tc_parse", _PARSED + " SELECT file, status, coalesce(n_errors, -1)::INTEGER AS n_errors, coalesce(n_files, -1) AS n_files, coalesce(n_ignored, -1)::INTEGER AS n_ignored FROM r")
 def tc_parse(spark, sf_dir):
-    return typecheck.parsed(_outputs(spark)).select("file", "status", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("n_errors", "n_files", "n_ignored")])
+    return typecheck.parsed(_outputs(spark, sf_dir)).select("file", "status", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("n_errors", "n_files", "n_ignored")])
 
 
 @query("tc_light", f"SELECT file, NOT coalesce(list_bool_or(list_transform(lines, lambda l: coalesce(list_bool_or(list_transform({_CODES}, lambda c: ends_with(l, c))), false))), false) AS passed FROM {_OUTPUT_SQL}")
 def tc_light(spark, sf_dir):
-    return typecheck.light(_outputs(spark))
+    return typecheck.light(_outputs(spark, sf_dir))
 
 
 _VERDICTS = "(SELECT p_partkey, p_type AS prediction, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN '' ELSE p_brand END AS truth, p_size % 2 = 0 AS is_tc FROM part)"
@@ -589,8 +625,8 @@ def dedup_anti(spark, sf_dir):
     """Files that a duplicate list names are left out; the list is every document with an earlier equal text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
     first = docs.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = docs.join(first, "sha").where("doc_id <> first_id").select("doc_id")
-    return docs.select("doc_id").join(again, "doc_id", "left_anti")
+    again = docs.join(first, "sha").where("doc_id <> first_id").select(F.col("doc_id").alias("file"))
+    return corpus.without_duplicates(docs.select(F.col("doc_id").alias("file")), again).select(F.col("file").alias("doc_id"))
 
 
 @query("stream_window_count", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -630,25 +666,96 @@ def encoder_forward(spark, sf_dir):
     return encoder.embedded(rows, encoder.Encoder.random(8, 16, 10, 12), n_hints=10)
 
 
-@query("extract_slots")
+_MODULES = "(SELECT 'm' || p_partkey || '.py' AS file, regexp_replace(p_name, '[^A-Za-z]+', '_', 'g') AS f, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS c FROM part)"
+_SLOTS = """(VALUES ('', 'module', 'Variable', 'limit', 'int', 'limit int', 3), ('{f}', 'function', 'Parameter', 'self', '', '', 6), ('{f}', 'function', 'Parameter', 'size', 'int', 'total size other', 6),
+    ('{f}', 'function', 'Parameter', 'other', '', 'total size other', 6), ('{f}', 'function', 'Return', '{f}', '', 'return total', 6), ('{f}', 'function', 'Variable', 'total', '', 'total size other|total', 7),
+    ('{c}', 'class', 'Variable', 'kind', '', 'kind|self kind', 12), ('{c}.get', 'function', 'Return', 'get', '', 'return self.kind', 14)) v(scope, level, kind, name, annotation, occurrences, line)"""
+
+
+@query("extract_slots", f"SELECT file, replace(replace(scope, '{{f}}', f), '{{c}}', c) AS scope, level, kind, replace(name, '{{f}}', f) AS name, annotation, occurrences, line FROM {_MODULES}, {_SLOTS}")
 def extract_slots(spark, sf_dir):
     """Slots of small modules that are built from part names."""
     name = F.regexp_replace("p_name", "[^A-Za-z]+", "_")
     source = F.concat(F.lit("import os\n\nlimit: int = 3\n\n\ndef "), name, F.lit("(self, size: int, other):\n    total = size + other\n    return total\n\n\nclass "), F.initcap(F.lower("p_type")), F.lit(":\n    kind = '"), F.col("p_brand"), F.lit("'\n\n    def get(self):\n        return self.kind\n"))
-    return extract.extracted(table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file"), source.alias("text")))
+    found = extract.extracted(table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file"), source.alias("text")))
+    return found.where("error is null").select("file", "scope", "level", "kind", "name", "annotation", F.array_join("occurrences", "|").alias("occurrences"), "line")
+
 
+@query("slot_documents", f"SELECT file, 'Class' || f AS class_name, scope, count(*) AS n FROM (SELECT file, replace(scope, '{{f}}', f) AS scope, f FROM {_MODULES}, {_SLOTS} WHERE scope = '{{f}}') GROUP BY ALL")
+def slot_documents(spark, sf_dir):
+    """Predictions for the slots of a function written back into documents, which are read again."""
+    found = extract_slots(spark, sf_dir).where("level = 'function' and name not in ('get')").withColumn("predictions", F.array(F.struct(F.lit("int").alias("type"), F.lit(0.5).alias("score")))).withColumn("error", F.lit(None).cast("string"))
+    shape = "variables_p map<string,array<array<string>>>, funcs array<struct<q_name:string,params_p:map<string,array<array<string>>>,variables_p:map<string,array<array<string>>>,ret_type_p:array<array<string>>>>"
+    read = infer.module_documents(found).select("file", F.inline(F.from_json("module", shape)["funcs"]))
+    n = F.size(F.coalesce("params_p", F.create_map().cast("map<string,array<array<string>>>"))) + F.size(F.coalesce("variables_p", F.create_map().cast("map<string,array<array<string>>>"))) + F.size(F.coalesce("ret_type_p", F.array().cast("array<array<string>>")))
+    return read.select("file", F.concat(F.lit("Class"), F.col("q_name")).alias("class_name"), F.col("q_name").alias("scope"), n.cast("long").alias("n"))
 
-@query("source_files")
+
+@query("source_files", "SELECT n_regionkey || '/' || n_name || '/m' || n_nationkey || '.py' AS file, n_regionkey::VARCHAR AS author, n_name AS repo, 'x = ' || n_nationkey || chr(10) AS text FROM nation")
 def source_files(spark, sf_dir):
-    """A source tree written to a temporary folder and read back by its reader (local test of the connector)."""
-    from pathlib import Path
-
-    from slotloom.sources import corpus
-
-    root = tempfile.mkdtemp(prefix="slotloom-tree-")
-    for i, (author, repo) in enumerate((("ann", "one"), ("bob", "two"), (".git", "x"))):
-        folder = Path(root, author, repo)
-        folder.mkdir(parents=True)
-        (folder / "m.py").write_text(f"x = {i}\n")
-        (folder / "readme.md").write_text("no")
-    return corpus.source_files(spark, f"file://{root}").select("file", "author", "repo", "text")
+    """A source tree, one file per nation, written to the shared folder and read by its reader; hidden folders and other files stay out."""
+    root = tables.new_folder(spark, "tree")
+    for r in table(spark, sf_dir, "nation").collect():  # a table of fixed size
+        folder = f"{root}/{r.n_regionkey}/{r.n_name}"
+        tables.write_file(spark, f"{folder}/m{r.n_nationkey}.py", f"x = {r.n_nationkey}\n")
+        tables.write_file(spark, f"{folder}/readme.md", "no")
+        tables.write_file(spark, f"{root}/.git/{r.n_name}/m.py", "no")
+    return corpus.source_files(spark, root).select("file", "author", "repo", "text")
+
+
+# -- streams ----------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@query("rate_admitted_stream", "SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 AS admitted FROM events")
+def rate_admitted_stream(spark, sf_dir):
+    """Admission with state per client, as requests come in."""
+    return service.run_to_memory(service.admitted_stream(_stream(spark, sf_dir, "events"), 2, "day"), "rate_admitted_stream", "append").select("event_id", "admitted")
+
+
+@query(
+    "accept_join_stream",
+    """SELECT a.event_id AS accepted_id, r.event_id AS request_id FROM events a JOIN events r ON a.event_type = 'purchase' AND r.event_type = 'view' AND r.user_id = a.user_id AND a.ts >= r.ts AND a.ts <= r.ts + INTERVAL 1 HOUR""",
+)
+def accept_join_stream(spark, sf_dir):
+    """Acceptances (purchases) with the requests (views) of their session at most an hour before."""
+    accepted = _stream(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("accepted_id"), F.col("user_id").alias("sess_id"), F.col("ts").cast("timestamp").alias("timestamp"))
+    requests = _stream(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("sess_id"), F.col("ts").alias("start_t"))
+    return service.run_to_memory(service.joined_acceptances(accepted, requests).select("accepted_id", "request_id"), "accept_join_stream", "append")
+
+
+@query("live_votes", _TOPK + "SELECT query_id, label, round(score, 6) AS score, rank FROM r")
+def live_votes(spark, sf_dir):
+    """Votes for vectors that come in as a stream, against the stored rows."""
+    path, checkpoint = tables.new_folder(spark, "votes"), tables.new_folder(spark, "votes-checkpoint")
+    asked = _stream(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    service.predicted_batches(asked, table(spark, sf_dir, "embeddings"), path, checkpoint).start().awaitTermination()
+    found = spark.read.parquet(path)
+    return found.select("query_id", "label", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+@query("request_log", "SELECT event_id, sha1('10.0.0.' || user_id) AS hashed_ip, ts AS start_t FROM events")
+def request_log(spark, sf_dir):
+    """Requests appended to a log, as they come in, with their address as a hash."""
+    path, checkpoint = tables.new_folder(spark, "log"), tables.new_folder(spark, "log-checkpoint")
+    rows = _stream(spark, sf_dir, "events").select("event_id", F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("ip"), F.col("ts").alias("start_t"))
+    service.append_batches(service.logged_requests(rows), path, checkpoint).start().awaitTermination()
+    return spark.read.parquet(path).select("event_id", F.col("hashed_IP").alias("hashed_ip"), "start_t")
+
+
+# -- metrics on codes -------------------------------------------------------------------------------------------------
+
+_CODED = _TOPK + ", p AS (SELECT query_id, label, rank FROM r WHERE rank <= 5), j AS (SELECT e.vec_id AS query_id, e.label, max((p.label = e.label)::INTEGER) AS hit, CASE WHEN e.label IN (0, 1) THEN 'ubiquitous' WHEN e.label IN (2, 3, 4) THEN 'common' ELSE 'rare' END AS tier FROM embeddings e JOIN p ON p.query_id = e.vec_id GROUP BY ALL)"
+
+
+@query("eval_codes", _CODED + " SELECT count(*) AS n, " + ", ".join([_metric("exact_all", "sum(hit)", "count(*)"), *[_metric(f"exact_{t}", _tiers("hit", t), _N.format(t)) for t in ("ubiquitous", "common", "rare")]]) + " FROM j")
+def eval_codes(spark, sf_dir):
+    """Exact matches on label codes, by tier."""
+    votes = knn.vote(_neighbours(spark, sf_dir))
+    lists = votes.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("predicted"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "label").join(lists, "query_id")
+    found = evaluate.code_metrics(rows, (0, 1), spark.createDataFrame([(2,), (3,), (4,)], "label int"), 5)
+    return found.select("n", *[F.round(c, 6).alias(c) for c in found.columns if c != "n"])

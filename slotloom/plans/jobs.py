@@ -7,7 +7,12 @@ again.  ``python -m slotloom.plans.jobs PHASE --o FOLDER [--c CORPUS]``.
 from __future__ import annotations
 
 import argparse
+import concurrent.futures
+import contextlib
+import datetime
 import json
+import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +31,29 @@ def parameters(path: str | None = None) -> dict:
     return PARAMETERS | (json.loads(Path(path).read_text()) if path else {})
 
 
+@contextlib.contextmanager
+def logged(spark: SparkSession, out: str, phase: str):
+    """Appends a row to ``<out>/logs``: the phase, when it began, how long it took, and its error if it failed."""
+    began, error = time.time(), None
+    try:
+        yield
+    except BaseException as e:
+        error = f"{type(e).__name__}: {e}"
+        raise
+    finally:
+        row = [(phase, datetime.datetime.fromtimestamp(began, datetime.UTC), round(time.time() - began, 3), error)]
+        spark.createDataFrame(row, "phase string, began timestamp, seconds double, error string").coalesce(1).write.mode("append").json(f"{out}/logs")
+
+
+def requests_at_once(call: Callable[[int], object], n: int = 25) -> float:
+    """Seconds that ``n`` concurrent calls take, as a service would get them; their errors are raised."""
+    began = time.time()
+    with concurrent.futures.ThreadPoolExecutor(n) as pool:
+        for done in [pool.submit(call, i) for i in range(n)]:
+            done.result()
+    return time.time() - began
+
+
 def extract_job(spark: SparkSession, corpus_dir: str, out: str, limit: int | None = None, duplicates: str | None = None) -> DataFrame:
     """Slots of all sources of a corpus, one row each, and what each source imports.
 
@@ -58,6 +86,7 @@ def preprocess_job(spark: SparkSession, out: str, seed: int = 0, params: dict =
     codes = labels.encoded(rows.select("type"))
     codes.write.mode("overwrite").parquet(f"{out}/codes")
     codes = spark.read.parquet(f"{out}/codes")
+    corpus.write_frequencies(rows.select("type"), spark.read.parquet(f"{out}/imports").select(F.explode("imports").alias("type")), f"{out}/frequencies", params["top_n_hints"])
     ranked = labels.top_types(rows.select("type"), params["top_n_hints"])
     coded = labels.with_codes(rows, "type", codes, "label")
     if random_hints:
@@ -221,7 +250,8 @@ def main() -> None:
         "infer": lambda: infer_job(spark, sources, a.b, a.o),
         "check": lambda: check_job(spark, sources, a.o).show(truncate=False),
     }
-    phases[a.phase]()
+    with logged(spark, a.o, a.phase):
+        phases[a.phase]()
 
 
 def save_encoder(model: encoder.Encoder, path: str) -> None:

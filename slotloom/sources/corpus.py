@@ -108,6 +108,19 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return rows
 
 
+def write_csv(table: DataFrame, path: str) -> None:
+    """CSV that ``read_csv`` reads: a header, quotes doubled."""
+    table.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+
+
+def write_frequencies(types: DataFrame, visible: DataFrame, path: str, top_n: int = 1024) -> None:
+    """The two frequency lists of a build: all labels with their codes and counts, and the most frequent visible types."""
+    from slotloom.operators import labels
+
+    write_csv(labels.encoded(types).select(F.col("code").alias("enc"), "type", F.col("n").alias("count")).orderBy(F.desc("count"), "type"), f"{path}/most_frequent_all_types")
+    write_csv(labels.top_types(visible, top_n).select(F.col("type").alias("Types"), F.col("n").alias("Count")).orderBy(F.desc("Count"), "Types"), f"{path}/top_visible_types")
+
+
 def write_datapoints(table: DataFrame, path: str) -> None:
     """One Parquet table; readers of one task or split scan only its folders."""
     table.write.mode("overwrite").partitionBy("task", "split").parquet(path)
@@ -128,3 +141,8 @@ def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()
+
+
+def append_jdbc(rows: DataFrame, url: str, table: str, **options: str) -> None:
+    """Appends rows to a service table over JDBC; each partition is a transaction of its own."""
+    rows.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode("append").save()

@@ -44,6 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of this name, on any file system that Spark knows."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(there, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def _remove() -> None:
     for spark, path in _made:
         with contextlib.suppress(Exception):  # the session may have ended
