@@ -138,3 +138,16 @@ def test_vote_decodes(spark):
     got = infer.ranked(None, near, codes).first()
     assert [(p.type, round(p.score, 6)) for p in got.predictions] == [("int", 0.8), ("str", 0.2)]
     assert isinstance(knn.cells_for(10), int) and bundle.Bundle.__dataclass_fields__["k"].default == 10
+
+
+def test_live_inference(spark, built, tmp_path):
+    from slotloom.streaming import service
+
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        spark.createDataFrame([(f"f{i}.py", f"def f{i}(a):\n    return a\n")], "file string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/w{i}")
+        next((tmp_path / f"w{i}").glob("*.parquet")).rename(tmp_path / "in" / f"{i}.parquet")
+    stream = spark.readStream.schema("file string, text string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    service.annotated_batches(stream, built[2], f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint", filter_types=False).start().awaitTermination()
+    got = {(r.file, r.kind, r.name): len(r.predictions) > 0 for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {(f"f{i}.py", kind, name): True for i in range(2) for kind, name in (("Parameter", "a"), ("Return", f"f{i}"))}
