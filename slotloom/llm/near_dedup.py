@@ -57,7 +57,7 @@ SIMILARITY = (85, 100)
 COORDINATES = 64
 MISSED = 3e-5
 HOT_SHARE, HOT_LEAST = 4000, 500
-BLOCK_CLASSES, BLOCK_SHINGLES, PIVOTS = 200, 1_500_000, 6
+BLOCK_CLASSES, BLOCK_SHINGLES, PIVOTS = 128, 1_500_000, 6
 #: Signatures that meet in a block when loose classes meet their group.
 CROSS_CLASSES = 2000
 

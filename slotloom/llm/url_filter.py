@@ -140,8 +140,8 @@ def _expression(node, columns: Sequence[str]) -> Column:
     return F.when(F.col(columns[split.featureIndex()]) <= F.lit(float(split.threshold())), left).otherwise(right)
 
 
-def trained_trees(labelled: DataFrame, suffixes: DataFrame) -> Column | None:
-    """The boosted margin (above 0: block) as an expression of FEATURES; None without both classes."""
+def fitted_model(labelled: DataFrame, suffixes: DataFrame):
+    """Gradient-boosted trees on FEATURES of a bounded sample; None without both classes."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -152,6 +152,16 @@ def trained_trees(labelled: DataFrame, suffixes: DataFrame) -> Column | None:
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("features", "label").cache()
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label").fit(data)
     data.unpersist()
+    return model
+
+
+def trained_trees(labelled: DataFrame, suffixes: DataFrame) -> Column | None:
+    """The boosted margin (above 0: block) as an expression of FEATURES; None without both classes."""
+    model = fitted_model(labelled, suffixes)
+    return None if model is None else margin_of(model)
+
+
+def margin_of(model) -> Column:
     margin = F.lit(0.0)
     for weight, tree in zip(model.treeWeights, model.trees):
         margin = margin + F.lit(float(weight)) * _expression(tree._java_obj.rootNode(), FEATURES)
