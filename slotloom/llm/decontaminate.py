@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import quoted, send, stored, unused
+from slotloom.llm.shared import mapped, quoted, send, stored, unused
 from slotloom.llm.words import ALNUM, LOWER, buffers, chunks, covered, scan, text_column, tidy, windows, word_hashes
 
 N_WORDS = 13
@@ -219,11 +219,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_s
     text_at = docs.columns.index("text")
     block, merged = _scanned(docs.select("text"), benchmark, n, max_windows)
     if merged is None:
-        return docs.mapInArrow(_cleaned(send(docs.sparkSession, block), text_at, min_share, spans), docs.schema)
+        return mapped(docs, _cleaned(send(docs.sparkSession, block), text_at, min_share, spans), docs.columns)
     key, own, at = unused(docs.columns, "key", "own", "at")
     keyed = docs.select(*quoted(docs.columns), _digest(F.col("text")).alias(own))
     found = keyed.join(merged.select(F.col("key").alias(key), F.col("at").alias(at)), F.col(own) == F.col(key), "left").select(*quoted(docs.columns), at)
-    return found.mapInArrow(_cut(text_at) if spans else _kept(text_at, min_share), docs.schema)
+    return mapped(found, _cut(text_at) if spans else _kept(text_at, min_share), docs.columns)
 
 
 def _kept(text_at: int, min_share: int):

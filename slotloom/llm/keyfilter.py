@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from slotloom.llm.shared import send
+from slotloom.llm.shared import mapped, send
 from slotloom.llm.words import U64, mix, tidy
 
 LEAST_BITS, MOST_BITS, BITS_PER_KEY, PIECES, HASHES, BUILDERS = 1 << 24, 1 << 29, 8, 64, 3, 64
@@ -70,7 +70,7 @@ def _filtered(rows: DataFrame, bits, wanted: bool) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(among(bits.value, np.asarray(batch.column(0))) == wanted))
 
-    return rows.mapInArrow(run, rows.schema)
+    return mapped(rows, run, rows.columns)
 
 
 def likely(rows: DataFrame, bits) -> DataFrame:

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from slotloom.llm.shared import mapped
 from slotloom.llm.words import tidy
 
 THRESHOLD = 0.5
@@ -200,7 +201,7 @@ def redact(docs: DataFrame) -> DataFrame:
             text = pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.columns)
 
 
 def _digest(docs: DataFrame) -> DataFrame:

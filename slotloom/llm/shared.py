@@ -12,6 +12,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _made: list[tuple[object, str]] = []
 _own: dict[str, str] = {}
@@ -84,6 +85,14 @@ def quoted(columns: Iterable[str]) -> list:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
+def mapped(rows: DataFrame, run, columns: list[str]) -> DataFrame:
+    """``mapInArrow`` that gives the first of the columns of ``rows`` back, whatever their names are (Spark's own takes no dots and backticks)."""
+    fields = rows.schema.fields
+    safe = [f"c{i}" for i in range(len(fields))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(safe, fields[: len(columns)])])
+    return rows.toDF(*safe).mapInArrow(run, schema).toDF(*columns)
+
+
 def _clean() -> None:
     for spark, path in _made:
         with contextlib.suppress(Exception):

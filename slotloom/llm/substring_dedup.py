@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.llm.keyfilter import among, likely, sent_filter
-from slotloom.llm.shared import even_keys, partitions, planned_bytes, quoted, stored, unused
+from slotloom.llm.shared import even_keys, mapped, partitions, planned_bytes, quoted, stored, unused
 from slotloom.llm.words import NON_SPACE, U64, chunks, covered, mix, ragged, scan, text_column, tidy, windows, word_hashes
 
 N_WORDS = 35
@@ -240,7 +240,7 @@ def repeated_spans(docs: DataFrame, length: int = N_WORDS) -> DataFrame:
     return places.groupBy("part").applyInPandas(_merge(length), "key long, removed binary")
 
 
-def _kept(report: bool, text_at: int, columns: list[str], outside=None):
+def _kept(report: bool, text_at: int, outside=None):
     """Rows with their removed words, as a report or as rows with the kept text.
 
     The last column holds the removed intervals; with ``outside``, a broadcast filter, it
@@ -284,23 +284,23 @@ def _kept(report: bool, text_at: int, columns: list[str], outside=None):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
             else:
                 text = pa.array([o if r == 0 else t for o, t, r in zip(old.to_pylist(), out, n_removed)], old.type)
-                yield pa.RecordBatch.from_arrays([text if i == text_at else c for i, c in enumerate(batch.columns[:-1])], columns)
+                yield pa.RecordBatch.from_arrays([text if i == text_at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
 
     return run
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, run, schema) -> DataFrame:
-    """Documents with removals join their intervals; the others, told by a filter of fixed size, never move.
+def _with_spans(docs: DataFrame, spans: DataFrame, run, each) -> DataFrame:
+    """Documents with removals join their intervals; the others, told by a filter of bounded size, never move.
 
-    ``run`` makes the row function from a filter or None.
+    ``run`` makes the row function from a filter or None, ``each`` applies it.
     """
     key, own, removed = unused(docs.columns, "key", "own", "removed")
     spans = stored(spans, "spans").select(F.col("key").alias(key), F.col("removed").alias(removed))
     bits = sent_filter(spans.select(key))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias(own), *quoted(docs.columns))
-    clean = keyed.select(*quoted(docs.columns), own).mapInArrow(run(bits), schema)
+    clean = each(keyed.select(*quoted(docs.columns), own), run(bits))
     joined = likely(keyed, bits).join(spans, F.col(own) == F.col(key), "left").select(*quoted(docs.columns), removed)
-    return clean.unionByName(joined.mapInArrow(run(None), schema))
+    return clean.unionByName(each(joined, run(None)))
 
 
 def substring_report(docs: DataFrame, length: int = N_WORDS) -> DataFrame:
@@ -308,13 +308,13 @@ def substring_report(docs: DataFrame, length: int = N_WORDS) -> DataFrame:
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
-    return _with_spans(rows, repeated_spans(rows, length), lambda bits: _kept(True, 1, [], bits), schema)
+    return _with_spans(rows, repeated_spans(rows, length), lambda bits: _kept(True, 1, bits), lambda df, run: df.mapInArrow(run, schema))
 
 
 def remove_repeated_spans(docs: DataFrame, length: int = N_WORDS) -> DataFrame:
     """``docs`` with all its columns; texts with removed words are their kept words joined by one space."""
     spans = repeated_spans(docs.select("doc_id", "text"), length)
-    return _with_spans(docs, spans, lambda bits: _kept(False, docs.columns.index("text"), docs.columns, bits), docs.schema)
+    return _with_spans(docs, spans, lambda bits: _kept(False, docs.columns.index("text"), bits), lambda df, run: mapped(df, run, docs.columns))
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import even_keys, partitions, planned_bytes, send, stored
+from slotloom.llm.shared import even_keys, mapped, partitions, planned_bytes, send, stored
 from slotloom.llm.words import ALNUM, U64, chunks, mix, scan, text_column, tidy, word_hashes
 
 WORD_BITS = 32
@@ -423,7 +423,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that are predicted to be toxic, all columns kept."""
     model = send(docs.sparkSession, fit(docs, labels))
-    return docs.mapInArrow(_scored(model, docs.columns.index("text"), [], True), docs.schema)
+    return mapped(docs, _scored(model, docs.columns.index("text"), [], True), docs.columns)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Mixing, URL filter, toxicity, HTML extraction and the pipeline."""
 
+import math
+import os
 import re
 import zlib
 
@@ -64,6 +66,53 @@ def test_mixing_edges(spark, odd, crowded, odd_rows, no_documents):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_query_matches_brute_force(spark, sf_dir):
+    """Features, classifier and rates on whole documents, by plain arrays."""
+    from slotloom.llm import registry
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    known = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").collect()}
+    texts = [(r.text or "") for r in docs]
+    t = np.array([len(re.findall(r"[^ \t\n\x0b\f\r]+", x)) for x in texts], float)
+    f = np.array([[x.lower().count(c) / max(len(x.lower()), 1) for c in mixing.FEATURE_CHARS] for x in texts])
+    domains = sorted(mixing.TARGET_WEIGHTS)
+    logs = np.full((len(docs), len(domains)), -np.inf)
+    groups = [[i for i, r in enumerate(docs) if r.doc_id in known and r.lang == d and t[i] > 0] for d in domains]
+    for d, at in enumerate(groups):
+        mean, var = f[at].mean(0), np.maximum(f[at].var(0), mixing.VARIANCE_FLOOR)
+        density = (-0.5 * ((f - mean) ** 2 / var + np.log(var))).sum(1)
+        logs[:, d] = np.where(t > 0, density, 0) + np.log(len(at) / sum(map(len, groups)))
+    p = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -700))
+    p /= p.sum(1, keepdims=True)
+    now = t @ p
+    share = np.array([mixing.TARGET_WEIGHTS[d] for d in domains])
+    targets = share * (now / share).max()
+    scale = np.array([(t * p[:, d] * p.sum(1)).sum() for d in range(len(domains))])
+    r = y = np.ones(len(docs))
+    for k in range(mixing.MAX_ITERATIONS):
+        if np.abs((r * t) @ p - targets).sum() <= mixing.TOLERANCE * targets.sum():
+            break
+        new = np.maximum(0, y - p @ (((y * t) @ p - targets) / scale))
+        r, y = new, new + mixing.momentum(k) * (new - r)
+    got = {x.doc_id: x for x in registry.QUERIES["op1_mixing"](spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for i, doc in enumerate(docs):
+        x = got[doc.doc_id]
+        assert x.tokens == t[i] and np.allclose([x[f"p_{d}"] for d in domains], p[i], atol=2e-6) and np.isclose(x.rate, r[i], atol=2e-5)
+        assert x.copies in (int(np.floor(x.rate)), int(np.floor(x.rate)) + 1)
+
+
+def test_unreached_targets_are_told(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "aaa bbb " * 5 if i % 2 else "zzz uuu " * 5) for i in range(20)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "x" if i % 2 else "y") for i in range(10)], "doc_id long, domain string")
+    mixture, _ = mixing.fit(docs, labelled, {"x": 1, "y": 5})
+    assert mixture.converged and mixture.gap < 1e-6
+    monkeypatch.setattr(mixing, "MAX_ITERATIONS", 0)
+    with pytest.warns(UserWarning, match="mixing stopped"):
+        mixture, _ = mixing.fit(docs, labelled, {"x": 1, "y": 5}, budget=10_000.0)
+    assert not mixture.converged and mixture.gap > 0.01
+
+
 # -- urls -------------------------------------------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://A.Example.NET/en/1?x=://y", "https://foo.net", "https://foo.net?x", "https://xnet/", "ftp://de.example.com/de/", "https://example.com/DE/", "http://b.org/fr/#f", "http://b.org/frx", "x://net/", "a://b://c/d", "http://H:80/p;q?#"]
@@ -93,6 +142,68 @@ def test_rules(spark, most, monkeypatch):
         assert (r.host, r.path, r.rule, r.rule_verdict) == (host, path, *(best or (None, None))), r.url
 
 
+@pytest.mark.parametrize("most", [256, 1])
+def test_ties_and_bare_rules(spark, most, monkeypatch):
+    """Of equally long rules the first listed wins; a rule without a slash fits every path of its host."""
+    monkeypatch.setattr(url_filter, "MAX_RULE_EXPRESSIONS", most)
+    rules = (("a.org/x", "block"), ("b.org/x", "allow"), ("z.a.org", "allow"), ("org/xyz", "block"), ("net", "block"), ("net", "allow"))
+    urls = {"http://z.a.org/xyz": "a.org/x", "http://a.org/xyz": "a.org/x", "http://q.net": "net", "http://net/": "net", "http://z.a.org/q": "z.a.org", "http://a.com/": None}
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for r in url_filter.judged_by_rules(pages, rules).collect():
+        assert (r.rule, r.rule_verdict) == (urls[r.url], dict(reversed(rules)).get(urls[r.url])), r.url
+
+
+def plain_features(url, host, path, shares):
+    from collections import Counter
+
+    n = max(len(url), 1)
+    entropy = sum(-c / n * math.log2(c / n) for c in Counter(url).values())
+    return [len(url), len(host), len(path), len([x for x in path.split("/") if x]), len(host.split(".")), sum("0" <= c <= "9" for c in url) / n, entropy, url.count("&") + 1 if "?" in url else 0, url.count("-"), *shares]
+
+
+def test_verdicts_match_brute_force(spark, sf_dir):
+    """Features by plain Python, the trees by the library's own prediction."""
+    from pyspark.ml.linalg import Vectors
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = url_filter.judged_by_rules(pages, url_filter.RULES)
+    labelled = rows.where("rule is not null")
+    suffixes = url_filter.suffix_statistics(labelled)
+    model = url_filter.fitted_model(labelled, suffixes)
+    known = [(r.url, *brute_rule(r.url)) for r in pages.collect()]
+    counts = {}
+    key = lambda host, path, k: (k, ".".join(host.split(".")[-min(k, 2) :]), (path.split("/") + ["", ""])[1] if k == 3 else "")
+    for _, host, path, best in known:
+        if best:
+            for k in (1, 2, 3):
+                blocked, n = counts.get(key(host, path, k), (0, 0))
+                counts[key(host, path, k)] = blocked + (best[1] == "block"), n + 1
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    features = {r.page_id: r for r in url_filter.lexical_features(rows, suffixes).collect()}
+    for r in pages.collect():
+        host, path, best = brute_rule(r.url)
+        shares, shorter = [], 0.5
+        for k in (1, 2, 3):
+            blocked, n = counts.get(key(host, path, k), (0, 0))
+            shorter = (blocked + 2 * shorter) / (n + 2)
+            shares.append(shorter)
+        want = plain_features(r.url or "", host, path, shares)
+        assert np.allclose([features[r.page_id][c] for c in url_filter.FEATURES], want), r.url
+        margin = sum(w * t.predict(Vectors.dense(want)) for w, t in zip(model.treeWeights, model.trees))
+        assert np.isclose(got[r.page_id].margin, margin, atol=1e-6)
+        assert got[r.page_id].verdict == (best[1] if best else "block" if margin > 0 else "allow")
+
+
+def test_sample_rows_do_not_see_their_own_label(spark, monkeypatch):
+    """Suffixes that occur once, each in a cell of its own, say nothing about their own row."""
+    monkeypatch.setattr(url_filter, "SUFFIX_CELLS", 1 << 24)
+    rows = spark.createDataFrame([(i, f"http://h.d{i}/", f"h.d{i}", "/", "block" if i % 2 else "allow") for i in range(40)], "page_id long, url string, host string, path string, rule_verdict string")
+    suffixes = url_filter.suffix_statistics(rows)
+    own = url_filter.lexical_features(rows, suffixes, own_fold=True).collect()
+    seen = url_filter.lexical_features(rows, suffixes).collect()
+    assert {r.suffix3 for r in own} == {0.5} and all((r.suffix3 > 0.5) == (r.rule_verdict == "block") for r in seen)
+
+
 def test_url_query(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = url_filter.judge(pages)
@@ -106,9 +217,10 @@ def test_url_query(spark, sf_dir):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_trees_learn_held_out_urls(spark):
+def test_trees_learn_held_out_urls(spark, sf_dir):
     """Urls with a rule whose page_id is odd are learned, the even ones are judged by the trees alone."""
-    rows = url_filter.judged_by_rules(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), url_filter.RULES).where("rule is not null")
+    folder = os.path.dirname(sf_dir.rstrip("/"))
+    rows = url_filter.judged_by_rules(spark.read.parquet(f"{folder}/sf0.1/pages.parquet"), url_filter.RULES).where("rule is not null")
     learned = rows.where("page_id % 2 = 1")
     suffixes = url_filter.suffix_statistics(learned)
     margin = url_filter.trained_trees(learned, suffixes)
@@ -270,8 +382,6 @@ def test_scores_match_brute_force(spark):
 
 
 def test_toxicity_query_on_held_out_documents(spark, sf_dir):
-    import os
-
     folder = f"{os.path.dirname(sf_dir.rstrip('/'))}/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
     held = toxicity.op3_toxicity(spark, folder).where("held_out").join(labels, "doc_id").toPandas()
@@ -308,6 +418,26 @@ def test_blocks():
     assert [t for _, t, _ in html_extract.leaf_blocks("<div class='x" + "<p>y" * 3)] == ["y"] * 3
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><title-bar>T</title-bar><p>One.</p><p>Two.</p></article>", ["T", "One.", "Two."]), ("<p>Zero.</p><svg class='i'/><p>One.</p>", ["Zero.", "One."]), ("<p>A</p><object-card><p>B</p></object-card>", ["A", "B"]),
+        ("<p>A</p><select><option>x<p>B</p>", ["A", "x", "B"]), ("<p>A</p><svg><p>B</p>", ["A", "B"]), ("<p>A</p><svg><text>q</text><svg>r</svg>s</svg><p>B</p>", ["A", "B"]), ("<p>A</p><noscript>x</noscript><p>B", ["A", "B"]),
+        ("<p>A<!-->B<!-- x -->C", ["ABC"]), ("<script>a<p>x</script ><p>B", ["B"]), ("<style><p>x", []), ("<p>A<template>t<template>u</template>v</template>B<object>o<p>C", ["ABo", "C"]), ("<p>A</svg>B<textarea>t</textarea>C", ["AB C"]),
+    ],
+)
+def test_elements_that_swallow_nothing(page, want):
+    assert [t for _, t, _ in html_extract.leaf_blocks(page)] == want
+
+
+def test_many_unclosed_elements_take_linear_time():
+    import time
+
+    began = time.time()
+    assert [t for _, t, _ in html_extract.leaf_blocks("<svg>" * 100_000 + "<p>A")] == ["A"]
+    assert time.time() - began < 5
+
+
 def test_field_on_held_out_layouts():
     model, wrong, total = html_extract.trained(), 0, 0
     for page in labelled_pages(80, seed=9):
@@ -354,7 +484,7 @@ def test_other_layouts(spark):
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "tokens"]
@@ -373,5 +503,41 @@ def test_pipeline(spark, sf_dir):
     assert ids(fair) == ids(contamination(apart, benchmark).where("not contaminated"))
     mixed = stored(corpus_pipeline.mixing(spark, fair, sf_dir), "t4")
     assert set(ids(mixed)) == set(ids(fair)) and mixed.columns == docs.columns
-    result = corpus_pipeline.run(spark, sf_dir).collect()
+    result = corpus_pipeline.run(spark, sf_dir, f"file://{tmp_path}/tokens").collect()
     assert sorted(r.doc_id for r in result) == ids(mixed)
+    # The files stay in the folder that was given, and hold the texts of what is left.
+    from slotloom.llm.token_files import ShardReader, encoder, tokenizer_file
+
+    tokenizer = encoder(tokenizer_file()).tokenizer
+    texts = {r.doc_id: r.text for r in fair.collect()}
+    found = []
+    for path in sorted(tmp_path.glob("tokens/*.sltb")):
+        shard = ShardReader(f"file://{path}")
+        for i in range(shard.n_docs):
+            found.append(shard.doc_ids[i].as_py())
+            assert shard.document(i).tolist() == [*tokenizer.encode(texts[found[-1]] or "", add_special_tokens=False).ids, 0]
+    assert sorted(found) == ids(mixed)
+    # Expected tokens of the drawn copies by language are near the weights.
+    tokens = {r.lang: r.n for r in mixed.groupBy("lang").agg(F.sum(mixing.token_count(F.col("text"))).alias("n")).collect()}
+    share = {k: n / sum(tokens.values()) for k, n in tokens.items()}
+    assert all(abs(share[k] - w) < 0.08 for k, w in mixing.TARGET_WEIGHTS.items())
+
+
+def test_pipeline_edges(spark, odd, crowded, no_documents, tmp_path):
+    """Null and empty texts, repeated rows, clashing columns, and empty tables pass all five stages."""
+    import corpus_pipeline
+
+    benchmark, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, (docs, count) in {"none": (no_documents, 0), "odd": (odd, None), "crowded": (crowded, None)}.items():
+        folder = f"file://{tmp_path}/{name}"
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+            df.write.option("mergeSchema", "true").parquet(f"{folder}/{table}.parquet")
+        read = spark.read.parquet(f"{folder}/documents.parquet")
+        for i, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            run(spark, read, folder).write.parquet(f"{folder}/stage{i}")
+            out = spark.read.parquet(f"{folder}/stage{i}")
+            if stage != "tokens":
+                assert out.columns == docs.columns
+            read = out
+        kept = {r.doc_id for r in read.collect()}
+        assert (read.count() == 0) if count == 0 else {1, 2, 3, 4, 5, 20} <= kept and not kept & {21, 22, 23, 24, 25}

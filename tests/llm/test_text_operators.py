@@ -49,6 +49,24 @@ def test_exact(odd, odd_rows, crowded, no_documents):
     assert exact_dedup.exact_duplicates(no_documents).count() == 0
 
 
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_texts_with_one_digest_are_told_apart(odd, odd_rows, digest_bytes):
+    """With digests of one byte nearly all groups hold different texts."""
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert rows(exact_dedup.exact_duplicates(odd, digest_bytes), *columns) == rows(exact_dedup.exact_duplicates(odd), *columns)
+
+
+def test_drop_exact_duplicates(spark, crowded, odd_rows, no_documents):
+    docs = spark.createDataFrame([(1, "a", "p"), (1, "b", "q"), (2, "A", "r"), (None, "c", "s"), (None, "C", "s"), (3, None, "t"), (9, "", "u"), (9, "", "u"), (4, "d", "v")], "doc_id long, text string, norm string")
+    got = sorted(((r.doc_id, (r.text or "").lower(), r.norm) for r in exact_dedup.drop_exact_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, "b", "q"), (2, "a", "r"), (None, "c", "s"), (9, "", "u"), (4, "d", "v")], key=str)
+    kept = exact_dedup.drop_exact_duplicates(crowded)
+    assert kept.columns == crowded.columns
+    texts = Counter((t or "").translate(FOLD) for _, t, *_ in odd_rows)
+    assert Counter((r.text or "").translate(FOLD) for r in kept.collect()) == dict.fromkeys(texts, 1)
+    assert exact_dedup.drop_exact_duplicates(no_documents).count() == 0
+
+
 def test_filters_merge_without_loss():
     rng = np.random.default_rng(0)
     parts = [rng.integers(0, 1 << 63, 500).astype(np.uint64) << np.uint64(1) for _ in range(4)]
@@ -95,6 +113,42 @@ def test_substring_edges(crowded, odd, odd_rows, no_documents):
     assert by_id[1] is None and by_id[5] == "two words" and len(by_id[10].split()) == 3
 
 
+def test_equal_hashes_with_other_tails_differ():
+    hashes, tails = np.array([7, 7, 7, 5, 7], np.uint64), np.array([1, 2, 1, 1, 3], np.uint8)
+    again, first, _ = substring_dedup._repeats(hashes, tails)
+    assert again.tolist() == [True, False, True, False, False] and first.tolist() == [True, True, False, True, True]
+    assert substring_dedup._known(hashes, tails, np.array([7, 7], np.uint64), np.array([3, 2], np.uint8)).tolist() == [False, True, False, False, True]
+
+
+def test_clashing_columns_stay(crowded):
+    columns = lambda df: sorted((tuple(r[c] for c in df.columns if c != "text") for r in df.collect()), key=str)
+    assert columns(substring_dedup.remove_repeated_spans(crowded)) == columns(crowded)
+    for kept in (near_dedup.drop_near_duplicates(crowded), exact_dedup.drop_exact_duplicates(crowded)):
+        assert kept.columns == crowded.columns and set(columns(kept)) <= set(columns(crowded))
+
+
+def test_parts_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from slotloom.llm.shared import even_keys
+
+    keys = even_keys(spark, 30)
+    assert len(keys) == len(set(keys.tolist())) == 32
+    rows = spark.createDataFrame([(int(k),) for k in keys], "k int")
+    found = rows.select(F.pmod(F.hash("k"), F.lit(4)).alias("p")).groupBy("p").count().collect()
+    assert {r["count"] for r in found} == {8} and len(found) == 4
+
+
+def test_key_filter_grows_and_misses_nothing(spark, monkeypatch):
+    from slotloom.llm import keyfilter
+
+    assert keyfilter.bits_for(10) == 1 << 24 and keyfilter.bits_for(4_000_000) == 1 << 25 and keyfilter.bits_for(10**12) == 1 << 29
+    monkeypatch.setattr(keyfilter, "LEAST_BITS", 1 << 12)
+    keys = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 2000)
+    bits = keyfilter.key_filter(spark.createDataFrame([(int(k),) for k in keys[:1000]], "k long"))
+    assert len(bits) * 8 == 1 << 13 and keyfilter.among(bits, keys[:1000]).all() and keyfilter.among(bits, keys[1000:]).mean() < 0.2
+
+
 def test_packed_places_round_trip():
     keys, place = np.array([5, 5, 5, 9, 9], np.int64), np.array([0, 300, 700_000, 4, 5])
     first = substring_dedup._starts(keys, place)
@@ -238,6 +292,19 @@ def brute_contamination(odd_rows, benchmark_rows):
 
 
 @pytest.mark.parametrize("most", [4_000_000, 3])
+def test_cut_texts_and_reports_agree(spark, crowded, benchmark_rows, most):
+    """``decontaminate`` keeps what ``contamination`` calls clean, and cuts as many words as it counts."""
+    items = spark.createDataFrame(benchmark_rows, "item_id long, text string")
+    report = decontaminate.contamination(crowded, items, max_windows=most)
+    kept = decontaminate.decontaminate(crowded, items, max_windows=most)
+    assert kept.columns == crowded.columns
+    assert rows(kept, "doc_id") == rows(report.where("not contaminated"), "doc_id")
+    words = lambda df: Counter((r.doc_id, len(ALNUM.findall((r.text or "").translate(FOLD)))) for r in df.collect())
+    cut = decontaminate.decontaminate(crowded, items, spans=True, max_windows=most)
+    assert words(cut) == Counter((r.doc_id, r.n_words - r.n_hit) for r in report.collect())
+
+
+@pytest.mark.parametrize("most", [4_000_000, 3, 1])
 def test_contamination(spark, odd, odd_rows, benchmark_rows, most):
     items = spark.createDataFrame(benchmark_rows, "item_id long, text string")
     got = decontaminate.contamination(odd, items, max_windows=most)
@@ -277,6 +344,55 @@ def test_decontaminated_by_blocks(spark, crowded, odd_rows, benchmark_rows):
 PLAIN = "Write to a.b@c-d.example.org, or 10.0.255.1 and 300.1.1.1; card 4111 1111 1111 1111 not 4111111111111112, call +1 (743) 555-3824. IBAN GB82 WEST 1234 5698 7654 32 but GB83WEST12345698765432. ssn 123-45-6789; 123-45-6789 alone"
 
 
+def test_time_is_linear():
+    import time
+
+    for text in ("a" * 10**6 + " x@y.zz", "1" * 10**6, "1." * 500_000, "a@" * 500_000, "+1(" * 300_000, "123-45-6789 " * 80_000):
+        began = time.time()
+        pii.find(text)
+        assert time.time() - began < 4
+
+
+def test_base_spans_equal_the_patterns():
+    import random
+
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    r = random.Random(1)
+    for _ in range(20_000):
+        alphabet = r.choice(["a.@-", "ab@.% ", "1.2 -", "+1( .", "1.", "12 -a@.+"])
+        text = "".join(r.choice(alphabet) for _ in range(r.randrange(30)))
+        for kind, pattern in patterns.items():
+            assert list(pii._candidates(kind, text)) == [m.span() for m in re.finditer(pattern, text)], (kind, text)
+
+
+def test_context_words_are_whole_words():
+    assert pii.find("our hotel has 743 555-3824 rooms") == [] and [k for k, *_ in pii.find("tel 743-555-3824")] == ["localphone"]
+    assert pii.find("x" * 37 + "hotel 743-555-3824") == [] and pii.find("743-555-3824 " + "y" * 36 + " telescope") == []
+    assert [s for *_, s in pii.find("a@b.cc")] == [0.9] and [s for *_, s in pii.find("mail a@b.cc")] == [1.0]
+
+
+def test_spans_of_documents(spark, sf_dir):
+    """All kinds on whole documents, against patterns and checks written down again."""
+    extra = {"iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "localphone": r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])"}
+    near = {"ssn": ("ssn", "social security"), "localphone": ("phone", "telephone", "call", "tel", "mobile", "fax")}
+
+    def fits(kind, text, a, b):
+        if kind == "iban":
+            moved = text[a:b].replace(" ", "")
+            return 15 <= len(moved) <= 34 and int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in moved[4:] + moved[:4])) % 97 == 1
+        words = [m for w in near[kind] for m in re.finditer(rf"(?i)(?<![^\W\d_]){w}s?(?![^\W\d_])", text)]
+        if not any(a - 40 <= m.start() and m.end() <= a or b <= m.start() < b + 40 for m in words):
+            return False
+        if kind == "ssn" and not re.fullmatch(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", text[a:b]):
+            return False
+        return not any(int(x) < b and a < int(y) for x, y in (s.split(":")[1:] for s in brute_spans(text)))
+
+    for r in registry.QUERIES["op9_pii"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        text = r.text or ""
+        more = [f"{k}:{m.start()}:{m.end()}" for k, p in extra.items() for m in re.finditer(p, text) if fits(k, text, *m.span())]
+        assert sorted(filter(None, r.spans.split(","))) == sorted(brute_spans(text) + more)
+
+
 def test_spans():
     got = {(k, PLAIN[a:b]) for k, a, b, _ in pii.find(PLAIN)}
     assert {("email", "a.b@c-d.example.org"), ("ip", "10.0.255.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789")} <= got
@@ -341,6 +457,52 @@ def test_pieces_equal_whole_texts(odd_rows):
             assert ids[ends[k] - n[k] : ends[k]].tolist() == whole.ids, texts[lo + k]
 
 
+def test_token_query(spark, sf_dir):
+    """The query on whole documents against the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    t, start = Tokenizer.from_file(token_files.tokenizer_file()), 0
+    got = {r.doc_id: r for r in registry.QUERIES["op10_token_files"](spark, sf_dir).collect()}
+    docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    for r, whole in zip(docs, t.encode_batch([r.text or "" for r in docs], add_special_tokens=False)):
+        ids = [*whole.ids, 0]
+        assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert len(got) == len(docs)
+
+
+def test_pieces_that_cannot_be_told_apart(monkeypatch):
+    """Equal hashes of different pieces, and tokens over a cut, make no difference to the ids."""
+    import pyarrow as pa
+
+    from slotloom.llm.words import buffers
+
+    texts = ["one two three, four", "five six\nseven", "", "one six"]
+    data, offsets = buffers(pa.array(texts))
+    plain = token_files.PieceEncoder(token_files.tokenizer_file())
+    want = [e.ids for e in plain.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, n = plain.encode(data, offsets)
+    assert np.split(ids, np.cumsum(n)[:-1])[1].tolist() == want[1]
+    monkeypatch.setattr(token_files, "word_hashes", lambda data, starts, ends, fold: (ends - starts).astype(np.uint64))
+    clashing = token_files.PieceEncoder(token_files.tokenizer_file())
+    ids, n = clashing.encode(data, offsets)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    monkeypatch.undo()
+    crossing = token_files.PieceEncoder(token_files.tokenizer_file())
+    crossing.width[:] = 1
+    ids, n = crossing.encode(data, offsets)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want and not len(crossing.hashes)
+
+
+def test_other_doc_ids_and_failed_attempts(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "two"), ("a", "one"), (None, "none"), ("b", "again")], "doc_id string, text string")
+    manifest = token_files.write_token_files(docs, f"file://{tmp_path}/named", token_files.tokenizer_file())
+    assert [r.doc_id for r in token_files.read_token_files(manifest, "string").orderBy("start").collect()] == [None, "a", "b", "b"]
+    writer = token_files.ShardWriter(f"file://{tmp_path}/failed.sltb", 16)
+    writer.abandon()
+    assert not list(tmp_path.glob("failed*"))
+
+
 def test_token_files(spark, odd, odd_rows, no_documents, tmp_path):
     from tokenizers import Tokenizer
 
