@@ -67,3 +67,16 @@ def test_no_triplets_leave_the_model(spark):
     start = encoder.Encoder.random(4, 6, 4, 8)
     model, history = training.train(start, made_up(spark, 1), {"epochs": 1, "lr": 0.1, "batch_size": 8, "margin": 2.0, "dropout": 0.0}, n_hints=4, workers=1)
     assert history == [{"epoch": 1, "loss": 0.0}] and (model.weight == start.weight).all()
+
+
+@pytest.mark.parametrize("variant", sorted(encoder.VARIANTS))
+def test_exported_model(variant):
+    from slotloom.operators import onnx_export
+
+    model = encoder.Encoder.random(10, 6, 5, 8, variant)
+    raw = onnx_export.exported(model, (4, 3))
+    onnx_export.checked(model, raw, (4, 3))
+    onnx_export.checked(model, raw, (4, 3), batch=1, seed=3)
+    other = encoder.Encoder.random(10, 6, 5, 8, variant, seed=9)
+    with pytest.raises(AssertionError):
+        onnx_export.checked(other, raw, (4, 3))
