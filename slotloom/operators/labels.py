@@ -104,5 +104,6 @@ def random_hint_codes(df: DataFrame, ranked: DataFrame, column: str = "aval_type
     """Like hint_codes on each row's own visible types, each match kept by a seeded coin."""
     types = [r.type for r in ranked.orderBy("rank").select("type").collect()]
     listed = F.array(*[F.lit(t) for t in types])
-    hits = F.filter(F.sequence(F.lit(0), F.lit(len(types) - 1)), lambda i: listed[i].contains(F.col(column)) & (F.pmod(F.xxhash64(F.col(column), i, F.lit(seed)), F.lit(1000)) >= int(1000 * probability)))
+    coin = lambda i: F.conv(F.substring(F.md5(F.concat_ws("#", F.col(column), i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % 1000
+    hits = F.filter(F.sequence(F.lit(0), F.lit(len(types) - 1)), lambda i: listed[i].contains(F.col(column)) & (coin(i) >= int(1000 * probability)))
     return df.withColumn("hint", F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(len(types) - 1)))

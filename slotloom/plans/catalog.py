@@ -759,3 +759,6 @@ def eval_codes(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "label").join(lists, "query_id")
     found = evaluate.code_metrics(rows, (0, 1), spark.createDataFrame([(2,), (3,), (4,)], "label int"), 5)
     return found.select("n", *[F.round(c, 6).alias(c) for c in found.columns if c != "n"])
+
+
+from slotloom.plans import catalog_build  # noqa: E402, F401  adds its queries
