@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.llm.graph import components
-from slotloom.llm.keyfilter import likely, sent_filter
+from slotloom.llm.keyfilter import likely, outside, sent_filter
 from slotloom.llm.shared import even_keys, partitions, planned_bytes, quoted, send, stored, unused
 from slotloom.llm.words import NON_SPACE, U64, _splitmix, chunks, mix, scan, text_column, tidy, windows, word_hashes
 
@@ -481,13 +481,15 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similarity:
     A component's document stands for it: rows with the doc_id of that document and another text of
     the component stay too, but of rows with the same doc_id and text one stays.
     """
-    own, key, row = unused(docs.columns, "own", "key", "row")
-    found = _labelled(docs, size, similarity).where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
-    kept = stored(found, "kept")
-    keyed = docs.select(*quoted(docs.columns), F.xxhash64("doc_id", "text").alias(own))
-    single = keyed.join(kept.where("n = 1 or n_shingles = 0").select(F.col("key").alias(key)), F.col(own) == F.col(key), "left_semi").drop(own)
-    again = keyed.join(kept.where("n > 1 and n_shingles > 0").select(F.col("key").alias(key)), F.col(own) == F.col(key), "left_semi")
-    return single.unionByName(again.groupBy(own).agg(F.first(F.struct(*quoted(docs.columns))).alias(row)).select(f"{row}.*"))
+    own, key, stays, row = unused(docs.columns, "own", "key", "stays", "row")
+    found = _labelled(docs, size, similarity).groupBy("key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
+    # Rows that go, or of which one goes, are few: a filter keeps all other texts where they are.
+    touched = stored(found.where("not kept or (n > 1 and n_shingles > 0)").select(F.col("key").alias(key), F.col("kept").alias(stays)), "touched")
+    bits = sent_filter(touched.select(key))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias(own), *quoted(docs.columns))
+    met = likely(keyed, bits).join(touched, F.col(own) == F.col(key), "left")
+    again = met.where(F.col(stays)).groupBy(own).agg(F.first(F.struct(*quoted(docs.columns))).alias(row)).select(f"{row}.*")
+    return outside(keyed, bits).drop(own).unionByName(met.where(F.col(key).isNull()).select(*quoted(docs.columns))).unionByName(again)
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _made: list[tuple[object, str]] = []
+_registered: list = []
 _own: dict[str, str] = {}
 _sent: list[weakref.ref] = []
 
@@ -38,12 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one; it is removed when the driver's process ends."""
     path = f"{shared_dir(spark)}/slotloom/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
+    if not _registered:
+        _registered.append(atexit.register(_clean))
     _made.append((spark, path))
     return path
 
 
+def made() -> list[tuple[object, str]]:
+    """What ``fresh_path`` has given out and nobody has removed yet."""
+    return list(_made)
+
+
+def removed(paths: list[tuple[object, str]]) -> None:
+    """Removes tables that are no longer read."""
+    for spark, path in paths:
+        with contextlib.suppress(Exception):  # the session may have ended
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if (spark, path) in _made:
+            _made.remove((spark, path))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The DataFrame as a written table: its lineage is cut, lost executors cost nothing
     that was finished, and later plans know its true size."""
@@ -94,11 +110,7 @@ def mapped(rows: DataFrame, run, columns: list[str]) -> DataFrame:
 
 
 def _clean() -> None:
-    for spark, path in _made:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    removed(made())
 
 
 def partitions(spark: SparkSession) -> int:
