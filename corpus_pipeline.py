@@ -10,42 +10,63 @@
 5. tokens: the ids of what is left, as bit-packed files, read back.  The files stay in the
    folder that ``run`` or ``tokens`` is given; without one they go when the driver ends.
 
-Each stage first takes the broadcasts of earlier ones back from the executors.
+A stage's rows are written before the next one begins, so each stage first takes the
+broadcasts of the one before back from the executors and removes its intermediate tables.
 """
 
 from __future__ import annotations
 
+import functools
+
 from slotloom.llm.decontaminate import decontaminate
 from slotloom.llm.mixing import TARGET_WEIGHTS, known_domains, mixed
 from slotloom.llm.near_dedup import drop_near_duplicates
-from slotloom.llm.shared import fresh_path, recall, stored
+from slotloom.llm.shared import fresh_path, made, recall, removed, stored
 from slotloom.llm.token_files import read_token_files, tokenizer_file, write_token_files
 from slotloom.llm.toxicity import drop_toxic
 
 
+#: Intermediate tables of the last stage.
+_left: list = []
+
+
+def _stage(run):
+    @functools.wraps(run)
+    def wrapped(spark, docs, sf_dir: str, *more):
+        recall()
+        removed(_left)
+        before = made()
+        out = run(spark, docs, sf_dir, *more)
+        # The token files are what that stage is for: they stay.
+        _left[:] = [] if run.__name__ == "tokens" else [m for m in made() if m not in before]
+        return out
+
+    return wrapped
+
+
+@_stage
 def toxicity(spark, docs, sf_dir: str):
-    recall()
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def near_duplicates(spark, docs, sf_dir: str):
-    recall()
     return drop_near_duplicates(docs, size=5, similarity=(80, 100))
 
 
+@_stage
 def decontamination(spark, docs, sf_dir: str):
-    recall()
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mixing(spark, docs, sf_dir: str):
-    recall()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixed(docs, known_domains(docs, labels), TARGET_WEIGHTS, at_least=1)
 
 
+@_stage
 def tokens(spark, docs, sf_dir: str, folder: str | None = None):
-    recall()
     manifest = write_token_files(docs, folder or fresh_path(spark, "pipeline-tokens"), tokenizer_file())
     return read_token_files(manifest, docs.schema["doc_id"].dataType.simpleString())
 
