@@ -46,7 +46,7 @@ from slotloom.llm.words import U64, chunks, ragged, text_column, tidy, word_hash
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 32 << 20
 #: What known pieces may take in a worker, and the text that is encoded at a time.
-CACHE_BYTES, ENCODE_BYTES = 24 << 20, 1 << 19
+CACHE_BYTES, ENCODE_BYTES = 32 << 20, 1 << 19
 #: Ranges of equal doc_ids may be cut between texts that differ in so many characters.
 ORDER_CHARS = 32
 _MAGIC, _VERSION, _HEAD = b"SLTB", 2, 48
@@ -212,21 +212,37 @@ class PieceEncoder:
         self.hashes, self.ids, self.raw = np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
         #: Of each known piece its first id and byte, and how many it has of both.
         self.at, self.n, self.raw_at, self.raw_n = (np.zeros(0, np.int32) for _ in range(4))
+        #: In how many chunks each was met.
+        self.used = np.zeros(0, np.int32)
 
     def _held(self) -> int:
-        return 24 * len(self.hashes) + 4 * len(self.ids) + len(self.raw)
+        return 28 * len(self.hashes) + 4 * len(self.ids) + len(self.raw)
+
+    def _thin_out(self) -> None:
+        """Forgets the pieces that were met least, at least half of them."""
+        stay = np.flatnonzero(self.used > max(1, np.median(self.used)))
+        ids, raw = self.ids[ragged(self.at[stay].astype(np.int64), self.n[stay])], self.raw[ragged(self.raw_at[stay].astype(np.int64), self.raw_n[stay])]
+        self.hashes, self.n, self.raw_n, self.used = self.hashes[stay], self.n[stay], self.raw_n[stay], self.used[stay] // 2
+        self.ids, self.raw = ids, raw
+        self.at, self.raw_at = ((np.cumsum(n) - n).astype(np.int32) for n in (self.n, self.raw_n))
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of pieces: document starts, single spaces between solid characters, letter to punctuation."""
         n = len(data)
         cut = np.zeros(n + 1, bool)
         if n > 2:
-            cut[1 : n - 1] = (data[1:-1] == 32) & _SOLID[data[:-2]] & (_SOLID[data[2:]] | (data[2:] >= 0xC3))
-            cut[1:n] |= _LETTER[data[:-1]] & _PUNCT[data[1:]]
+            solid, wide = _SOLID[data], data >= 0xC3
+            opens = solid | wide
+            cut[1 : n - 1] = (data[1:-1] == 32) & solid[:-2] & opens[2:]
+            punct = _PUNCT[data]
+            cut[1:n] |= _LETTER[data[:-1]] & punct[1:]
             # Letters of U+00C0 to U+00FF (without the two signs there) take two bytes.
-            cut[2:n] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7) & _PUNCT[data[2:]]
+            letter = np.flatnonzero(data[:-2] == 0xC3)
+            last = data[letter + 1]
+            cut[letter[(last >= 0x80) & (last != 0x97) & (last != 0xB7) & punct[letter + 2]] + 2] = True
             # A single line feed between solid characters is a piece of its own.
-            feed = np.flatnonzero((data[1:-1] == 10) & _SOLID[data[:-2]] & (_SOLID[data[2:]] | (data[2:] >= 0xC3))) + 1
+            feed = np.flatnonzero(data[1:-1] == 10) + 1
+            feed = feed[solid[feed - 1] & opens[feed + 1]]
             cut[feed] = cut[feed + 1] = True
         for s in self.special:  # a special token is not cut
             raw, at = data.tobytes(), -1
@@ -248,7 +264,7 @@ class PieceEncoder:
         # Pieces tile the chunk, so the first pieces of their hashes must give the chunk again.
         same = (alike[which] == lengths).all() and (data[ragged(starts[first][which], lengths)] == data[starts[0] :]).all()
         if self._held() > CACHE_BYTES:
-            self.forget()
+            self._thin_out()
         place = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
         new = np.ones(len(distinct), bool) if not len(self.hashes) else self.hashes[place] != distinct
         if same and not new.all():
@@ -257,6 +273,7 @@ class PieceEncoder:
         if not same or (new.any() and not self._learn(data, starts[first[new]], ends[first[new]], distinct[new])):
             return self._whole(data, offsets)
         place = np.searchsorted(self.hashes, distinct)
+        self.used[place] += 1
         at, n = self.at[place][which].astype(np.int64), self.n[place][which]
         doc = np.searchsorted(offsets, starts, "right") - 1
         return self.ids[ragged(at, n)], np.bincount(doc, n, docs).astype(np.int64)
@@ -297,10 +314,11 @@ class PieceEncoder:
                     return False
                 counts[a:b] = np.diff(last + 1, prepend=0)
         at, raw_at = len(self.ids) + np.cumsum(counts) - counts, len(self.raw) + np.cumsum(lengths) - lengths
-        known = np.concatenate([self.hashes, hashes])
-        order = np.argsort(known, kind="stable")
-        self.hashes = known[order]
-        self.at, self.n, self.raw_at, self.raw_n = (np.concatenate([old, more.astype(np.int32)])[order] for old, more in ((self.at, at), (self.n, counts), (self.raw_at, raw_at), (self.raw_n, lengths)))
+        order = np.argsort(hashes)
+        # Both are in order, so the new ones are put between the known ones.
+        to = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.used = np.insert(self.hashes, to, hashes[order]), np.insert(self.used, to, 0)
+        self.at, self.n, self.raw_at, self.raw_n = (np.insert(old, to, more.astype(np.int32)[order]) for old, more in ((self.at, at), (self.n, counts), (self.raw_at, raw_at), (self.raw_n, lengths)))
         self.ids, self.raw = np.concatenate(flat), np.concatenate([self.raw, data[ragged(starts, lengths)]])
         return True
 
@@ -332,8 +350,6 @@ def _write(folder: str, tokenizer_path: str, end_id: int):
             if writer:
                 writer.abandon()
             raise
-        finally:
-            enc.forget()
         if writer:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([url]), pa.array([docs], pa.int64()), pa.array([n_ids], pa.int64())], ["shard", "url", "n_docs", "n_ids"])
 
