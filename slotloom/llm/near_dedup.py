@@ -152,8 +152,8 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (((hashes >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
 
 
-def _hot_values(classes: DataFrame, parts: int) -> dict[int, int]:
-    """Values held by many classes, with their counts; there are at most COORDINATES * HOT_SHARE."""
+def _hot_values(classes: DataFrame, parts: int, least: int) -> dict[int, int]:
+    """Values held by more than ``least`` classes, with their counts; there are at most COORDINATES * HOT_SHARE."""
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,20 +173,20 @@ def _hot_values(classes: DataFrame, parts: int) -> dict[int, int]:
 
     keys = even_keys(classes.sparkSession, parts)
     parts = len(keys)
-    least = max(HOT_LEAST, classes.count() // HOT_SHARE)
     counted = classes.select("node", "sig").mapInArrow(count, "part int, hashes binary, counts binary")
     return {r.hash: r.n for r in counted.groupBy("part").applyInPandas(total, "hash long, n long").collect()}
 
 
 def prefix_postings(classes: DataFrame, least: int) -> DataFrame:
-    """(hash, node): the rarest values, as many as the prefix for ``least`` matches needs, of classes with enough shared values."""
+    """(hash, node, hot): the rarest values, as many as the prefix for ``least`` matches needs, of classes with enough shared values."""
     spark = classes.sparkSession
     parts = max(2 * partitions(spark), planned_bytes(classes) // (4 << 20))
     keys = even_keys(spark, 2 * int(parts))
     parts = len(keys) // 2
     # The postings of a range of values have the first half of the keys, those of a group of nodes the second.
     of_nodes = np.sort(keys[parts:])
-    hot = send(spark, _hot_values(classes, parts))
+    many_are = max(HOT_LEAST, classes.count() // HOT_SHARE)
+    hot = send(spark, _hot_values(classes, parts, many_are))
 
     @tidy
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +235,11 @@ def prefix_postings(classes: DataFrame, least: int) -> DataFrame:
         rank = np.arange(len(nodes)) - np.repeat(first, shared)
         # The values that nobody shares are the rarest and use up the prefix first.
         keep = rank < np.repeat(shared - least + 1, shared)
-        return pd.DataFrame({"hash": hashes[keep].view(np.int64), "node": nodes[keep]})
+        return pd.DataFrame({"hash": hashes[keep].view(np.int64), "node": nodes[keep], "hot": counts[order][keep] > many_are})
 
     packed = "part int, hashes binary, nodes binary, counts binary"
     posted = classes.select("node", "sig").mapInArrow(post, packed)
-    return posted.groupBy("part").applyInPandas(share, packed).groupBy("part").applyInPandas(choose, "hash long, node long")
+    return posted.groupBy("part").applyInPandas(share, packed).groupBy("part").applyInPandas(choose, "hash long, node long, hot boolean")
 
 
 # -- pairs inside a group ---------------------------------------------------------------------------------------------
@@ -390,9 +390,11 @@ def links(docs: DataFrame, classes: DataFrame, size: int, similarity: tuple[int,
     """(a, b): confirmed links between classes (node, rep_key, n, sig) that span all their components."""
     spark = classes.sparkSession
     posts = stored(prefix_postings(classes, matches(similarity)), "posts")
-    least = posts.groupBy("hash").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("h"), "b")
-    star = posts.join(stored(least, "least"), F.col("hash") == F.col("h")).select(F.col("node").alias("a"), "b")
-    groups = components(star, "groups")
+    least = posts.groupBy("hash").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n"), F.bool_or("hot").alias("hot")).where("n > 1").select(F.col("hash").alias("h"), "b", F.col("hot").alias("many"))
+    least = stored(least, "least")
+    # Hot values are at most COORDINATES * HOT_SHARE: they are broadcast, so the postings of one never come together.
+    hot, cold = posts.where("hot").join(F.broadcast(least.where("many")), F.col("hash") == F.col("h")), posts.where("not hot").join(least.where("not many"), F.col("hash") == F.col("h"))
+    groups = components(hot.unionByName(cold).select(F.col("node").alias("a"), "b"), "groups")
     # Few classes are in groups: filters keep the other signatures and texts out of the shuffles.
     grouped = likely(classes.select("node", "rep_key", F.col("n").alias("size"), "sig"), sent_filter(groups.select("vertex")))
     members = stored(groups.join(grouped, groups.vertex == grouped.node).select("node", F.col("label").alias("grp"), "rep_key", "size", "sig"), "members")
