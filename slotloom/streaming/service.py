@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.operators import infer, knn
+from slotloom.sources import tables
 
 PER_HOUR, PER_DAY = 5, 100
 #: Calendar windows of which a client's counts are held.
@@ -126,6 +127,7 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str):
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there and gives its result table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    checkpoint = tables.new_folder(stream.sparkSession, f"{name}-checkpoint")
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
