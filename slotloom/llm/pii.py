@@ -10,7 +10,9 @@ threshold, so they always stay.  The method adds
 * ``ssn``: three, two and four digits with hyphens, with possible area, group and
   serial numbers; it needs a context word nearby;
 * ``localphone``: a national telephone number without ``+``; it needs a context
-  word nearby.
+  word nearby;
+* ``secret``: a run of 20 or more letters, digits, ``_`` and ``-`` with letters and digits
+  and at least ``SECRET_BITS`` bits a character; it needs a context word nearby.
 
 Context words are whole words (with or without a plural s) that begin within
 ``CONTEXT_CHARS`` of the span; for base kinds they raise the score only.  The time is
@@ -22,8 +24,10 @@ empty text has no spans; texts are scanned whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +38,9 @@ from slotloom.llm.words import tidy
 
 THRESHOLD = 0.5
 CONTEXT_CHARS = 40
+SECRET_BITS = 2.8
 #: In the order in which spans of one start are listed.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "localphone")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "localphone", "secret")
 BASE_KINDS = KINDS[:4]
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -47,17 +52,19 @@ _PATTERNS = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "localphone": re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"),
 }
 #: Score before context, and the words nearby that raise it.
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "localphone": 0.3}
+_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "localphone": 0.3, "secret": 0.3}
 _CONTEXT = {
     "email": ("mail", "email", "e-mail", "contact", "write"), "ip": ("address", "host", "server"), "card": ("card", "visa", "payment", "credit"), "phone": ("phone", "telephone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "konto"), "ssn": ("ssn", "social security"), "localphone": ("phone", "telephone", "call", "tel", "mobile", "fax"),
+    "secret": ("token", "secret", "password", "passwd", "key", "credential"), "iban": ("iban", "account", "bank", "konto"), "ssn": ("ssn", "social security"), "localphone": ("phone", "telephone", "call", "tel", "mobile", "fax"),
 }
 _LONGEST = max(len(w) for words in _CONTEXT.values() for w in words) + 2
 _NEARBY = {k: re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, words)) + r")s?(?![^\W\d_])", re.I) for k, words in _CONTEXT.items()}
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
 
 
 def luhn(digits: str) -> bool:
@@ -76,6 +83,11 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _entropy(text: str) -> float:
+    """Bits a character."""
+    return sum(-n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
 def _valid(kind: str, found: str) -> bool:
     if kind == "email":
         return True
@@ -88,6 +100,8 @@ def _valid(kind: str, found: str) -> bool:
         return 10 <= len(_NOT_DIGIT.sub("", found)) <= 15
     if kind == "iban":
         return mod97(found)
+    if kind == "secret":
+        return bool(_DIGIT.search(found) and _LETTER.search(found)) and _entropy(found) >= SECRET_BITS
     if kind == "ssn":
         area, group, serial = found.split("-")
         return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
@@ -212,7 +226,7 @@ def _digest(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [of_kind(k).alias(f"n_{k}") for k in BASE_KINDS]
-    return personal_data(docs).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return personal_data(docs).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

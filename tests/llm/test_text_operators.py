@@ -365,6 +365,13 @@ def test_base_spans_equal_the_patterns():
             assert list(pii._candidates(kind, text)) == [m.span() for m in re.finditer(pattern, text)], (kind, text)
 
 
+def test_secrets():
+    assert [(k, a, b) for k, a, b, _ in pii.find('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x')] == [("secret", 9, 49)]
+    assert [k for k, *_ in pii.find("api_key: sk-1a2B3c4D5e6F7g8H9i0J")] == ["secret"]
+    for text in ("04dbebab91ab85687d33eeaaf9ac699e1188f962", "token aaaaaaaaaaaaaaaaaaaaaaaa1", "token onlyletterswithoutanydigit", "token 1234567890123456789012345", "monkey 04dbebab91ab85687d33eeaaf9ac699e1188f962"):
+        assert "secret" not in [k for k, *_ in pii.find(text)], text
+
+
 def test_context_words_are_whole_words():
     assert pii.find("our hotel has 743 555-3824 rooms") == [] and [k for k, *_ in pii.find("tel 743-555-3824")] == ["localphone"]
     assert pii.find("x" * 37 + "hotel 743-555-3824") == [] and pii.find("743-555-3824 " + "y" * 36 + " telescope") == []
@@ -373,8 +380,8 @@ def test_context_words_are_whole_words():
 
 def test_spans_of_documents(spark, sf_dir):
     """All kinds on whole documents, against patterns and checks written down again."""
-    extra = {"iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "localphone": r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])"}
-    near = {"ssn": ("ssn", "social security"), "localphone": ("phone", "telephone", "call", "tel", "mobile", "fax")}
+    extra = {"iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "localphone": r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])", "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}"}
+    near = {"secret": ("token", "secret", "password", "passwd", "key", "credential"), "ssn": ("ssn", "social security"), "localphone": ("phone", "telephone", "call", "tel", "mobile", "fax")}
 
     def fits(kind, text, a, b):
         if kind == "iban":
@@ -383,6 +390,10 @@ def test_spans_of_documents(spark, sf_dir):
         words = [m for w in near[kind] for m in re.finditer(rf"(?i)(?<![^\W\d_]){w}s?(?![^\W\d_])", text)]
         if not any(a - 40 <= m.start() and m.end() <= a or b <= m.start() < b + 40 for m in words):
             return False
+        if kind == "secret":
+            found = text[a:b]
+            bits = -sum(found.count(c) / len(found) * np.log2(found.count(c) / len(found)) for c in set(found))
+            return bool(re.search("[0-9]", found) and re.search("[A-Za-z]", found)) and bits >= pii.SECRET_BITS
         if kind == "ssn" and not re.fullmatch(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", text[a:b]):
             return False
         return not any(int(x) < b and a < int(y) for x, y in (s.split(":")[1:] for s in brute_spans(text)))
@@ -390,7 +401,7 @@ def test_spans_of_documents(spark, sf_dir):
     for r in registry.QUERIES["op9_pii"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
         text = r.text or ""
         more = [f"{k}:{m.start()}:{m.end()}" for k, p in extra.items() for m in re.finditer(p, text) if fits(k, text, *m.span())]
-        assert sorted(filter(None, r.spans.split(","))) == sorted(brute_spans(text) + more)
+        assert sorted(filter(None, r.spans.split(","))) == sorted(brute_spans(text) + more) and r.n_spans == len(brute_spans(text) + more)
 
 
 def test_spans():
