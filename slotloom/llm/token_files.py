@@ -190,6 +190,14 @@ class ShardReader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def _latin(data: np.ndarray) -> np.ndarray:
+    """Where a letter of U+00C0 to U+00FF (without the two signs there) ends: it takes two bytes."""
+    out = np.zeros(len(data), bool)
+    last = np.flatnonzero(data[:-1] == 0xC3) + 1
+    out[last] = (data[last] >= 0x80) & (data[last] != 0x97) & (data[last] != 0xB7)
+    return out
+
+
 class PieceEncoder:
     """Encodes documents piece by piece; known pieces are kept by their hash."""
 
@@ -231,18 +239,13 @@ class PieceEncoder:
         n = len(data)
         cut = np.zeros(n + 1, bool)
         if n > 2:
-            solid, wide = _SOLID[data], data >= 0xC3
-            opens = solid | wide
-            cut[1 : n - 1] = (data[1:-1] == 32) & solid[:-2] & opens[2:]
-            punct = _PUNCT[data]
-            cut[1:n] |= _LETTER[data[:-1]] & punct[1:]
-            # Letters of U+00C0 to U+00FF (without the two signs there) take two bytes.
-            letter = np.flatnonzero(data[:-2] == 0xC3)
-            last = data[letter + 1]
-            cut[letter[(last >= 0x80) & (last != 0x97) & (last != 0xB7) & punct[letter + 2]] + 2] = True
+            solid, letter = _SOLID[data], _latin(data)
+            opens, closes = solid | (data >= 0xC3), solid | letter
+            cut[1 : n - 1] = (data[1:-1] == 32) & closes[:-2] & opens[2:]
+            cut[1:n] |= (_LETTER[data[:-1]] | letter[:-1]) & _PUNCT[data[1:]]
             # A single line feed between solid characters is a piece of its own.
             feed = np.flatnonzero(data[1:-1] == 10) + 1
-            feed = feed[solid[feed - 1] & opens[feed + 1]]
+            feed = feed[closes[feed - 1] & opens[feed + 1]]
             cut[feed] = cut[feed + 1] = True
         for s in self.special:  # a special token is not cut
             raw, at = data.tobytes(), -1
@@ -286,10 +289,10 @@ class PieceEncoder:
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> bool:
         """Encodes new pieces; false, with nothing learned, if a token crosses two of them."""
-        # Pieces that start with a space and a solid character may follow each other in one text: the splits
-        # between them stay.  Others are encoded alone.
+        # Pieces that start with a space and end in a solid character or a letter may follow each other in one
+        # text: the splits between them stay.  Others are encoded alone.
         lengths = ends - starts
-        chained = (lengths > 1) & (data[starts] == 32) & _SOLID[data[ends - 1]]
+        chained = (lengths > 1) & (data[starts] == 32) & (_SOLID[data[ends - 1]] | _latin(data)[ends - 1])
         order = np.concatenate([np.flatnonzero(chained), np.flatnonzero(~chained)])
         starts, lengths, hashes, k = starts[order], lengths[order], hashes[order], int(chained.sum())
         texts, groups = [], []
