@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from slotloom.llm.keyfilter import likely, outside, sent_filter
 from slotloom.llm.shared import partitions, planned_bytes, quoted, stored, unused
-from slotloom.llm.words import LOWER, buffers, text_column, tidy
+from slotloom.llm.words import LOWER, buffers, settled, text_column, tidy
 
 QUOTIENT_BITS = 20
 #: Stored fingerprints of which one part is merged.
@@ -149,6 +149,7 @@ def repeated_fingerprints(prints: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
+    @settled
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         cqf = CountingQuotientFilter.merge([CountingQuotientFilter.from_bytes(x) for x in group["filter"]])
         many = cqf.counts > 1

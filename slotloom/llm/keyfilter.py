@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from slotloom.llm.shared import mapped, send
-from slotloom.llm.words import U64, mix, tidy
+from slotloom.llm.words import U64, mix, settled, tidy
 
 LEAST_BITS, MOST_BITS, BITS_PER_KEY, PIECES, HASHES, BUILDERS = 1 << 24, 1 << 29, 8, 64, 3, 64
 
@@ -47,6 +47,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
             if piece.any():
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([piece.tobytes()], pa.binary())], ["piece", "bits"])
 
+    @settled
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"piece": group["piece"].iloc[:1].to_numpy(), "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in group["bits"]]).tobytes()]})
 

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from slotloom.llm.graph import components
 from slotloom.llm.keyfilter import likely, outside, sent_filter
 from slotloom.llm.shared import even_keys, partitions, planned_bytes, quoted, send, stored, unused
-from slotloom.llm.words import NON_SPACE, U64, _splitmix, chunks, mix, scan, text_column, tidy, windows, word_hashes
+from slotloom.llm.words import NON_SPACE, U64, _splitmix, chunks, mix, scan, settled, text_column, tidy, windows, word_hashes
 
 SHINGLE_WORDS = 3
 SIMILARITY = (85, 100)
@@ -143,9 +143,17 @@ def _by_part(of: np.ndarray, parts: int):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Blocks of about so many rows, whatever the batches are: few blocks per task keep what a hot value may lose in its count small."""
+    held, n = [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            held.append(batch.slice(at, rows))
+            n += held[-1].num_rows
+            if n >= rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -163,6 +171,7 @@ def _hot_values(classes: DataFrame, parts: int, least: int) -> dict[int, int]:
             rows = [(int(keys[p]), hashes[at].tobytes(), counts[at].astype(np.int32).tobytes()) for p, at in _by_part(_part_of(hashes, parts), parts)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "counts"])
 
+    @settled
     def total(group: pd.DataFrame) -> pd.DataFrame:
         hashes = np.frombuffer(b"".join(group["hashes"]), U64)
         counts = np.frombuffer(b"".join(group["counts"]), np.int32).astype(np.int64)
@@ -209,6 +218,7 @@ def prefix_postings(classes: DataFrame, least: int) -> DataFrame:
                 rows.append((int(keys[parts + p]), hashes[at].tobytes(), nodes[at].tobytes(), hot_counts[place[at]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), *[pa.binary()] * 3))], ["part", "hashes", "nodes", "counts"])
 
+    @settled
     def share(group: pd.DataFrame) -> pd.DataFrame:
         """Of a range of values those that several classes hold, for their nodes' parts."""
         part = group["part"].iloc[0]
@@ -224,6 +234,7 @@ def prefix_postings(classes: DataFrame, least: int) -> DataFrame:
         rows = [(int(keys[parts + p]), hashes[many[at]].tobytes(), nodes[many[at]].tobytes(), counts[many[at]].tobytes()) for p, at in _by_part((mix(nodes[many].view(U64)) % U64(parts)).astype(np.int64), parts)]
         return pd.DataFrame(rows, columns=["part", "hashes", "nodes", "counts"])
 
+    @settled
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         hashes = np.frombuffer(b"".join(group["hashes"]), U64)
         nodes = np.frombuffer(b"".join(group["nodes"]), np.int64)
@@ -334,6 +345,7 @@ def confirm(sets: list[np.ndarray], sig: np.ndarray, forest: _Forest, left: np.n
 def _group_links(size: int, similarity: tuple[int, int]):
     """Links inside the blocks of a part; ``role`` 1 rows meet all rows of their block, 0 rows only those."""
 
+    @settled
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in part.groupby(["grp", "block"], sort=False):
@@ -364,6 +376,7 @@ def _agreeing(similarity: tuple[int, int]):
     """Of the blocks of a part, by signatures alone: rows that agree enough with a row of another label, of which one has ``role`` 1."""
     (top, of), least = similarity, matches(similarity)
 
+    @settled
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (grp, block), g in part.groupby(["grp", "block"], sort=False):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from slotloom.llm.keyfilter import among, likely, sent_filter
 from slotloom.llm.shared import even_keys, mapped, partitions, planned_bytes, quoted, stored, unused
-from slotloom.llm.words import NON_SPACE, U64, chunks, covered, mix, ragged, scan, text_column, tidy, windows, word_hashes
+from slotloom.llm.words import NON_SPACE, U64, chunks, covered, mix, ragged, scan, settled, text_column, tidy, windows, word_hashes
 
 N_WORDS = 35
 BLOCK_WINDOWS = 1_500_000
@@ -182,6 +182,7 @@ def _count(groups: np.ndarray):
     """Of a hash range, the places of hashes that occur more than once; packed places of a document group pass."""
     of_documents = np.sort(groups)
 
+    @settled
     def run(group: pd.DataFrame) -> pd.DataFrame:
         part = group["part"].iloc[0]
         if of_documents[min(np.searchsorted(of_documents, part), len(of_documents) - 1)] == part:
@@ -208,6 +209,7 @@ def _count(groups: np.ndarray):
 def _merge(length: int):
     """Per document the maximal intervals of removed words, as rising edges."""
 
+    @settled
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys, place = [], []
         for row in group.itertuples():

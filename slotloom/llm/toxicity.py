@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.llm.shared import even_keys, mapped, partitions, planned_bytes, send, stored
-from slotloom.llm.words import ALNUM, U64, chunks, mix, scan, text_column, tidy, word_hashes
+from slotloom.llm.words import ALNUM, U64, chunks, mix, scan, settled, text_column, tidy, word_hashes
 
 WORD_BITS = 32
 DISCOUNT, PAIR_DISCOUNT = 0.75, 2.75
@@ -145,6 +145,7 @@ def counted_words(rows: DataFrame, labels_sent: list) -> DataFrame:
 
         return run
 
+    @settled
     def count(group: pd.DataFrame) -> pd.DataFrame:
         part, rows = group["part"].iloc[0], []
         by_class = [b"".join(group["found"][group["toxic"] == k]) for k in (0, 1)]
@@ -190,6 +191,7 @@ def kept_pairs(pairs: np.ndarray, slack: float, spread: float) -> np.ndarray:
 def word_counts(counted: DataFrame) -> DataFrame:
     """Counts of words by ranges of them: (words, ordinary, toxic as arrays' bytes, n_ordinary, n_toxic)."""
 
+    @settled
     def total(group: pd.DataFrame) -> pd.DataFrame:
         of, n = np.frombuffer(b"".join(group["words"]), np.uint32), np.frombuffer(b"".join(group["counts"]), np.int32)
         toxic = np.repeat(group["toxic"].to_numpy(), [len(w) // 4 for w in group["words"]])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -185,3 +186,22 @@ def tidy(run: Callable) -> Callable:
             give_back()
 
     return wrapped
+
+
+def settled(run: Callable) -> Callable:
+    """A group function that gives its worker's free memory back between groups, at most every ``SETTLE_S`` seconds."""
+
+    @functools.wraps(run)
+    def wrapped(group):
+        out = run(group)
+        now = time.monotonic()
+        if now - _settled[0] >= SETTLE_S:
+            give_back()
+            _settled[0] = time.monotonic()
+        return out
+
+    return wrapped
+
+
+SETTLE_S = 0.1
+_settled = [0.0]
