@@ -12,6 +12,8 @@
 
 A stage's rows are written before the next one begins, so each stage first takes the
 broadcasts of the one before back from the executors and removes its intermediate tables.
+Where the session has Spark's default of 10,000 rows for a batch that goes to Python, a stage
+sets it to ``BATCH_ROWS``: batches of whole texts are held several times on either side.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from slotloom.llm.token_files import read_token_files, tokenizer_file, write_tok
 from slotloom.llm.toxicity import drop_toxic
 
 
+BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Intermediate tables of the last stage.
 _left: list = []
 
@@ -35,6 +38,8 @@ def _stage(run):
     def wrapped(spark, docs, sf_dir: str, *more):
         recall()
         removed(_left)
+        if spark.conf.get(_BATCH, "10000") == "10000":
+            spark.conf.set(_BATCH, BATCH_ROWS)
         before = made()
         out = run(spark, docs, sf_dir, *more)
         # The token files are what that stage is for: they stay.
