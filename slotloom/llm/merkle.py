@@ -33,6 +33,7 @@ from slotloom.llm.shared import stored
 FANOUT = 16
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PROOF = "array<struct<before:string,after:string>>"
 _LOCAL = (1 << 33) - 1
 
 
@@ -104,25 +105,31 @@ def _steps(level: DataFrame, fanout: int) -> DataFrame:
     return ordered.select("tree", "own", F.struct(side(lambda s: s["index"] < F.col("own")).alias("before"), side(lambda s: s["index"] > F.col("own")).alias("after")).alias("step"))
 
 
-def proofs(levels: list[DataFrame], above: DataFrame | None = None, fanout: int = FANOUT) -> DataFrame:
-    """(tree, index, proof) of the leaves: an array of (before, after) up to the root; ``above`` (tree, proof) goes on from the trees' roots."""
-    kind = "array<struct<before:string,after:string>>"
-    paths = None
-    for level in reversed(levels):
-        roots = level.where("n = 1").select("tree", "index")
-        if above is None:
-            found = roots.withColumn("proof", F.array().cast(kind))
-        else:
-            found = roots.join(above, "tree").select("tree", "index", F.col("proof").cast(kind).alias("proof"))
-        if paths is not None:
-            inner = level.where("n > 1")
-            # A run of one node has no siblings but is hashed all the same.
-            alone = F.struct(F.lit("").alias("before"), F.lit("").alias("after"))
-            mine = inner.select("tree", F.col("index").alias("own")).join(_steps(inner, fanout), ["tree", "own"], "left").withColumn("index", F.floor(F.col("own") / fanout))
-            joined = mine.join(paths, ["tree", "index"])
-            found = found.unionByName(joined.select("tree", F.col("own").alias("index"), F.concat(F.array(F.coalesce("step", alone)), "proof").cast(kind).alias("proof")))
-        paths = stored(found, "merkle-proofs")
-    return paths
+def _described(rows: DataFrame, level: DataFrame, parents: DataFrame | None, above: DataFrame, fanout: int) -> DataFrame:
+    """``rows`` (nodes of the level and their columns) with their proofs: those of their trees' ends from ``above``, others from ``parents``."""
+    found = rows.where("n = 1").join(above, "tree")
+    if parents is None:
+        return found
+    steps = _steps(level.where("n > 1"), fanout).withColumnRenamed("own", "index")
+    up = parents.select("tree", F.col("index").alias("up"), F.col("proof").alias("rest"))
+    mine = rows.where("n > 1").join(steps, ["tree", "index"], "left").withColumn("up", F.floor(F.col("index") / fanout)).join(up, ["tree", "up"])
+    # A run of one node has no siblings but is hashed all the same.
+    alone = F.struct(F.lit("").alias("before"), F.lit("").alias("after"))
+    proof = F.concat(F.array(F.coalesce("step", alone)), "rest").cast(PROOF)
+    return found.unionByName(mine.withColumn("proof", proof).select(*found.columns))
+
+
+def with_proofs(leaves: DataFrame, levels: list[DataFrame], above: DataFrame | None = None, fanout: int = FANOUT) -> DataFrame:
+    """``leaves`` with ``proof``, an array of (before, after) up to the root; ``above`` (tree, proof) goes on from the trees' roots.
+
+    Proofs of the inner levels are written; the leaves' own, ``FANOUT`` times as many, are made where they are used.
+    """
+    if above is None:
+        above = levels[0].select("tree").distinct().withColumn("proof", F.array().cast(PROOF))
+    parents = None
+    for level in reversed(levels[1:]):
+        parents = stored(_described(level.select("tree", "index", "n"), level, parents, above, fanout), "merkle-proofs")
+    return _described(leaves, levels[0], parents, above, fanout)
 
 
 def folded(leaf: Column, proof: Column) -> Column:
@@ -149,9 +156,9 @@ def manifest(docs: DataFrame, other: Column | None = None, fanout: int = FANOUT)
     top = stored(numbered(subroots.withColumn("all", F.lit(0)), ["all", "below"], ["all"]), "merkle-top")
     top_levels = node_levels(top, fanout)
     root = top_levels[-1].select(F.col("digest").alias("root"))
-    above = proofs(top_levels, None, fanout).join(top, ["tree", "index"]).select(F.col("below").alias("tree"), "proof")
-    found = proofs(levels, above, fanout)
-    return leaves.join(found, ["tree", "index"]).join(subroots.select(F.col("below").alias("tree"), F.col("digest").alias("subroot")), "tree").join(F.broadcast(root)).drop("tree", "index", "n")
+    above = stored(with_proofs(top, top_levels, None, fanout).select(F.col("below").alias("tree"), "proof"), "merkle-proofs")
+    found = with_proofs(leaves, levels, above, fanout)
+    return found.join(subroots.select(F.col("below").alias("tree"), F.col("digest").alias("subroot")), "tree").join(F.broadcast(root)).drop("tree", "index", "n")
 
 
 def verified_manifest(docs: DataFrame, one_in: int = 5, fanout: int = FANOUT) -> DataFrame:
