@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotloom.llm import decontaminate, exact_dedup, html_extract, merkle, mixing, near_dedup, pii, substring_dedup, token_files, toxicity, url_filter
+from slotloom.llm import decontaminate, exact_dedup, html_extract, merkle, mixing, near_dedup, periodic_runs, pii, substring_dedup, token_files, toxicity, url_filter
 
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_pii": pii.op9_pii,
     "op10_token_files": token_files.op10_token_files,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
