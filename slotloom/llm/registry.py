@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotloom.llm import decontaminate, exact_dedup, html_extract, merkle, mixing, near_dedup, periodic_runs, pii, substring_dedup, token_files, toxicity, url_filter
+from slotloom.llm import decontaminate, exact_dedup, html_extract, merkle, mixing, near_dedup, periodic_runs, pii, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
 
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_token_files": token_files.op10_token_files,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -25,5 +26,6 @@ SQL = {
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op12_suffix_dedup": suffix_dedup.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
