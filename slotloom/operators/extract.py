@@ -9,95 +9,66 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOTS = "file string, scope string, level string, kind string, name string, annotation string, occurrences array<string>, line int, error string"
+from slotloom.operators import scopes
 
+SLOTS = "file string, scope string, level string, kind string, name string, annotation string, occurrences array<string>, line int, at int, owner int, place int, error string"
+_NAMES = [c.split()[0] for c in SLOTS.split(", ")]
+#: What a source that the parser refuses raises.
+REFUSED = (SyntaxError, ValueError, RecursionError)
 
-def _names(node: ast.AST) -> str:
-    return ast.unparse(node) if node is not None else ""
 
+def slots_of(source: str) -> list[scopes.Slot]:
+    return scopes.Analysis(source).slots
 
-class _Visitor:
-    """Slots of a module: variables, parameters and returns at module, class, function and method level."""
 
-    def __init__(self):
-        self.out: list[tuple] = []
-
-    def occurrences(self, body: list, name: str) -> list[str]:
-        """Statements that use the name, as space-separated tokens."""
-        found = []
-        for statement in body:
-            for node in ast.walk(statement):
-                if isinstance(node, ast.stmt) and not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.If, ast.For, ast.While, ast.With, ast.Try)):
-                    used = [n.id for n in ast.walk(node) if isinstance(n, ast.Name)] + [n.attr for n in ast.walk(node) if isinstance(n, ast.Attribute)]
-                    if name in used:
-                        found.append(" ".join(used))
-        return found
-
-    def variables(self, body: list, scope: str, level: str) -> None:
-        seen = set()
-        for node in body:
-            for inner in [node] if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else ast.walk(node):
-                targets, annotation = [], ""
-                if isinstance(inner, ast.Assign):
-                    targets = [n for t in inner.targets for n in ast.walk(t) if isinstance(n, ast.Name)]
-                elif isinstance(inner, ast.AnnAssign) and isinstance(inner.target, ast.Name):
-                    targets, annotation = [inner.target], _names(inner.annotation)
-                elif isinstance(inner, (ast.For, ast.AsyncFor)):
-                    targets = [n for n in ast.walk(inner.target) if isinstance(n, ast.Name)]
-                for t in targets:
-                    if t.id not in seen:
-                        seen.add(t.id)
-                        self.out.append((scope, level, "Variable", t.id, annotation, self.occurrences(body, t.id), t.lineno))
-
-    def function(self, node, scope: str, in_class: bool) -> None:
-        here = f"{scope}.{node.name}" if scope else node.name
-        for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs):
-            if not (in_class and a.arg == "self"):
-                self.out.append((here, "function", "Parameter", a.arg, _names(a.annotation), self.occurrences(node.body, a.arg), a.lineno))
-        results = [_names(n.value) for n in ast.walk(node) if isinstance(n, ast.Return) and n.value is not None]
-        if results:
-            self.out.append((here, "function", "Return", node.name, _names(node.returns), [f"return {r}" for r in results], node.lineno))
-        self.variables(node.body, here, "function")
-        self.nested(node.body, here, False)
-
-    def nested(self, body: list, scope: str, in_class: bool) -> None:
-        for node in body:
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                self.function(node, scope, in_class)
-            elif isinstance(node, ast.ClassDef):
-                here = f"{scope}.{node.name}" if scope else node.name
-                self.variables(node.body, here, "class")
-                self.nested(node.body, here, True)
-
-
-def slots_of(source: str) -> list[tuple]:
-    visitor = _Visitor()
-    body = ast.parse(source).body
-    visitor.variables(body, "", "module")
-    visitor.nested(body, "", False)
-    return visitor.out
+def _rows(file: str | None, text: str | None) -> list[tuple]:
+    try:
+        return [(file, *slot, None) for slot in slots_of(text or "")]
+    except REFUSED as e:
+        return [(file, *[None] * (len(_NAMES) - 2), type(e).__name__)]
 
 
 def extracted(sources: DataFrame) -> DataFrame:
-    """One row per slot of (file, text); a file without slots gives none, a broken one a row with its error."""
+    """One row per slot of (file, text); a file without slots gives none, a broken one a row with its error.
+
+    ``at`` is the line of the definition that holds the slot, ``owner`` that of its class (0: none), ``place`` the slot's
+    number in its file, which keeps overloads apart.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SLOTS.split(", ")]
         for batch in batches:
-            out = []
-            for file, text in zip(batch["file"], batch["text"]):
-                try:
-                    out += [(file, *slot, None) for slot in slots_of(text or "")]
-                except (SyntaxError, ValueError, RecursionError) as e:
-                    out.append((file, *[None] * (len(columns) - 2), type(e).__name__))
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame([row for file, text in zip(batch["file"], batch["text"]) for row in _rows(file, text)], columns=_NAMES)
 
     return sources.select("file", "text").mapInPandas(run, SLOTS)
 
 
+class SourceSlots:
+    """The handler of ``source_slots``: the rows of a partition are the lines, or parts, of one file in their order."""
+
+    def __init__(self):
+        self.file, self.parts = None, []
+
+    def eval(self, row):
+        self.file = row["file"]
+        self.parts.append(row["text"] or "")
+
+    def terminate(self):
+        if self.parts:
+            yield from _rows(self.file, "\n".join(self.parts))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``source_slots`` callable from SQL: ``SELECT * FROM source_slots(TABLE(lines) PARTITION BY file ORDER BY line)``.
+
+    The table has the columns file and text, one row per line, part or whole source; each file is put
+    together and analysed where its partition is.
+    """
+    spark.udtf.register("source_slots", F.udtf(SourceSlots, returnType=SLOTS))
+
+
 class _Untyped(ast.NodeTransformer):
     """Removes annotations; a bare declaration becomes ``pass`` where nothing else is left."""
 
@@ -137,7 +108,7 @@ def untyped(sources: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 try:
                     out.append(without_annotations(text or ""))
-                except (SyntaxError, ValueError, RecursionError):
+                except REFUSED:
                     out.append(text)
             yield pd.DataFrame({"file": batch["file"], "text": out})
 

@@ -6,13 +6,15 @@ doesn't parse a row with its error.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.functions import text, types, vectors
-from slotloom.operators import encoder, extract, features, knn, reduce
+from slotloom.operators import encoder, extract, features, knn, reduce, scopes
 
 #: Types that need no import.
 # Names of the built-in and typing modules that predictions may use.
@@ -75,22 +77,36 @@ def slots_of_documents(modules: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumns({"line": F.lit(None).cast("int"), "error": F.lit(None).cast("string")})
+    return out.withColumns({c: F.lit(None).cast("int") for c in ("line", "at", "owner", "place")} | {"error": F.lit(None).cast("string")})
+
+
+def slot_id() -> Column:
+    """One number per slot: definitions of one name differ by their line and place."""
+    return F.xxhash64("file", "scope", "kind", "name", F.coalesce("line", F.lit(0)), F.coalesce("place", F.lit(0)))
+
+
+def with_arguments(slots: DataFrame) -> DataFrame:
+    """Adds ``arguments``: the parameters of the slot's own definition, in the order of the source."""
+    named = F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"])
+    arguments = slots.where("kind = 'Parameter'").groupBy(F.col("file").alias("__f"), F.col("scope").alias("__s"), F.col("at").alias("__a")).agg(named.alias("arguments"))
+    return slots.join(arguments, (F.col("file") == F.col("__f")) & (F.col("scope") == F.col("__s")) & F.col("at").eqNullSafe(F.col("__a")), "left").drop("__f", "__s", "__a")
 
 
 def datapoints(slots: DataFrame, hint: int) -> DataFrame:
     """Slots as datapoints; the hint is the same for all, as nothing is known of visible types."""
-    arguments = slots.where("kind = 'Parameter'").groupBy(F.col("file").alias("f"), F.col("scope").alias("s")).agg(F.array_sort(F.collect_set("name")).alias("arguments"))
-    rows = slots.where("error is null").join(arguments, (F.col("file") == F.col("f")) & (F.col("scope") == F.col("s")), "left").drop("f", "s")
+    rows = with_arguments(slots.where("error is null"))
     function = F.element_at(F.split("scope", r"\."), -1)
-    return rows.select(F.xxhash64("file", "scope", "kind", "name").alias("id"), F.col("kind").alias("task"), "file", "scope", "name", "line", function.alias("function"), "arguments", "occurrences", F.lit(hint).alias("hint"))
+    return rows.select(slot_id().alias("id"), F.col("kind").alias("task"), "file", "scope", "name", "line", function.alias("function"), "arguments", "occurrences", F.lit(hint).alias("hint"))
 
 
 def imported(sources: DataFrame) -> DataFrame:
-    """(file, imports): the names that a source imports, as its text shows them."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\s*(import|from)\s"))
-    names = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(F.regexp_replace(x, r"^\s*from\s+\S+\s+import", ""), F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)"), F.lit(1))))
-    return sources.select("file", F.array_distinct(F.filter(names, lambda n: ~n.isin("import", "as"))).alias("imports"))
+    """(file, imports): the names that a source imports and their aliases, as the parser finds them; none where it doesn't parse."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"file": batch["file"], "imports": [scopes.imported_names(t or "") for t in batch["text"]]})
+
+    return sources.select("file", "text").mapInPandas(run, "file string, imports array<string>")
 
 
 def ranked(points: DataFrame, neighbours: DataFrame, codes: DataFrame) -> DataFrame:
@@ -101,7 +117,7 @@ def ranked(points: DataFrame, neighbours: DataFrame, codes: DataFrame) -> DataFr
 
 
 def predicted(sources: DataFrame, bundle, filter_types: bool = True, slots: DataFrame | None = None) -> DataFrame:
-    """(file, scope, level, kind, name, line, predictions, error) of every slot of (file, text).
+    """(file, scope, level, kind, name, line, at, owner, place, predictions, error) of every slot of (file, text).
 
     ``bundle``: a trained Bundle; ``slots``: those of the sources, where they are known already.  With ``filter_types`` predictions that are neither built in
     nor imported go; a slot keeps its row when none is left.
@@ -116,8 +132,8 @@ def predicted(sources: DataFrame, bundle, filter_types: bool = True, slots: Data
         embedded = reduce.projected(embedded, bundle.projection)
     found = ranked(points, bundle.index.search(written(embedded, "embedded"), bundle.k, bundle.probes), bundle.codes)
     none = F.array().cast("array<struct<type:string,score:double>>")
-    keyed = slots.withColumn("id", F.xxhash64("file", "scope", "kind", "name")).join(found, "id", "left")
-    keyed = keyed.select("file", "scope", "level", "kind", "name", "line", F.coalesce("predictions", none).alias("predictions"), "error")
+    keyed = slots.withColumn("id", slot_id()).join(found, "id", "left")
+    keyed = keyed.select("file", "scope", "level", "kind", "name", "line", "at", "owner", "place", F.coalesce("predictions", none).alias("predictions"), "error")
     if filter_types:
         allowed = F.array(*[F.lit(b) for b in BUILTINS])
         keyed = keyed.join(imported(sources).withColumnRenamed("file", "f"), F.col("file") == F.col("f"), "left")
@@ -125,23 +141,62 @@ def predicted(sources: DataFrame, bundle, filter_types: bool = True, slots: Data
     return keyed
 
 
+def _document(group: pd.DataFrame) -> pd.DataFrame:
+    """The slots of one file as its module document."""
+    module = {"variables_p": {}, "classes": [], "funcs": []}
+    classes, functions = {}, {}
+
+    def class_of(scope: str, at: int) -> dict:
+        if (scope, at) not in classes:
+            classes[scope, at] = {"name": scope.rpartition(".")[2], "q_name": scope, "variables_p": {}, "funcs": []}
+        return classes[scope, at]
+
+    known = set(group["scope"][group["level"] == "class"])
+    for row in group.sort_values(["scope", "at", "place", "name"]).itertuples():
+        pairs = [[t, round(float(x), 3)] for t, x in zip(row.types, row.scores)]
+        if row.level == "module":
+            module["variables_p"][row.name] = pairs
+        elif row.level == "class":
+            class_of(row.scope, row.at)["variables_p"][row.name] = pairs
+        else:
+            held = functions.setdefault((row.scope, row.at), {"owner": row.owner, "name": row.scope.rpartition(".")[2], "q_name": row.scope, "params_p": {}, "variables_p": {}})
+            if row.kind == "Return":
+                held["ret_type_p"] = pairs
+            else:
+                held["params_p" if row.kind == "Parameter" else "variables_p"][row.name] = pairs
+    # The qualified names of the classes, by their lines; a class without slots of its own is that of the shortest method's scope.
+    at_line = {at: scope for scope, at in classes if at}
+    for (scope, _), held in sorted(functions.items(), key=lambda x: (len(x[0][0].split(".")), x[0])):
+        if held["owner"] > 0:
+            at_line.setdefault(held["owner"], scope.rpartition(".")[0])
+    for (scope, _), held in sorted(functions.items()):
+        owner, outer = held.pop("owner"), scope.rpartition(".")[0]
+        if owner > 0:
+            class_of(at_line[owner], owner)["funcs"].append(held)
+        elif owner < 0 and outer in known:
+            class_of(outer, 0)["funcs"].append(held)
+        else:
+            module["funcs"].append(held)
+    module["classes"] = [c for _, c in sorted(classes.items())]
+    return pd.DataFrame({"file": [group["file"].iloc[0]], "module": [json.dumps(module)]})
+
+
 def module_documents(predictions: DataFrame) -> DataFrame:
-    """(file, module as JSON): the predictions written back into a document per file, as maps of slots.
+    """(file, module as JSON): the predictions written back into a document per file, in the layout of the service.
 
-    Functions (methods among them) and classes are listed by their qualified names, each with ``params_p``,
-    ``variables_p`` and ``ret_type_p``; scores have 3 digits.  A file with an error has it under ``error``.
+    ``variables_p`` are those of the module; ``classes`` and ``funcs`` are listed by qualified name and line, each definition for
+    itself, and methods (and functions inside of them) stand in the ``funcs`` of their class.  Functions have ``params_p``,
+    ``variables_p`` and, if they return something, ``ret_type_p``; a slot's predictions are [type, score] pairs with
+    scores of 3 digits.  A file with an error has it under ``error``.  Where ``at``, ``owner`` and ``place`` aren't
+    known, a scope is one definition, and a method one whose scope before its name is a class.
     """
-    pairs = F.transform("predictions", lambda p: F.array(p["type"], F.round(p["score"], 3).cast("string")))
-    rows = predictions.where("error is null").select("file", "scope", "level", "kind", "name", pairs.alias("pairs"))
-    maps = rows.groupBy("file", "scope", "level").agg(
-        *[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "pairs"))))).alias(column) for kind, column in (("Parameter", "params_p"), ("Variable", "variables_p"))],
-        F.first(F.when(F.col("kind") == "Return", F.col("pairs")), ignorenulls=True).alias("ret_type_p"),
+    known = {c: F.lit(None).cast("int") for c in ("at", "owner", "place") if c not in predictions.columns}
+    rows = predictions.withColumns(known).where("error is null")
+    rows = rows.select(
+        "file", "scope", "level", "kind", "name", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("owner", F.lit(-1)).alias("owner"), F.coalesce("place", F.lit(0)).alias("place"),
+        F.transform("predictions", lambda p: p["type"]).alias("types"), F.transform("predictions", lambda p: p["score"]).alias("scores"),
     )
-    scopes = F.struct(F.col("scope").alias("q_name"), "params_p", "variables_p", "ret_type_p")
-    by_name = lambda a, b: F.when(a["q_name"] < b["q_name"], -1).when(a["q_name"] > b["q_name"], 1).otherwise(0)
-    part = lambda level: F.array_sort(F.collect_list(F.when(F.col("level") == level, scopes)), by_name)
-    top = F.first(F.when(F.col("level") == "module", F.col("variables_p")), ignorenulls=True)
-    modules = maps.groupBy("file").agg(top.alias("variables_p"), part("function").alias("funcs"), part("class").alias("classes"))
-    whole = modules.select("file", F.to_json(F.struct("variables_p", "funcs", "classes")).alias("module"))
+    # All slots of one file are one group: its size is that of a source.
+    whole = rows.groupBy("file").applyInPandas(_document, "file string, module string")
     failed = predictions.where("error is not null").select("file", F.to_json(F.struct("error")).alias("module"))
     return whole.unionByName(failed)

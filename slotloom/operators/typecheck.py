@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotloom.operators import edits
+
 # Error codes that count, by checker.
 INCLUDED_CODES = {
     "mypy": (
@@ -104,6 +106,14 @@ def checked(sources: DataFrame, command: tuple[str, ...] = COMMAND["mypy"], time
     return sources.select("file", "text").mapInPandas(run, "file string, status string, retcode int, lines array<string>")
 
 
+def passes(status: str, code: int, lines: list[str], checker: str = "mypy") -> bool:
+    """Whether a run of the checker, by the rule of ``parsed``, ended with no included error; a run whose output has another form failed."""
+    last = lines[-1] if lines else ""
+    fine = code == 0 and last.startswith("Success: ")
+    told = code != 0 and last.startswith("Found ") and last.endswith(" source file)")
+    return status == "ran" and (fine or told) and not any(x.endswith(c) for x in lines for c in INCLUDED_CODES[checker])
+
+
 def annotated(source: str, slots: dict[str, str]) -> str:
     """The source with annotations at slots: ``f.x`` (argument or local), ``f.return``, ``Class.f.x``, or a module variable."""
     tree = ast.parse(source)
@@ -136,40 +146,37 @@ def greedy_verdicts(candidates: DataFrame, command: tuple[str, ...] = COMMAND["m
     """file, slot, prediction, kind, is_tc, place (the order of the trials): tries every prediction of every slot of a file in order.
 
     Input: file, text, slot, truth, predictions (array of types).  A failed trial puts the
-    ground truth back (``restore``), or else leaves the slot as it was tried; a later
-    success overwrites an earlier one.  Files are groups: sequential inside, parallel across.
+    ground truth back (``restore``), or else leaves the slot as it was tried; a later trial
+    overwrites an earlier one.  Files are groups: sequential inside, parallel across.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         source, state, out = group["text"].iloc[0], {s: t for s, t in zip(group["slot"], group["truth"]) if t}, []
         for row in group.sort_values("slot").itertuples():
-            best = row.truth
             for p in row.predictions:
                 state[row.slot] = p
                 try:
                     status, code, lines = run_checker(annotated(source, state), command)
-                    ok = status == "ran" and bool(lines) and not any(x.endswith(c) for x in lines for c in INCLUDED_CODES[checker]) and (code == 0) == lines[-1].startswith("Success: ")
+                    ok = passes(status, code, lines, checker)
                 except SyntaxError:
                     ok = False
                 kind = "p_equal_gt" if p == row.truth else "p_wo_gt" if row.truth == "" else "p_not_equal_gt"
                 out.append((row.file, row.slot, p, kind, ok, len(out)))
-                best = p if ok else best
                 if not ok and restore:
                     state[row.slot] = row.truth
-            if restore:
-                state[row.slot] = best
         return pd.DataFrame(out, columns=["file", "slot", "prediction", "kind", "is_tc", "place"])
 
     return candidates.groupBy("file").applyInPandas(run, "file string, slot string, prediction string, kind string, is_tc boolean, place int")
 
 
 def typed_sources(sources: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(file, text): the sources (file, text) with the first prediction of each slot that passed; files without any stay as they are.
+    """(file, text): the sources (file, text) with what the trials left: the last prediction of each slot if it passed; files without any stay as they are.
 
     ``verdicts``: (file, slot, prediction, is_tc, place), as ``greedy_verdicts`` gives them.
     """
-    passed = verdicts.where("is_tc").groupBy("file", "slot").agg(F.min_by("prediction", "place").alias("prediction"))
-    chosen = passed.groupBy(F.col("file").alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "prediction"))).alias("slots"))
+    last = verdicts.groupBy("file", "slot").agg(F.max_by(F.struct("prediction", "is_tc"), "place").alias("last"))
+    chosen = last.where("last.is_tc").select("file", "slot", "last.prediction")
+    chosen = chosen.groupBy(F.col("file").alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "prediction"))).alias("slots"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,7 +186,62 @@ def typed_sources(sources: DataFrame, verdicts: DataFrame) -> DataFrame:
     return sources.join(chosen, F.col("file") == F.col("f"), "left").select("file", "text", "slots").mapInPandas(run, "file string, text string")
 
 
+def trial_order() -> Column:
+    """The order of the trials of a file's slots: module variables; functions by line, their parameters, variables and return; classes by line, their variables, then their methods."""
+    kind = F.when(F.col("kind") == "Parameter", 0).when(F.col("kind") == "Variable", 1).otherwise(2)
+    group = F.when(F.col("level") == "module", 0).when(F.col("owner") == 0, 1).otherwise(2)
+    return F.struct(group.alias("group"), F.col("owner"), (F.col("level") == "function").alias("method"), F.col("at"), kind.alias("kind"), F.col("place"))
+
+
+def slot_verdicts(sources: DataFrame, candidates: DataFrame, command: tuple[str, ...] = COMMAND["mypy"], checker: str = "mypy") -> DataFrame:
+    """file, place (of the slot), prediction, kind, is_tc, step: tries every prediction of every slot, in the sources as they are.
+
+    ``candidates``: file, place, truth, trial (what the slots of a file are ordered by), predictions (array of types).
+    A trial edits the annotation in its source (``edits``); what passes stays, after a failure the ground truth stands there
+    again.  A source travels once, with all candidates of its file; a prediction that can't stand there, or doesn't parse, failed.
+    """
+    listed = candidates.groupBy(F.col("file").alias("__f")).agg(F.array_sort(F.collect_list(F.struct("trial", "place", "truth", "predictions"))).alias("c"))
+    # A field of an array of structs is an array of its values.
+    rows = sources.select("file", "text").join(listed, F.col("file") == F.col("__f")).select("file", "text", "c.place", "c.truth", "c.predictions")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                try:
+                    source = edits.Annotator(row.text or "")
+                except edits.REFUSED:
+                    continue
+                state, step = {}, 0
+                for place, truth, predictions in zip(row.place, row.truth, row.predictions):
+                    for p in predictions:
+                        tried = state | {int(place): p}
+                        try:
+                            text = source.annotated(tried)
+                            ast.parse(text)
+                            ok = (p == truth or bool(source.edits({int(place): p}))) and passes(*run_checker(text, command), checker)
+                        except edits.REFUSED:
+                            ok = False
+                        state.pop(int(place), None)
+                        if ok:
+                            state[int(place)] = p
+                        kind = "p_equal_gt" if p == truth else "p_wo_gt" if truth == "" else "p_not_equal_gt"
+                        out.append((row.file, int(place), p, kind, ok, step))
+                        step += 1
+            yield pd.DataFrame(out, columns=["file", "place", "prediction", "kind", "is_tc", "step"])
+
+    return rows.mapInPandas(run, "file string, place int, prediction string, kind string, is_tc boolean, step int")
+
+
+def applied(sources: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(file, text): the sources with what the trials of ``slot_verdicts`` left in them, all else byte for byte as it was."""
+    last = verdicts.groupBy("file", "place").agg(F.max_by(F.struct("prediction", "is_tc"), "step").alias("last"))
+    wanted = last.where("last.is_tc").select("file", "place", F.col("last.prediction").alias("annotation"))
+    return edits.annotated_sources(sources, wanted).select("file", "text")
+
+
 def without_failing(predictions: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Predictions (file, slot, type, ..) without those that failed their check."""
-    failed = verdicts.where("not is_tc").select("file", "slot", F.col("prediction").alias("type")).distinct()
-    return predictions.join(failed, ["file", "slot", "type"], "left_anti")
+    """Predictions (file, slot, type, ..) without those that failed their check; with ``place`` for ``slot`` where the verdicts have that."""
+    slot = "slot" if "slot" in verdicts.columns else "place"
+    failed = verdicts.where("not is_tc").select("file", slot, F.col("prediction").alias("type")).distinct()
+    return predictions.join(failed, ["file", slot, "type"], "left_anti")

@@ -5,11 +5,14 @@ What a query reads back it has written to the shared folder first, from whole ta
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.functions import types
-from slotloom.operators import datapoints, evaluate, features, filters, infer, knn, labels, typecheck
+from slotloom.operators import datapoints, edits, evaluate, extract, features, filters, infer, knn, labels, typecheck
+from slotloom.plans import modules
 from slotloom.plans.catalog import _BUCKET, _FUNCTIONS, _RANKED, _SPLIT, _TOPK, _TYPES, _VERDICTS, _functions, _neighbours, _types, _verdicts, query, table
 from slotloom.sources import corpus, tables
 from slotloom.streaming import service
@@ -275,3 +278,48 @@ def telemetry(spark, sf_dir):
 @query("split_bucket", f"SELECT c_custkey, {_BUCKET.format('c_name')}::INTEGER AS bucket FROM customer")
 def split_bucket(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", datapoints.bucket(F.col("c_name")).alias("bucket"))
+
+
+# -- scopes and edits -------------------------------------------------------------------------------------------------
+
+
+def _literal(x) -> str:
+    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+_SLOT_VALUES = ", ".join("(" + ", ".join(_literal(x) for x in row) + ")" for row in modules.slot_rows())
+
+
+@query(
+    "scope_slots",
+    f"""SELECT 'm' || p_partkey || '.py' AS file, replace(scope, 'NAME', 'n' || p_partkey) AS scope, kind, replace(name, 'NAME', 'n' || p_partkey) AS name, annotation, line, at_line, owner
+    FROM part JOIN (VALUES {_SLOT_VALUES}) v(module, scope, kind, name, annotation, line, at_line, owner) ON p_partkey % {len(modules.MODULES)} = module""",
+)
+def scope_slots(spark, sf_dir):
+    """Slots of a table of source lines, by the table function and its partitions: hand-written modules of every kind of statement, one per part."""
+    extract.register(spark)
+    texts = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(modules.MODULES)], "module int, text string")
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(modules.MODULES)).alias("module"))
+    named = part.join(F.broadcast(texts), "module").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file"), F.replace("text", F.lit("NAME"), F.concat(F.lit("n"), F.col("p_partkey").cast("string"))).alias("text"))
+    named.select("file", F.posexplode(F.split("text", "\n")).alias("line", "text")).createOrReplaceTempView("slotloom_source_lines")
+    found = spark.sql("SELECT * FROM source_slots(TABLE(slotloom_source_lines) PARTITION BY file ORDER BY line)")
+    return found.where("error is null").select("file", "scope", "kind", "name", "annotation", "line", F.col("at").alias("at_line"), "owner")
+
+
+#: Comments, decorators and line breaks that an unparser would lose; {x: T} marks what an annotation adds.
+_MARKED = "# head of NAME\n@dec  # why\ndef NAME(a{: T},  # first\n         b{: T} = 1, *c):{}  # second\n    x{: T} = a ;  y = b\n    for z in c : pass\n    return (x,\n            y)\n\n\nclass K :   # no base\n\tv{: T}=  'ö'\n\tdef get(self){ -> T} : return self.v"
+
+
+@query(
+    "lossless_annotations",
+    "SELECT 'm' || p_partkey || '.py' AS file, replace(replace(" + _literal(re.sub(r"\{(.*?)\}", r"\1", _MARKED)).replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + ", 'NAME', 'n' || p_partkey), ': T', ': List[' || lower(p_type) || ']').replace(' -> T', ' -> List[' || lower(p_type) || ']') AS text, true AS same FROM part",
+)
+def lossless_annotations(spark, sf_dir):
+    """Sources with annotations put in, all else byte for byte as it was, and whether taking them out gives the source back."""
+    plain = F.replace(F.lit(re.sub(r"\{.*?\}", "", _MARKED)), F.lit("NAME"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")))
+    sources = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file"), plain.alias("text"), F.concat(F.lit("List["), F.lower("p_type"), F.lit("]")).alias("type"))
+    slots = extract.extracted(sources.select("file", "text")).where("error is null and name not in ('y', 'z')").where("kind <> 'Return' or name = 'get'")
+    wanted = slots.select("file", "place").join(sources.select("file", F.col("type").alias("annotation")), "file")
+    found = tables.written(edits.annotated_sources(sources, wanted), "annotated")
+    back = edits.restored(found).select("file", F.col("text").alias("back")).join(sources.select("file", F.col("text").alias("before")), "file")
+    return found.select("file", "text").join(back, "file").select("file", "text", (F.col("back") == F.col("before")).alias("same"))

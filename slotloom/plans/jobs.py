@@ -94,9 +94,8 @@ def preprocess_job(spark: SparkSession, out: str, seed: int = 0, params: dict =
         coded = labels.random_hint_codes(coded.join(visible, F.col("file") == F.col("imported_by"), "left").withColumn("aval_types", F.coalesce("aval_types", F.lit(""))), ranked, seed=seed)
     else:
         coded = coded.join(labels.hint_codes(rows, ranked), "type")
-    siblings = rows.where("kind = 'Parameter'").groupBy("file", F.col("scope").alias("s")).agg(F.array_sort(F.collect_set("name")).alias("arguments"))
-    coded = coded.join(siblings.withColumnRenamed("file", "f"), (F.col("file") == F.col("f")) & (F.col("scope") == F.col("s")), "left").drop("f", "s")
-    final = datapoints.with_split(coded, seed).select(F.col("kind").alias("task"), "split", "file", "scope", "name", "function", "arguments", "occurrences", "type", "label", "hint")
+    coded = infer.with_arguments(coded)
+    final = datapoints.with_split(coded, seed).select(F.col("kind").alias("task"), "split", "file", "scope", "name", "line", "place", "function", "arguments", "occurrences", "type", "label", "hint")
     corpus.write_datapoints(final, f"{out}/datapoints")
     return spark.read.parquet(f"{out}/datapoints")
 
@@ -114,7 +113,7 @@ def sentences(points: DataFrame) -> DataFrame:
 
 def vectorize_job(spark: SparkSession, out: str, params: dict = PARAMETERS, parity: bool = False) -> DataFrame:
     """Matrices of word vectors for identifiers (31 places) and code tokens (21 places), by one word model."""
-    points = spark.read.parquet(f"{out}/datapoints").withColumn("id", F.xxhash64("task", "file", "scope", "name"))
+    points = spark.read.parquet(f"{out}/datapoints").withColumn("kind", F.col("task")).withColumn("id", infer.slot_id()).drop("kind")
     model = features.train_word_vectors(sentences(points), params["vector_size"], params.get("min_count", features.MIN_COUNT), params["w2v_epochs"])
     model.write().overwrite().save(f"{out}/word_model")
     model.getVectors().select("word", _as_floats("vector").alias("vector")).write.mode("overwrite").parquet(f"{out}/words")
@@ -208,14 +207,18 @@ def infer_job(spark: SparkSession, sources: DataFrame, path: str, out: str, filt
 def check_job(spark: SparkSession, sources: DataFrame, out: str, command: tuple[str, ...] = typecheck.COMMAND["mypy"]) -> DataFrame:
     """Type-checks the saved predictions of ``infer_job`` in their sources: ratios per kind; verdicts and typed sources are saved."""
     found = spark.read.parquet(f"{out}/inferred").where("error is null and size(predictions) > 0")
-    truth = extract.extracted(sources).where("error is null").select(F.col("file").alias("f"), F.col("scope").alias("s"), F.col("kind").alias("k"), F.col("name").alias("n"), F.col("annotation").alias("truth"))
-    joined = found.join(truth, (F.col("file") == F.col("f")) & (F.col("scope") == F.col("s")) & (F.col("kind") == F.col("k")) & (F.col("name") == F.col("n")))
-    slot = F.concat_ws(".", F.when(F.col("scope") != "", F.col("scope")), F.when(F.col("kind") == "Return", F.lit("return")).otherwise(F.col("name")))
-    rows = joined.select("file", slot.alias("slot"), "truth", F.transform("predictions", lambda p: p["type"]).alias("predictions"))
-    rows = rows.join(extract.untyped(sources), "file")
-    typecheck.greedy_verdicts(rows, command).write.mode("overwrite").parquet(f"{out}/verdicts")
+    slots = extract.extracted(sources).where("error is null").select("file", "scope", "kind", "name", "annotation", "level", "owner", "at", "place")
+    keys = ["file", "scope", "kind", "name"]
+    if "place" in found.columns:
+        joined = found.select(*keys, "place", "predictions").join(slots, [*keys, "place"])
+    else:
+        # Saved without places: the first definition of a name.
+        joined = found.select(*keys, "predictions").join(slots.groupBy(*keys).agg(F.min_by(F.struct("annotation", "level", "owner", "at", "place"), "place").alias("s")).select(*keys, "s.*"), keys)
+    rows = joined.select("file", "place", F.col("annotation").alias("truth"), typecheck.trial_order().alias("trial"), F.transform("predictions", lambda p: p["type"]).alias("predictions"))
+    plain = sources.select("file", "text")
+    typecheck.slot_verdicts(plain, rows, command).write.mode("overwrite").parquet(f"{out}/verdicts")
     verdicts = spark.read.parquet(f"{out}/verdicts")
-    typecheck.typed_sources(extract.untyped(sources), verdicts).write.mode("overwrite").parquet(f"{out}/typed")
+    typecheck.applied(plain, verdicts).write.mode("overwrite").parquet(f"{out}/typed")
     return typecheck.ratios(verdicts)
 
 
