@@ -33,7 +33,7 @@ from slotloom.llm.shared import stored
 FANOUT = 16
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PROOF = "array<struct<before:string,after:string>>"
+PROOF = "array<struct<before:binary,after:binary>>"
 _LOCAL = (1 << 33) - 1
 
 
@@ -42,6 +42,20 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*(F.encode(p, "UTF-8") for p in parts)), 256)
 
 
+def digest_of(nodes: Column) -> Column:
+    """H of an array of structs with a ``digest``, as 32 bytes: tables and shuffles hold bytes, only H takes hex."""
+    return F.unhex(digest(hexed(_bytes(nodes))))
+
+
+def hexed(data: Column) -> Column:
+    return F.lower(F.hex(data))
+
+
+def _bytes(nodes: Column) -> Column:
+    """The digests of the array one after the other."""
+    return F.aggregate(nodes, F.lit(b""), lambda all_bytes, node: F.concat(all_bytes, node["digest"]))
+
+
 def _field(value: Column) -> Column:
     text = value.cast("string")
     return F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text))
@@ -83,8 +97,7 @@ def node_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     while (below := levels[-1].where("n > 1")).take(1):
         up = F.floor(F.col("index") / fanout).alias("index")
         children = F.array_sort(F.collect_list(F.struct("index", "digest")))
-        joined = F.array_join(F.transform(children, lambda c: c["digest"]), "")
-        nodes = below.groupBy("tree", up, F.ceil(F.col("n") / fanout).alias("n")).agg(digest(joined).alias("digest"))
+        nodes = below.groupBy("tree", up, F.ceil(F.col("n") / fanout).alias("n")).agg(digest_of(children).alias("digest"))
         levels.append(stored(nodes.select("tree", "index", "n", "digest"), "merkle-nodes"))
     return levels
 
@@ -101,7 +114,7 @@ def _steps(level: DataFrame, fanout: int) -> DataFrame:
     asked = sibling_coordinates(level, fanout)
     found = asked.join(level.select("tree", "index", "digest"), ["tree", "index"])
     ordered = found.groupBy("tree", "own").agg(F.array_sort(F.collect_list(F.struct("index", "digest"))).alias("siblings"))
-    side = lambda wanted: F.array_join(F.transform(F.filter("siblings", wanted), lambda s: s["digest"]), "")
+    side = lambda wanted: _bytes(F.filter("siblings", wanted))
     return ordered.select("tree", "own", F.struct(side(lambda s: s["index"] < F.col("own")).alias("before"), side(lambda s: s["index"] > F.col("own")).alias("after")).alias("step"))
 
 
@@ -114,7 +127,7 @@ def _described(rows: DataFrame, level: DataFrame, parents: DataFrame | None, abo
     up = parents.select("tree", F.col("index").alias("up"), F.col("proof").alias("rest"))
     mine = rows.where("n > 1").join(steps, ["tree", "index"], "left").withColumn("up", F.floor(F.col("index") / fanout)).join(up, ["tree", "up"])
     # A run of one node has no siblings but is hashed all the same.
-    alone = F.struct(F.lit("").alias("before"), F.lit("").alias("after"))
+    alone = F.struct(F.lit(b"").alias("before"), F.lit(b"").alias("after"))
     proof = F.concat(F.array(F.coalesce("step", alone)), "rest").cast(PROOF)
     return found.unionByName(mine.withColumn("proof", proof).select(*found.columns))
 
@@ -134,20 +147,20 @@ def with_proofs(leaves: DataFrame, levels: list[DataFrame], above: DataFrame | N
 
 def folded(leaf: Column, proof: Column) -> Column:
     """The root that a leaf and its proof give."""
-    return F.aggregate(proof, leaf, lambda at, step: digest(step["before"], at, step["after"]))
+    return F.aggregate(proof, leaf, lambda at, step: digest(hexed(step["before"]), at, hexed(step["after"])))
 
 
 def proof_digest(proof: Column) -> Column:
-    return digest(F.array_join(F.transform(proof, lambda s: F.concat(s["before"], s["after"])), ""))
+    return digest(F.array_join(F.transform(proof, lambda s: hexed(F.concat(s["before"], s["after"]))), ""))
 
 
 def manifest(docs: DataFrame, other: Column | None = None, fanout: int = FANOUT) -> DataFrame:
-    """doc_id, source, leaf, subroot, root, proof (array of before, after) of every row, and ``other_leaf`` where a column ``other`` of other texts is given."""
+    """doc_id, source, leaf, subroot, root, proof (array of before, after: digests as bytes) of every row, and ``other_leaf`` where a column ``other`` of other texts is given."""
     fields = [F.col(c) for c in COLUMNS[:-1]]
     rows = docs.select("doc_id", "source", leaf_digest(*fields, F.col("text")).alias("leaf"), *([] if other is None else [leaf_digest(*fields, other).alias("other_leaf")]))
     # Ranges are drawn from the rows before they are dealt: texts are hashed once, and stay behind.
     leaves = stored(numbered(stored(rows, "merkle-rows"), ["source", "doc_id", "leaf"], ["source"]), "merkle-leaves")
-    levels = node_levels(leaves.withColumn("digest", F.col("leaf")), fanout)
+    levels = node_levels(leaves.withColumn("digest", F.unhex("leaf")), fanout)
     subroots = levels[0].where("n = 1").select("tree", "digest")
     for level in levels[1:]:
         subroots = subroots.unionByName(level.where("n = 1").select("tree", "digest"))
@@ -155,10 +168,10 @@ def manifest(docs: DataFrame, other: Column | None = None, fanout: int = FANOUT)
     subroots = stored(subroots.select(F.col("tree").alias("below"), "digest"), "merkle-subroots")
     top = stored(numbered(subroots.withColumn("all", F.lit(0)), ["all", "below"], ["all"]), "merkle-top")
     top_levels = node_levels(top, fanout)
-    root = top_levels[-1].select(F.col("digest").alias("root"))
+    root = top_levels[-1].select(hexed(F.col("digest")).alias("root"))
     above = stored(with_proofs(top, top_levels, None, fanout).select(F.col("below").alias("tree"), "proof"), "merkle-proofs")
     found = with_proofs(leaves, levels, above, fanout)
-    return found.join(subroots.select(F.col("below").alias("tree"), F.col("digest").alias("subroot")), "tree").join(F.broadcast(root)).drop("tree", "index", "n")
+    return found.join(subroots.select(F.col("below").alias("tree"), hexed(F.col("digest")).alias("subroot")), "tree").join(F.broadcast(root)).drop("tree", "index", "n")
 
 
 def verified_manifest(docs: DataFrame, one_in: int = 5, fanout: int = FANOUT) -> DataFrame:
