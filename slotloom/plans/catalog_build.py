@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.functions import types
-from slotloom.operators import datapoints, edits, evaluate, extract, features, filters, infer, knn, labels, typecheck
+from slotloom.operators import datapoints, edits, evaluate, extract, features, filters, forest, infer, knn, labels, pivots, typecheck
 from slotloom.plans import modules
 from slotloom.plans.catalog import _BUCKET, _FUNCTIONS, _RANKED, _SPLIT, _TOPK, _TYPES, _VERDICTS, _functions, _neighbours, _types, _verdicts, query, table
 from slotloom.sources import corpus, tables
@@ -205,6 +205,37 @@ def index_all_cells(spark, sf_dir):
     return found.select("query_id", "item_id", "label", F.round("dist", 6).alias("dist"), F.col("rn").cast("long"))
 
 
+_ALL = _TOPK.replace("WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id", "WHERE q.vec_id <> e.vec_id")
+
+
+@query("knn_join", _ALL + "SELECT query_id, item_id, label, round(dist, 6) AS dist, rn FROM k")
+def knn_join(spark, sf_dir):
+    """The nearest rows of every row, by cells that the triangle inequality leaves."""
+    rows = table(spark, sf_dir, "embeddings")
+    return pivots.PivotJoin(rows).join(rows).select("query_id", "item_id", "label", F.round("dist", 6).alias("dist"), F.col("rn").cast("long"))
+
+
+def _forest(spark, sf_dir) -> forest.Forest:
+    """Trees over three quarters of the rows; the rest is appended, and the index read from its folder."""
+    rows, path = table(spark, sf_dir, "embeddings"), tables.new_folder(spark, "forest")
+    forest.Forest.build(rows.where("vec_id % 4 <> 0"), path).append(rows.where("vec_id % 4 = 0"), 1)
+    return forest.Forest(spark, path)
+
+
+@query("forest_ann")
+def forest_ann(spark, sf_dir):
+    """Approximate neighbours by best-first descent over the trees."""
+    return _forest(spark, sf_dir).search(table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0"))
+
+
+@query("forest_all_leaves", _TOPK + "SELECT query_id, item_id, label, round(dist, 6) AS dist, rn FROM k")
+def forest_all_leaves(spark, sf_dir):
+    """The trees with all leaves opened: exact."""
+    index = _forest(spark, sf_dir)
+    found = index.search(table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0"), reach=index.trees * index.rows.count())
+    return found.select("query_id", "item_id", "label", F.round("dist", 6).alias("dist"), F.col("rn").cast("long"))
+
+
 @query(
     "parametric_codes",
     _TOPK

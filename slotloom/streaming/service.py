@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotloom.operators import infer, knn
+from slotloom.operators import infer, knn, pivots
 from slotloom.sources import tables
 
 PER_HOUR, PER_DAY = 5, 100
@@ -85,10 +85,14 @@ def admitted_stream(requests: DataFrame, limit: int, unit: str, by: str = "user_
 
 
 def predicted_batches(queries: DataFrame, rows: DataFrame, path: str, checkpoint: str, k: int = knn.K):
-    """Live predictions: the votes for each batch of a stream of (vec_id, embedding) against stored rows, appended by epoch."""
+    """Live predictions: the votes for each batch of a stream of (vec_id, embedding) against stored rows, appended by epoch.
+
+    The rows are dealt to cells once; each batch is joined with the cells that it needs, and never comes to the driver.
+    """
+    cells = pivots.PivotJoin(rows, k)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        knn.vote(knn.nearest(batch, rows, k)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        knn.vote(cells.join(batch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

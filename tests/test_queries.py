@@ -16,7 +16,7 @@ def test_sql(spark, sf_dir, name):
 
 
 #: Queries without SQL; each has a test of its result below.
-NOT_IN_SQL = {"knn_ann", "w2v", "pca", "lsh", "encoder_forward"}
+NOT_IN_SQL = {"knn_ann", "forest_ann", "w2v", "pca", "lsh", "encoder_forward"}
 
 
 def test_every_other_query_has_sql():
@@ -33,8 +33,9 @@ def distances(vectors, query):
     return ids, np.linalg.norm(np.stack([vectors[i][0] for i in ids]) - vectors[query][0], axis=1)
 
 
-def test_knn_ann(spark, sf_dir, vectors):
-    rows = catalog.QUERIES["knn_ann"](spark, sf_dir).collect()
+@pytest.mark.parametrize("name", ["knn_ann", "forest_ann"])
+def test_ann(spark, sf_dir, vectors, name):
+    rows = catalog.QUERIES[name](spark, sf_dir).collect()
     assert {r.query_id for r in rows} == {i for i in vectors if i % 100 == 0}
     hits = total = 0
     for query in {r.query_id for r in rows}:
