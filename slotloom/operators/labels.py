@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotloom.operators import postings
 from slotloom.sources.tables import written
 
 # Types that training and evaluation set aside as ubiquitous.
@@ -91,13 +92,12 @@ def tier_shares(types: DataFrame, least: int = COMMON_SUPPORT, ubiquitous=UBIQUI
 def hint_codes(types: DataFrame, ranked: DataFrame, column: str = "type") -> DataFrame:
     """(column, hint): the first ranked type that contains the string, else the last rank.
 
-    The substring join runs over distinct strings; its ranked side has a bounded number
-    of rows (the top n) and is broadcast.
+    Distinct strings meet the ranked types, of which there is a bounded number, by postings; see ``postings``.
     """
     distinct = types.select(column).where(F.col(column).isNotNull()).distinct()
-    last = ranked.agg((F.count(F.lit(1)) - 1).alias("last"))
-    found = distinct.join(F.broadcast(ranked.select(F.col("type").alias("__t"), F.col("rank").alias("__r"))), F.expr(f"instr(__t, {column}) > 0"), "left")
-    return found.groupBy(column).agg(F.min("__r").alias("r")).join(F.broadcast(last)).select(column, F.coalesce("r", "last").cast("int").alias("hint"))
+    found = postings.first_containing(distinct, ranked, column).withColumnsRenamed({column: "__s", "rank": "__r"})
+    last = ranked.count() - 1
+    return distinct.join(found, F.col(column) == F.col("__s"), "left").select(column, F.coalesce("__r", F.lit(last)).cast("int").alias("hint"))
 
 
 def random_hint_codes(df: DataFrame, ranked: DataFrame, column: str = "aval_types", probability: float = 0.5, seed: int = 0) -> DataFrame:

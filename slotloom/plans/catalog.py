@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slotloom.functions import text, types, vectors
 from slotloom.operators import datapoints, encoder, evaluate, extract, features, filters, infer, knn, labels, reduce, triplets, typecheck
 from slotloom.sources import corpus, tables
-from slotloom.streaming import service
+from slotloom.streaming import admission, service
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -633,7 +633,7 @@ def dedup_anti(spark, sf_dir):
 def stream_window_count(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return service.run_to_memory(service.windowed_counts(stream, "1 day", "1 hour"), "stream_window_count")
+    return admission.run_to_table(service.windowed_counts(stream, "1 day", "1 hour"), "stream_window_count", "complete")
 
 
 # -- models -----------------------------------------------------------------------------------------------------------
@@ -713,7 +713,7 @@ def _stream(spark, sf_dir: str, name: str) -> DataFrame:
 @query("rate_admitted_stream", "SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 AS admitted FROM events")
 def rate_admitted_stream(spark, sf_dir):
     """Admission with state per client, as requests come in."""
-    return service.run_to_memory(service.admitted_stream(_stream(spark, sf_dir, "events"), 2, "day"), "rate_admitted_stream", "append").select("event_id", "admitted")
+    return admission.run_to_table(service.admitted_stream(_stream(spark, sf_dir, "events"), 2, "day"), "rate_admitted_stream", "append").select("event_id", "admitted")
 
 
 @query(
@@ -724,7 +724,7 @@ def accept_join_stream(spark, sf_dir):
     """Acceptances (purchases) with the requests (views) of their session at most an hour before."""
     accepted = _stream(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("accepted_id"), F.col("user_id").alias("sess_id"), F.col("ts").cast("timestamp").alias("timestamp"))
     requests = _stream(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("sess_id"), F.col("ts").alias("start_t"))
-    return service.run_to_memory(service.joined_acceptances(accepted, requests).select("accepted_id", "request_id"), "accept_join_stream", "append")
+    return admission.run_to_table(service.joined_acceptances(accepted, requests).select("accepted_id", "request_id"), "accept_join_stream", "append")
 
 
 @query("live_votes", _TOPK + "SELECT query_id, label, round(score, 6) AS score, rank FROM r")

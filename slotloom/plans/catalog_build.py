@@ -14,8 +14,8 @@ from slotloom.functions import types
 from slotloom.operators import datapoints, edits, evaluate, extract, features, filters, forest, infer, knn, labels, pivots, typecheck
 from slotloom.plans import modules
 from slotloom.plans.catalog import _BUCKET, _FUNCTIONS, _RANKED, _SPLIT, _TOPK, _TYPES, _VERDICTS, _functions, _neighbours, _types, _verdicts, query, table
-from slotloom.sources import corpus, tables
-from slotloom.streaming import service
+from slotloom.sources import corpus, records, tables, tensors
+from slotloom.streaming import admission, service
 
 # -- tables and text --------------------------------------------------------------------------------------------------
 
@@ -354,3 +354,65 @@ def lossless_annotations(spark, sf_dir):
     found = tables.written(edits.annotated_sources(sources, wanted), "annotated")
     back = edits.restored(found).select("file", F.col("text").alias("back")).join(sources.select("file", F.col("text").alias("before")), "file")
     return found.select("file", "text").join(back, "file").select("file", "text", (F.col("back") == F.col("before")).alias("same"))
+
+
+# -- substrings, records, tensors and limits --------------------------------------------------------------------------
+
+
+@query(
+    "hint_postings",
+    f"""WITH r AS {_RANKED}, t AS (SELECT DISTINCT p_type AS type FROM part UNION SELECT lower(p_type) FROM part UNION SELECT right(p_type, length(p_type) - 1) FROM part UNION SELECT substr(p_type, 1 + p_size % 4) FROM part
+      UNION SELECT reverse(p_type) FROM part UNION SELECT p_name FROM part UNION SELECT left(p_name, p_size % 6) FROM part)
+    SELECT type, coalesce((SELECT min(rank) FROM r WHERE contains(r.type, t.type)), (SELECT count(*) - 1 FROM r))::INTEGER AS hint FROM t""",
+)
+def hint_postings(spark, sf_dir):
+    """The first ranked type that contains a string, for whole strings of every length."""
+    part = table(spark, sf_dir, "part")
+    asked = None
+    for c in ("p_type", "lower(p_type)", "right(p_type, length(p_type) - 1)", "substr(p_type, 1 + p_size % 4)", "reverse(p_type)", "p_name", "left(p_name, p_size % 6)"):
+        one = part.select(F.expr(c).alias("type"))
+        asked = one if asked is None else asked.unionByName(one)
+    return labels.hint_codes(asked, labels.top_types(part.select(F.col("p_type").alias("type")), 1024))
+
+
+_EVENT = "event_id, user_id, event_type, ts"
+
+
+@query("record_stream", f"SELECT {_EVENT} FROM events")
+def record_stream(spark, sf_dir):
+    """Request records read as a stream, in row ranges, into a table by epoch."""
+    spark.dataSource.register(records.RequestRecords)
+    schema = table(spark, sf_dir, "events").select(*_EVENT.split(", ")).schema
+    stream = spark.readStream.format("request_records").schema(schema).option("rows", 2000).option("glob", "events.parquet").load(sf_dir)
+    return admission.run_to_table(stream, "records")
+
+
+@query("record_table", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, sum(user_id)::BIGINT AS users FROM events GROUP BY event_type")
+def record_table(spark, sf_dir):
+    """The same records as a batch."""
+    spark.dataSource.register(records.RequestRecords)
+    schema = table(spark, sf_dir, "events").select(*_EVENT.split(", ")).schema
+    rows = spark.read.format("request_records").schema(schema).option("glob", "events.parquet").option("rows", 2000).load(sf_dir)
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"), F.sum("user_id").cast("long").alias("users"))
+
+
+@query("tensor_files", "SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 4) AS total, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last FROM embeddings")
+def tensor_files(spark, sf_dir):
+    """Embeddings as tensor files in two commits, and back by row ranges."""
+    spark.dataSource.register(tensors.Tensors)
+    rows, path = table(spark, sf_dir, "embeddings"), tables.new_folder(spark, "tensors")
+    for part in (rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1")):
+        part.select("vec_id", "embedding", "label").write.format("tensors").mode("append").save(path)
+    back = spark.read.format("tensors").option("rows", 100).load(path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return back.select("vec_id", "label", F.round(total, 4).alias("total"), F.col("embedding")[0].cast("double").alias("first"), F.element_at("embedding", -1).cast("double").alias("last"))
+
+
+@query(
+    "admission_stream",
+    "SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 1 AND row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 AS admitted FROM events",
+)
+def admission_stream(spark, sf_dir):
+    """Both limits of a client in one stateful operator."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return admission.run_to_table(admission.admissions(stream, 1, 2), "admission")

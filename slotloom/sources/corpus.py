@@ -146,3 +146,49 @@ def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
 def append_jdbc(rows: DataFrame, url: str, table: str, **options: str) -> None:
     """Appends rows to a service table over JDBC; each partition is a transaction of its own."""
     rows.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode("append").save()
+
+
+def jdbc_partitioned(spark: SparkSession, url: str, table: str, column: str, parts: int, **options: str) -> DataFrame:
+    """A service table over several connections: ranges of a numeric, date or timestamp column between its least and its greatest value.
+
+    The database gives the two; null values are read with the first range, and an empty table by one connection.
+    """
+    bounds = jdbc_table(spark, url, f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}) bounds", **options).first()
+    low, high = tuple(bounds)
+    if low is None or low == high:
+        return jdbc_table(spark, url, table, **options)
+    return jdbc_table(spark, url, table, partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options)
+
+
+def append_jdbc_epoch(rows: DataFrame, url: str, table: str, epoch: int, **options: str) -> None:
+    """Appends an epoch's rows to a service table with a column ``epoch``, once however often it runs.
+
+    The rows go to a staging table of the epoch by as many connections as there are partitions; then one transaction takes what
+    the epoch had before out of the table and puts the staged rows in.  The table is made if it isn't there.  A run
+    that ends in between leaves the table as it was.
+    """
+    spark, staging = rows.sparkSession, f"{table}_staging_{epoch}"
+    keyed = rows.withColumn("epoch", F.lit(epoch).cast("long"))
+    keyed.write.format("jdbc").option("url", url).option("dbtable", staging).options(**options).mode("overwrite").save()
+    append_jdbc(keyed.limit(0), url, table, **options)
+    jvm = spark.sparkContext._jvm
+    properties = jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, v)
+    if "driver" in options:
+        jvm.java.lang.Class.forName(options["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        names = ", ".join(f'"{c}"' for c in keyed.columns)
+        statement.executeUpdate(f"DELETE FROM {table} WHERE \"epoch\" = {epoch}")
+        statement.executeUpdate(f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging}")
+        connection.commit()
+        statement.executeUpdate(f"DROP TABLE {staging}")
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()

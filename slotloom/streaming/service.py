@@ -127,11 +127,3 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
-def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its result table."""
-    checkpoint = tables.new_folder(stream.sparkSession, f"{name}-checkpoint")
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)

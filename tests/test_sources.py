@@ -10,7 +10,7 @@ from slotloom.functions import text
 from slotloom.operators import evaluate, infer, typecheck
 from slotloom.plans import jobs
 from slotloom.sources import corpus, tables
-from slotloom.streaming import service
+from slotloom.streaming import admission, service
 
 MODULE = {
     "variables": {"limit": "int"}, "mod_var_occur": {"limit": [["limit", "max"]]}, "imports": ["os"], "set": "train",
@@ -154,7 +154,7 @@ def test_rate_limit_over_batches(spark, tmp_path):
     at = lambda day, hour: datetime.datetime(2024, 1, day, hour)
     batches = [[(1, at(1, 5), 10), (1, at(1, 3), 11), (2, at(1, 1), 12)], [(1, at(1, 6), 13), (1, at(2, 1), 14)], [(1, at(1, 7), 15), (2, at(1, 9), 16), (2, at(1, 8), 17)]]
     stream = arriving(spark, tmp_path, batches, schema)
-    got = {r.event_id: r.admitted for r in service.run_to_memory(service.admitted_stream(stream, 2, "day"), "limits", "append").collect()}
+    got = {r.event_id: r.admitted for r in admission.run_to_table(service.admitted_stream(stream, 2, "day"), "limits", "append").collect()}
     assert got == {10: True, 11: True, 12: True, 13: False, 14: True, 15: False, 16: False, 17: True}
 
 
@@ -165,7 +165,7 @@ def test_rate_limit_state_is_bounded(spark, tmp_path, monkeypatch):
     assert service.WINDOWS_HELD == 2
     rows = [(1, datetime.datetime(2024, 1, d, 1), d) for d in (1, 2, 3)]
     stream = arriving(spark, tmp_path, [rows, [(1, datetime.datetime(2024, 1, 3, 2), 4)]], "user_id int, ts timestamp, event_id long")
-    got = {r.event_id: r.admitted for r in service.run_to_memory(service.admitted_stream(stream, 1, "day"), "bounded", "append").collect()}
+    got = {r.event_id: r.admitted for r in admission.run_to_table(service.admitted_stream(stream, 1, "day"), "bounded", "append").collect()}
     assert got == {1: True, 2: True, 3: True, 4: False}
 
 
@@ -177,7 +177,7 @@ def test_acceptances_join_requests_over_batches(spark, tmp_path):
     (tmp_path / "r").mkdir()
     accepted = arriving(spark, tmp_path / "a", [[("s", at(10), 1)], [("s", at(80), 2), ("t", at(20), 3)]], "sess_id string, timestamp timestamp, accepted long")
     requests = arriving(spark, tmp_path / "r", [[("s", at(0), 7)], [("t", at(30), 8)]], "sess_id string, start_t timestamp, request long")
-    got = {(r.accepted, r.request) for r in service.run_to_memory(service.joined_acceptances(accepted, requests).select("accepted", "request"), "joined", "append").collect()}
+    got = {(r.accepted, r.request) for r in admission.run_to_table(service.joined_acceptances(accepted, requests).select("accepted", "request"), "joined", "append").collect()}
     assert got == {(1, 7)}
 
 
