@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.keyfilter import likely, outside, sent_filter
+from slotloom.llm.keyfilter import among, likely, outside, sent_filter
 from slotloom.llm.shared import partitions, planned_bytes, quoted, stored, unused
 from slotloom.llm.words import LOWER, buffers, settled, text_column, tidy
 
@@ -56,7 +56,11 @@ class CountingQuotientFilter:
         order = np.argsort(fingerprints, kind="stable")
         f, c = fingerprints[order], counts[order]
         new = np.flatnonzero(np.diff(f, prepend=f[:1] + np.uint64(1)) != 0) if len(f) else np.zeros(0, np.int64)
-        f, c = f[new], (np.add.reduceat(c, new) if len(new) else c[:0])
+        return cls.of_sorted(f[new], np.add.reduceat(c, new) if len(new) else c[:0])
+
+    @classmethod
+    def of_sorted(cls, f: np.ndarray, c: np.ndarray) -> CountingQuotientFilter:
+        """The filter of rising, different fingerprints."""
         shift = np.uint64(64 - QUOTIENT_BITS)
         occupied, runs = np.unique((f >> shift).astype(np.uint32), return_counts=True)
         return cls(occupied, runs.astype(np.uint32), f & ((np.uint64(1) << shift) - np.uint64(1)), c)
@@ -67,7 +71,13 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        return cls.build(np.concatenate([x.fingerprints() for x in filters]), np.concatenate([x.counts for x in filters]))
+        """Two by two: the sorted fingerprints of one go to their places among those of the other, and counts of equal ones add up."""
+        if not filters:
+            return cls.of_sorted(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        runs = [(x.fingerprints(), x.counts) for x in filters]
+        while len(runs) > 1:
+            runs = [_merged(*runs[i], *runs[i + 1]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+        return cls.of_sorted(*runs[0])
 
     def slices(self, parts: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
         """Ranges of quotients, for merging in parallel."""
@@ -101,6 +111,19 @@ class CountingQuotientFilter:
         return cls(occupied, runs, remainders, counts)
 
 
+def _merged(f: np.ndarray, c: np.ndarray, g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two rising lists of fingerprints and their counts as one."""
+    if len(f) < len(g):
+        f, c, g, d = g, d, f, c
+    at = np.searchsorted(f, g)
+    same = np.zeros(len(g), bool)
+    inside = at < len(f)
+    same[inside] = f[at[inside]] == g[inside]
+    c = c.copy()
+    c[at[same]] += d[same]
+    return np.insert(f, at[~same], g[~same]), np.insert(c, at[~same], d[~same])
+
+
 def _normalised(batch: pa.RecordBatch) -> Iterator[memoryview]:
     data, offsets = buffers(text_column(batch.column(1)))
     lo = int(offsets[0])
@@ -109,7 +132,9 @@ def _normalised(batch: pa.RecordBatch) -> Iterator[memoryview]:
         yield lower[a:b]
 
 
-def _digests(with_text: bool, digest_bytes: int):
+def _digests(with_text: bool, digest_bytes: int, among_bits=None):
+    """doc_id, fp, sha, full and, ``with_text``, norm of every row; with a broadcast filter only of rows whose fingerprint may be in it."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,6 +142,9 @@ def _digests(with_text: bool, digest_bytes: int):
             shas = [hashlib.sha256(t).digest() for t in texts]
             short = [s[:digest_bytes] for s in shas]
             fp = np.frombuffer(b"".join(s[:8].ljust(8, b"\0") for s in short), np.int64)
+            if among_bits is not None:
+                at = np.flatnonzero(among(among_bits.value, fp))
+                batch, fp, texts, shas, short = batch.take(pa.array(at)), fp[at], *([x[i] for i in at] for x in (texts, shas, short))
             columns = [batch.column(0), pa.array(fp), pa.array(short, pa.binary()), pa.array(shas, pa.binary())]
             names = ["doc_id", "fp", "sha", "full"]
             if with_text:
@@ -169,8 +197,8 @@ def exact_duplicates(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     schema = f"doc_id {kind}, fp long, sha binary, full binary"
     prints = stored(rows.mapInArrow(_digests(False, digest_bytes), schema), "prints")
     repeated = stored(repeated_fingerprints(prints), "repeated")
-    # Byte verification: only rows with a repeated fingerprint, combined before the shuffle.
-    suspects = rows.mapInArrow(_digests(True, digest_bytes), f"{schema}, norm binary").join(repeated.select("fp"), "fp")
+    # Byte verification: only rows that a filter of the repeated fingerprints lets through move; the few others among them are groups of one.
+    suspects = rows.mapInArrow(_digests(True, digest_bytes, sent_filter(repeated.select("fp"))), f"{schema}, norm binary")
     found = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     groups = stored(suspects.groupBy("fp", "sha").agg(*found, (F.min("norm") == F.max("norm")).alias("verified")), "groups")
     joined = prints.join(groups.select(F.col("sha").alias("g_sha"), "keep_id", "group_size", "verified"), F.col("sha") == F.col("g_sha"), "left")

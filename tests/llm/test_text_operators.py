@@ -80,6 +80,36 @@ def test_filters_merge_without_loss():
     assert Counter(np.concatenate(parts).tolist()) == dict(zip(whole.fingerprints().tolist(), whole.counts.tolist()))
 
 
+def test_only_suspects_are_read_with_their_texts(spark, odd, odd_rows):
+    """Rows whose fingerprint occurs once don't get as far as a shuffle of texts, whether tables are broadcast or not."""
+    from slotloom.llm.keyfilter import sent_filter
+
+    texts = [(t or "").translate(FOLD) for _, t, *_ in odd_rows]
+    repeated = [t for t, n in Counter(texts).items() if n > 1]
+    keys = [int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "little", signed=True) for t in repeated]
+    run = exact_dedup._digests(True, 32, sent_filter(spark.createDataFrame([(k,) for k in keys], "fp long")))
+    got = odd.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, sha binary, full binary, norm binary")
+    assert Counter(bytes(r.norm).decode() for r in got.collect()) == {t: n for t, n in Counter(texts).items() if n > 1}
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    want = rows(exact_dedup.exact_duplicates(odd), *columns)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exact_dedup.exact_duplicates(odd)
+        assert rows(found, *columns) == want
+        assert "norm" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_filters_merge_run_by_run():
+    rng = np.random.default_rng(1)
+    lists = [np.unique(rng.integers(0, 50, n).astype(np.uint64)) for n in (0, 1, 30, 40, 7)]
+    merged = exact_dedup.CountingQuotientFilter.merge([exact_dedup.CountingQuotientFilter.build(x) for x in lists])
+    assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist())) == Counter(np.concatenate(lists).tolist())
+    assert len(exact_dedup.CountingQuotientFilter.merge([]).fingerprints()) == 0
+
+
 # -- substrings -------------------------------------------------------------------------------------------------------
 
 
