@@ -12,7 +12,7 @@ elements.
 Defined results: null and empty html give an empty text; unclosed and crossing tags
 are closed as browsers do for blocks and paragraphs; an element of ``_SKIPPED`` that is
 not closed, or closes itself, is a tag without an inside; names that only begin like
-one are other elements; character references are decoded; white space inside a block becomes one space; blocks are joined by one line
+one are other elements; what stands in ``math``, ``svg``, ``object`` and ``noscript`` is text like any other; character references are decoded run by run; white space inside a block becomes one space; blocks are joined by one line
 feed; repeated pages are extracted alike; extra columns are ignored.
 """
 
@@ -43,8 +43,8 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
-#: Elements whose inside isn't text of the page, if they are closed.
-_SKIPPED = frozenset("textarea title noscript template iframe svg math select object".split())
+#: Elements whose inside isn't text of the page, if they are closed: form fields, the title, and what a page shows elsewhere or not at all.
+_SKIPPED = frozenset("textarea title template iframe select".split())
 #: Elements that have no inside.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that start and end a leaf block.
@@ -82,7 +82,7 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 blocks.append((tuple(x for x in stack if x[0] in _BLOCKS), text, linked))
             parts.clear()
@@ -103,7 +103,8 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
             continue
         if m.start() > at:
             text = html[at : m.start()]
-            parts.append(text)
+            # Each run for itself: a reference doesn't go on behind a tag.
+            parts.append(unescape(text))
             linked += len(text) if links else 0
         at = m.end()
         tag = m[3] or m[6]
@@ -112,7 +113,7 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
         if i in skipped:
             upto = skipped[i] + 1
             at = tokens[skipped[i]].end()
-            if tag.lower() not in ("title", "template", "svg", "math"):
+            if tag.lower() not in ("title", "template"):
                 parts.append(" ")
             continue
         tag, ends = tag.lower(), m[2] or m[5]
@@ -154,7 +155,7 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
         stack.append((tag, names))
         links += tag == "a"
     if at < len(html):
-        parts.append(html[at:])
+        parts.append(unescape(html[at:]))
     flush()
     return blocks
 

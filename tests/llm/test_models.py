@@ -481,6 +481,49 @@ def test_other_layouts(spark):
     assert {r.page_id: r.text for r in html_extract.extracted(rows).collect()} == {1: "Title\nFirst.\nSecond one.", None: "", 2: ""}
 
 
+def plain_text(html):
+    """The text of blocks, tag by tag, of an article without boilerplate."""
+    from html import unescape
+
+    blocks, text = [], ""
+    for piece in re.findall(r"<[^>]*>|[^<]+", html):
+        if piece[0] != "<":
+            text += unescape(piece)
+        elif re.match(r"</?(p|h[1-6]|li|ul|ol|div|section|table|tr|td|th|blockquote|pre|dl|dt|dd|figure|figcaption)\b", piece):
+            blocks.append(text)
+            text = ""
+        elif re.match(r"<br\b", piece):
+            text += " "
+    return "\n".join(" ".join(b.split()) for b in [*blocks, text] if b.split())
+
+
+ARTICLES = (
+    "<h1>On tables</h1><p>Here is a table of the years.</p><table><tr><th>Year</th><th>Sum</th></tr><tr><td>Nineteen hundred and one was good.</td><td>12 of them were left.</td></tr></table><p>That was the table.</p>",
+    "<h2>Lists</h2><ul><li>The first thing to say is long.</li><li>The second thing has <b>bold</b> words.</li></ul><ol><li>One more point is made here.</li></ol><p>And that is all of it.</p>",
+    "<div><div><p>Nested divisions hold this text.</p><div>And this one stands in another.</div></div></div><blockquote><p>A quotation that goes on for a while.</p></blockquote>",
+    "<p>Einstein wrote <math><mi>E</mi><mo>=</mo><mi>mc</mi><msup>2</msup></math> in that paper.</p><p>An <svg><text>inline drawing</text></svg> has words of its own.</p>",
+    "<object><p>This paragraph stands in an object element.</p></object><noscript><p>This one is for those without scripts.</p></noscript><p>The last one is plain text.</p>",
+    "<p>AT&am<b>p;</b> isn't a reference, &lt;b&gt; and &amp;amp; are.</p><p>Caf&eacute;&nbsp;au lait &#8212; it costs &#x20AC;5,<br>at least here.</p><pre>keep   these words\n  together</pre>",
+    "<dl><dt>A term that is explained here</dt><dd>Its explanation comes right behind it.</dd></dl><figure><figcaption>What the picture shows to us.</figcaption></figure><p>It ends here, at last.</p>",
+)
+
+
+@pytest.mark.parametrize("frame", ["<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article>{}</article><footer>(c) us</footer></body>", "<html><body><div class='header'>Site</div><main><div class='content'>{}</div></main><aside><p>More to see.</p></aside></body></html>"])
+def test_whole_articles_stay(spark, frame):
+    """Everything inside of the article, whatever elements it is in."""
+    rows = spark.createDataFrame([(i, "u", frame.format(a)) for i, a in enumerate(ARTICLES)] * 2, "page_id int, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
+    got = html_extract.extracted(rows).collect()
+    assert len(got) == 2 * len(ARTICLES)
+    for r in got:
+        assert (r.text, r.n_chars) == (plain_text(ARTICLES[r.page_id]), len(plain_text(ARTICLES[r.page_id])))
+
+
+def test_a_very_long_page(spark):
+    paragraphs = [f"Paragraph number {i} says something of its own." for i in range(20_000)]
+    html = "<body><nav><a href=x>Menu</a></nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article></body>"
+    assert html_extract.extracted(spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")).first().text == "\n".join(paragraphs)
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
