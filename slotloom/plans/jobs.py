@@ -123,12 +123,15 @@ def vectorize_job(spark: SparkSession, out: str, params: dict = PARAMETERS, pari
     return spark.read.parquet(f"{out}/features")
 
 
-def learn_job(spark: SparkSession, out: str, params: dict = PARAMETERS, variant: str = "complete", validation: bool = False, seed: int = 0, workers: int = training.WORKERS) -> tuple[encoder.Encoder, list[dict]]:
-    """Trains the encoder on triplets of the training split; labels need their support in each split for itself."""
+def learn_job(spark: SparkSession, out: str, params: dict = PARAMETERS, variant: str = "complete", validation: bool = False, seed: int = 0, workers: int = training.WORKERS, synchronous: bool = False) -> tuple[encoder.Encoder, list[dict]]:
+    """Trains the encoder on triplets of the training split; labels need their support in each split for itself.
+
+    ``synchronous``: the steps of a single trainer, by ``workers`` tasks at once.
+    """
     rows = spark.read.parquet(f"{out}/features")
     part = lambda split: labels.supported(rows.where(F.col("split") == split), "label")
     model = encoder.Encoder.random(params["vector_size"], params["hidden_size"], params["top_n_hints"], params["output_size"], variant, seed)
-    model, history = training.train(model, part("train"), params, part("valid") if validation else None, params["top_n_hints"], seed, workers)
+    model, history = training.train(model, part("train"), params, part("valid") if validation else None, params["top_n_hints"], seed, workers, synchronous)
     bundle.save_blob(spark, f"{out}/encoder", bundle.encoder_bytes(model))
     spark.createDataFrame([(h["epoch"], h["loss"], h.get("validation")) for h in history], "epoch int, loss double, validation double").coalesce(1).write.mode("overwrite").parquet(f"{out}/history")
     return model, history
@@ -235,6 +238,7 @@ def main() -> None:
     parser.add_argument("--rvth", action="store_true", help="random visible types (preprocess)")
     parser.add_argument("--dt", choices=sorted(encoder.VARIANTS), default="complete", help="model variant (learn)")
     parser.add_argument("--v", action="store_true", help="validation loss (learn)")
+    parser.add_argument("--w", type=int, help="tasks that take each training step together (learn)")
     parser.add_argument("--d", type=int, help="reduced dimensions (predict, reduce)")
     parser.add_argument("--r", action="store_true", help="reduced clusters (bundle)")
     parser.add_argument("--tp", type=int, default=evaluate.TOP_N, help="top-n of the metrics (eval)")
@@ -245,7 +249,7 @@ def main() -> None:
         "extract": lambda: extract_job(spark, a.c, a.o, a.l, a.dup),
         "preprocess": lambda: preprocess_job(spark, a.o, params=params, random_hints=a.rvth),
         "vectorize": lambda: vectorize_job(spark, a.o, params),
-        "learn": lambda: learn_job(spark, a.o, params, a.dt, a.v),
+        "learn": lambda: learn_job(spark, a.o, params, a.dt, a.v, workers=a.w or training.WORKERS, synchronous=a.w is not None),
         "predict": lambda: predict_job(spark, a.o, load_encoder(a.m) if a.m else bundle.encoder_from(bundle.read_blob(spark, f"{a.o}/encoder")), params, a.l, a.d),
         "eval": lambda: eval_job(spark, a.o, a.tp).show(truncate=False),
         "reduce": lambda: reduce_job(spark, a.o, a.d or params["dimensions"], a.l),

@@ -63,6 +63,48 @@ def test_loss_falls(spark):
     assert all((again[k] == v).all() for k, v in training.weights_of(model).items())
 
 
+def plain_training(rows, start, epochs, lr, batch, dropout, seed):
+    """One trainer that takes the batches one after the other."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    model, adam, losses = start, training.Adam(lr), []
+    for epoch in epochs:
+        table = rows[epoch].withColumn("h", F.xxhash64("anchor", F.lit(seed + epoch))).orderBy("h", "anchor").toPandas()
+        table["number"], seen = range(len(table)), []
+        for at in range(0, len(table), batch):
+            part = table.iloc[at : at + batch]
+            loss, gradients = training.exact_gradients(model, training._arrays(pd.DataFrame(part), 4, dropout, seed + epoch))
+            model = training.with_weights(model, adam.update(training.weights_of(model), gradients))
+            seen += [loss] * len(part)
+        losses.append(np.mean(seen))
+    return model, losses
+
+
+@pytest.mark.parametrize("workers", [1, 3])
+def test_any_number_of_tasks_takes_the_steps_of_one(spark, workers):
+    """Two epochs with dropout and Adam's state between them, against a plain loop."""
+    from pyspark.sql import functions as F
+
+    from slotloom.operators.triplets import mined
+
+    features = made_up(spark, 90)
+    labelled = features.select(F.col("id").alias("vec_id"), "label")
+    rows = {e: training.triplet_features(mined(labelled, 7 + e), features) for e in (1, 2)}
+    start = encoder.Encoder.random(4, 6, 4, 8)
+    want, losses = plain_training(rows, start, (1, 2), 0.02, 32, 0.2, 7)
+    model, history = training.train(start, features, {"epochs": 2, "lr": 0.02, "batch_size": 32, "margin": 2.0, "dropout": 0.2}, n_hints=4, seed=7, workers=workers, synchronous=True)
+    assert all(np.allclose(v, training.weights_of(want)[k], atol=1e-5) for k, v in training.weights_of(model).items())
+    assert np.allclose([h["loss"] for h in history], losses, atol=1e-5)
+    assert not np.allclose(model.weight, start.weight, atol=1e-3)
+
+
+def test_synchronous_training_without_triplets(spark):
+    start = encoder.Encoder.random(4, 6, 4, 8)
+    model, history = training.train(start, made_up(spark, 1), {"epochs": 1, "lr": 0.1, "batch_size": 8, "margin": 2.0, "dropout": 0.0}, n_hints=4, workers=2, synchronous=True)
+    assert history == [{"epoch": 1, "loss": 0.0}] and (model.weight == start.weight).all()
+
+
 def test_no_triplets_leave_the_model(spark):
     start = encoder.Encoder.random(4, 6, 4, 8)
     model, history = training.train(start, made_up(spark, 1), {"epochs": 1, "lr": 0.1, "batch_size": 8, "margin": 2.0, "dropout": 0.0}, n_hints=4, workers=1)
