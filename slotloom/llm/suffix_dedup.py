@@ -41,13 +41,13 @@ from pyspark.sql import functions as F
 from slotloom.llm.keyfilter import among, sent_filter
 from slotloom.llm.shared import even_keys, mapped, partitions, planned_bytes, send, stored
 from slotloom.llm.substring_dedup import _with_spans
-from slotloom.llm.words import U64, _splitmix, buffers, chunks, mix, ragged, settled, text_column, tidy
+from slotloom.llm.words import U64, _splitmix, buffers, chunks, give_back, mix, ragged, settled, text_column, tidy
 
 LENGTH = 200
 GRAM = 32
 #: Positions of a shard: three of their numbers fit in 63 bits.
-SHARD = (1 << 21) - 1
-PIECE = 1 << 20
+SHARD = (1 << 19) - 1
+PIECE = 1 << 18
 BUCKET_BYTES = 8 << 20
 #: An anchor is frequent from this many occurrences on, or from one in ``FREQUENT_SHARE`` of all, so at most that many are.
 FREQUENT, FREQUENT_SHARE = 2000, 1_000_000
@@ -67,7 +67,7 @@ _KINDS = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
 @functools.lru_cache(4)
 def _powers(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base = _splitmix(seed) | 1
-    up, down = np.full(PIECE + SHARD, base, U64), np.full(PIECE + SHARD, pow(base, -1, 1 << 64), U64)
+    up, down = np.full(2 * PIECE, base, U64), np.full(2 * PIECE, pow(base, -1, 1 << 64), U64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64), np.array([_splitmix(seed * 1000 + b) for b in range(256)], U64)
 
@@ -135,7 +135,7 @@ def _anchor_counts(length: int, gram: int):
                 at = at[starts]
                 held.append(hashes[at[_changes(at) | _changes(own)]])
                 count += len(held[-1])
-            if count >= 500_000:
+            if count >= 200_000:
                 yield flush()
                 count = 0
         if held:
@@ -336,6 +336,7 @@ def _sort_shards(length: int, gram: int, bits, frequent, ranges: np.ndarray, gro
                     low, high = int(starts[x]), int(starts[y - 1]) + length
                     if shard.regions and shard.size + high - low + 1 > SHARD:
                         yield _rows(shard.rows(ranges, groups, frequent.value))
+                        give_back()
                     shard.add(data[low:high].copy(), int(row_keys[own[x]]), int(place[x]), hashes[at[x:y]], at[x:y] - low)
         if shard.regions:
             yield _rows(shard.rows(ranges, groups, frequent.value))
