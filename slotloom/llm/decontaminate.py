@@ -31,8 +31,8 @@ from slotloom.llm.shared import mapped, quoted, send, stored, unused
 from slotloom.llm.words import ALNUM, LOWER, buffers, chunks, covered, scan, text_column, tidy, windows, word_hashes
 
 N_WORDS = 13
-#: The bounds of a block; building one takes about ``WINDOW_BYTES`` for a window besides its words.
-MAX_WINDOWS, BLOCK_BYTES, WINDOW_BYTES = 400_000, 192 << 20, 400
+#: The bounds of a block; building one takes about ``WINDOW_BYTES`` for a window besides its words, and ``ENTRY_BYTES`` for each item of a window.
+MAX_WINDOWS, BLOCK_BYTES, WINDOW_BYTES, ENTRY_BYTES = 400_000, 192 << 20, 400, 64
 
 
 class _Windows(NamedTuple):
@@ -48,18 +48,23 @@ class _Windows(NamedTuple):
 class WindowSet:
     """Windows of benchmark items, by length."""
 
-    def __init__(self, held: dict[int, dict[int, tuple[bytes, set]]], item_ids: list):
+    def __init__(self, held: dict[int, dict[bytes, tuple[int, set]]], item_ids: list):
         self.item_ids, self.of = item_ids, {}
         for length, found in held.items():
-            hashes = sorted(found)
-            words, items = [found[h][0] for h in hashes], [sorted(found[h][1]) for h in hashes]
+            # By hash; windows of one hash and other words lie side by side.
+            words = sorted(found, key=lambda w, found=found: (found[w][0], w))
+            hashes, items = [found[w][0] for w in words], [sorted(found[w][1]) for w in words]
             edges = lambda xs: np.cumsum([0, *map(len, xs)])
             self.of[length] = _Windows(np.array(hashes, np.uint64), b"".join(words), edges(words), np.array([i for x in items for i in x], np.int32), edges(items))
 
 
 def window_blocks(items: Iterable[tuple[object, str]], n: int = N_WORDS, max_windows: int = MAX_WINDOWS) -> Iterator[WindowSet]:
-    """The items' windows in blocks, one after the other; at least one block, of no windows if there are none."""
-    held: dict[int, dict[int, tuple[bytes, set]]] = defaultdict(dict)
+    """The items' windows in blocks, one after the other; at least one block, of no windows if there are none.
+
+    A block ends at so many windows or bytes, of which its windows' items count as well: a sentence that all
+    items have is one window with as many entries, and may fill several blocks.
+    """
+    held: dict[int, dict[bytes, tuple[int, set]]] = defaultdict(dict)
     places: dict[object, int] = {}
     count = size = made = 0
     for item_id, text in items:
@@ -75,12 +80,17 @@ def window_blocks(items: Iterable[tuple[object, str]], n: int = N_WORDS, max_win
             if count >= max_windows or size >= BLOCK_BYTES:
                 yield WindowSet(held, list(places))
                 held, places, count, size, made = defaultdict(dict), {}, 0, 0, made + 1
-            of = held[length]
-            if h not in of:
-                of[h] = (b" ".join(words[i : i + length]), set())
-                size += WINDOW_BYTES + len(of[h][0])
+            of, window = held[length], b" ".join(words[i : i + length])
+            if window not in of:
+                of[window] = (h, set())
+                size += WINDOW_BYTES + len(window)
                 count += 1
-            of[h][1].add(places.setdefault(item_id, len(places)))
+            if item_id not in places:
+                places[item_id] = len(places)
+                size += ENTRY_BYTES + len(str(item_id))
+            if places[item_id] not in of[window][1]:
+                of[window][1].add(places[item_id])
+                size += ENTRY_BYTES
     if count or not made:
         yield WindowSet(held, list(places))
 
@@ -103,9 +113,12 @@ def hits(data: np.ndarray, offsets: np.ndarray, known: WindowSet):
             for k in np.flatnonzero(of.hashes[place] == h).tolist():
                 i, p = int(at[k]), int(place[k])
                 low = data.tobytes().translate(LOWER) if low is None else low
-                if b" ".join([low[starts[j] : ends[j]] for j in range(i, i + length)]) == of.words[of.word_edges[p] : of.word_edges[p + 1]]:
-                    sure.append(i)
-                    found[int(doc[i])].update(known.item_ids[x] for x in of.items[of.item_edges[p] : of.item_edges[p + 1]].tolist())
+                window = b" ".join([low[starts[j] : ends[j]] for j in range(i, i + length)])
+                while p < len(of.hashes) and of.hashes[p] == h[k]:
+                    if window == of.words[of.word_edges[p] : of.word_edges[p + 1]]:
+                        sure.append(i)
+                        found[int(doc[i])].update(known.item_ids[x] for x in of.items[of.item_edges[p] : of.item_edges[p + 1]].tolist())
+                    p += 1
             if sure:
                 hit |= covered(np.array(sure), length, m)
     return starts, ends, doc, hit, found

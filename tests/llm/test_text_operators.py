@@ -341,6 +341,36 @@ def test_contamination(spark, odd, odd_rows, benchmark_rows, most):
     assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute_contamination(odd_rows, benchmark_rows)
 
 
+def test_one_window_in_very_many_items(spark, monkeypatch):
+    """Its item list fills block after block; no block is larger than its bound."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20_000)
+    sentence = " ".join(f"word{i}" for i in range(13))
+    plain = [(i, sentence) for i in range(3000)]
+    blocks = list(decontaminate.window_blocks(plain))
+    assert len(blocks) > 20 and max(len(b.of[13].items) for b in blocks) < 300
+    docs = [(1, f"before {sentence} behind", "en", "s", 0), (2, "clean", "en", "s", 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    # Some blocks are enough to see that their items come together.
+    some = plain[:400]
+    got = decontaminate.contamination(df, spark.createDataFrame(some, "item_id long, text string"))
+    assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute_contamination(docs, some)
+
+
+def test_windows_of_one_hash_stay_apart(spark, odd, odd_rows, benchmark_rows, monkeypatch):
+    """With one hash for all windows, words alone decide."""
+    real = decontaminate.windows
+    monkeypatch.setattr(decontaminate, "windows", lambda *a: (real(*a)[0], np.zeros_like(real(*a)[1])))
+    known = next(decontaminate.window_blocks(benchmark_rows))
+    assert all((w.hashes == 0).all() for w in known.of.values())
+    folded = [ALNUM.findall((t or "").translate(FOLD)) for _, t in benchmark_rows]
+    assert len(known.of[13].hashes) == len({tuple(w[k : k + 13]) for w in folded for k in range(len(w) - 12)})
+    short = [r for r in odd_rows if len(r[1] or "") < 3000]
+    for (i, t, *_), want in zip(short, [brute_contamination([r], benchmark_rows)[0] for r in short]):
+        raw = (t or "").encode()
+        starts, _, _, hit, found = decontaminate.hits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), known)
+        assert (i, len(starts), int(hit.sum()), len(found.get(0, ()))) == want[:4]
+
+
 def test_decontaminated(spark, crowded, odd_rows, benchmark_rows, no_documents):
     items = spark.createDataFrame(benchmark_rows, "item_id long, text string")
     hits = {r[0]: r[2] for r in brute_contamination(odd_rows, benchmark_rows)}
