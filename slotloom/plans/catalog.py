@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.functions import text, types, vectors
-from slotloom.operators import datapoints, encoder, evaluate, extract, features, filters, infer, knn, labels, reduce, triplets, typecheck
+from slotloom.operators import cbow, datapoints, encoder, evaluate, extract, features, filters, infer, knn, labels, reduce, triplets, typecheck
 from slotloom.sources import corpus, tables
 from slotloom.streaming import admission, service
 
@@ -646,6 +646,13 @@ def w2v(spark, sf_dir):
     return features.train_word_vectors(sentences).getVectors()
 
 
+@query("cbow_vectors")
+def cbow_vectors(spark, sf_dir):
+    """Word vectors of the documents by continuous bags of words with negative sampling, on parameters sharded by word."""
+    sentences = table(spark, sf_dir, "documents").select(text.tokens(F.col("text")).alias("sentence"))
+    return cbow.train(sentences)
+
+
 @query("pca")
 def pca(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")

@@ -16,7 +16,7 @@ def test_sql(spark, sf_dir, name):
 
 
 #: Queries without SQL; each has a test of its result below.
-NOT_IN_SQL = {"knn_ann", "forest_ann", "w2v", "pca", "lsh", "encoder_forward"}
+NOT_IN_SQL = {"knn_ann", "forest_ann", "cbow_vectors", "w2v", "pca", "lsh", "encoder_forward"}
 
 
 def test_every_other_query_has_sql():
@@ -69,8 +69,9 @@ def test_pca(spark, sf_dir, vectors):
     assert mine.shape == plain.shape and np.allclose(np.abs(mine), np.abs(plain), atol=1e-6)
 
 
-def test_w2v(spark, sf_dir):
-    rows = {r.word: np.array(r.vector.toArray()) for r in catalog.QUERIES["w2v"](spark, sf_dir).collect()}
+@pytest.mark.parametrize("name", ["w2v", "cbow_vectors"])
+def test_word_vectors(spark, sf_dir, name):
+    rows = {r.word: np.array(r.vector if name == "cbow_vectors" else r.vector.toArray()) for r in catalog.QUERIES[name](spark, sf_dir).collect()}
     counts = Counter(w for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() for w in (r.text or "").split())
     assert set(rows) == {w for w, n in counts.items() if n >= 5}
     assert all(v.shape == (100,) and np.isfinite(v).all() for v in rows.values()) and any(v.any() for v in rows.values())
