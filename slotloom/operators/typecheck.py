@@ -31,6 +31,19 @@ INCLUDED_CODES = {
         "not-callable", "not-indexable", "redundant-function-type-comment", "unsupported-operands", "wrong-arg-count", "wrong-arg-types", "wrong-keyword-args",
     ),
 }
+# All error codes of each checker, counted or not.
+ALL_CODES = {
+    "mypy": (
+        "[abstract]", "[arg-type]", "[assignment]", "[call-arg]", "[name-defined]", "[attr-defined]", "[call-overload]", "[dict-item]", "[exit-return]", "[func-returns-value]", "[has-type]", "[import]", "[index]", "[list-item]",
+        "[misc]", "[no-redef]", "[operator]", "[override]", "[return-value]", "[return]", "[syntax]", "[type-var]", "[typeddict-item]", "[union-attr]", "[valid-newtype]", "[valid-type]", "[var-annotated]",
+    ),
+    "pytype": (
+        "annotation-type-mismatch", "attribute-error", "bad-concrete-type", "bad-function-defaults", "bad-return-type", "bad-slots", "bad-unpacking", "base-class-error", "duplicate-keyword-argument", "ignored-abstractmethod",
+        "ignored-metaclass", "ignored-type-comment", "import-error", "invalid-annotation", "invalid-directive", "invalid-function-definition", "invalid-function-type-comment", "invalid-namedtuple-arg", "invalid-super-call",
+        "invalid-type-comment", "invalid-typevar", "key-error", "late-directive", "missing-parameter", "module-attr", "mro-error", "name-error", "not-callable", "not-indexable", "not-instantiable", "not-supported-yet", "not-writable",
+        "pyi-error", "python-compiler-error", "recursion-error", "redundant-function-type-comment", "reveal-type", "unbound-type-param", "unsupported-operands", "wrong-arg-count", "wrong-arg-types", "wrong-keyword-args",
+    ),
+}
 COMMAND = {"mypy": ("mypy", "--show-error-codes", "--no-incremental", "--cache-dir=/dev/null")}
 TIMEOUT_S = 20
 
@@ -70,6 +83,14 @@ def accepted(outputs: DataFrame, checker: str = "mypy") -> DataFrame:
     return parsed(outputs, checker).select("file", F.coalesce((F.col("status") == "ok") & (F.col("n_errors") == 0), F.lit(False)).alias("passed"))
 
 
+def by_code(outputs: DataFrame, checker: str = "mypy") -> DataFrame:
+    """file, code, n, included: how often each known code ends a line, and whether it counts as an error; a line with the ends of several codes counts for each."""
+    codes = tuple(dict.fromkeys((*ALL_CODES[checker], *INCLUDED_CODES[checker])))
+    known = F.array(*[F.lit(c) for c in codes])
+    found = outputs.select("file", F.explode("lines").alias("line")).select("file", F.explode(F.filter(known, lambda c: F.col("line").endswith(c))).alias("code"))
+    return found.groupBy("file", "code").agg(F.count(F.lit(1)).alias("n")).withColumn("included", F.col("code").isin(*INCLUDED_CODES[checker]))
+
+
 def prediction_kind(prediction, truth):
     """p_equal_gt, p_wo_gt (no ground truth) or p_not_equal_gt."""
     return F.when(prediction == truth, F.lit("p_equal_gt")).when(truth == "", F.lit("p_wo_gt")).otherwise(F.lit("p_not_equal_gt"))

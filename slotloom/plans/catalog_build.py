@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from slotloom.functions import types
 from slotloom.operators import datapoints, edits, evaluate, extract, features, filters, forest, infer, knn, labels, pivots, typecheck
 from slotloom.plans import modules
-from slotloom.plans.catalog import _BUCKET, _FUNCTIONS, _RANKED, _SPLIT, _TOPK, _TYPES, _VERDICTS, _functions, _neighbours, _types, _verdicts, query, table
+from slotloom.plans.catalog import _BUCKET, _FUNCTIONS, _OUTPUT_SQL, _RANKED, _SPLIT, _TOPK, _TYPES, _VERDICTS, _functions, _neighbours, _outputs, _types, _verdicts, query, table
 from slotloom.sources import corpus, records, tables, tensors
 from slotloom.streaming import admission, service
 
@@ -184,6 +184,23 @@ def sequence_vectors(spark, sf_dir):
     return found.select("id.*", F.round(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), 4).alias("weighed"))
 
 
+@query(
+    "sequence_vectors_whole",
+    """WITH w AS (SELECT 'w' || vec_id AS word, embedding AS v FROM embeddings), s AS (SELECT conv_id, turn, list_transform(regexp_extract_all(translate(coalesce(text, ''), chr(160), ' '), '\\S+')[1:21], lambda t: 'w' || (strlen(t) * 7)) AS words FROM conversations),
+    p AS (SELECT conv_id, turn, unnest(range(1, 22)) AS i, words FROM s)
+    SELECT conv_id, turn, round(sum(coalesce(i * list_sum(v::DOUBLE[]), 0))::DOUBLE, 3) AS weighed FROM p LEFT JOIN w ON word = words[i] GROUP BY ALL""",
+)
+def sequence_vectors_whole(spark, sf_dir):
+    """The words of whole texts, each as the vector that its length picks out of all embeddings, in 21 places of 64 components."""
+    words = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.col("embedding").cast("array<float>").alias("vector"))
+    spelled = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "\u00a0", " "), "\\s+"), lambda t: t != "")
+    text = F.array_join(F.transform(spelled, lambda t: F.concat(F.lit("w"), (F.octet_length(t) * 7).cast("string"))), " ")
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), text.alias("sequence"))
+    found = features.vectorised(rows, words, 21, 64)
+    each = F.transform("matrix", lambda row, i: (i + 1) * F.aggregate(row, F.lit(0.0), lambda s, x: s + x.cast("double")))
+    return found.select("id.*", F.round(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), 3).alias("weighed"))
+
+
 @query("imports", "SELECT 'm' || p_partkey || '.py' AS file, array_to_string(['os', upper(p_type), 'Kind' || p_size, 'k'], '|') AS imports FROM part")
 def imports(spark, sf_dir):
     """The names that sources import."""
@@ -255,6 +272,16 @@ def parametric_codes(spark, sf_dir):
 # -- type checks ------------------------------------------------------------------------------------------------------
 
 
+_KNOWN = ", ".join(f"('{c}')" for c in dict.fromkeys((*typecheck.ALL_CODES["mypy"], *typecheck.INCLUDED_CODES["mypy"])))
+_INCLUDED = ", ".join(f"'{c}'" for c in typecheck.INCLUDED_CODES["mypy"])
+
+
+@query("tc_codes", f"SELECT file, code, count(*) AS n, code IN ({_INCLUDED}) AS included FROM (SELECT file, unnest(lines) AS line FROM {_OUTPUT_SQL}) JOIN (VALUES {_KNOWN}) v(code) ON ends_with(line, code) GROUP BY file, code")
+def tc_codes(spark, sf_dir):
+    """How often each known error code occurs in a checker's output, counted or not."""
+    return typecheck.by_code(_outputs(spark, sf_dir))
+
+
 @query(
     "typed_sources",
     """SELECT 'm' || p_partkey || '.py' AS file, CASE WHEN p_size % 3 = 0 THEN 'def f(a):' || chr(10) || '    return a' || chr(10)
